@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 
-from sitewright.llm import chat, multiset
-from sitewright.llm.common import table
+from sitewright.llm import arrowfile, chat, langid, multiset, packing
+from sitewright.llm.common import new_path, table, tokenizer_file
 
 _EXTRA_CHAT = r"\### Assistant: </turn> ok"
 
@@ -17,12 +17,30 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.expand_chats(turns.unionByName(extra)))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "sequences")
+    manifest = arrowfile.write_sequences(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return arrowfile.read_documents(manifest)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_fingerprints(table(spark, sf_dir, "documents"), buckets=256)
 
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
+    "op10_best_fit_packing": op10_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
 
