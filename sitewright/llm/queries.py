@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import arrowfile, chat, langid, multiset, packing
+from sitewright.llm import arrowfile, chat, langid, minhash, multiset, packing
 from sitewright.llm.common import new_path, table, tokenizer_file
 
 _EXTRA_CHAT = r"\### Assistant: </turn> ok"
@@ -32,6 +32,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_fingerprints(table(spark, sf_dir, "documents"), buckets=256)
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
