@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import arrowfile, chat, langid, minhash, multiset, packing
+from sitewright.llm import arrowfile, automata, chat, langid, minhash, multiset, packing, suffixes
 from sitewright.llm.common import new_path, table, tokenizer_file
 
 _EXTRA_CHAT = r"\### Assistant: </turn> ok"
@@ -36,6 +36,14 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.digests(automata.remove_seen(table(spark, sf_dir, "documents")))
+
+
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_fingerprints(table(spark, sf_dir, "documents"), buckets=256)
 
@@ -45,6 +53,8 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
