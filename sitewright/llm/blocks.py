@@ -19,14 +19,15 @@ def paired_blocks(rows: DataFrame, key: str, spread: str, block: int = BLOCK) ->
     """Rows of groups of two and more, dealt so that each two rows of a group meet in a task and no task gets a whole hot group.
 
     A group of n rows is split by the hash of `spread` in n / block blocks; each pair of blocks is a task of its own. Adds
-    _i and _j, the task's pair; rows come sorted by key, _i, _j. Smaller groups are one task (0, 0).
+    _i and _j, the task's pair, and _b, the row's own block; rows come sorted by key, _i, _j. Smaller groups are one task
+    (0, 0). Where _i and _j differ, two rows of one block also meet in that block's own task.
     """
     sizes = rows.groupBy(key).count().filter(F.col("count") > 1)
     parts = F.ceil(F.col("count") / block).cast("int")
     own = F.pmod(F.xxhash64(spread, F.lit(7)), F.col("_n")).cast("int")
     dealt = rows.join(sizes.select(key, parts.alias("_n")), key).withColumn("_b", own)
     dealt = dealt.withColumn("_o", F.explode(F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))))
-    dealt = dealt.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_b", "_o")
+    dealt = dealt.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_o")
     return dealt.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import arrowfile, automata, chat, langid, minhash, multiset, packing, suffixes
+from sitewright.llm import arrowfile, automata, chat, embeddings, langid, minhash, multiset, packing, suffixes
 from sitewright.llm.common import new_path, table, tokenizer_file
 
 _EXTRA_CHAT = r"\### Assistant: </turn> ok"
@@ -40,6 +40,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.digests(automata.remove_seen(table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
 }
