@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import arrowfile, automata, chat, embeddings, langid, minhash, multiset, packing, suffixes
+from sitewright.llm import arrowfile, automata, bpe, chat, embeddings, langid, minhash, multiset, packing, suffixes
 from sitewright.llm.common import new_path, table, tokenizer_file
 
 _EXTRA_CHAT = r"\### Assistant: </turn> ok"
@@ -17,6 +17,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.expand_chats(turns.unionByName(extra)))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return bpe.digests(bpe.decode_documents(encoded, ranks))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "sequences")
     manifest = arrowfile.write_sequences(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"), end_id=0)
@@ -54,6 +62,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,

@@ -16,6 +16,11 @@ _BYTE_LEVEL_PIECES = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").fi
 CACHE_PIECES = 500_000
 
 
+def byte_level_pieces(text: str) -> list[str]:
+    """The text cut at some of the places where the byte-level pattern cuts it."""
+    return _BYTE_LEVEL_PIECES(text)
+
+
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, special strings in a text being ordinary text.
 
