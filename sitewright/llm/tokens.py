@@ -9,11 +9,16 @@ import numpy as np
 
 #: Unicode White_Space, as the tokenizers' patterns understand \s.
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Runs without white space with the one space before them, and white space before them: the byte-level pattern never
-#: matches across their ends.
-_BYTE_LEVEL_PIECES = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
+#: Latin letters (without one that becomes two characters in lower case), and ASCII marks without the apostrophe: between
+#: one and the other the patterns of both files always cut, as they do at white space.
+_LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
+_MARKS = "!-&(-/:-@\\[-`{-~"
+#: Each piece starts and ends where the file's pattern cuts; a run with the one space before it, white space before runs.
+_BYTE_LEVEL_PIECES = re.compile(f" ?[{_LETTERS}]+(?=[{_MARKS}{_WS}]|\\Z)|[{_MARKS}]+(?=[{_WS}]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
+#: The same for words whose white space is dropped; only spaces and line ends are taken for white space here.
+_WORD_PIECES = re.compile(f"[{_LETTERS}]+(?=[{_MARKS} \\n]|\\Z)|[{_MARKS}]+(?=[ \\n]|\\Z)|[^ \\n]+").findall
 #: Pieces held at most; the cache starts anew beyond it.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_500_000
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -24,7 +29,7 @@ def byte_level_pieces(text: str) -> list[str]:
 class Encoder:
     """Ids of whole texts as the tokenizers library gives them, special strings in a text being ordinary text.
 
-    A text is cut only where the file's own pattern always cuts: at white space. Each distinct piece goes through the
+    A text is cut only where the file's own pattern always cuts. Each distinct piece goes through the
     library once and is kept. Files of other kinds than the two known ones are not cut at all.
     """
 
@@ -44,13 +49,13 @@ class Encoder:
             self.pieces = _BYTE_LEVEL_PIECES
         elif steps == ["Split", "ByteLevel"] and kind["pretokenizers"][0].get("invert") and config["model"].get("end_of_word_suffix"):
             # Words that end with the file's own suffix, white space dropped: no match holds a space or a line end.
-            self.pieces = lambda text: text.replace("\n", " ").split(" ")
+            self.pieces = _WORD_PIECES
         else:
             self.pieces = lambda text: [text]
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
-        self.single = self.pieces("a b") == ["a b"]
+        self.single = len(self.pieces("a b")) == 1
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of self.kind."""
