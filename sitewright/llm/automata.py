@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.llm.blocks import binary_rows, runs
-from sitewright.llm.common import stored, text_slices, with_text, words_of
+from sitewright.llm.common import stored, unique_ids, with_text, words_of
 from sitewright.llm.repeats import by_document, merged, repeated_spans, runs_of
 
 #: Words of a window; words of the grams that place windows in shards.
@@ -120,15 +120,15 @@ def remove_seen(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
 
     docs: doc_id, text; other columns are not used. Words are `[^\\x20\\x09-\\x0D]+`, unchanged; null or blank text has
     none. A word is removed if a window of `window` words covers it whose sequence also starts earlier (in a smaller
-    doc_id, or before in the same document); windows are judged on the input. doc_id must not be null and tells documents
-    apart. A text of fewer words keeps all. An empty table gives an empty table.
+    doc_id, or before in the same document); windows are judged on the input. Rows of one
+    doc_id, and rows without (first of all), are documents of their own, in the order of their texts. A text of fewer words keeps all. An empty table gives an empty table.
 
     The reference is the corpus itself, so it is cut in shards by content and each shard's automaton is built where its
     segments meet, in the order of documents: a segment is first streamed through the automaton of those before it, for
     its matching statistics, and then put in. Nothing is broadcast, as no bound on a shard of the whole corpus holds.
     """
-    docs = with_text(docs, "doc_id")
-    spans = stored(repeated_spans(docs, _words, _cut, _match(window), window, gram, earlier=True), "repeats")
+    docs, new = unique_ids(with_text(docs, "doc_id"))
+    spans = stored(repeated_spans(docs.select("doc_id", "text"), _words, _cut, _match(window), window, gram, earlier=True), "repeats")
     joined = docs.join(by_document(spans), "doc_id", "left")
 
     def remove(batches):
@@ -149,7 +149,7 @@ def remove_seen(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
                 kept.append(b" ".join(left).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
+    return joined.select(F.col("given_id").alias("doc_id") if new else "doc_id", "text", "spans").mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def digests(removed: DataFrame) -> DataFrame:

@@ -59,6 +59,19 @@ def with_text(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def unique_ids(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs (doc_id, text) with doc_ids that tell rows apart; whether they are new ones.
+
+    Where doc_ids are unique already, nothing changes. Else rows are numbered in the order of doc_id (null first) and text,
+    in a table in the shared folder that has the old id as given_id.
+    """
+    ids = docs.groupBy("doc_id").count()
+    if ids.filter((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():
+        return docs, False
+    rows = docs.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    return stored(rows.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.col("doc_id").alias("given_id")), "numbered"), True
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """(first row, rows, bytes as uint8, offsets from 0) for runs of rows of about most bytes; without copies of the bytes."""
     col = batch.column(batch.schema.get_field_index(column))

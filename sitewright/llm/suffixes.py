@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.llm.blocks import binary_rows, runs
-from sitewright.llm.common import BYTE_VALUES, stored, text_slices, with_text
+from sitewright.llm.common import BYTE_VALUES, stored, text_slices, unique_ids, with_text
 from sitewright.llm.repeats import by_document, merged, repeated_spans, runs_of
 
 #: Bytes of the strings that count as repeated; bytes of the grams that place them in shards.
@@ -141,25 +141,19 @@ def _cut(data, offs, text, begin, stop):
     return [data[a:b].tobytes() for a, b in zip((offs[text] + begin).tolist(), (offs[text] + stop).tolist(), strict=True)]
 
 
-REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+REMOVED = "n_bytes long, n_removed long, n_spans long, kept"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) for every document; no match crosses documents.
-
-    docs: doc_id, text; other columns are not used. Texts are UTF-8 bytes, null being empty. Every byte is removed that a
-    `length`-byte string covers which also starts anywhere else, in the same document too; strings are judged on the
-    input. A text of fewer bytes keeps all. doc_id must not be null and tells documents apart: rows of one doc_id whose
-    texts differ should be given ids first; of rows alike in doc_id and text each is a document of its own (see
-    numbered()). An empty table gives an empty table. `kept` may cut a code point.
-    """
-    docs = with_text(docs, "doc_id")
-    spans = stored(repeated_spans(docs, _bytes, _cut, _match(length), length, gram, earlier=False), "repeats")
+def _cut_out(docs: DataFrame, length: int, gram: int, columns: list[str], as_text: bool = False) -> DataFrame:
+    """columns of docs (doc_id unique, text without nulls), and REMOVED; kept is binary, or a string of its whole code points."""
+    spans = stored(repeated_spans(docs.select("doc_id", "text"), _bytes, _cut, _match(length), length, gram, earlier=False), "repeats")
     joined = docs.join(by_document(spans), "doc_id", "left")
+    columns = [c for c in columns if c != "text"] + ["text"] * ("text" in columns)
+    kinds = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in columns)
 
     def remove(batches):
         for b in batches:
-            lists = b.column(2)
+            lists = b.column(b.num_columns - 1)
             begins, stops = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(2))
             sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             ends = np.cumsum(sizes)
@@ -173,11 +167,49 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                         kept = np.concatenate([own[x:y] for x, y in zip(np.append(0, stop).tolist(), np.append(begin, len(own)).tolist(), strict=True)])
                     else:
                         kept = own
-                    for col, x in zip(cols, (len(own), len(own) - len(kept), len(begin), kept.tobytes()), strict=True):
+                    for col, x in zip(cols, (len(own), len(own) - len(kept), len(begin), kept.tobytes().decode("utf-8", "ignore") if as_text else kept.tobytes()), strict=True):
                         col.append(x)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string() if as_text else pa.binary())], names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return joined.select(*[c for c in columns if c != "text"], "text", "spans").mapInArrow(remove, f"{kinds}, {REMOVED} {'string' if as_text else 'binary'}")
+
 
-    return joined.select("doc_id", "text", "spans").mapInArrow(remove, REMOVED)
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left) for every document; no match crosses documents.
+
+    docs: doc_id, text; other columns are not used. Texts are UTF-8 bytes, null being empty. Every byte is removed that a
+    `length`-byte string covers which also starts anywhere else, in the same document too; strings are judged on the
+    input. A text of fewer bytes keeps all. Rows of one doc_id, and rows without, are documents of their own. An empty
+    table gives an empty table. `kept` may cut a code point.
+    """
+    rows, new = unique_ids(with_text(docs, "doc_id"))
+    if not new:
+        return _cut_out(rows, length, gram, ["doc_id"])
+    return _cut_out(rows, length, gram, ["given_id"]).withColumnRenamed("given_id", "doc_id")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs with what remove_repeats() leaves as text (null stays null) and n_chars, if there is such a column, counted anew.
+
+    Bytes of a code point that a cut has gone through are left out. Columns of any names are kept. Rows of one doc_id whose
+    texts differ, and rows without doc_id, are told apart by their texts.
+    """
+    rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    plain = rows.select("doc_id", F.col("_text").alias("text"))
+    numbered, new = unique_ids(plain)
+    if new:
+        left = _cut_out(numbered, length, gram, ["given_id", "text"], as_text=True).select(F.col("given_id").alias("_id"), F.col("text").alias("_of"), "kept").distinct()
+        joined = rows.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of"))).drop("_id", "_of")
+    else:
+        named = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c != "doc_id"}
+        moved = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in named.items() if c != "text"], F.col("text").isNull().alias("_null"))
+        kept = [n for c, n in named.items() if c != "text"]
+        cut = _cut_out(moved, length, gram, ["doc_id", *kept, "_null"], as_text=True)
+        joined = cut.select("doc_id", *[F.col(n).alias(c) for c, n in named.items() if c != "text"], F.when(~F.col("_null"), F.lit("")).alias("text"), "kept")
+    out = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def digests(removed: DataFrame) -> DataFrame:
