@@ -171,7 +171,11 @@ def encode_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to pieces (of encode_pieces); a sequence is what lies at offsets 0, ... of its id."""
+    """Adds sequence_id and offset to pieces (of encode_pieces, with any further columns or without ids).
+
+    A sequence is what lies at offsets 0, ... of its id. Rows move once, to meet the count of pieces of their length in the
+    tasks before; drop wide columns that are not wanted afterwards.
+    """
     by_length = pieces.groupBy("length").count().collect()  # capacity rows at most
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_length:
@@ -179,21 +183,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = plan_packing(counts, capacity)
     base = 1 << 40
     flat = sorted((size * base + first, first, bins, each, at) for size, spots in plan.places.items() for first, _, bins, each, at in spots)
-    keys, firsts, bins, eaches, ats = (np.array(x, np.int64) for x in zip(*flat, strict=True)) if flat else (np.zeros(0, np.int64),) * 5
-    table = pieces.sparkSession.sparkContext.broadcast((keys, firsts, bins, eaches, ats))  # a few rows a size, by the plan
+    columns = tuple(np.array(x, np.int64) for x in zip(*flat, strict=True)) if flat else (np.zeros(0, np.int64),) * 5
+    table = pieces.sparkSession.sparkContext.broadcast(columns)  # a few rows a size, by the plan
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = pieces.groupBy("part", "length").count().select("part", "length", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids", (F.col("before") + F.col("local")).alias("rank"))
+    kept = [c for c in pieces.columns if c not in ("part", "local", "length")]
+    ranked = pieces.join(before, ["part", "length"]).select(*kept, "length", (F.col("before") + F.col("local")).alias("_rank"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
 
     def place(batches):
         keys, firsts, bins, eaches, ats = table.value
         for b in batches:
-            length, rank = b.column(3).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False)
+            length, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in (b.num_columns - 2, b.num_columns - 1))
             at = np.searchsorted(keys, length * base + rank, "right") - 1
             k = rank - firsts[at]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(bins[at] + k // eaches[at]), pa.array(ats[at] + k % eaches[at] * length)], names=[*b.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(bins[at] + k // eaches[at]), pa.array(ats[at] + k % eaches[at] * length)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:

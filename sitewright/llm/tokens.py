@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -17,6 +19,17 @@ _MARKS = "!-&(-/:-@\\[-`{-~"
 _BYTE_LEVEL_PIECES = re.compile(f" ?[{_LETTERS}]+(?=[{_MARKS}{_WS}]|\\Z)|[{_MARKS}]+(?=[{_WS}]|\\Z)| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+").findall
 #: The same for words whose white space is dropped; only spaces and line ends are taken for white space here.
 _WORD_PIECES = re.compile(f"[{_LETTERS}]+(?=[{_MARKS} \\n]|\\Z)|[{_MARKS}]+(?=[ \\n]|\\Z)|[^ \\n]+").findall
+_LETTERS_ALONE = re.compile(f" ?[{_LETTERS}]+").fullmatch
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet for str.translate: a byte that is a visible Latin-1 character is that character, the others follow from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+_ALPHABET = byte_alphabet()
 #: Pieces held at most; the cache starts anew beyond it.
 CACHE_PIECES = 1_500_000
 
@@ -47,13 +60,18 @@ class Encoder:
         steps = [x.get("type") for x in kind.get("pretokenizers", [])]
         if kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not config.get("normalizer"):
             self.pieces = _BYTE_LEVEL_PIECES
+            self.plain = lambda piece: piece
         elif steps == ["Split", "ByteLevel"] and kind["pretokenizers"][0].get("invert") and config["model"].get("end_of_word_suffix"):
             # Words that end with the file's own suffix, white space dropped: no match holds a space or a line end.
             self.pieces = _WORD_PIECES
+            self.plain = str.lower
         else:
             self.pieces = lambda text: [text]
+            self.plain = None
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are kept as little-endian numbers")
         self.cache: dict[str, bytes] = {}
         self.single = len(self.pieces("a b")) == 1
 
@@ -62,17 +80,31 @@ class Encoder:
         if self.single:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         pieces, cache = self.pieces(text), self.cache
-        try:
-            return b"".join(map(cache.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new = [x for x in dict.fromkeys(pieces) if x not in cache]
-        many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for x, e in zip(new, many(new, add_special_tokens=False), strict=True):
-            cache[x] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+        coded = list(map(cache.get, pieces))
+        if None in coded:
+            if len(cache) > CACHE_PIECES:
+                cache.clear()
+            self._learn({x for x, c in zip(pieces, coded, strict=True) if c is None})
+            coded = [cache[x] if c is None else c for x, c in zip(pieces, coded, strict=True)]
+        return b"".join(coded)
+
+    def _learn(self, pieces: set[str]) -> None:
+        new, cache, tokenize, kind = [], self.cache, self.tokenizer.model.tokenize, self.kind.char
+        for x in pieces:
+            # Letters alone are one match, and what the file's model gets is known: the word in the bytes' own alphabet,
+            # in lower case if the file says so.
+            if not _LETTERS_ALONE(x):
+                new.append(x)
+                continue
+            word = self.plain(x)
+            ids = cache.get(word)
+            if ids is None:
+                ids = array(kind, [t.id for t in tokenize(word.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
+            cache[x] = ids
+        if new:
+            many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+            for x, e in zip(new, many(new, add_special_tokens=False), strict=True):
+                cache[x] = array(kind, e.ids).tobytes()
 
 
 _ENCODERS: dict[str, Encoder] = {}
