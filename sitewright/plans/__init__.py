@@ -1 +1 @@
-
+"""Queries by name, with SQL for the same results."""

@@ -1 +1 @@
-
+"""Captured tables and text lists."""

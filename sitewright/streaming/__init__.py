@@ -1 +1 @@
-
+"""Pages that arrive."""
