@@ -14,7 +14,7 @@ from sitewright.llm.repeats import by_document, merged, repeated_spans, runs_of
 #: Bytes of the strings that count as repeated; bytes of the grams that place them in shards.
 LENGTH, GRAM = 200, 48
 #: Bytes that one suffix array is built over (a larger group makes an array of its own).
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 17
 
 
 def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
@@ -36,6 +36,13 @@ def _names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
     return inverse.astype(np.int64) + 1, len(values)
 
 
+def _first_of_equal(values: np.ndarray) -> np.ndarray:
+    """For each place of a sorted array the first place of its value."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.maximum.accumulate(np.where(new, np.arange(len(values)), 0))
+
+
 def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     """Ranks from 1 of all suffixes of text (integers from 1) in the order of their first `depth` symbols at least.
 
@@ -64,18 +71,21 @@ def suffix_ranks(text: np.ndarray, depth: int) -> np.ndarray:
     long = lambda at: pair[at] * wide + rank[at + 2]
     if float(pair.max(initial=0) + 1) * wide >= 2.0**63:
         pair = np.append(_names(pair)[0], 0)
-    z_short = short(zero)
-    order = np.argsort(z_short, kind="stable")
-    z_short, z_long = z_short[order], np.sort(long(zero))
-    out = np.zeros(n, np.int64)
+    # All keys are searched for in order, which keeps the searches in cache.
+    in_order = np.argsort(names, kind="stable")
+    of_one, of_two = in_order[in_order < len(one)], in_order[in_order >= len(one)]
+    first, second = one[of_one], two[of_two - len(one)]
+    s_first, l_second = short(first), long(second)
+    z_key = short(zero)
+    z = zero[np.argsort(z_key, kind="stable")]
+    z_short, z_long = np.sort(z_key), long(z)
     # A suffix's rank: its rank among its own kind and the number of the other kind before it.
-    by_rank = np.argsort(rank[sample], kind="stable")
+    out = np.zeros(n, np.int64)
     place = np.empty(len(sample), np.int64)
-    place[by_rank] = np.searchsorted(np.sort(names), names[by_rank], "left")
-    out[one] = place[: len(one)] + np.searchsorted(z_short, short(one), "left")
-    out[two] = place[len(one) :] + np.searchsorted(z_long, long(two), "left")
-    before = np.searchsorted(np.sort(short(one)), short(zero), "left") + np.searchsorted(np.sort(long(two)), long(zero), "left")
-    out[zero] = np.searchsorted(z_short, short(zero), "left") + before
+    place[in_order] = _first_of_equal(names[in_order])
+    out[first] = place[of_one] + np.searchsorted(z_short, s_first, "left")
+    out[second] = place[of_two] + np.searchsorted(np.sort(z_long), l_second, "left")
+    out[z] = _first_of_equal(z_short) + np.searchsorted(np.sort(s_first), z_short, "left") + np.searchsorted(np.sort(l_second), z_long, "left")
     return out + 1
 
 
@@ -198,15 +208,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     plain = rows.select("doc_id", F.col("_text").alias("text"))
     numbered, new = unique_ids(plain)
     if new:
-        left = _cut_out(numbered, length, gram, ["given_id", "text"], as_text=True).select(F.col("given_id").alias("_id"), F.col("text").alias("_of"), "kept").distinct()
+        left = _cut_out(numbered, length, gram, ["given_id", "text"], as_text=True).select(F.col("given_id").alias("_id"), F.col("text").alias("_of"), F.col("kept").alias("_left")).distinct()
         joined = rows.join(left, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_of"))).drop("_id", "_of")
     else:
         named = {c: f"_c{k}" for k, c in enumerate(docs.columns) if c != "doc_id"}
         moved = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in named.items() if c != "text"], F.col("text").isNull().alias("_null"))
         kept = [n for c, n in named.items() if c != "text"]
         cut = _cut_out(moved, length, gram, ["doc_id", *kept, "_null"], as_text=True)
-        joined = cut.select("doc_id", *[F.col(n).alias(c) for c, n in named.items() if c != "text"], F.when(~F.col("_null"), F.lit("")).alias("text"), "kept")
-    out = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
+        joined = cut.select("doc_id", *[F.col(n).alias(c) for c, n in named.items() if c != "text"], F.when(~F.col("_null"), F.lit("")).alias("text"), F.col("kept").alias("_left"))
+    out = joined.withColumn("text", F.when(F.col("text").isNotNull(), F.col("_left")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
