@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass works on; a longer single text makes a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,8 +54,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Lets the session hand at most `rows` whole texts at a time to Python: batches are counted in rows, and texts are long."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def with_text(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns that an operator works on, null text as empty."""
+    small_batches(docs)
     return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

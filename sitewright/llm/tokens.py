@@ -31,7 +31,7 @@ def byte_alphabet() -> dict[int, str]:
 
 _ALPHABET = byte_alphabet()
 #: Pieces held at most; the cache starts anew beyond it.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 1_000_000
 
 
 def byte_level_pieces(text: str) -> list[str]:
