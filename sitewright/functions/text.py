@@ -33,6 +33,11 @@ def visible_text(html: Column) -> Column:
     return squeeze(F.regexp_replace(without_scripts(html), "<[^>]*>", " "))
 
 
+def body_text(html: Column) -> Column:
+    """visible_text() without the page's head and title."""
+    return visible_text(F.regexp_replace(html, r"(?is)<head[^>]*>.*?</head>|<title[^>]*>.*?</title>", " "))
+
+
 def all_matches(x: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
 

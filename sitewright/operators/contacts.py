@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import emails as E
 from sitewright.functions.names import PAIR, ROLE_AND_NAME, has_role, is_human_name, looks_like_company
-from sitewright.functions.text import HEADING, HREF, ITEM_NAME, JSON_LD, MAILTO, SITE_NAME, TITLE, all_matches, capitalised, company_name, csv_field, fold, squeeze, unescape_basic, visible_text, without_scripts
+from sitewright.functions.text import HEADING, HREF, ITEM_NAME, JSON_LD, MAILTO, SITE_NAME, TITLE, all_matches, body_text, capitalised, company_name, csv_field, fold, squeeze, unescape_basic, visible_text, without_scripts
 from sitewright.functions.urls import in_scope
 
 #: At least this much for a person to count.
@@ -54,7 +54,7 @@ def all_addresses(pages: DataFrame, strict: bool = False) -> DataFrame:
 
 def title_people(pages: DataFrame) -> DataFrame:
     """site, page_id, hit_ord, title, first, last, weight: a role and the two words of a name that come next."""
-    text = visible_text(F.col("html"))
+    text = body_text(F.col("html"))
     parts = F.arrays_zip(*[all_matches(F.col("_text"), ROLE_AND_NAME, k).alias(n) for k, n in ((1, "title"), (2, "first"), (3, "last"))])
     rows = pages.select("site", "page_id", text.alias("_text"))
     return rows.select("site", "page_id", F.posexplode(parts).alias("hit_ord", "p")).select("site", "page_id", "hit_ord", "p.title", "p.first", "p.last", F.lit(4).alias("weight"))
