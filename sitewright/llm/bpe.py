@@ -1,23 +1,31 @@
-"""Byte-level BPE by ranked merges, folded with higher-order functions over the distinct words; decoding by concatenation."""
+"""Byte-level BPE by ranked merges of the bytes of distinct words; decoding by concatenation of binary pieces.
+
+Merges folds them with Spark's higher-order functions over a literal rank map. That form gives the same ids but takes more
+CPU and memory than whole documents may use here (see the README), so encode_documents() merges each worker's distinct
+words in Arrow batches.
+"""
 
 from __future__ import annotations
 
 import base64
 import heapq
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import new_path, with_text
+from sitewright.llm.common import with_text
 from sitewright.llm.tokens import byte_level_pieces
 
 #: Slots and displacements of the literal rank map (bits), room for an id in a slot's entry (bits), an empty slot.
 SLOT_BITS, SHIFT_BITS, ID_BITS, EMPTY = 18, 16, 20, 1 << 61
-#: Words of more bytes are merged with a heap instead: the fold copies its pieces at each merge.
+#: Words of more bytes are merged with a heap: the plain loop copies its pieces at each merge.
 LONG = 256
+#: Pieces of texts whose ids a worker keeps at most; the cache starts anew beyond it.
+CACHE_WORDS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -29,7 +37,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     """(displacements, slots): a perfect hash from each pair of ids whose bytes joined are a token to that token's id.
 
-    The pair (a, b) is the key a * 2**ID_BITS + b. The low bits of its hash choose a displacement, and that with the other
+    The pair (a, b) is the key a * 2**ID_BITS + b. The low bits of its hash choose a displacement, and that with the high
     bits the slot, which holds key * 2**ID_BITS + id.
     """
     import xxhash
@@ -45,17 +53,17 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     groups: dict[int, list[tuple[int, int, int]]] = {}
     for key in pairs:
         h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-        groups.setdefault(h & ((1 << SHIFT_BITS) - 1), []).append((key, h >> 16 & mask, h >> 40 & 0xFFF | 1))
+        groups.setdefault(h & ((1 << SHIFT_BITS) - 1), []).append((key, h >> 64 - slot_bits))
     shifts, slots = [0] * (1 << SHIFT_BITS), [EMPTY] * (mask + 1)
     for g, members in sorted(groups.items(), key=lambda x: -len(x[1])):
-        for d in range(1 << 20):
-            at = [(h1 + d * h2) & mask for _, h1, h2 in members]
+        for d in range(mask + 1):
+            at = [h ^ d for _, h in members]
             if len(set(at)) == len(at) and all(slots[k] == EMPTY for k in at):
                 break
         else:
             raise ValueError("the rank map finds no place for a pair")
         shifts[g] = d
-        for k, (key, _, _) in zip(at, members, strict=True):
+        for k, (key, _) in zip(at, members, strict=True):
             slots[k] = (key << ID_BITS) + pairs[key]
     return shifts, slots
 
@@ -70,49 +78,48 @@ class Merges:
 
     def __init__(self, ranks: dict[bytes, int]):
         shifts, slots = rank_map(ranks)
-        self.mask = len(slots) - 1
+        self.slot_bits = len(slots).bit_length() - 1
         # Parsed once, when the plan's constants are folded.
-        self.shifts = F.from_json(F.lit(json.dumps(shifts)), "array<bigint>")
+        self.shifts = F.from_json(F.lit(json.dumps(shifts)), "array<int>")
         self.slots = F.from_json(F.lit(json.dumps(slots)), "array<bigint>")
         self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
     def pair(self, a: Column, b: Column) -> Column:
-        """The id that two ids merge to; some number of 2**ID_BITS and more if they don't."""
-        key = F.shiftleft(a, ID_BITS) + b
+        """The id that two ids merge to, 2**ID_BITS if they don't, with ID_BITS low bits free."""
+        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
         h = F.xxhash64(key)
-        shift = F.element_at(self.shifts, (h.bitwiseAND(F.lit((1 << SHIFT_BITS) - 1)) + 1).cast("int"))
-        slot = (F.shiftrightunsigned(h, 16).bitwiseAND(F.lit(self.mask)) + shift * F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(0xFFF)).bitwiseOR(F.lit(1))).bitwiseAND(F.lit(self.mask))
-        return F.element_at(self.slots, (slot + 1).cast("int")).bitwiseXOR(F.shiftleft(key, ID_BITS))
+        slot = F.shiftrightunsigned(h, 64 - self.slot_bits).cast("int").bitwiseXOR(F.get(self.shifts, h.bitwiseAND(F.lit((1 << SHIFT_BITS) - 1)).cast("int")))
+        return F.shiftleft(F.least(F.get(self.slots, slot).bitwiseXOR(F.shiftleft(key, ID_BITS)), F.lit(1 << ID_BITS)), ID_BITS)
 
     def ids(self, word: Column) -> Column:
         """array<bigint>: ids of a word (string): of all adjacent pairs the one of the lowest rank is merged, leftmost first, while there is one."""
         none = F.expr("cast(array() as array<bigint>)")
         text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
-        start = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.element_at(self.bytes, F.ascii(F.substr(text, i, F.lit(1))) + 1))
+        start = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.get(self.bytes, F.ascii(F.substr(text, i, F.lit(1)))))
 
         def folded(p0: Column) -> Column:
             n = F.size(p0)
-            pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: self.pair(F.element_at(p0, i), F.element_at(p0, i + 1)))
+            pairs = F.transform(F.slice(p0, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, i: self.pair(F.get(p0, i), x))
 
             def step(s: Column, _: Column) -> Column:
                 p, r = s["p"], s["r"]
 
                 def merged(best: Column) -> Column:
                     def at(k: Column) -> Column:
-                        size = F.size(p)
                         new = F.shiftright(best, ID_BITS)
-                        left = F.when(k > 1, F.array(self.pair(F.element_at(p, F.greatest(k - 1, F.lit(1))), new))).otherwise(none)
-                        right = F.when(k + 2 <= size, F.array(self.pair(new, F.element_at(p, F.least(k + 2, size))))).otherwise(none)
+                        left = F.when(k > 0, F.array(self.pair(F.get(p, k - 1), new))).otherwise(none)
+                        right = F.when(k + 2 < F.size(p), F.array(self.pair(new, F.get(p, k + 2)))).otherwise(none)
+                        rest = F.size(p)
                         return F.struct(
-                            F.concat(F.slice(p, F.lit(1), k - 1), F.array(new), F.slice(p, k + 2, F.greatest(size - k - 1, F.lit(0)))).alias("p"),
-                            F.concat(F.slice(r, F.lit(1), F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.greatest(size - k - 2, F.lit(0)))).alias("r"),
+                            F.concat(F.slice(p, F.lit(1), k), F.array(new), F.slice(p, k + 3, rest)).alias("p"),
+                            F.concat(F.slice(r, F.lit(1), F.greatest(k - 1, F.lit(0))), left, right, F.slice(r, k + 3, rest)).alias("r"),
                         )
 
-                    return F.when(best >= 1 << 2 * ID_BITS, s).otherwise(_let(best.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int") + 1, at))
+                    # No pair left: without pairs the other steps do nothing.
+                    return F.when(best >= 1 << 2 * ID_BITS, F.struct(p.alias("p"), none.alias("r"))).otherwise(_let(best.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int"), at))
 
                 # The lowest rank with its place, so the leftmost of equal ranks is the least.
-                ranked = F.transform(r, lambda x, i: F.shiftleft(F.least(x, F.lit(1 << ID_BITS)), ID_BITS) + i)
-                return F.when(F.size(r) == 0, s).otherwise(_let(F.array_min(ranked), merged))
+                return F.when(F.size(r) == 0, s).otherwise(_let(F.array_min(F.transform(r, lambda x, i: x.bitwiseOR(i))), merged))
 
             # One step for each byte but the first: no more merges are possible.
             return F.when(n < 2, p0).otherwise(F.aggregate(F.slice(p0, F.lit(2), F.greatest(n - 1, F.lit(0))), F.struct(p0.alias("p"), pairs.alias("r")), step, lambda s: s["p"]))
@@ -120,10 +127,38 @@ class Merges:
         return F.when(F.length(text) == 0, none).otherwise(_let(start, folded))
 
 
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same ids for one word, by a heap of pairs: n log n for n bytes."""
-    if word in ranks:
-        return [ranks[word]]
+def encode_words(words: DataFrame, rank_file: str) -> DataFrame:
+    """word, ids array<bigint> of distinct words, by the fold: native throughout."""
+    merges = Merges(read_ranks(rank_file))
+    return words.select("word").distinct().select("word", merges.ids(F.col("word")).alias("ids"))
+
+
+def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The fold's ids for one word: the pair of the lowest rank, leftmost first, is merged while there is one."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) > LONG:
+        return _merge_long(word, ranks)
+    parts = [word[k : k + 1] for k in range(len(word))]
+    none = len(ranks)
+    pairs = [ranks.get(word[k : k + 2], none) for k in range(len(word) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == none:
+            break
+        k = pairs.index(best)
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        del pairs[k]
+        if k:
+            pairs[k - 1] = ranks.get(parts[k - 1] + parts[k], none)
+        if k < len(pairs):
+            pairs[k] = ranks.get(parts[k] + parts[k + 1], none)
+    return [ranks[p] for p in parts]
+
+
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same by a heap of pairs: n log n for n bytes."""
     parts = [word[k : k + 1] for k in range(len(word))]
     after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
     heap = [(r, k, parts[k] + parts[k + 1]) for k in range(len(parts) - 1) if (r := ranks.get(parts[k] + parts[k + 1])) is not None]
@@ -144,39 +179,29 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-def _block() -> Column:
-    """The split of the input that a row comes from: rows of one block are read by one task."""
-    return F.xxhash64(F.input_file_name(), F.input_file_block_start())
+class Coder:
+    """Ids of whole texts; each distinct word that the cache does not hold is merged once."""
 
-
-def distinct_words(docs: DataFrame, pattern: str) -> DataFrame:
-    """word, block: the distinct matches of pattern in each block's texts."""
-
-    def words(batches):
+    def __init__(self, rank_file: str, pattern: str):
         import regex
 
-        find, seen, done = regex.compile(pattern).findall, {}, {}
-        for b in batches:
-            for text, block in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                seen.setdefault(block, set()).update(byte_level_pieces(text.as_py()))
-        for block, pieces in seen.items():
-            done = dict.fromkeys(w for p in pieces for w in find(p))
-            new = list(done)
-            for k in range(0, len(new), 50_000):
-                part = new[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([block] * len(part), pa.int64())], names=["word", "block"])
-
-    return docs.withColumn("block", _block()).mapInArrow(words, "word string, block long")
+        self.ranks, self.find = read_ranks(rank_file), regex.compile(pattern).findall
+        self.cache: dict[str, bytes] = {}
 
-
-def word_table(words: DataFrame, rank_file: str, path: str) -> None:
-    """Writes word, ids to path, in folders by block; each distinct word is merged once."""
-    merges = Merges(read_ranks(rank_file))
-    by_word = words.repartition("word").groupBy("word").agg(F.collect_set("block").alias("blocks"))
-    coded = by_word.select("word", "blocks", F.when(F.octet_length("word") <= LONG, merges.ids(F.col("word"))).alias("ids"))
-    coded.select("word", "ids", F.explode("blocks").alias("block")).repartition("block").write.option("compression", "zstd").partitionBy("block").parquet(path)
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        cache, pieces = self.cache, byte_level_pieces(text)
+        coded = list(map(cache.get, pieces))
+        if None in coded:
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+            for p in {p for p, c in zip(pieces, coded, strict=True) if c is None}:
+                cache[p] = array("I", [i for w in self.find(p) for i in merge_word(w.encode(), self.ranks)]).tobytes()
+            coded = [cache[p] if c is None else c for p, c in zip(pieces, coded, strict=True)]
+        return b"".join(coded)
 
 
+_CODERS: dict[tuple[str, str], Coder] = {}
 ENCODED = "doc_id long, ids binary"
 
 
@@ -184,77 +209,17 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
     """doc_id, ids (little-endian unsigned 32-bit) of every whole text, as ranks and pattern give them, without special tokens.
 
     docs: doc_id, text; other columns are not used. Null text is empty and has no ids. Each match of pattern is encoded
-    separately. Repeated and null doc_ids give rows of their own; an empty table gives an empty table.
-
-    The distinct words of the corpus are found block by block (a block is an input split, so documents are never
-    shuffled), merged once each, and handed back to the blocks that hold them through a table in the shared folder with a
-    folder for each block. Words of over LONG bytes, which that fold would copy too often, are merged with a heap, as is
-    any word that a block's table does not hold.
+    separately; pattern must cut where byte_level_pieces() cuts, as public_tokenizers.PATTERN does. Repeated and null
+    doc_ids give rows of their own; an empty table gives an empty table. Nothing is shuffled or kept outside the workers.
     """
-    docs = with_text(docs, "doc_id")
-    path = new_path(docs.sparkSession, "bpe-words")
-    word_table(distinct_words(docs, pattern), rank_file, path)
 
     def encode(batches):
-        import regex
-
-        find = regex.compile(pattern).findall
-        ranks, block, table, cache = None, None, {}, {}
-
-        def piece_ids(piece: str) -> bytes:
-            nonlocal ranks
-            out = []
-            for w in find(piece):
-                ids = table.get(w)
-                if ids is None:
-                    ranks = ranks or read_ranks(rank_file)
-                    ids = table[w] = np.array(merge_long(w.encode(), ranks), "<u4").tobytes()
-                out.append(ids)
-            return b"".join(out)
-
+        coder = _CODERS.get((rank_file, pattern)) or _CODERS.setdefault((rank_file, pattern), Coder(rank_file, pattern))
         for b in batches:
-            coded = []
-            for text, own in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                if own != block:
-                    block, table, cache = own, load_words(path, own), {}
-                pieces = byte_level_pieces(text.as_py())
-                try:
-                    coded.append(b"".join(map(cache.__getitem__, pieces)))
-                except KeyError:
-                    for p in pieces:
-                        if p not in cache:
-                            cache[p] = piece_ids(p)
-                    coded.append(b"".join(map(cache.__getitem__, pieces)))
-            for at in range(0, len(coded), 500):
-                part = coded[at : at + 500]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array(part, pa.binary())], names=["doc_id", "ids"])
-
-    return docs.withColumn("block", _block()).mapInArrow(encode, ENCODED)
-
-
-def load_words(path: str, block: int) -> dict[str, bytes]:
-    """A block's words and their ids."""
-    from pyarrow import fs
-    from pyarrow import parquet as pq
-
-    files, root = fs.FileSystem.from_uri(path)
-    folder = f"{root}/block={block}"
-    out: dict[str, bytes] = {}
-    for info in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-        if not info.path.endswith(".parquet"):
-            continue
-        table = pq.ParquetFile(files.open_input_file(info.path)).read(columns=["word", "ids"])
-        for batch in table.to_batches():
-            lists = batch.column(1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)) * 4
-            known = lists.is_valid().to_numpy(zero_copy_only=False)
-            at = 0
-            for word, end, there in zip(batch.column(0).to_pylist(), ends.tolist(), known.tolist(), strict=True):
-                if there:
-                    out[word] = flat[at:end]
-                at = end
-    return out
+            ids = [coder.encode(text.as_py()) for text in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return with_text(docs, "doc_id").mapInArrow(encode, ENCODED)
 
 
 def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
