@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import arrowfile, automata, bpe, chat, embeddings, langid, minhash, multiset, packing, suffixes
+from sitewright.llm import arrowfile, automata, bpe, chat, embeddings, langid, minhash, multiset, oracle, packing, suffixes
 from sitewright.llm.common import new_path, table, tokenizer_file
 
 _EXTRA_CHAT = r"\### Assistant: </turn> ok"
@@ -74,4 +74,4 @@ QUERIES = {
     "op9_document_fingerprints": op9_document_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
