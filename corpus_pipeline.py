@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group, that of the smallest doc_id; rows of one doc_id stay or go together."""
-    kept = minhash.near_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """Keeps one document of each group of shingle similarity 0.8 and more, that of the smallest doc_id; rows of one doc_id stay or go together."""
+    kept = minhash.near_groups(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
 
 

@@ -158,7 +158,7 @@ def _confirm(percent: int):
     return confirm
 
 
-def near_groups(docs: DataFrame, percent: int = 85, block: int = 1024) -> DataFrame:
+def near_groups(docs: DataFrame, percent: int = 80, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row: groups by links of at least `percent` shared shingles.
 
     docs: doc_id, text; other columns are not used. Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a

@@ -329,9 +329,9 @@ def brute_groups(texts, percent=85):
 
 
 def test_minhash(documents, no_documents, rows):
-    want = brute_groups({k: t or "" for k, t in rows})
-    for block in (1024, 3):
-        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(documents, block=block).collect()}
+    for percent, block in ((85, 1024), (80, 3)):
+        want = brute_groups({k: t or "" for k, t in rows}, percent)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_groups(documents, percent, block).collect()}
         assert got == want
     assert len({x[1] for x in want.values()}) < len(want)
     assert minhash.near_groups(no_documents).count() == 0
