@@ -111,3 +111,21 @@ def robot_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
         return F.struct(mine.alias("mine"), names.alias("open"), rules.alias("rules"))
 
     return lists.select("origin", F.explode(F.aggregate("lines", start, read, lambda s: s["rules"])).alias("r")).select("origin", "r.rule", "r.allow")
+
+
+def decoded_body(body: Column, content_type: Column, limit: int) -> Column:
+    """At most `limit` bytes of a captured body as text, by the type's charset if it is a known one, else UTF-8."""
+    cut = F.substring(body, 1, limit)
+    kind = F.upper(charset(content_type))
+    text = F.when(kind.isin("ISO-8859-1", "LATIN1", "WINDOWS-1252"), F.decode(cut, "ISO-8859-1")).when(kind == "UTF-16", F.decode(cut, "UTF-16"))
+    return F.coalesce(text, F.make_valid_utf8(cut.cast("string")))
+
+
+def header_options(x: Column) -> Column:
+    """A JSON text of headers as a map; empty where it can't be read."""
+    return F.coalesce(F.from_json(x, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
+
+
+def is_card(status: Column, content_type: Column) -> Column:
+    """A captured answer counts as a contact card: vCard types, or plain text."""
+    return F.coalesce(status.between(200, 299) & content_type.rlike(r"(?i)text/(x-)?vcard|text/directory|text/plain"), F.lit(False))
