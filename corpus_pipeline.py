@@ -17,8 +17,8 @@ from sitewright.llm.common import stored, table, tokenizer_file
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null text, or not one letter. Learns from the labelled ones that are not held out."""
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
-    told = langid.predict(docs, model, *docs.columns)
-    return told.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    told = langid.predict(docs, model, *docs.columns, label="_language", points="_points")
+    return told.filter(F.col("_language") != langid.UNKNOWN).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

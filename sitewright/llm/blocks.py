@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import stored
+from sitewright.llm.common import dealt_anew, stored
 
 #: Rows of a block; a task compares two blocks at most.
 BLOCK = 2048
@@ -22,7 +22,7 @@ def paired_blocks(rows: DataFrame, key: str, spread: str, block: int = BLOCK) ->
     _i and _j, the task's pair, and _b, the row's own block; rows come sorted by key, _i, _j. Smaller groups are one task
     (0, 0). Where _i and _j differ, two rows of one block also meet in that block's own task.
     """
-    sizes = rows.groupBy(key).count().filter(F.col("count") > 1)
+    sizes = dealt_anew(rows.groupBy(key).count().filter(F.col("count") > 1))
     parts = F.ceil(F.col("count") / block).cast("int")
     own = F.pmod(F.xxhash64(spread, F.lit(7)), F.col("_n")).cast("int")
     dealt = rows.join(sizes.select(key, parts.alias("_n")), key).withColumn("_b", own)
@@ -118,18 +118,18 @@ def components(edges: DataFrame) -> DataFrame:
     folder. The rounds are logarithmic in practice; the count and a checksum of the edges tell when nothing changes.
     """
     e = edges.filter(F.col("u") != F.col("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    e = stored(e, "edges")
+    e = stored(e, "edges", narrow=True)
     mark = None
     while True:
         both = e.select(F.col("u").alias("a"), F.col("v").alias("b")).union(e.select(F.col("v").alias("a"), F.col("u").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: every larger neighbour of a is linked with a's smallest neighbour instead.
         e = both.filter(F.col("b") > F.col("a")).join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("m").alias("u"), F.col("b").alias("v")).distinct()
-        e = stored(e, "edges")
+        e = stored(e, "edges", narrow=True)
         # Small star: a and its smaller neighbours are linked with the smallest of them.
         low = e.groupBy("v").agg(F.min("u").alias("m"))
         e = e.join(low, "v").select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).filter(F.col("u") != F.col("v")).distinct()
-        e = stored(e, "edges")
+        e = stored(e, "edges", narrow=True)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == mark:
             break

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.llm.common import with_text
-from sitewright.llm.tokens import byte_level_pieces
+from sitewright.llm.tokens import LONG_PIECE, byte_level_pieces
 
 #: Slots and displacements of the literal rank map (bits), room for an id in a slot's entry (bits), an empty slot.
 SLOT_BITS, SHIFT_BITS, ID_BITS, EMPTY = 18, 16, 20, 1 << 61
@@ -195,9 +195,9 @@ class Coder:
         if None in coded:
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-            for p in {p for p, c in zip(pieces, coded, strict=True) if c is None}:
-                cache[p] = array("I", [i for w in self.find(p) for i in merge_word(w.encode(), self.ranks)]).tobytes()
-            coded = [cache[p] if c is None else c for p, c in zip(pieces, coded, strict=True)]
+            new = {p: array("I", [i for w in self.find(p) for i in merge_word(w.encode(), self.ranks)]).tobytes() for p in {p for p, c in zip(pieces, coded, strict=True) if c is None}}
+            cache.update((p, ids) for p, ids in new.items() if len(p) <= LONG_PIECE)
+            coded = [new[p] if c is None else c for p, c in zip(pieces, coded, strict=True)]
         return b"".join(coded)
 
 

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt_anew(counts: DataFrame) -> DataFrame:
+    """counts of groups, away from the tasks that counted them: a join of the groups' rows with counts in the same tasks
+    could not be split where a group is hot. Counts are few and small beside the rows."""
+    return counts.repartition(max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
@@ -46,10 +52,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df written to the shared folder and read again: it cuts the lineage and survives lost executors.
+
+    narrow: rows of a few numbers each, which go to four files a core at most however many partitions they come in.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if narrow:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

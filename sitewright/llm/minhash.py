@@ -178,7 +178,7 @@ def near_groups(docs: DataFrame, percent: int = 80, block: int = 1024) -> DataFr
     banded = firsts.select("doc_id", "signature", F.explode("bands").alias("band"))
     coarse = paired_blocks(banded, "band", "doc_id", block).select("band", "_i", "_j", "doc_id", "signature").mapInArrow(_near_in_bands(percent / 100 - MARGIN), "u long, v long")
     clusters = components(coarse.distinct())
-    clusters = stored(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    clusters = stored(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters", narrow=True)
     sets = docs.join(clusters, "doc_id").select("doc_id", "cluster", "text").mapInArrow(_sets, "doc_id long, cluster long, shingles binary")
     sets = stored(sets, "shingle-sets")
     links = paired_blocks(sets, "cluster", "doc_id", block).select("cluster", "_i", "_j", "doc_id", "shingles").mapInArrow(_confirm(percent), "u long, v long")

@@ -99,7 +99,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     # One row a bucket, as many as buckets is.
     over = Window.orderBy(F.col("bucket").desc())
     firsts = firsts.select("bucket", F.coalesce(F.lead("first").over(over), F.first("first").over(over)).alias("from_next"))
-    joined = rows.join(F.broadcast(firsts), "bucket")
+    joined = rows.join(firsts, "bucket")  # rows stay where they are; firsts are one row a bucket
     return joined.select("bucket", "place", "doc_id", "text", F.when(F.col("more"), F.col("after")).otherwise(F.col("from_next")).alias("next_text"))
 
 

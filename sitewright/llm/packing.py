@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitewright.llm.common import stored, with_text
 
@@ -189,7 +190,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = pieces.groupBy("part", "length").count().select("part", "length", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
     kept = [c for c in pieces.columns if c not in ("part", "local", "length")]
     ranked = pieces.join(before, ["part", "length"]).select(*kept, "length", (F.col("before") + F.col("local")).alias("_rank"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema.fields[:-1])
+    schema = T.StructType([*ranked.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches):
         keys, firsts, bins, eaches, ats = table.value
@@ -199,7 +200,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             k = rank - firsts[at]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(bins[at] + k // eaches[at]), pa.array(ats[at] + k % eaches[at] * length)], names=[*b.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:

@@ -16,19 +16,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.llm.blocks import paired_blocks
-from sitewright.llm.common import prefix_hash, span_hash, stored, text_slices
+from sitewright.llm.common import BYTE_VALUES, dealt_anew, prefix_hash, span_hash, stored, text_slices
 
 #: Low bits of a mark's key hold its place in the slice, so the leftmost of equal hashes is the mark.
 _PLACE = np.uint64(28)
+#: Windows of one pass; far fewer than _PLACE has room for.
+CHUNK = 1 << 22
 SEGMENTS = "shard long, content long, doc_id long, first long, n int"
 
 
-def segments(values: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Segments of texts laid end to end as units with 64-bit values: text, first window's start in it, windows, shard, content."""
+def segments(values: np.ndarray, offs: np.ndarray, size: int, gram: int, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
+    """Segments of texts laid end to end as units (bytes, or 64-bit values): text, first window's start in it, windows, shard, content.
+
+    Windows are taken in chunks, so a very long text needs no more memory than others. A chunk's end may cut a segment in
+    two; those are other contents than the whole one, of the same shard, and so still meet it in the match.
+    """
+    if len(values) <= chunk + size:
+        return _segments(values, offs, size, gram)
+    parts = []
+    for a in range(0, len(values), chunk):
+        b = min(len(values), a + chunk + size - 1)
+        first, last = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b, "left")
+        cut = np.clip(offs[first : last + 1], a, b) - a
+        text, begin, *rest = _segments(values[a:b], cut, size, gram)
+        parts.append((text + first, begin + np.maximum(a - offs[text + first], 0), *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _segments(values: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(values) < size:
         return none
-    prefix = prefix_hash(values)
+    prefix = prefix_hash(BYTE_VALUES[values] if values.dtype == np.uint8 else values)
     at = np.arange(len(values) - gram + 1)
     keys = span_hash(prefix, at, at + gram)
     # Smallest key of each window, by doubling.
@@ -84,7 +103,7 @@ def repeated_spans(docs: DataFrame, units: Callable, payload: Callable, match: C
     what holds for all its windows holds for the others. A shard of very many contents is matched in pairs of blocks.
     """
     rows = segment_rows(docs, units, size, gram)
-    common = rows.groupBy("shard").count().filter("count > 1").select("shard")
+    common = dealt_anew(rows.groupBy("shard").count().filter("count > 1").select("shard"))
     rows = stored(rows.join(common, "shard"), "segments")
     by_content = rows.groupBy("shard", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "n")).alias("lead"))
     by_content = stored(by_content, "contents")
@@ -94,7 +113,7 @@ def repeated_spans(docs: DataFrame, units: Callable, payload: Callable, match: C
         copied = copied.filter((F.col("doc_id") != F.col("lead_doc")) | (F.col("first") != F.col("lead_first")))
     whole = copied.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("n") + size - 1).alias("stop"))
     # Matching needs shards of two contents and more.
-    kinds = by_content.groupBy("shard").count().filter("count > 1").select("shard")
+    kinds = dealt_anew(by_content.groupBy("shard").count().filter("count > 1").select("shard"))
     leads = by_content.join(kinds, "shard").select("shard", "lead.*")
     wanted = leads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "n", "shard"))).alias("wanted"))
     wanted = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")

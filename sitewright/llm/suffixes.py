@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.llm.blocks import binary_rows, runs
-from sitewright.llm.common import BYTE_VALUES, stored, text_slices, unique_ids, with_text
+from sitewright.llm.common import stored, text_slices, unique_ids, with_text
 from sitewright.llm.repeats import by_document, merged, repeated_spans, runs_of
 
 #: Bytes of the strings that count as repeated; bytes of the grams that place them in shards.
@@ -144,7 +144,7 @@ def _match(length: int):
 
 
 def _bytes(data, offs):
-    return BYTE_VALUES[data], offs
+    return data, offs
 
 
 def _cut(data, offs, text, begin, stop):

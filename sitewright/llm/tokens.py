@@ -32,6 +32,8 @@ def byte_alphabet() -> dict[int, str]:
 _ALPHABET = byte_alphabet()
 #: Pieces held at most; the cache starts anew beyond it.
 CACHE_PIECES = 1_000_000
+#: Characters of a piece that is kept, at most.
+LONG_PIECE = 64
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -84,12 +86,13 @@ class Encoder:
         if None in coded:
             if len(cache) > CACHE_PIECES:
                 cache.clear()
-            self._learn({x for x, c in zip(pieces, coded, strict=True) if c is None})
-            coded = [cache[x] if c is None else c for x, c in zip(pieces, coded, strict=True)]
+            new = self._learn({x for x, c in zip(pieces, coded, strict=True) if c is None})
+            coded = [new[x] if c is None else c for x, c in zip(pieces, coded, strict=True)]
         return b"".join(coded)
 
-    def _learn(self, pieces: set[str]) -> None:
-        new, cache, tokenize, kind = [], self.cache, self.tokenizer.model.tokenize, self.kind.char
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces; those that are not long stay in the cache."""
+        new, out, cache, tokenize, kind = [], {}, self.cache, self.tokenizer.model.tokenize, self.kind.char
         for x in pieces:
             # Letters alone are one match, and what the file's model gets is known: the word in the bytes' own alphabet,
             # in lower case if the file says so.
@@ -100,11 +103,13 @@ class Encoder:
             ids = cache.get(word)
             if ids is None:
                 ids = array(kind, [t.id for t in tokenize(word.encode().decode("latin-1").translate(_ALPHABET))]).tobytes()
-            cache[x] = ids
+            out[x] = ids
         if new:
             many = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
             for x, e in zip(new, many(new, add_special_tokens=False), strict=True):
-                cache[x] = array(kind, e.ids).tobytes()
+                out[x] = array(kind, e.ids).tobytes()
+        cache.update((x, ids) for x, ids in out.items() if len(x) <= LONG_PIECE)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -28,9 +28,9 @@ def documents(spark, rng, prose):
         texts.append(" ".join(words))
     texts += [f"{prose(10)} {passage} {prose(10)}" for _ in range(6)]
     texts += ["", "  \n ", "one two", "é" * 300 + "x" + "é" * 300, "aaaa " * 200, prose(3000), "a" * 5000, "12 34 !!", None, None]
-    rows = [(k, t, ["en", "fr", None][k % 3], f"s{k % 2}", len(t or ""), f"shard{k}", k * 2) for k, t in enumerate(texts)]
+    rows = [(k, t, ["en", "fr", None][k % 3], f"s{k % 2}", len(t or ""), f"shard{k}", k * 2, k / 7) for k, t in enumerate(texts)]
     rng.shuffle(rows)
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string, kept long")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string, kept long, score double")
 
 
 @pytest.fixture()

@@ -238,6 +238,23 @@ def test_suffix_array(documents, no_documents, rows):
     assert suffixes.remove_repeats(no_documents).count() == 0
 
 
+def test_long_texts_are_taken_in_chunks(rng):
+    from sitewright.llm.common import BYTE_VALUES
+    from sitewright.llm.repeats import segments
+
+    lengths = [5, 0, 700, 30, 41, 300]
+    data = np.array([rng.randrange(97, 100) for _ in range(sum(lengths))], np.uint8)
+    offs = np.concatenate([[0], np.cumsum(lengths)])
+    want = {(k, i) for k, n in enumerate(lengths) for i in range(n - 30 + 1)}
+    marks = {}
+    for chunk in (1 << 20, 50, 64):
+        text, begin, n, shard, content = segments(data, offs, 30, 7, chunk)
+        got = {(int(t), int(b) + i): int(h) for t, b, c, h in zip(text, begin, n, shard) for i in range(c)}
+        assert set(got) == want and n.sum() == len(want)
+        assert marks.setdefault("marks", got) == got
+    assert (segments(BYTE_VALUES[data], offs, 30, 7)[4] == segments(data, offs, 30, 7)[4]).all()
+
+
 def test_suffix_ranks(rng):
     for _ in range(400):
         n, a = rng.randint(0, 60), rng.choice([2, 3, 5])
