@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# These patterns must be so for results to agree.
 DIRECT = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
 BODY = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 _S = r"[ \t\r\n\f\x0B]*"
 OBFUSCATED = rf"(?i)([a-z0-9._%+\-]+){_S}(?:\(|\[)?{_S}(?:at|@){_S}(?:\)|\])?{_S}([a-z0-9.\-]+){_S}(?:\(|\[)?{_S}(?:dot|\.){_S}(?:\)|\])?{_S}([a-z]{{2,}})"
+# End of the fixed values that are not listed below.
 _B = r"[ \t\r\n\f\x0B]+"
 #: The same, but at and dot stand in brackets or between spaces.
 STRICT_OBFUSCATED = rf"(?i)([a-z0-9._%+\-]+)(?:{_S}[(\[]{_S}at{_S}[)\]]{_S}|{_B}at{_B})([a-z0-9\-]+)(?:{_S}[(\[]{_S}dot{_S}[)\]]{_S}|{_B}dot{_B})([a-z]{{2,}})"
+# Fixed values, in the order that they apply.
 DECODINGS = [
     (r"(?i)&#64;|&commat;|%40", "@"),
     (r"(?i)\s*\[at\]\s*|\s*\(at\)\s*|\s+at\s+", "@"),
@@ -54,7 +57,7 @@ def mail_domain(email: Column) -> Column:
 
 
 def rank(email: Column) -> Column:
-    """6 for an owner's mailbox down to 1; the first that fits."""
+    """6 for an owner's mailbox down to 1; the first that fits. The words and forms are fixed values."""
     x = local_part(email)
     return (
         F.when(x.rlike("^(owner|founder|ceo|titolare|amministratore|admin(istratore)?unico)$"), 6)
@@ -66,7 +69,7 @@ def rank(email: Column) -> Column:
     )
 
 
-#: Patterns of local parts in the order that ties are settled.
+# Patterns of local parts in the order that ties are settled.
 PATTERNS = ["f.l", "fl", "f_l", "f-l", "f0l", "l", "f"]
 
 

@@ -9,7 +9,7 @@ from sitewright.config import BLOCKED_PHRASES, STOPWORDS, TITLES
 from sitewright.functions.text import fold
 
 ROLE = "(?iu)" + "|".join(TITLES)
-#: A name's form, and two names by a space; after the second no ASCII word character may follow.
+# A name's form, and two names by a space; after the second no ASCII word character may follow.
 NAME = "^[A-Z][a-zÀ-ÖØ-öø-ÿ'’-]+$"
 PAIR = r"\b([A-Z][\p{L}'’-]+)\s([A-Z][\p{L}'’-]+)(?![A-Za-z0-9_])(?<=[A-Za-z0-9_])"
 WHOLE = r"^([A-Z][\p{L}'’-]+)\s+([A-Z][\p{L}'’-]+)$"
