@@ -60,7 +60,7 @@ def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str, suffixes: DataFrame | None = None) -> DataFrame:
-    """page_id, url, html, host, site, root; one shuffle of the hosts alone."""
+    """page_id, url, html, host, site, root. The table of distinct hosts and their sites is joined by host; Spark broadcasts it while it is small."""
     rows = table(spark, sf_dir, "pages").withColumn("host", clean_host(F.col("url")))
     return registrable(rows, suffixes if suffixes is not None else suffix_table(spark))
 
