@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 #: Counters of likeness (two 30-bit counters in each long) and 32-bit lanes for equality.
 LIKENESS_LANES, EQUAL_LANES = 128, 8
-#: Paragraphs are lines. For likeness a line is cut in runs of at most eight words, a word longer than 16 in several.
-RUN = r"(?:\S{1,16}\s*+|\s++){1,8}"
+#: Paragraphs are lines. For likeness a line is cut in runs of at most eight words, a word longer than 16 in several. A run
+#: ends at its line's end and before a word of 5 or 9 characters, so what comes before in the line moves few of its ends.
 LINE = "\n"
+_WORD, _END = r"(?:\S{1,16}+[^\S\n]*+|[^\S\n]++)", r"\n|\z|\S{5}(?!\S)|\S{9}(?!\S)"
+RUN = f"(?:{_WORD}(?!{_END})){{0,7}}+{_WORD}"
 _LOW = (1 << 30) - 1
 
 
@@ -40,8 +42,8 @@ def _pieces(text: Column) -> Column:
 def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
     """keys, text -> keys, n_runs, counters array<long>, lanes array<long>; keys must be unique.
 
-    The fingerprint is a sum over the text's paragraphs (lines): of wide vectors that each paragraph's hashes give,
-    modulo powers of two. So the order of paragraphs does not matter, and a paragraph that is put in or taken out adds
+    All of it is a sum over the text's paragraphs (lines): of wide vectors that the hashes of each paragraph and of its
+    runs give, modulo powers of two; no run crosses lines. So the order of paragraphs does not matter, and a paragraph that is put in or taken out adds
     or takes its own vector: see combine(). Null text counts as empty.
     """
     pieces = texts.select(*keys, F.explode(_pieces(F.coalesce("text", F.lit("")))).alias("p")).select(*keys, "p.*")

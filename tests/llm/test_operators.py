@@ -441,3 +441,25 @@ def test_fingerprints_are_homomorphic(spark):
         (F.col("abb.lanes") == F.col("ab.lanes")).alias("multiset"),
     ).first()
     assert (r.order, r.insert, r.delete, r.multiset) == (True, True, True, False)
+
+
+def test_whole_fingerprints_are_homomorphic(spark):
+    a, b = "one two\n  three four, five six seven eight nine ten eleven", "\x0bтри четыре " + "long" * 12 + "\t\r"
+    rows = [("ab", f"{a}\n{b}"), ("ba", f"{b}\n{a}"), ("a", a), ("b", b), ("abb", f"{b}\n{a}\n{b}"), ("turned", "\n".join(reversed(f"{a}\n{b}".split("\n"))))]
+    names = [k for k, _ in rows]
+    m = F.struct("n_runs", "counters", "lanes")
+    marks = multiset.fingerprints(spark.createDataFrame(rows, "k string, text string"), "k")
+    one = marks.groupBy().pivot("k", names).agg(F.first(m))
+    digest = lambda x: multiset.as_text(x["lanes"], x["counters"])
+    put, taken = one.select("*", multiset.combine(F.col("a"), F.col("b")).alias("put"), multiset.combine(F.col("abb"), F.col("b"), -1).alias("taken")), ("put", "taken")
+    r = put.select(*names, *taken, *[digest(F.col(k)).alias(f"{k}_text") for k in (*names, *taken)]).first()
+    for k in ("ba", "turned", *taken):
+        assert r[k] == r["ab"] and r[f"{k}_text"] == r["ab_text"], k
+    assert r["abb_text"] != r["ab_text"] and r["ab"].n_runs > 5
+
+
+def test_likeness_outlives_a_shift_in_a_line(spark, prose):
+    text = prose(300)
+    pair = spark.createDataFrame([(0, text), (1, "one more " + text)], "k long, text string")
+    marks = multiset.fingerprints(pair, "k").groupBy().pivot("k", [0, 1]).agg(F.first(F.struct("n_runs", "counters", "lanes")))
+    assert marks.select(multiset.likeness(F.col("0"), F.col("1")).alias("x")).first().x > 0.7
