@@ -173,8 +173,9 @@ def near_groups(docs: DataFrame, percent: int = 80, block: int = 1024) -> DataFr
     """
     docs = with_text(docs, "doc_id")
     prepared = stored(docs.mapInArrow(_prepare, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"), "signatures")
-    firsts = prepared.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("f")).select("digest", "f.*")
-    firsts = stored(firsts.filter(F.col("doc_id").isNotNull()), "representatives")
+    named = prepared.filter("n_shingles > 0 and doc_id is not null")  # null would be the smallest in min
+    firsts = named.groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("f")).select("digest", "f.*")
+    firsts = stored(firsts, "representatives")
     banded = firsts.select("doc_id", "signature", F.explode("bands").alias("band"))
     coarse = paired_blocks(banded, "band", "doc_id", block).select("band", "_i", "_j", "doc_id", "signature").mapInArrow(_near_in_bands(percent / 100 - MARGIN), "u long, v long")
     clusters = components(coarse.distinct())

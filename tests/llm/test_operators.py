@@ -354,6 +354,14 @@ def test_minhash(documents, no_documents, rows):
     assert minhash.near_groups(no_documents).count() == 0
 
 
+def test_minhash_null_ids_do_not_stand_for_a_set(spark, prose):
+    words = prose(80).split()
+    near = " ".join([*words[:-1], "changed"])
+    rows = [(5, " ".join(words)), (3, " ".join(words)), (None, " ".join(words)), (9, near), (None, "all alone"), (7, "other words")]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 0, True), (0, 3, False), (3, 3, True), (5, 3, False), (7, 7, True), (9, 3, False)]
+
+
 def test_minhash_estimate():
     rng = np.random.default_rng(0)
     both, one, other = (rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64) for n in (850, 75, 75))
