@@ -22,9 +22,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of shingle similarity 0.8 and more, that of the smallest doc_id; rows of one doc_id stay or go together."""
-    kept = minhash.near_groups(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """Keeps one row of each group of shingle similarity 0.8 and more: that of the smallest doc_id (null last), then text.
+
+    Of equal rows one stays. Rows of one doc_id whose texts are not near are groups of their own.
+    """
+    if docs.groupBy("doc_id").count().filter((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():
+        kept = minhash.near_groups(docs, percent=80).filter("kept").select(F.col("doc_id").alias("_kept"))
+        return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    rows = stored(docs.toDF(*names).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    groups = minhash.near_groups(rows.select(F.col("_row").alias("doc_id"), text.alias("text")), percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(doc_id.isNull(), doc_id, text, "_row")
+    kept = rows.join(groups, "_row").groupBy("component_id").agg(F.min(order)["_row"].alias("_kept"))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").drop("_row").toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,17 @@ def test_stages_return_the_columns_of_documents(spark, documents, no_documents):
             assert stage(spark, docs, "").columns == docs.columns
     assert tokenizer_file("word_bpe_49k.json")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_copies", "repeated_passages", "packed"]
+
+
+def test_one_of_repeated_rows_stays(spark, prose, tmp_path):
+    twice, lost, near, apart = (prose(90) for _ in range(4))
+    other = " ".join([*near.split()[:-1], "changed"])
+    rows = [(1, twice), (1, twice), (None, lost), (None, lost), (None, lost), (4, near), (4, other), (None, near), (6, apart), (6, "short words")]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    want = [(0, lost), (1, twice), (4, min(near, other)), (6, apart), (6, "short words")]
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted(want) and {r.lang for r in kept} == {"en"}
+    docs.filter("doc_id is null or doc_id <> 6").write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = library("word_bpe_49k.json")
+    assert sorted(bytes(r.ids) for r in got) == sorted(np.array([*ids(t), 1], "<u4").tobytes() for t in (lost, twice, min(near, other)))
