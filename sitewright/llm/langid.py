@@ -2,80 +2,129 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitewright.llm.common import small_batches, stored, text_slices
+from sitewright.llm.arrowfile import _file_system
+from sitewright.llm.common import new_path, small_batches, stored, text_slices
 
-#: Symbols of the model: the most frequent bytes of the training texts (ASCII capitals folded), and one for all others.
-SYMBOLS, ORDER = 64, 3
-#: Bounds of the model, whatever the corpus: 4-grams kept for each language, contexts of the longest order, languages.
-MAX_GRAMS, MAX_CONTEXTS, MAX_LANGUAGES = 100_000, 16_384, 32
+#: What stands before a text: a byte that folding of ASCII capitals leaves free. Bytes that remain to be coded.
+START, BYTES = 65, 230
+#: Symbols of a row of Model.bits: all bytes to be coded, and START, which never is; bytes of the longest context.
+SYMBOLS, ORDER = BYTES + 1, 3
 UNKNOWN = "und"
+_CODED = np.array([b for b in range(256) if not 65 <= b <= 90])
+#: Kinds of entries: symbols seen after contexts of 3, 2, 1 bytes (key: context and symbol), and the contexts' escapes.
+KINDS = 2 * ORDER
+_ENTRY = np.dtype([("key", "<u4"), ("bits", "<f4")])
+
+
+@dataclass
+class Table:
+    """Frozen code lengths of one language, as entries sorted by kind and key: a file mapped to memory where it is local, or an array."""
+
+    zero: np.ndarray  # bits of each byte without context
+    ends: list[int]  # entries up to each kind's end
+    path: str = ""
+    entries: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | ({"entries": None} if self.path else {})
+
+    def _found(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys the table has, and the bits of those."""
+        if self.entries is None:
+            fs, at = _file_system(self.path)
+            if fs.type_name == "local":
+                self.entries = np.memmap(at, _ENTRY, "r") if self.ends[-1] else np.zeros(0, _ENTRY)
+            else:
+                with fs.open_input_stream(at) as f:
+                    self.entries = np.frombuffer(f.read(), _ENTRY)
+        part = self.entries[self.ends[kind - 1] if kind else 0 : self.ends[kind]]
+        if not len(part):
+            return np.zeros(len(keys), bool), np.zeros(0)
+        at = np.minimum(np.searchsorted(part["key"], keys), len(part) - 1)
+        hit = part["key"][at] == keys
+        return hit, part["bits"][at[hit]].astype(np.float64)
+
+    def bits_of(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram after the three before it: the longest context that has seen it, after the escapes to that."""
+        out = np.zeros(len(gram))
+        left = np.arange(len(gram))
+        for order in range(ORDER, 0, -1):
+            keys = gram[left] & np.uint32((1 << 8 * (order + 1)) - 1)
+            hit, bits = self._found(2 * (ORDER - order), keys)
+            out[left[hit]] += bits
+            left, keys = left[~hit], keys[~hit]
+            known, bits = self._found(2 * (ORDER - order) + 1, keys >> np.uint32(8))
+            out[left[known]] += bits
+        out[left] += self.zero[gram[left] & np.uint32(255)]
+        return out
 
 
 @dataclass
 class Model:
-    """Frozen statistics: code lengths in bits of each symbol in each context, by language."""
+    """Frozen statistics of all languages: code lengths in bits of every byte in every context seen."""
 
     languages: list[str]
-    symbol: np.ndarray  # of each byte
-    row: np.ndarray  # of each context of three symbols
-    bits: np.ndarray  # (rows * SYMBOLS, languages)
+    tables: list[Table] = field(default_factory=list)
+
+    @property
+    def bits(self) -> list[np.ndarray]:
+        """By language, rows of SYMBOLS code lengths for each context of three bytes (START is never coded); to look at small models."""
+        out = []
+        for t in self.tables:
+            contexts = t.entries["key"][t.ends[0] : t.ends[1]]
+            rows = np.full((len(contexts), SYMBOLS), np.inf)
+            rows[:, :-1] = t.bits_of(((contexts[:, None] << np.uint32(8)) | _CODED.astype(np.uint32)).ravel()).reshape(-1, BYTES)
+            out.append(rows.ravel())
+        return out
 
     def code_lengths(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        """Bits of each text under each language; before a text stands the symbol of all other bytes."""
-        s = self.symbol[data].astype(np.int32)
-        n = len(s)
-        out = np.zeros((len(offs) - 1, len(self.languages)))
-        if not n:
+        """Bits of each text under each language. Distinct grams are looked up once a language."""
+        out = np.zeros((len(offs) - 1, len(self.tables)))
+        if not len(data):
             return out
-        back = []
-        for k in (1, 2, 3):
-            b = np.full(n, SYMBOLS - 1, np.int32)
-            b[k:] = s[:-k]
-            for j in range(k):  # the first bytes of a text have no bytes of the one before as context
-                at = offs[:-1] + j
-                at = at[at < np.minimum(offs[1:], n)]
-                b[at] = SYMBOLS - 1
-            back.append(b)
-        idx = self.row[(back[2] * SYMBOLS + back[1]) * SYMBOLS + back[0]] * SYMBOLS + s
+        gram, which = np.unique(grams(data, offs), return_inverse=True)
         some = np.flatnonzero(offs[1:] > offs[:-1])
-        for j in range(len(self.languages)):
-            out[some, j] = np.add.reduceat(self.bits[j][idx].astype(np.float64), offs[some])
+        for j, t in enumerate(self.tables):
+            out[some, j] = np.add.reduceat(t.bits_of(gram)[which], offs[some])
         return out
 
 
+def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Each byte and the three before it in its text (or START), capitals folded, as one number."""
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint32)
+    n = len(data)
+    out = data.copy()
+    for k in range(1, ORDER + 1):
+        b = np.full(n, START, np.uint32)
+        b[k:] = data[:-k]
+        for j in range(k):  # the first bytes of a text have no bytes of the one before as context
+            at = offs[:-1] + j
+            b[at[at < np.minimum(offs[1:], n)]] = START
+        out |= b << np.uint32(8 * k)
+    return out
+
+
 def _grams(batches):
-    """(lang, gram, n) of a task: four bytes, capitals folded, as one number; the first three may lie before the text."""
+    """(lang, gram, n) of a task."""
     total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
         langs = np.array(b.column(b.schema.get_field_index("lang")).to_pylist(), object)
         for first, n, data, offs in text_slices(b):
-            data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data).astype(np.uint32)
-            size = np.diff(offs)
+            gram, size = grams(data, offs), np.diff(offs)
             of = langs[first : first + n]
             for lang in dict.fromkeys(of):
-                mine = np.flatnonzero((of == lang) & (size > 0))
-                if not len(mine):
+                keys, counts = np.unique(gram[np.repeat(of == lang, size)], return_counts=True)
+                if not len(keys):
                     continue
-                mask = np.repeat(of == lang, size)
-                text = data[mask]
-                at = np.concatenate([[0], np.cumsum(size[mine])])[:-1]
-                gram = text.copy()
-                for k in (1, 2, 3):
-                    b1 = np.zeros(len(text), np.uint32)
-                    b1[k:] = text[:-k]
-                    for j in range(k):
-                        where = at + j
-                        b1[where[where < np.append(at[1:], len(text))]] = 0
-                    gram |= b1 << np.uint32(8 * k)
-                keys, counts = np.unique(gram, return_counts=True)
                 if lang in total:
                     old, oldc = total[lang]
                     both, inv = np.unique(np.concatenate([old, keys]), return_inverse=True)
@@ -86,71 +135,120 @@ def _grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, max_grams: int = MAX_GRAMS) -> Model:
+def train(docs: DataFrame) -> Model:
     """Learns a context tree for each language from text and lang of all the rows (null lang or text: not used).
 
-    The counts cover all rows; of them each language's most frequent 4-grams, max_grams at most, reach the driver, and of the
-    languages the MAX_LANGUAGES with the most text.
+    All counts of all languages are kept. They are made into code lengths by language and last byte of the context, on
+    executors, and go to one file a language in the shared folder; of them the driver gets the counts of single bytes.
     """
     small_batches(docs)
     counts = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stored(counts, "language-grams", narrow=True)
-    largest = [r["lang"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    # The count from which on a language has at most max_grams of them, from a histogram of counts.
-    w = Window.partitionBy("lang").orderBy(F.desc("n"))
-    steps = counts.filter(F.col("lang").isin(largest)).groupBy("lang", "n").agg(F.count("*").alias("kinds")).withColumn("sum", F.sum("kinds").over(w))
-    least = steps.filter(F.col("sum") <= max_grams).groupBy("lang").agg(F.min("n").alias("least"))
-    top = counts.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram", "n").toPandas()
-    return build(sorted(largest), top["lang"].to_numpy(), top["gram"].to_numpy(np.int64), top["n"].to_numpy(np.int64))
+    single: dict[str, np.ndarray] = {}
+    for r in counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).toLocalIterator():
+        single.setdefault(r["lang"], np.zeros(256))[r["byte"]] = r["n"]
+    shares = {lang: _single(n) for lang, n in single.items()}
+    held = docs.sparkSession.sparkContext.broadcast(shares)  # 256 numbers a language
+    folder = new_path(docs.sparkSession, "language-tables")
+
+    def code(key, table):
+        lang = key[0].as_py()
+        kind, entries = _coded(*(table.column(c).to_numpy().astype(np.int64) for c in ("gram", "n")), held.value[lang])
+        return pa.table({"lang": pa.array([lang] * len(kind), pa.string()), "kind": kind, "key": entries["key"].astype(np.int64), "bits": entries["bits"]})
+
+    after = F.shiftright("gram", 8).bitwiseAND(F.lit(255)).alias("after")
+    coded = counts.select("lang", after, "gram", "n").groupBy("lang", "after").applyInArrow(code, "lang string, kind int, key long, bits float")
+    files = coded.repartition("lang").sortWithinPartitions("lang", "kind", "key").mapInArrow(_files(folder), "lang string, path string, ends array<long>").collect()
+    tables = {r["lang"]: Table(-np.log2(np.maximum(shares[r["lang"]], 1e-300)), list(r["ends"]), r["path"]) for r in files}
+    return Model(sorted(tables), [tables[lang] for lang in sorted(tables)])
+
+
+def _files(folder: str):
+    """Writes sorted entries to a file a language, under names that no other attempt of the task uses; a row for each file."""
+
+    def write(batches):
+        fs, root = _file_system(folder)
+        fs.create_dir(root, recursive=True)
+        lang = sink = path = None
+        counts = np.zeros(KINDS, np.int64)
+
+        def row():
+            sink.close()
+            ends = pa.array([np.cumsum(counts).tolist()], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([path]), ends], names=["lang", "path", "ends"])
+
+        for b in batches:
+            names = b.column(0).to_pylist()
+            kind, entries = b.column(1).to_numpy(), np.zeros(b.num_rows, _ENTRY)
+            entries["key"], entries["bits"] = b.column(2).to_numpy(), b.column(3).to_numpy()
+            at = 0
+            while at < len(names):
+                if names[at] != lang or sink is None:
+                    if sink is not None:
+                        yield row()
+                    lang, path, counts = names[at], f"{folder.rstrip('/')}/{uuid.uuid4().hex}.bits", np.zeros(KINDS, np.int64)
+                    sink = fs.open_output_stream(_file_system(path)[1])
+                end = at
+                while end < len(names) and names[end] == lang:
+                    end += 1
+                sink.write(entries[at:end].tobytes())
+                counts += np.bincount(kind[at:end], minlength=KINDS)
+                at = end
+        if sink is not None:
+            yield row()
+
+    return write
 
 
 def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-    last = gram & 255
-    freq = np.bincount(last, n, minlength=256)
-    common = sorted(range(256), key=lambda b: (-freq[b], b))[: SYMBOLS - 1]
-    symbol = np.full(256, SYMBOLS - 1, np.uint8)
-    symbol[common] = np.arange(SYMBOLS - 1)
-    symbol[65:91] = symbol[97:123]
-    sym = [symbol[(gram >> (8 * k)) & 255].astype(np.int64) for k in range(4)]
-    for k in (1, 2, 3):  # 0 also stands for what lies before a text
-        sym[k][((gram >> (8 * k)) & 255) == 0] = SYMBOLS - 1
-    context = (sym[3] * SYMBOLS + sym[2]) * SYMBOLS + sym[1]
-    weight = np.bincount(context, n, minlength=SYMBOLS**3)
-    rows = np.argsort(-weight, kind="stable")[:MAX_CONTEXTS]
-    rows = np.sort(rows[weight[rows] > 0])
-    row = (np.arange(SYMBOLS**3) % SYMBOLS**2).astype(np.int32)
-    row[rows] = SYMBOLS**2 + np.arange(len(rows))
-    others = max(1, 256 - len(common) - 26)
-    bits = []
+    """The model of few counts, in memory: what train() makes by group."""
+    tables = []
     for name in languages:
-        mine = lang == name
-        c = np.zeros((SYMBOLS**2 + 0, SYMBOLS))
-        np.add.at(c, (context[mine] % SYMBOLS**2, sym[0][mine]), n[mine])
-        p = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        p = _escaped(c.sum(0, keepdims=True), p)
-        p1 = _escaped(c.reshape(SYMBOLS, SYMBOLS, SYMBOLS).sum(0), p)
-        p2 = _escaped(c, np.tile(p1, (SYMBOLS, 1)))
-        c3 = np.zeros((len(rows), SYMBOLS))
-        where = row[context[mine]] - SYMBOLS**2
-        keep = where >= 0
-        np.add.at(c3, (where[keep], sym[0][mine][keep]), n[mine][keep])
-        p3 = _escaped(c3, p2[rows % SYMBOLS**2])
-        cost = -np.log2(np.concatenate([p2, p3]))
-        cost[:, SYMBOLS - 1] += np.log2(others)
-        bits.append(np.ascontiguousarray(cost.reshape(-1), np.float32))
-    return Model(languages, symbol, row, np.array(bits) if bits else np.zeros((0, 0), np.float32))
-
-
-def _escaped(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Distributions by escape method C with exclusion: symbols not seen in a context share its escape probability as in the shorter context."""
-    shorter = np.broadcast_to(shorter, counts.shape)
-    seen = counts > 0
-    kinds, total = seen.sum(1, keepdims=True), counts.sum(1, keepdims=True)
-    rest = np.where(seen, 0, shorter)
-    left = rest.sum(1, keepdims=True)
-    full = np.where(left > 0, 0.0, 1.0)  # nothing is left to escape to
-    escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1.0) * (1 - full)
-    return np.where(seen, (1 - escape) * counts / np.maximum(total, 1), escape * rest / np.where(left > 0, left, 1))
+        g, c = gram[lang == name].astype(np.int64), n[lang == name]
+        share = _single(np.bincount(g & 255, c, minlength=256))
+        parts = [_coded(g[(g >> 8 & 255) == b], c[(g >> 8 & 255) == b], share) for b in np.unique(g >> 8 & 255)]
+        kind, entries = (np.concatenate(x) for x in zip(*parts, strict=True))
+        entries = entries[np.lexsort((entries["key"], kind))]
+        tables.append(Table(-np.log2(np.maximum(share, 1e-300)), np.cumsum(np.bincount(kind, minlength=KINDS)).tolist(), entries=entries))
+    return Model(languages, tables)
+
+
+def _single(counts: np.ndarray) -> np.ndarray:
+    """Shares of bytes without context: escape method C to bytes alike; nothing for capitals, which are never coded."""
+    total, seen = counts.sum(), counts > 0
+    kinds = seen.sum()
+    escape = kinds / (total + kinds) if kinds < BYTES else 0.0
+    out = np.zeros(256)
+    out[_CODED] = escape / max(1, BYTES - kinds)
+    out[seen] = (1 - escape) * counts[seen] / total
+    return out
+
+
+def _coded(gram: np.ndarray, n: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kind, entries) of all contexts that end in one byte, from their grams: what is seen after a context and its escape.
+
+    Escape method C with exclusion: symbols not seen in a context share its escape probability as in the shorter context.
+    What a context has seen, the shorter one has too, so its share there is among the entries of the order before.
+    """
+    kinds, parts = [], []
+    shorter, known = single, np.arange(256)
+    for order in range(1, ORDER + 1):
+        key, which = np.unique(gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+        count = np.bincount(which, n)
+        before = shorter[np.searchsorted(known, key & ((1 << 8 * order) - 1))]
+        context, at, size = np.unique(key >> 8, return_index=True, return_counts=True)
+        total = np.add.reduceat(count, at)
+        left = 1 - np.add.reduceat(before, at)
+        escape = np.where(size < BYTES, size / (total + size), 0.0)
+        share = np.repeat((1 - escape) / total, size) * count
+        rest = np.where(size < BYTES, escape / np.where(size < BYTES, left, 1), 1.0)
+        for k, (keys, p) in enumerate(((key, share), (context, rest))):
+            part = np.zeros(len(keys), _ENTRY)
+            part["key"], part["bits"] = keys, -np.log2(p)
+            kinds.append(np.full(len(keys), 2 * (ORDER - order) + k, np.int32))
+            parts.append(part)
+        shorter, known = share, key
+    return np.concatenate(kinds), np.concatenate(parts)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,7 +263,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, label: str = "lang_pred",
     any text where nothing was learned, gets `und` and 0. Ties go to the first name. Other columns are not used.
     """
     small_batches(docs)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_CONTEXTS and MAX_LANGUAGES
+    held = docs.sparkSession.sparkContext.broadcast(model)  # names and places of files, and 256 numbers a language
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter_")
     rows = docs.select(*keep, letter, *([] if "text" in keep else [F.col("text").alias("_text_")]))
     text = "text" if "text" in keep else "_text_"

@@ -218,6 +218,53 @@ def test_code_lengths_are_those_of_a_distribution():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def ppm_bits(texts, text):
+    """Bits of text by counts in dicts: contexts of three bytes and fewer, escape method C with exclusion."""
+    fold = lambda x: [None] * 3 + list(x.lower())
+    seen = collections.defaultdict(collections.Counter)
+    for t in map(fold, texts):
+        for i in range(3, len(t)):
+            for k in range(4):
+                seen[tuple(t[i - k : i])][t[i]] += 1
+    coded = [b for b in range(256) if not 65 <= b <= 90]
+    p = {}
+
+    def share(context):
+        if context not in p:
+            shorter = share(context[1:]) if context else dict.fromkeys(coded, 1 / len(coded))
+            c = seen.get(context, {})
+            total, left = sum(c.values()), sum(x for b, x in shorter.items() if b not in c)
+            e = len(c) / (total + len(c)) if c else 1
+            p[context] = {b: (1 - e) * c[b] / total if b in c else e * shorter[b] / left for b in coded}
+        return p[context]
+
+    t = fold(text)
+    return -sum(np.log2(share(tuple(t[i - 3 : i]))[t[i]]) for i in range(3, len(t)))
+
+
+def test_code_lengths_equal_brute_force_beyond_old_bounds(rng):
+    texts = [bytes(rng.choice(range(40, 240)) if rng.random() < 0.5 else rng.choice(b"aBc ") for _ in range(9000)) for _ in range(5)]
+    of = {"x": texts[:3], "y": texts[3:]}
+    lang, gram = [], []
+    for k, ts in of.items():
+        for t in ts:
+            gram.append(langid.grams(np.frombuffer(t, np.uint8), np.array([0, len(t)])))
+            lang += [k] * len(t)
+    model = langid.build(["x", "y"], np.array(lang, object), np.concatenate(gram).astype(np.int64), np.ones(len(lang), np.int64))
+    assert len(np.unique(np.concatenate(gram) >> 8)) > 16384
+    some = [texts[0][100:180], b"", bytes(range(1, 64)), texts[4][:90]]
+    got = model.code_lengths(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])]))
+    assert np.allclose(got, [[ppm_bits(of[k], x) for k in "xy"] for x in some], rtol=1e-5)
+
+
+def test_any_number_of_languages_is_learned(spark, rng):
+    words = {f"l{k:02}": [chr(0x4E00 + 40 * k + j) * 2 for j in range(12)] for k in range(40)}
+    rows = [(100 * k + j, " ".join(rng.choice(w) for _ in range(5 + k % 9)), name) for k, (name, w) in enumerate(words.items()) for j in range(12)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {k: name for k, _, name in rows}
+    assert all(r.lang_pred == want[r.doc_id] for r in got) and any(r.held_out for r in got)
+
+
 # repeats
 
 
