@@ -265,6 +265,15 @@ def test_any_number_of_languages_is_learned(spark, rng):
     assert all(r.lang_pred == want[r.doc_id] for r in got) and any(r.held_out for r in got)
 
 
+def test_rare_bytes_tell_languages_apart(spark, rng):
+    hot = "".join(chr(b) for b in range(33, 127))
+    rows = [(k, hot * 20, "xx") for k in range(20)]
+    rows += [(100 + k, " ".join(rng.choice("αβγ") for _ in range(30)), "aa") for k in range(20)] + [(200 + k, " ".join(rng.choice("δεζ") for _ in range(30)), "bb") for k in range(20)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {k: name for k, _, name in rows}
+    assert all(r.lang_pred == want[r.doc_id] for r in got)
+
+
 # repeats
 
 
