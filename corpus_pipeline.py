@@ -15,8 +15,13 @@ from sitewright.llm.common import stored, table, tokenizer_file
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null text, or not one letter. Learns from the labelled ones that are not held out."""
+    """Drops documents without a language: null text, or not one letter. Learns from the labelled ones that are not held out.
+
+    Where none is labelled, no language can be told, and documents with a letter stay.
+    """
     model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs.filter(langid.has_letter("text"))
     told = langid.predict(docs, model, *docs.columns, label="_language", points="_points")
     return told.filter(F.col("_language") != langid.UNKNOWN).select(*docs.columns)
 

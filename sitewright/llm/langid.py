@@ -256,6 +256,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def has_letter(text: str) -> Column:
+    """Whether the column is not null and has a letter of any script."""
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model, *keep: str, label: str = "lang_pred", points: str = "score") -> DataFrame:
     """keep, and columns named label and points, for every row. label (lang_pred) is the language with the shortest code for the whole text.
 
@@ -264,7 +269,7 @@ def predict(docs: DataFrame, model: Model, *keep: str, label: str = "lang_pred",
     """
     small_batches(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)  # names and places of files, and 256 numbers a language
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter_")
+    letter = has_letter("text").alias("_letter_")
     rows = docs.select(*keep, letter, *([] if "text" in keep else [F.col("text").alias("_text_")]))
     text = "text" if "text" in keep else "_text_"
     schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField(label, T.StringType()), T.StructField(points, T.DoubleType())])

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -63,3 +64,13 @@ def test_one_of_repeated_rows_stays(spark, prose, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = library("word_bpe_49k.json")
     assert sorted(bytes(r.ids) for r in got) == sorted(np.array([*ids(t), 1], "<u4").tobytes() for t in (lost, twice, min(near, other)))
+
+
+def test_documents_stay_where_no_language_is_learned(spark):
+    rows = [(1, "clean text", None), (2, "ясный текст", None), (3, "12 34 !!", None), (4, None, None), (None, "no id", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 3 == 1)
+    for some in (docs, docs.union(spark.createDataFrame([(held, "labelled but held out", "en")], docs.schema))):
+        want = [r for r in some.collect() if r.text and re.search(r"[^\W\d_]", r.text)]
+        got = corpus_pipeline.language(spark, some, "").collect()
+        assert sorted(got, key=str) == sorted(want, key=str)
