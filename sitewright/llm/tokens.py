@@ -42,9 +42,9 @@ def byte_level_pieces(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of whole texts as the tokenizers library gives them, special strings in a text being ordinary text.
+    """Ids of whole texts as the tokenizers library gives them: the file's added tokens, where a text holds them, are one id each.
 
-    A text is cut only where the file's own pattern always cuts. Each distinct piece goes through the
+    A text is cut at those, and else only where the file's own pattern always cuts. Each distinct piece goes through the
     library once and is kept. Files of other kinds than the two known ones are not cut at all.
     """
 
@@ -55,7 +55,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
         kind = config.get("pre_tokenizer") or {}
@@ -75,12 +74,26 @@ class Encoder:
         if sys.byteorder != "little":
             raise RuntimeError("ids are kept as little-endian numbers")
         self.cache: dict[str, bytes] = {}
-        self.single = len(self.pieces("a b")) == 1
+        added = config.get("added_tokens") or []
+        # Tokens that take white space along, or that are looked for in normalised text or as words, are left to the library.
+        self.single = len(self.pieces("a b")) == 1 or any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        self.added = {t["content"]: np.array([t["id"]], self.kind).tobytes() for t in added}
+        self.at_added = re.compile("|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))) if added else None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of self.kind."""
         if self.single:
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if self.at_added and self.at_added.search(text):
+            out, at = [], 0
+            for m in self.at_added.finditer(text):
+                out += self._encode_plain(text[at : m.start()]), self.added[m[0]]
+                at = m.end()
+            return b"".join([*out, self._encode_plain(text[at:])])
+        return self._encode_plain(text)
+
+    def _encode_plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         pieces, cache = self.pieces(text), self.cache
         coded = list(map(cache.get, pieces))
         if None in coded:

@@ -120,6 +120,19 @@ def test_encoder_equals_the_library(name, rng):
         assert np.frombuffer(code.encode(text), code.kind).tolist() == ids(text), repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_in_texts_are_those_of_the_library(name, rng):
+    from tokenizers import Tokenizer
+
+    from sitewright.llm.tokens import Encoder
+
+    code, whole = Encoder(tokenizer_file(name)), Tokenizer.from_file(tokenizer_file(name))
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|endoftext", "|>", "<|EndOfText|>", " ", "\n", "One two", "e\u0301", "\u0301", "Σ", "x'", "s", "12"]
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|startoftext|>", *("".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(2000))]
+    for text in texts:
+        assert np.frombuffer(code.encode(text), code.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 # packing
 
 
