@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.blocks import binary_rows, runs
+from sitewright.llm.blocks import runs
 from sitewright.llm.common import stored, unique_ids, with_text, words_of
-from sitewright.llm.repeats import by_document, merged, repeated_spans, runs_of
+from sitewright.llm.repeats import Units, by_document, merged, repeated_spans, runs_of
 
 #: Words of a window; words of the grams that place windows in shards.
 WINDOW, GRAM = 20, 5
@@ -92,11 +92,11 @@ def _match(window: int):
     def match(batches):
         for table, at in runs(batches, ("shard", "_i", "_j"), 2048):
             ids, firsts, counts = (table.column(c).to_numpy() for c in ("doc_id", "first", "n"))
-            units = binary_rows(table.column("units"), np.uint64)
+            units = table.column("units").to_pylist()
             owners, starts = [], []
             for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 order = np.lexsort((firsts[a:e], ids[a:e])) + a
-                found = earlier_windows([units[k].tolist() for k in order], counts[order].tolist(), window)
+                found = earlier_windows([units[k].split(b" ") for k in order], counts[order].tolist(), window)
                 owners += [int(order[k]) for k, _ in found]
                 starts += [d for _, d in found]
             owner, begin, last = runs_of(np.array(owners, np.int64), np.array(starts, np.int64))
@@ -106,13 +106,8 @@ def _match(window: int):
 
 
 def _words(data, offs):
-    _, _, values, at = words_of(data, offs, fold=False)
-    return values, at
-
-
-def _cut(data, offs, text, begin, stop):
-    values, at = _words(data, offs)
-    return [values[a:b].tobytes() for a, b in zip((at[text] + begin).tolist(), (at[text] + stop).tolist(), strict=True)]
+    joined, start, end, at = words_of(data, offs, fold=False)
+    return Units(joined, at, start, end)
 
 
 def remove_seen(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -128,7 +123,7 @@ def remove_seen(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     its matching statistics, and then put in. Nothing is broadcast, as no bound on a shard of the whole corpus holds.
     """
     docs, new = unique_ids(with_text(docs, "doc_id"))
-    spans = stored(repeated_spans(docs.select("doc_id", "text"), _words, _cut, _match(window), window, gram, earlier=True), "repeats")
+    spans = stored(repeated_spans(docs.select("doc_id", "text"), _words, _match(window), window, gram, earlier=True), "repeats")
     joined = docs.join(by_document(spans), "doc_id", "left")
 
     def remove(batches):

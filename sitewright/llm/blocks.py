@@ -6,26 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import dealt_anew, stored
+from sitewright.llm.common import split_join, stored
 
 #: Rows of a block; a task compares two blocks at most.
 BLOCK = 2048
 
 
-def paired_blocks(rows: DataFrame, key: str, spread: str, block: int = BLOCK) -> DataFrame:
+def group_sizes(rows: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
+    """key, and the number of rows (or the sum of their weights, 1 at least) in the column size, of groups of two and more."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum(F.lit(1) if weight is None else weight).cast("long").alias("size"))
+    return stored(sizes.filter("_n > 1").drop("_n"), "group-sizes", narrow=True)
+
+
+def paired_blocks(rows: DataFrame, sizes: DataFrame, key: str, size: str, spread: str, block: int = BLOCK) -> DataFrame:
     """Rows of groups of two and more, dealt so that each two rows of a group meet in a task and no task gets a whole hot group.
 
-    A group of n rows is split by the hash of `spread` in n / block blocks; each pair of blocks is a task of its own. Adds
-    _i and _j, the task's pair, and _b, the row's own block; rows come sorted by key, _i, _j. Smaller groups are one task
-    (0, 0). Where _i and _j differ, two rows of one block also meet in that block's own task.
+    sizes: a stored table of the groups' keys and sizes. A group of n rows is split by the hash of `spread` in n / block
+    blocks (n: its size); each pair of blocks is a task of its own. Adds _i and _j, the task's pair, and _b, the row's own block; rows
+    come sorted by key, _i, _j. Smaller groups are one task (0, 0). Where _i and _j differ, two rows of one block also meet
+    in that block's own task.
     """
-    sizes = dealt_anew(rows.groupBy(key).count().filter(F.col("count") > 1))
-    parts = F.ceil(F.col("count") / block).cast("int")
+    n_rows = sizes.agg(F.sum(size)).first()[0] or 0
     own = F.pmod(F.xxhash64(spread, F.lit(7)), F.col("_n")).cast("int")
-    dealt = rows.join(sizes.select(key, parts.alias("_n")), key).withColumn("_b", own)
+    dealt = split_join(rows, sizes.select(key, size), key, size, spread, n_rows).withColumn("_n", F.ceil(F.col(size) / block).cast("int")).drop(size).withColumn("_b", own)
     dealt = dealt.withColumn("_o", F.explode(F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))))
     dealt = dealt.withColumn("_i", F.least("_b", "_o")).withColumn("_j", F.greatest("_b", "_o")).drop("_n", "_o")
     return dealt.repartition(key, "_i", "_j").sortWithinPartitions(key, "_i", "_j")

@@ -17,10 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt_anew(counts: DataFrame) -> DataFrame:
-    """counts of groups, away from the tasks that counted them: a join of the groups' rows with counts in the same tasks
-    could not be split where a group is hot. Counts are few and small beside the rows."""
-    return counts.repartition(max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+#: A group of more than this part of all rows counts as hot.
+HOT_PART = 1000
+
+
+def split_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str, n_rows: int) -> DataFrame:
+    """rows joined with groups, which has one row for each value of key with its number of rows in the column size.
+
+    A group of more than n_rows / HOT_PART rows is dealt to several tasks by the hash of spread: its row of groups stands
+    in each of them. As n_rows is the sum of all sizes, such groups are HOT_PART at most, and those are broadcast.
+    """
+    most = max(256, n_rows // HOT_PART)
+    pieces = F.ceil(F.col(size) / most).cast("int")
+    hot = F.broadcast(groups.filter(F.col(size) > most).select(F.col(key).alias("_hot"), pieces.alias("_pieces")))
+    dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_piece", F.pmod(F.xxhash64(spread, F.lit(3)), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_hot", "_pieces")
+    every = groups.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.join(every, [key, "_piece"]).drop("_piece")
 
 
 def tokenizer_file(name: str) -> str:
@@ -127,44 +139,79 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: A random odd base, its inverse modulo 2**64, and a value for each byte.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Hashes of byte strings are values of polynomials modulo a prime, in a base that is a number without structure: two
+#: different strings of n bytes agree for n of the 2**61 bases at most.
+PRIME, BASE = (1 << 61) - 1, 0x12A5C3F0E9B7D46B
+_PRIME, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_30, _31, _61, _1 = (np.uint64(k) for k in (30, 31, 61, 1))
+#: Bytes that one pass of hashing works on.
+HASH_BYTES = 1 << 16
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME for any 64-bit x."""
+    x = (x & _PRIME) + (x >> _61)
+    return x - (x >= _PRIME) * _PRIME
+
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME of values below it. 2**61 counts as 1."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << _1) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n at least."""
-    size = 1 << max(12, (n - 1).bit_length() if n > 1 else 1)
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For i < n at least: the upper 30 and lower 31 bits of BASE**i, and BASE**-i."""
+    size = max(2 * HASH_BYTES, 1 << (n - 1).bit_length() if n > 1 else 1)
     if size not in _POWERS:
+        both = []
+        for base in (BASE, pow(BASE, -1, PRIME)):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate([out, _times(out, np.uint64(pow(base, len(out), PRIME)))])
+            both.append(out)
         _POWERS.clear()
-        up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        _POWERS[size] = both[0] >> _31, both[0] & _LOW31, both[1]
     return _POWERS[size]
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """h with h[j] - h[i] = BASE**i * (hash of values[i:j]); one longer than values."""
-    up, _ = powers(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=out[1:])
-    return out
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = len(data)
+    high, low, down = _powers(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    for a in range(0, n, HASH_BYTES):  # sums of so many values stay below 2**64
+        v = data[a : a + HASH_BYTES].astype(np.uint64) + _1
+        e = a + len(v)
+        h, l = np.cumsum(v * high[a:e], dtype=np.uint64), np.cumsum(v * low[a:e], dtype=np.uint64)  # noqa: E741
+        prefix[a + 1 : e + 1] = _reduced((h >> _30) + ((h & _LOW30) << _31) + l + prefix[a])
+    return mixed(_times(_reduced(prefix[end] + (_PRIME - prefix[start])), down[start]))
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed 64-bit hashes of values[start:end]; equal spans have equal hashes wherever they lie."""
-    _, down = powers(len(prefix))
-    return mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mixed 64-bit hashes of the byte strings data[start:end], both in order; equal strings have equal hashes wherever they lie.
+
+    They place strings and make candidates; whether strings are equal is decided by their bytes, or by a digest of them.
+    """
+    out = np.empty(len(start), np.uint64)
+    a = 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + HASH_BYTES, "right")))
+        first = start[a]
+        out[a:b] = _hashes(data[first : end[b - 1]], start[a:b] - first, end[a:b] - first)
+        a = b
+    return out
 
 
 def words_of(data: np.ndarray, offs: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of texts laid end to end: start, end (bytes), hash, and offsets of each text's words."""
+    """Words [^\\x20\\x09-\\x0D]+ of texts laid end to end: bytes with one space between words of a text, start and end
+    of each word in them, and offsets of each text's words."""
     n = len(data)
     if fold:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    inside = ~space
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     cut = offs[:-1][offs[:-1] < n]
@@ -175,5 +222,7 @@ def words_of(data: np.ndarray, offs: np.ndarray, fold: bool) -> tuple[np.ndarray
     cut = offs[1:-1]
     after[cut[cut > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    hashes = span_hash(prefix_hash(BYTE_VALUES[data]), start, end) if len(start) else np.zeros(0, np.uint64)
-    return start, end, hashes, np.searchsorted(start, offs)
+    keep = inside.copy()
+    keep[end[end < n]] = True
+    place = np.append(0, np.cumsum(keep))
+    return np.where(space, np.uint8(32), data)[keep], place[start], place[end], np.searchsorted(start, offs)

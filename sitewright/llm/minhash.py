@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.blocks import binary_rows, components, paired_blocks, runs, spanning
-from sitewright.llm.common import mixed, stored, text_slices, with_text, words_of
+from sitewright.llm.blocks import binary_rows, components, group_sizes, paired_blocks, runs, spanning
+from sitewright.llm.common import mixed, span_hashes, stored, text_slices, with_text, words_of
 
 #: Words of a shingle; minima; bits kept of each; minima of a band (the bands take all of them).
 WORDS, MINIMA, BITS, ROWS = 5, 132, 2, 6
@@ -22,26 +22,25 @@ _PAIR_MASK = np.uint64(0x5555555555555555)
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 1 << 32, MINIMA, np.uint32) | np.uint32(1)).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, MINIMA, np.uint32)
-_MULTIPLIERS = mixed(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 _ROW_MULTIPLIERS = mixed(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of each text's shingles, with repeats, and the offsets of the texts' shingles."""
-    _, _, h, at = words_of(data, offs, fold=True)
+#: Rows of a block of full sets; bytes of text by which a row counts as one more.
+SETS, SET_BYTES = 512, 8192
+
+
+def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """64-bit hashes of each text's shingles, with repeats, the offsets of the texts' shingles, and each text's words joined by a space."""
+    joined, start, end, at = words_of(data, offs, fold=True)
     n_words = np.diff(at)
     n = np.where(n_words >= WORDS, n_words - WORDS + 1, np.minimum(n_words, 1))
     out_at = np.concatenate([[0], np.cumsum(n)])
-    total = np.zeros(max(0, len(h)), np.uint64)
-    for j in range(WORDS):
-        total[: len(h) - j] += h[j:] * _MULTIPLIERS[j]
     # Starts of shingles: all words but the last four of a text; the first word of a text with fewer.
-    which = np.repeat(at[:-1] - out_at[:-1], n) + np.arange(out_at[-1])
-    out = total[which]
-    for k in np.flatnonzero((n_words > 0) & (n_words < WORDS)):
-        few = h[at[k] : at[k + 1]]
-        out[out_at[k]] = (few * _MULTIPLIERS[: len(few)]).sum(dtype=np.uint64) + np.uint64(len(few))
-    return mixed(out), out_at
+    first = np.repeat(at[:-1] - out_at[:-1], n) + np.arange(out_at[-1])
+    last = np.minimum(first + WORDS, np.repeat(at[1:], n)) - 1
+    view = memoryview(np.ascontiguousarray(joined))
+    words = [bytes(view[start[a] : end[b - 1]]) if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return span_hashes(joined, start[first], end[last]), out_at, words
 
 
 def signatures(sh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,14 +73,13 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _prepare(batches):
     for b in batches:
         for first, n, data, offs in text_slices(b):
-            sh, at = shingles(data, offs)
+            sh, at, words = shingles(data, offs)
             ids = b.column(0).slice(first, n)
             sizes, digests = np.zeros(n, np.int64), [None] * n
             for k in range(n):
                 if at[k + 1] > at[k]:
-                    own = np.unique(sh[at[k] : at[k + 1]])
-                    sizes[k] = len(own)
-                    digests[k] = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                    sizes[k] = len(np.unique(sh[at[k] : at[k + 1]]))
+                    digests[k] = hashlib.blake2b(words[k], digest_size=16).digest()
             bands, packed = [None] * n, [None] * n
             full = np.flatnonzero(sizes)
             if len(full):
@@ -112,12 +110,23 @@ def _near_in_bands(threshold: float):
     return near
 
 
-def _sets(batches):
+def _words(batches):
     for b in batches:
         for first, n, data, offs in text_slices(b):
-            sh, at = shingles(data, offs)
-            sets = [np.unique(sh[at[k] : at[k + 1]]).tobytes() for k in range(n)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(sets, pa.binary())], names=["doc_id", "cluster", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(shingles(data, offs)[2], pa.binary())], names=["doc_id", "cluster", "words"])
+
+
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """Each text's set of shingles as sorted numbers, which are equal where the shingles' words are."""
+    names: dict[bytes, int] = {}
+    lists = [[names.setdefault(w, len(names)) for w in t.split(b" ")] for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+    flat = np.array([w for x in lists for w in x], np.int64)
+    joint = flat
+    for k in range(1, WORDS):  # names of runs of k + 1 words, one after another by the name of the first k and the last word
+        joint = np.unique(joint[:-1] * (len(flat) + 1) + flat[k:], return_inverse=True)[1] if len(joint) > 1 else joint[:0]
+    short: dict[tuple, int] = {}
+    return [np.unique(joint[a : b - WORDS + 1]) if b - a >= WORDS else np.array([len(flat) + short.setdefault(tuple(x), len(short))]) for x, a, b in zip(lists, at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def exact_links(sets: list[np.ndarray], percent: int):
@@ -147,10 +156,10 @@ def _confirm(percent: int):
     def confirm(batches):
         for table, at in runs(batches, ("cluster", "_i", "_j"), 512):
             ids = table.column("doc_id").to_numpy()
-            sets = binary_rows(table.column("shingles"), np.uint64)
             us, vs = [], []
             for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for x, y in spanning(e - a, exact_links(sets[a:e], percent)):
+                sets = shingle_sets(table.column("words").slice(a, e - a).to_pylist())
+                for x, y in spanning(e - a, exact_links(sets, percent)):
                     us.append(ids[a + x])
                     vs.append(ids[a + y])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -163,12 +172,12 @@ def near_groups(docs: DataFrame, percent: int = 80, block: int = 1024) -> DataFr
 
     docs: doc_id, text; other columns are not used. Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a
     document's set is of its distinct shingles of five words, or its whole word sequence if it has fewer. A null or
-    blank text has an empty set and no link. Documents of one set count as one from the start (the smallest doc_id
+    blank text has an empty set and no link. Documents of the same words count as one from the start (the smallest doc_id
     stands for them). Rows of one doc_id are one document: they share their links. A row with null doc_id takes the
-    component of its set, if another has it. An empty table gives an empty table.
+    component of its words, if another row has them. An empty table gives an empty table.
 
     Candidates share one of the bands of minima; a group of one band is compared by packed low bits alone, the estimate
-    being corrected for chance. What the candidates connect is a cluster, and the clusters' full sets decide: within a
+    being corrected for chance. What the candidates connect is a cluster, and the clusters' full sets, built from the words themselves, decide: within a
     cluster all links that its connectivity needs are tried. Groups and clusters of any size are dealt in pairs of blocks.
     """
     docs = with_text(docs, "doc_id")
@@ -177,12 +186,12 @@ def near_groups(docs: DataFrame, percent: int = 80, block: int = 1024) -> DataFr
     firsts = named.groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("f")).select("digest", "f.*")
     firsts = stored(firsts, "representatives")
     banded = firsts.select("doc_id", "signature", F.explode("bands").alias("band"))
-    coarse = paired_blocks(banded, "band", "doc_id", block).select("band", "_i", "_j", "doc_id", "signature").mapInArrow(_near_in_bands(percent / 100 - MARGIN), "u long, v long")
+    coarse = paired_blocks(banded, group_sizes(banded, "band"), "band", "size", "doc_id", block).select("band", "_i", "_j", "doc_id", "signature").mapInArrow(_near_in_bands(percent / 100 - MARGIN), "u long, v long")
     clusters = components(coarse.distinct())
     clusters = stored(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters", narrow=True)
-    sets = docs.join(clusters, "doc_id").select("doc_id", "cluster", "text").mapInArrow(_sets, "doc_id long, cluster long, shingles binary")
-    sets = stored(sets, "shingle-sets")
-    links = paired_blocks(sets, "cluster", "doc_id", block).select("cluster", "_i", "_j", "doc_id", "shingles").mapInArrow(_confirm(percent), "u long, v long")
+    texts = stored(docs.join(clusters, "doc_id").select("doc_id", "cluster", "text").mapInArrow(_words, "doc_id long, cluster long, words binary"), "cluster-words")
+    sizes = group_sizes(texts, "cluster", 1 + F.floor(F.length("words") / SET_BYTES))
+    links = paired_blocks(texts, sizes, "cluster", "size", "doc_id", min(block, SETS)).select("cluster", "_i", "_j", "doc_id", "words").mapInArrow(_confirm(percent), "u long, v long")
     groups = components(links)
     by_set = firsts.select("digest", F.col("doc_id").alias("first")).join(groups, F.col("first") == F.col("id"), "left").select("digest", F.coalesce("component", "first").alias("component_id"))
     out = prepared.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")

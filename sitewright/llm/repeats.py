@@ -8,7 +8,9 @@ start to its last window's end) decide about all its windows at once, and segmen
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,40 +18,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.llm.blocks import paired_blocks
-from sitewright.llm.common import BYTE_VALUES, dealt_anew, prefix_hash, span_hash, stored, text_slices
+from sitewright.llm.common import span_hashes, split_join, stored, text_slices
 
-#: Low bits of a mark's key hold its place in the slice, so the leftmost of equal hashes is the mark.
+#: Low bits of a mark's key hold its place in the chunk, so the leftmost of equal hashes is the mark.
 _PLACE = np.uint64(28)
 #: Windows of one pass; far fewer than _PLACE has room for.
-CHUNK = 1 << 22
-SEGMENTS = "shard long, content long, doc_id long, first long, n int"
+CHUNK = 1 << 20
 
 
-def segments(values: np.ndarray, offs: np.ndarray, size: int, gram: int, chunk: int = CHUNK) -> tuple[np.ndarray, ...]:
-    """Segments of texts laid end to end as units (bytes, or 64-bit values): text, first window's start in it, windows, shard, content.
+@dataclass
+class Units:
+    """Texts laid end to end: unit k is data[start[k] : end[k]], or the byte k where start is None; at: offsets of the texts' units."""
+
+    data: np.ndarray
+    at: np.ndarray
+    start: np.ndarray | None = None
+    end: np.ndarray | None = None
+
+    def bounds(self, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in data of the units from first to stop."""
+        return (first, stop) if self.start is None else (self.start[first], self.end[stop - 1])
+
+    def cut(self, first: np.ndarray, stop: np.ndarray) -> list[memoryview]:
+        view = memoryview(np.ascontiguousarray(self.data))
+        return [view[a:b] for a, b in zip(*(x.tolist() for x in self.bounds(first, stop)), strict=True)]
+
+
+def segments(units: Units, size: int, gram: int, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments: text, first window's start in it, windows, and the hash that places the segment in a shard.
 
     Windows are taken in chunks, so a very long text needs no more memory than others. A chunk's end may cut a segment in
     two; those are other contents than the whole one, of the same shard, and so still meet it in the match.
     """
-    if len(values) <= chunk + size:
-        return _segments(values, offs, size, gram)
+    total = int(units.at[-1])
     parts = []
-    for a in range(0, len(values), chunk):
-        b = min(len(values), a + chunk + size - 1)
-        first, last = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b, "left")
-        cut = np.clip(offs[first : last + 1], a, b) - a
-        text, begin, *rest = _segments(values[a:b], cut, size, gram)
-        parts.append((text + first, begin + np.maximum(a - offs[text + first], 0), *rest))
+    for a in range(0, total - size + 1, chunk):
+        b = min(total, a + chunk + size - 1)
+        first, last = np.searchsorted(units.at, a, "right") - 1, np.searchsorted(units.at, b, "left")
+        cut = np.clip(units.at[first : last + 1], a, b) - a
+        at = np.arange(a, b - gram + 1)
+        text, begin, n, shard = _segments(span_hashes(units.data, *units.bounds(at, at + gram)), cut, size, gram)
+        parts.append((text + first, begin + np.maximum(a - units.at[text + first], 0), n, shard))
+    if not parts:
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _segments(values: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    if len(values) < size:
-        return none
-    prefix = prefix_hash(BYTE_VALUES[values] if values.dtype == np.uint8 else values)
-    at = np.arange(len(values) - gram + 1)
-    keys = span_hash(prefix, at, at + gram)
+def _segments(keys: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    at = np.arange(len(keys))
     # Smallest key of each window, by doubling.
     span = size - gram + 1
     low = (keys >> _PLACE << _PLACE) | at.astype(np.uint64)
@@ -71,50 +87,66 @@ def _segments(values: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tup
     start[offs[:-1][n_windows > 0]] = True
     start |= np.append(False, inside[1:] & ~inside[:-1])
     begin = np.flatnonzero(start & inside)
-    if not len(begin):
-        return none
     # A segment ends where the next begins or where windows would leave the text.
     text = np.searchsorted(offs, begin, "right") - 1
     stop = np.minimum(np.append(begin[1:], len(mark)), offs[text] + n_windows[text])
-    n = stop - begin
-    return text, begin - offs[text], n, keys[mark[begin]], span_hash(prefix, begin, stop + size - 1)
+    return text, begin - offs[text], stop - begin, keys[mark[begin]]
+
+
+def segment_shards(docs: DataFrame, units: Callable, size: int, gram: int) -> DataFrame:
+    """shard of every segment of every document (doc_id, text). units(bytes, offsets) -> Units."""
+
+    def rows(batches):
+        for b in batches:
+            for _, _, data, offs in text_slices(b):
+                yield pa.RecordBatch.from_arrays([pa.array(segments(units(data, offs), size, gram)[3].view(np.int64))], names=["shard"])
+
+    return docs.mapInArrow(rows, "shard long")
 
 
 def segment_rows(docs: DataFrame, units: Callable, size: int, gram: int) -> DataFrame:
-    """SEGMENTS of every document (doc_id, text). units(bytes, offsets) -> (values, offsets)."""
+    """shard, content (128-bit digest of the segment's bytes), doc_id, first, n of every segment of every document."""
 
     def rows(batches):
         for b in batches:
             for first, n, data, offs in text_slices(b):
-                text, begin, count, shard, content = segments(*units(data, offs), size, gram)
+                own = units(data, offs)
+                text, begin, count, shard = segments(own, size, gram)
+                at = own.at[text] + begin
+                content = [hashlib.blake2b(x, digest_size=16).digest() for x in own.cut(at, at + count + size - 1)]
                 ids = b.column(0).slice(first, n).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(begin), pa.array(count.astype(np.int32))], names=["shard", "content", "doc_id", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(content, pa.binary()), ids, pa.array(begin), pa.array(count.astype(np.int32))], names=["shard", "content", "doc_id", "first", "n"])
 
-    return docs.mapInArrow(rows, SEGMENTS)
+    return docs.mapInArrow(rows, "shard long, content binary, doc_id long, first long, n int")
 
 
-def repeated_spans(docs: DataFrame, units: Callable, payload: Callable, match: Callable, size: int, gram: int, earlier: bool, block: int = 2048) -> DataFrame:
+def repeated_spans(docs: DataFrame, units: Callable, match: Callable, size: int, gram: int, earlier: bool, block: int = 2048) -> DataFrame:
     """doc_id, begin, stop (units): spans of windows that also start elsewhere, or earlier if so asked; they may overlap.
 
-    docs: unique doc_id, text. payload(bytes, offsets, text, begin, stop) -> list of bytes of units begin to stop of a
-    text. match(batches) gets segments sorted by shard, _i, _j (with doc_id, first, n, units) and yields doc_id, begin, stop.
+    docs: unique doc_id, text. units(bytes, offsets) -> Units. match(batches) gets segments sorted by shard, _i, _j (with
+    doc_id, first, n, units as bytes) and yields doc_id, begin, stop.
 
-    Segments whose mark occurs once are unique and go first. Of segments of equal content only one goes on to the match;
-    what holds for all its windows holds for the others. A shard of very many contents is matched in pairs of blocks.
+    Segments whose mark occurs once are unique and go first. Of segments of equal content (by a cryptographic digest of
+    their bytes) only one goes on to the match, which compares bytes; what holds for all its windows holds for the others.
+    Rows of hot shards and contents are dealt to many tasks; a shard of very many contents is matched in pairs of blocks.
     """
-    rows = segment_rows(docs, units, size, gram)
-    common = dealt_anew(rows.groupBy("shard").count().filter("count > 1").select("shard"))
-    rows = stored(rows.join(common, "shard"), "segments")
-    by_content = rows.groupBy("shard", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "n")).alias("lead"))
+    shards = segment_shards(docs, units, size, gram).groupBy("shard").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
+    shards = stored(shards, "shards", narrow=True)
+    n_rows = shards.agg(F.sum("n_rows")).first()[0] or 0
+    rows = split_join(segment_rows(docs, units, size, gram), shards, "shard", "n_rows", "content", n_rows).drop("n_rows")
+    rows = stored(rows, "segments")
+    by_content = rows.groupBy("content").agg(F.min("shard").alias("shard"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "n")).alias("lead"))
     by_content = stored(by_content, "contents")
     # Copies: all windows of such segments are repeated; if only earlier starts count, all but the first segment's.
-    copied = rows.join(by_content.filter("copies > 1").select("shard", "content", F.col("lead.doc_id").alias("lead_doc"), F.col("lead.first").alias("lead_first")), ["shard", "content"])
+    several = by_content.filter("copies > 1").select("content", "copies", F.col("lead.doc_id").alias("lead_doc"), F.col("lead.first").alias("lead_first"))
+    copied = split_join(rows.select("content", "doc_id", "first", "n").withColumn("_spread", F.struct("doc_id", "first")), several, "content", "copies", "_spread", n_rows)
     if earlier:
         copied = copied.filter((F.col("doc_id") != F.col("lead_doc")) | (F.col("first") != F.col("lead_first")))
     whole = copied.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("n") + size - 1).alias("stop"))
     # Matching needs shards of two contents and more.
-    kinds = dealt_anew(by_content.groupBy("shard").count().filter("count > 1").select("shard"))
-    leads = by_content.join(kinds, "shard").select("shard", "lead.*")
+    kinds = stored(by_content.groupBy("shard").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds", narrow=True)
+    n_kinds = kinds.agg(F.sum("kinds")).first()[0] or 0
+    leads = split_join(by_content.select("shard", "content", "lead"), kinds, "shard", "kinds", "content", n_kinds).select("shard", "lead.*")
     wanted = leads.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", "n", "shard"))).alias("wanted"))
     wanted = docs.join(wanted, "doc_id").select("doc_id", "text", "wanted")
 
@@ -125,11 +157,13 @@ def repeated_spans(docs: DataFrame, units: Callable, payload: Callable, match: C
                 flat = lists.flatten()
                 begin, count, shard = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
                 text = np.repeat(np.arange(n), lists.value_lengths().to_numpy())
-                held = payload(data, offs, text, begin, begin + count + size - 1)
+                own = units(data, offs)
+                at = own.at[text] + begin
+                held = [bytes(x) for x in own.cut(at, at + count + size - 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0).slice(first, n).take(pa.array(text)), pa.array(begin), pa.array(count.astype(np.int32)), pa.array(held, pa.binary())], names=["shard", "doc_id", "first", "n", "units"])
 
     pieces = stored(wanted.mapInArrow(cut, "shard long, doc_id long, first long, n int, units binary"), "segment-units")
-    matched = paired_blocks(pieces.withColumn("_spread", F.struct("doc_id", "first")), "shard", "_spread", block).select("shard", "_i", "_j", "doc_id", "first", "n", "units")
+    matched = paired_blocks(pieces.withColumn("_spread", F.struct("doc_id", "first")), kinds, "shard", "kinds", "_spread", block).select("shard", "_i", "_j", "doc_id", "first", "n", "units")
     found = matched.mapInArrow(match, "doc_id long, begin long, stop long")
     return whole.union(found)
 

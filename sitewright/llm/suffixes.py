@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewright.llm.blocks import binary_rows, runs
 from sitewright.llm.common import stored, text_slices, unique_ids, with_text
-from sitewright.llm.repeats import by_document, merged, repeated_spans, runs_of
+from sitewright.llm.repeats import Units, by_document, merged, repeated_spans, runs_of
 
 #: Bytes of the strings that count as repeated; bytes of the grams that place them in shards.
 LENGTH, GRAM = 200, 48
@@ -143,20 +143,12 @@ def _match(length: int):
     return match
 
 
-def _bytes(data, offs):
-    return data, offs
-
-
-def _cut(data, offs, text, begin, stop):
-    return [data[a:b].tobytes() for a, b in zip((offs[text] + begin).tolist(), (offs[text] + stop).tolist(), strict=True)]
-
-
 REMOVED = "n_bytes long, n_removed long, n_spans long, kept"
 
 
 def _cut_out(docs: DataFrame, length: int, gram: int, columns: list[str], as_text: bool = False) -> DataFrame:
     """columns of docs (doc_id unique, text without nulls), and REMOVED; kept is binary, or a string of its whole code points."""
-    spans = stored(repeated_spans(docs.select("doc_id", "text"), _bytes, _cut, _match(length), length, gram, earlier=False), "repeats")
+    spans = stored(repeated_spans(docs.select("doc_id", "text"), Units, _match(length), length, gram, earlier=False), "repeats")
     joined = docs.join(by_document(spans), "doc_id", "left")
     columns = [c for c in columns if c != "text"] + ["text"] * ("text" in columns)
     kinds = ", ".join(f"`{f}` {docs.schema[f].dataType.simpleString()}" for f in columns)

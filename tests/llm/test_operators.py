@@ -308,8 +308,7 @@ def test_suffix_array(documents, no_documents, rows):
 
 
 def test_long_texts_are_taken_in_chunks(rng):
-    from sitewright.llm.common import BYTE_VALUES
-    from sitewright.llm.repeats import segments
+    from sitewright.llm.repeats import Units, segments
 
     lengths = [5, 0, 700, 30, 41, 300]
     data = np.array([rng.randrange(97, 100) for _ in range(sum(lengths))], np.uint8)
@@ -317,11 +316,74 @@ def test_long_texts_are_taken_in_chunks(rng):
     want = {(k, i) for k, n in enumerate(lengths) for i in range(n - 30 + 1)}
     marks = {}
     for chunk in (1 << 20, 50, 64):
-        text, begin, n, shard, content = segments(data, offs, 30, 7, chunk)
+        text, begin, n, shard = segments(Units(data, offs), 30, 7, chunk)
         got = {(int(t), int(b) + i): int(h) for t, b, c, h in zip(text, begin, n, shard) for i in range(c)}
         assert set(got) == want and n.sum() == len(want)
         assert marks.setdefault("marks", got) == got
-    assert (segments(BYTE_VALUES[data], offs, 30, 7)[4] == segments(data, offs, 30, 7)[4]).all()
+
+
+def test_span_hashes_are_polynomials_modulo_the_prime(monkeypatch):
+    from sitewright.llm import common
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 3000).astype(np.uint8)
+    start = np.sort(rng.integers(0, 2900, 200))
+    end = np.maximum.accumulate(start + rng.integers(1, 100, 200))
+    value = lambda a, b: sum((int(x) + 1) * pow(common.BASE, k, common.PRIME) for k, x in enumerate(data[a:b])) % common.PRIME
+    want = common.mixed(np.array([value(a, b) for a, b in zip(start.tolist(), end.tolist())], np.uint64))
+    assert (common.span_hashes(data, start, end) == want).all()
+    monkeypatch.setattr(common, "HASH_BYTES", 64)
+    assert (common.span_hashes(data, start, end) == want).all()
+
+
+def test_words_are_joined_by_one_space(rng):
+    from sitewright.llm.common import words_of
+
+    texts = ["", " a  b\tc\n", "d", "E f", "\r\x0b", "g"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    joined, start, end, at = words_of(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), fold=True)
+    words = [bytes(joined[a:b]) for a, b in zip(start, end)]
+    assert [words[a:b] for a, b in zip(at, at[1:])] == [[w.lower().encode() for w in t.split()] for t in texts]
+    assert bytes(joined[start[0] : end[2]]) == b"a b c"
+
+
+def thue_morse(n):
+    """A word of 2**n letters, and its complement: polynomials modulo a power of two do not tell them apart."""
+    w = "a"
+    for _ in range(n):
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_simple_hashes_take_for_equal_are_told_apart(spark, prose):
+    one, other = thue_morse(10)
+    text = prose(19)
+    df = spark.createDataFrame([(1, f"{text} {one}"), (2, f"{text} {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in automata.remove_seen(df).collect()] == [0, 0]
+    few = spark.createDataFrame([(1, one), (2, other), (3, f"a b c d {one}"), (4, f"a b c d {other}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_groups(few, 85).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    cuts = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.remove_repeats(few, 1024, 48).collect()}
+    assert cuts == {1: (1024, 1024), 2: (1024, 1024), 3: (1032, 1024), 4: (1032, 1024)}
+    alone = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert [r.n_removed for r in suffixes.remove_repeats(alone, 1024, 48).collect()] == [0, 0]
+
+
+def test_hot_keys_are_dealt_and_lose_no_row(spark):
+    from sitewright.llm.common import split_join
+
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, F.lit(0)).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"))
+    joined = split_join(rows, sizes, "k", "n", "v", 4000)
+    assert joined.agg(F.count("*"), F.countDistinct("v"), F.max("n")).first() == (4000, 4000, 3000)
+
+
+def test_sets_of_shingles_are_exact(rng):
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(200)]
+    sets = minhash.shingle_sets([t.encode() for t in texts])
+    exact = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    for a in range(0, 200, 7):
+        for b in range(200):
+            assert len(np.intersect1d(sets[a], sets[b])) == len(exact[a] & exact[b])
 
 
 def test_suffix_ranks(rng):
@@ -373,8 +435,8 @@ def test_hot_shards_are_split(spark, prose):
     passage = prose(30)
     df = spark.createDataFrame([(k, f"{prose(25)} {passage} {prose(25)}") for k in range(60)], "doc_id long, text string")
     rows = {r.doc_id: r.text for r in df.collect()}
-    spans = automata.repeated_spans(df, automata._words, automata._cut, automata._match(20), 20, 5, earlier=True, block=8)
-    whole = automata.repeated_spans(df, automata._words, automata._cut, automata._match(20), 20, 5, earlier=True, block=4096)
+    spans = automata.repeated_spans(df, automata._words, automata._match(20), 20, 5, earlier=True, block=8)
+    whole = automata.repeated_spans(df, automata._words, automata._match(20), 20, 5, earlier=True, block=4096)
     cover = lambda s: {(r.doc_id, i) for r in s.collect() for i in range(r.begin, r.stop)}
     assert cover(spans) == cover(whole) and sum(x[1] for x in brute_windows(rows, 20).values()) == len(cover(spans))
 
