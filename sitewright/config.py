@@ -36,8 +36,20 @@ PERSON_KEYS = ["founder", "founders", "member", "members", "employee", "employee
 BLOCK_CLASSES = ["team-member", "member", "person", "card", "bio", "profile", "staff", "leader", "founder"]
 # End of the fixed values.
 
-#: Suffixes under which names are registered; a longer table can be given where one is at hand.
-SUFFIXES = ["com", "net", "org", "edu", "gov", "io", "info", "biz", "eu", "it", "de", "fr", "es", "nl", "co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br"]
+#: Names under which countries register, by country, as the public suffix list has them; every top domain is a suffix by
+#: the list's rule for names that it does not hold. sources.tables.suffix_file() reads the whole list where it is at hand.
+SECOND_LEVEL = {
+    "ar": "com edu gob int mil net org tur", "at": "ac co gv or", "au": "asn com edu gov id net org", "br": "adv art blog com edu eng gov ind inf mil net org",
+    "cn": "ac com edu gov mil net org", "co": "com edu gov mil net nom org", "cy": "ac com gov ltd net org", "eg": "com edu gov net org", "gr": "com edu gov net org",
+    "hk": "com edu gov idv net org", "hu": "co info org priv", "id": "ac co desa go mil net or sch web", "il": "ac co gov idf k12 muni net org", "in": "ac co edu firm gen gov ind mil net nic org res",
+    "it": "edu gov", "jp": "ac ad co ed go gr lg ne or", "ke": "ac co go info me mobi ne or sc", "kr": "ac co go mil ne or pe re", "mx": "com edu gob net org", "my": "com edu gov mil name net org",
+    "nz": "ac co cri geek gen govt health iwi kiwi maori mil net org parliament school", "pl": "com edu gov info net org", "pt": "com edu gov int net nome org publ", "ro": "arts com firm info nom nt org rec store tm www",
+    "ru": "ac edu gov int mil", "sg": "com edu gov net org", "th": "ac co go in mi net or", "tr": "av bel biz com dr edu gen gov info k12 kep mil name net org pol tel tsk tv web", "tw": "club com ebiz edu game gov idv mil net org",
+    "ua": "com edu gov in net org", "uk": "ac co gov ltd me net nhs org plc police", "vn": "ac biz com edu gov health info int name net org pro", "za": "ac agric alt co edu gov grondar law mil net ngo nic nis nom org school tm web",
+}
+#: Rules of the same list for any name under a suffix, and exceptions from those.
+ANY_NAME = ["*.bd", "*.ck", "*.er", "*.fk", "*.jm", "*.kawasaki.jp", "*.kh", "*.kitakyushu.jp", "*.kobe.jp", "*.mm", "*.nagoya.jp", "*.np", "*.pg", "*.sapporo.jp", "*.sch.uk", "*.sendai.jp", "*.yokohama.jp"]
+EXCEPTIONS = ["!city.kawasaki.jp", "!city.kitakyushu.jp", "!city.kobe.jp", "!city.nagoya.jp", "!city.sapporo.jp", "!city.sendai.jp", "!city.yokohama.jp", "!www.ck"]
 
 
 @dataclass(frozen=True)
@@ -57,6 +69,8 @@ class Config:
     extra_paths: tuple[str, ...] = ()
     on_domain_only: bool = False
     mode: str = "intended"
+    agent: str = "sitewright"
+    headers: str = ""
 
     def page_budget(self) -> int:
         return max(3, self.max_pages)

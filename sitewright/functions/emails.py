@@ -11,6 +11,10 @@ BODY = r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 _S = r"[ \t\r\n\f\x0B]*"
 OBFUSCATED = rf"(?i)([a-z0-9._%+\-]+){_S}(?:\(|\[)?{_S}(?:at|@){_S}(?:\)|\])?{_S}([a-z0-9.\-]+){_S}(?:\(|\[)?{_S}(?:dot|\.){_S}(?:\)|\])?{_S}([a-z]{{2,}})"
 # End of the fixed values that are not listed below.
+#: White space is spelled out in the pattern above because engines differ in what their class of it holds.
+#: A match begins where a run of the local part's signs begins, or where the last match ended: a run whose start fails
+#: fails from its later signs too, so these need no try.
+_RUN_START = r"(?i)(?:(?<![a-z0-9._%+\-])|\G)(?=[a-z0-9._%+\-])"
 _B = r"[ \t\r\n\f\x0B]+"
 #: The same, but at and dot stand in brackets or between spaces.
 STRICT_OBFUSCATED = rf"(?i)([a-z0-9._%+\-]+)(?:{_S}[(\[]{_S}at{_S}[)\]]{_S}|{_B}at{_B})([a-z0-9\-]+)(?:{_S}[(\[]{_S}dot{_S}[)\]]{_S}|{_B}dot{_B})([a-z]{{2,}})"
@@ -42,10 +46,14 @@ def in_body(x: Column) -> Column:
 
 
 def obfuscated(x: Column, strict: bool = False) -> Column:
-    """array<string>: distinct addresses put together from local part, domain and top domain, lower case."""
-    pattern = F.lit(STRICT_OBFUSCATED if strict else OBFUSCATED)
-    parts = F.arrays_zip(*[F.regexp_extract_all(x, pattern, F.lit(k)).alias(n) for k, n in ((1, "a"), (2, "b"), (3, "c"))])
-    return F.array_distinct(F.transform(parts, lambda p: F.lower(F.concat(p["a"], F.lit("@"), p["b"], F.lit("."), p["c"]))))
+    """array<string>: distinct addresses put together from local part, domain and top domain, lower case.
+
+    The text is searched once; a match is taken apart by the same pattern, which ends where the match does.
+    """
+    pattern = STRICT_OBFUSCATED if strict else OBFUSCATED
+    found = F.regexp_extract_all(x, F.lit(_RUN_START + pattern.removeprefix("(?i)")), F.lit(0))
+    part = lambda m, k: F.regexp_extract(m, pattern, k)
+    return F.array_distinct(F.transform(found, lambda m: F.lower(F.concat(part(m, 1), F.lit("@"), part(m, 2), F.lit("."), part(m, 3)))))
 
 
 def local_part(email: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import emails as E
 from sitewright.functions.names import PAIR, ROLE_AND_NAME, has_role, is_human_name, looks_like_company
-from sitewright.functions.text import HEADING, HREF, ITEM_NAME, JSON_LD, MAILTO, SITE_NAME, TITLE, all_matches, body_text, capitalised, company_name, csv_field, fold, squeeze, unescape_basic, visible_text, without_scripts
-from sitewright.functions.urls import in_scope
+from sitewright.functions.text import HEADING, JSON_LD, TITLE, all_matches, body_text, capitalised, company_name, csv_field, fold, hrefs, mail_links, meta_content, squeeze, unescape, visible_text, without_scripts
+from sitewright.functions.urls import clean_host, in_scope, resolve_link
 
 #: At least this much for a person to count.
 MIN_WEIGHT = 4
@@ -19,7 +19,7 @@ def page_emails(pages: DataFrame, mode: str = "intended") -> DataFrame:
 
     In mode "as_written" mail links alone are found.
     """
-    links = F.transform(all_matches(F.col("html"), MAILTO), lambda x: F.struct(F.lit(1).alias("channel"), F.trim(x).alias("email")))
+    links = F.transform(mail_links(F.col("html")), lambda x: F.struct(F.lit(1).alias("channel"), x.alias("email")))
     body = F.transform(E.in_body(F.col("html")), lambda x: F.struct(F.lit(2).alias("channel"), F.trim(x).alias("email")))
     found = F.concat(links, body) if mode == "intended" else links
     hits = pages.filter(F.col("html").isNotNull()).select("site", "page_id", F.posexplode(found).alias("hit_ord", "x")).select("site", "page_id", "x.channel", "hit_ord", "x.email")
@@ -27,14 +27,14 @@ def page_emails(pages: DataFrame, mode: str = "intended") -> DataFrame:
 
 
 def card_links(pages: DataFrame, most: int = 3) -> DataFrame:
-    """site, page_id, url of links to contact cards in the site, the first `most` of a site."""
-    from sitewright.functions.urls import clean_host, resolve_link
-
-    hrefs = pages.select("site", "page_id", "url", F.posexplode(all_matches(F.col("html"), HREF)).alias("pos", "href"))
-    cards = hrefs.filter(F.endswith("href", F.lit(".vcf")) | F.contains("href", F.lit("vcard"))).select("site", "page_id", "pos", resolve_link(F.col("url"), F.col("href")).alias("url"))
+    """site, page_id, url, rank of links to contact cards in the site, the first `most` of a site; relative ones are the site's."""
+    found = pages.select("site", "page_id", F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
+    base = F.concat(F.lit("https://"), F.col("site"), F.lit("/"))
+    cards = found.filter(F.endswith("href", F.lit(".vcf")) | F.contains("href", F.lit("vcard"))).select("site", "page_id", "pos", resolve_link(base, F.col("href")).alias("url"))
     cards = cards.filter(in_scope(clean_host(F.col("url")), F.col("site")))
-    w = Window.partitionBy("site").orderBy("page_id", "pos")
-    return cards.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("pos")
+    first = cards.groupBy("site", "url").agg(F.min(F.struct("page_id", "pos")).alias("o"))
+    w = Window.partitionBy("site").orderBy("o")
+    return first.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("site", "o.page_id", "url", "rank")
 
 
 def card_emails(cards: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -44,25 +44,28 @@ def card_emails(cards: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def all_addresses(pages: DataFrame, strict: bool = False) -> DataFrame:
-    """page_id, email: every address of a page's mail links, visible text and markup, plain or written out, lower case."""
-    listed = F.flatten(F.transform(all_matches(F.col("html"), MAILTO), lambda x: F.split(x, r"[,\s;]+")))
-    fine = F.filter(F.transform(listed, F.lower), lambda x: x.rlike("^" + E.DIRECT + "$"))
-    text, html = unescape_basic(visible_text(F.col("html"))), unescape_basic(F.col("html"))
-    found = F.array_union(F.array_union(fine, F.array_union(E.direct(text), E.direct(html))), F.array_union(E.obfuscated(text, strict), E.obfuscated(html, strict)))
-    return pages.filter(F.col("html").isNotNull()).select("page_id", F.explode(found).alias("email"))
+    """page_id, email: every address of a page's mail links, visible text and markup, plain or written out, lower case.
+
+    Text and markup are decoded before they are searched, text a second time, as it may hold references that were escaped.
+    """
+    listed = F.filter(F.flatten(F.transform(mail_links(F.col("html")), lambda x: F.split(x, r"[,\s;]+"))), lambda x: x != "")
+    whole = F.transform(F.filter(listed, lambda x: x.rlike("^" + E.DIRECT + "$")), F.lower)
+    rest = F.array_join(F.filter(listed, lambda x: ~x.rlike("^" + E.DIRECT + "$")), "\n\n")
+    rows = pages.filter(F.col("html").isNotNull()).select("page_id", whole.alias("_whole"), unescape(rest).alias("_rest"), unescape(visible_text(F.col("html"))).alias("_text"), unescape(F.col("html")).alias("_html"))
+    found = F.flatten(F.array("_whole", *[f(F.col(c)) for c in ("_rest", "_text", "_html") for f in (E.direct, lambda x: E.obfuscated(x, strict))]))
+    return rows.select("page_id", F.explode(F.array_distinct(found)).alias("email"))
 
 
 def title_people(pages: DataFrame) -> DataFrame:
     """site, page_id, hit_ord, title, first, last, weight: a role and the two words of a name that come next."""
-    text = body_text(F.col("html"))
-    parts = F.arrays_zip(*[all_matches(F.col("_text"), ROLE_AND_NAME, k).alias(n) for k, n in ((1, "title"), (2, "first"), (3, "last"))])
-    rows = pages.select("site", "page_id", text.alias("_text"))
-    return rows.select("site", "page_id", F.posexplode(parts).alias("hit_ord", "p")).select("site", "page_id", "hit_ord", "p.title", "p.first", "p.last", F.lit(4).alias("weight"))
+    found = pages.select("site", "page_id", F.posexplode(all_matches(body_text(F.col("html")), ROLE_AND_NAME, 0)).alias("hit_ord", "_m"))
+    title, first, last = (F.regexp_extract("_m", ROLE_AND_NAME, k) for k in (1, 2, 3))
+    return found.select("site", "page_id", "hit_ord", title.alias("title"), first.alias("first"), last.alias("last"), F.lit(4).alias("weight"))
 
 
 def heading_people(pages: DataFrame, strict: bool = True) -> DataFrame:
     """site, page_id, hit_ord, title, first, last, weight: the first name in a heading; in strict mode one with a role."""
-    blocks = F.transform(all_matches(without_scripts(F.col("html")), HEADING), lambda x: squeeze(F.regexp_replace(x, "<[^>]*>", "")))
+    blocks = F.transform(all_matches(without_scripts(F.col("html")), HEADING), lambda x: squeeze(unescape(F.regexp_replace(x, "<[^>]*>", ""))))
     rows = pages.select("site", "page_id", F.posexplode(blocks).alias("hit_ord", "block"))
     first, last = F.regexp_extract("block", PAIR, 1), F.regexp_extract("block", PAIR, 2)
     named = rows.select("site", "page_id", "hit_ord", F.substring("block", 1, 160).alias("title"), first.alias("first"), last.alias("last"), has_role(F.col("block")).alias("_role"))
@@ -121,8 +124,8 @@ def _json_name(html: Column) -> Column:
 def page_company(pages: DataFrame) -> DataFrame:
     """site, page_id, company: linked data, site name, item name, or title, cut at a bar, long dash or hyphen."""
     html = F.col("html")
-    first = lambda p: F.nullif(unescape_basic(squeeze(F.regexp_extract(html, p, 1))), F.lit(""))
-    pick = F.coalesce(_json_name(html), first(SITE_NAME), first(ITEM_NAME), first(TITLE))
+    some = lambda x: F.nullif(squeeze(x), F.lit(""))
+    pick = F.coalesce(_json_name(html), some(meta_content(html, "property", "og:site_name")), some(meta_content(html, "itemprop", "name")), some(unescape(F.regexp_extract(html, TITLE, 1))))
     return pages.filter(html.isNotNull()).select("site", "page_id", company_name(pick).alias("company")).filter(F.coalesce(F.col("company"), F.lit("")) != "")
 
 
@@ -169,6 +172,11 @@ def csv_rows(results: DataFrame, sep: str = ",") -> DataFrame:
     return results.select("site", F.concat_ws(sep, *[csv_field(F.col(c)) for c in ("company", "owner", "email")]).alias("row"))
 
 
+def json_rows(results: DataFrame) -> DataFrame:
+    """site, row: company, owner and email as one JSON object."""
+    return results.select("site", F.to_json(F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in ("company", "owner", "email")])).alias("row"))
+
+
 def first_of_each(lines: DataFrame) -> DataFrame:
     """domain, line_no: domains without regard to case, the first line's spelling kept."""
     return lines.groupBy(F.lower("domain").alias("_key")).agg(F.min_by("domain", "line_no").alias("domain"), F.min("line_no").alias("line_no")).drop("_key")

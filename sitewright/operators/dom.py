@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.config import BLOCK_CLASSES, PERSON_KEYS, TITLES
+from sitewright.functions.names import is_human_name
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _ROLE = re.compile("|".join(TITLES), re.I)
@@ -131,7 +132,7 @@ def block_people(root: Node, strict: bool = True) -> list[tuple[str, str, str, i
 
 
 def dom_people(pages: DataFrame, strict: bool = True, linked_data: bool = True, cards: bool = True, blocks: bool = True) -> DataFrame:
-    """SCHEMA: people of linked data (channel 1), contact cards (2) and blocks by class or heading (3); each page is parsed once."""
+    """SCHEMA: people of linked data (channel 1), contact cards (2) and blocks by class or heading that hold a human name (3); each page is parsed once."""
 
     def find(batches):
         names = pa.schema([("site", pa.string()), ("page_id", pa.int64()), ("channel_ord", pa.int32()), ("hit_ord", pa.int32()), ("title", pa.string()), ("first", pa.string()), ("last", pa.string()), ("weight", pa.int32())])
@@ -143,4 +144,5 @@ def dom_people(pages: DataFrame, strict: bool = True, linked_data: bool = True,
                 rows += [dict(zip(names.names, (site, page, c, k, *hit), strict=True)) for c, hits in found for k, hit in enumerate(hits)]
             yield pa.RecordBatch.from_pylist(rows, schema=names)
 
-    return pages.filter(F.coalesce("html", F.lit("")) != "").select("site", F.col("page_id").cast("long"), "html").mapInArrow(find, SCHEMA)
+    found = pages.filter(F.coalesce("html", F.lit("")) != "").select("site", F.col("page_id").cast("long"), "html").mapInArrow(find, SCHEMA)
+    return found.filter((F.col("channel_ord") != 3) | is_human_name(F.col("first"), F.col("last")))

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.config import PATHS, SHORT_PATHS
-from sitewright.functions.text import HREF, all_matches, without_scripts
+from sitewright.functions.text import hrefs
+from sitewright.sources.tables import header_options
 from sitewright.functions.urls import PATH_GATE, SITEMAP_GATE, SITEMAP_HINT, clean_host, hint_score, in_scope, origin, path, resolve_link
 
 
 def links(pages: DataFrame) -> DataFrame:
     """page_id, site, pos, url of every link of every page that leads to http(s); duplicates stay."""
-    found = pages.select("page_id", "site", "url", F.posexplode(all_matches(without_scripts(F.col("html")), HREF)).alias("pos", "href"))
+    found = pages.select("page_id", "site", "url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
     return found.select("page_id", "site", "pos", resolve_link(F.col("url"), F.col("href")).alias("url")).filter(F.col("url").isNotNull())
 
 
@@ -62,19 +63,27 @@ def budget(sources: list[DataFrame], max_pages: int) -> DataFrame:
 
 
 def breadth_first(roots: DataFrame, edges: DataFrame, depth: int, max_pages: int) -> DataFrame:
-    """site, url, depth of what is reached from roots (site, url) over edges (site, src, url), max_pages a site at most.
+    """site, url, depth, place of what is reached from roots (site, url, ord) over edges (site, src, url), max_pages a site at most.
 
-    Level by level: a level's pages are the links of the level before that no level had, those with more hint words first,
-    then by name. The number of levels is a parameter, so the plan is of fixed size.
+    A queue: roots in their order, then each page's links in the order in which the pages themselves came, those with more
+    hint words first, then by name; a page counts where it comes first. Pages beyond the budget lead nowhere. The number of
+    levels is a parameter, so the plan is of fixed size; a level's rows are max_pages a site at most.
     """
-    seen = roots.select("site", "url").distinct().withColumn("depth", F.lit(0))
-    level = seen
-    for d in range(1, depth + 1):
-        reached = level.select("site", F.col("url").alias("src")).join(edges, ["site", "src"]).select("site", "url").distinct()
-        level = reached.join(seen, ["site", "url"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(level)
-    w = Window.partitionBy("site").orderBy("depth", F.desc(hint_score(F.col("url"))), "url")
-    return seen.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= max_pages).select("site", "url", "depth", "place")
+    first = roots.groupBy("site", "url").agg(F.struct(F.min("ord").alias("ord"), F.lit(0).alias("hint")).alias("o"))
+    seen, level, taken = None, first, None
+    for d in range(depth + 1):
+        w = Window.partitionBy("site").orderBy("o.ord", "o.hint", "url")
+        placed = level.withColumn("place", F.row_number().over(w))
+        if taken is not None:
+            placed = placed.join(taken, "site").withColumn("place", F.col("place") + F.col("taken")).drop("taken")
+        placed = placed.filter(F.col("place") <= max_pages).select("site", "url", F.lit(d).alias("depth"), "place")
+        seen = placed if seen is None else seen.unionByName(placed)
+        if d < depth:
+            taken = seen.groupBy("site").agg(F.max("place").alias("taken"))
+            reached = placed.select("site", F.col("url").alias("src"), F.col("place").alias("ord")).join(edges, ["site", "src"])
+            found = reached.groupBy("site", "url").agg(F.min(F.struct("ord", (-hint_score(F.col("url"))).alias("hint"))).alias("o"))
+            level = found.join(seen.select("site", "url"), ["site", "url"], "left_anti")
+    return seen
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -92,10 +101,26 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return named.join(decided, ["origin", "_path"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_path", "_allow", "origin")
 
 
-def pacing(urls: DataFrame, rate_ms: int) -> DataFrame:
-    """host, url, seq, earliest_ms: when each request of a host may start, the first at 0."""
+def pacing(urls: DataFrame, rate_ms: int, clock: DataFrame | None = None, headers: str = "") -> DataFrame:
+    """host, url, seq, earliest_ms, headers: when each request of a host may start, the first at 0 or when its clock allows.
+
+    clock: host, last_ms, the last start on the same scale, of an earlier run (see clock_after). headers: a JSON text of
+    more headers for each request, as a map; none where it can't be read.
+    """
     w = Window.partitionBy("host").orderBy("url")
-    return urls.select(clean_host(F.col("url")).alias("host"), "url").distinct().withColumn("seq", F.row_number().over(w)).withColumn("earliest_ms", (F.col("seq") - 1) * F.lit(rate_ms).cast("long"))
+    rows = urls.select(clean_host(F.col("url")).alias("host"), "url").distinct().withColumn("seq", F.row_number().over(w))
+    free = F.lit(0).cast("long")
+    if clock is not None:
+        rows = rows.join(clock.select("host", "last_ms"), "host", "left")
+        free = F.greatest(free, F.coalesce(F.col("last_ms") + rate_ms, F.lit(0)))
+    planned = rows.withColumn("earliest_ms", free + (F.col("seq") - 1) * F.lit(rate_ms).cast("long")).withColumn("headers", header_options(F.lit(headers)))
+    return planned.select("host", "url", "seq", "earliest_ms", "headers")
+
+
+def clock_after(planned: DataFrame, clock: DataFrame | None = None) -> DataFrame:
+    """host, last_ms: each host's last planned start, or the one it had; what the next run's pacing begins with."""
+    last = planned.groupBy("host").agg(F.max("earliest_ms").alias("last_ms"))
+    return last if clock is None else last.unionByName(clock.select("host", "last_ms")).groupBy("host").agg(F.max("last_ms").alias("last_ms"))
 
 
 def backoff(retries: int, backoff_ms: int):

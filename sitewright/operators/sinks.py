@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def write_results(results: DataFrame, path: str, kind: str = "csv") -> None:
         return
     out = results.select(F.col("site").alias("domain"), "company", "owner", "email")
     if kind == "jsonl":
-        out.write.mode("append").json(path)
+        out.fillna("").write.mode("append").json(path)
         return
     clean = out.select(*[F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]+", " ")).alias(c) for c in out.columns])
     clean.write.mode("append").option("quoteAll", True).option("escape", '"').option("sep", "\t" if kind == "tsv" else ",").csv(path)
@@ -40,19 +41,29 @@ def write_evidence(evidence: DataFrame, path: str) -> None:
     evidence.withColumn("ts", F.current_timestamp()).write.mode("append").json(path)
 
 
+def _place(path: str):
+    """The file system of a path and the path on it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def to_do(spark: SparkSession, domains: DataFrame, path: str, kind: str) -> DataFrame:
     """Domains (domain) that the results at path do not have yet; all where there are none."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    try:
+        done = earlier_results(spark, path, kind)
+        done.schema  # noqa: B018 - a path that is not there shows when the plan is made
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         return domains
-    return pending(domains, earlier_results(spark, path, kind))
+    return pending(domains, done)
 
 
-def back_up(spark: SparkSession, path: str, stamp: str) -> None:
+def back_up(path: str, stamp: str) -> None:
     """Moves results aside under a stamp, so that a run begins anew."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(place):
-        fs.rename(place, jvm.org.apache.hadoop.fs.Path(f"{path}.{stamp}"))
+    from pyarrow.fs import FileType
+
+    system, place = _place(path)
+    if system.get_file_info(place).type != FileType.NotFound:
+        system.move(place, f"{place}.{stamp}")

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from sitewright.config import BLOCKED_PHRASES, HINTS, PATHS, SHORT_PATHS, STOPWORDS, SUFFIXES, Config
-from sitewright.functions import emails as E
-from sitewright.functions import text as X
-from sitewright.functions import urls as U
+from sitewright.config import BLOCKED_PHRASES, HINTS, PATHS, SHORT_PATHS, STOPWORDS, Config
 
 
 def _q(x: str) -> str:
@@ -20,10 +17,21 @@ def _list(xs) -> str:
     return ", ".join(map(_q, xs))
 
 
-_DIRECT, _BODY = _q(E.DIRECT), _q(E.BODY)
-_HOST = lambda c: f"regexp_replace(lower(regexp_extract(trim({c}), {_q(U.HOST)}, 1)), '^www\\.', '')"
+# Patterns are written here anew, not taken from the code that they check.
+_DIRECT = _q(r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b")
+_BODY = _q(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_WRITTEN = _q(r"(?i)([a-z0-9._%+\-]+)\s*(?:\(|\[)?\s*(?:at|@)\s*(?:\)|\])?\s*([a-z0-9.\-]+)\s*(?:\(|\[)?\s*(?:dot|\.)\s*(?:\)|\])?\s*([a-z]{2,})")
+_DECODE = [("(?i)&#64;|&commat;|%40", "@"), (r"(?i)\s*\[at\]\s*|\s*\(at\)\s*|\s+at\s+", "@"), (r"(?i)\s*\[dot\]\s*|\s*\(dot\)\s*|\s+dot\s+", "."), ("(?i)&#46;|&period;|%2e", "."), ("(?i)&amp;", "&")]
+_TITLE = _q("(?is)<title[^>]*>(.*?)</title>")
+_LINK, _TARGET = _q(r"(?i)<a\s[^>]*>"), _q(r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_COMPANY_PATH = _q(r"(?i)^/(about|team|people|leadership|company|founder|chi-siamo|azienda|impressum|governance|directors|partners|management|contatti|contact|who-we-are)([^0-9A-Za-z_]|$)")
+_SITEMAP_PATH, _SITEMAP_WORDS = _q("(/|.html?)$"), _q("(?i)about|team|leadership|people|founder|chi-siamo|azienda|impressum|governance|directors|partners|management")
+_MAIL_LINK = _q(r"""(?i)<a\s[^>]*href=["']?mailto:([^"'?\s>]*)""")
+#: Public suffixes of the tables' hosts, and of the domains of addresses in documents.
+SUFFIXES = ["com", "net", "org", "it", "de", "fr", "es", "io", "eu", "uk", "co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br"]
+_HOST = lambda c: f"regexp_replace(lower(regexp_extract(trim({c}), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)', 1)), '^www\\.', '')"
 _PATH = lambda c: f"CASE WHEN regexp_extract({c}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({c}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
-_ORIGIN = lambda c: f"regexp_extract({c}, {_q(U.ORIGIN)}, 1)"
+_ORIGIN = lambda c: f"regexp_extract({c}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
 _HINT = lambda c: " + ".join(f"CAST(contains(lower({c}), {_q(h)}) AS INT)" for h in HINTS)
 _FOLD = lambda c: f"regexp_replace(strip_accents(lower({c})), '[^a-z]', '', 'g')"
 _CSV = lambda c: f"'\"' || replace(trim(regexp_replace(coalesce({c}, ''), '[\\r\\n]+', ' ', 'g')), '\"', '\"\"') || '\"'"
@@ -41,10 +49,13 @@ def _registrable(source: str, name: str) -> str:
 {name} AS (SELECT s.*, coalesce(l.label || '.' || l.suffix, s.host) AS site, coalesce(l.label, split_part(s.host, '.', 1)) AS root FROM {source} s LEFT JOIN {name}_label l ON s.host = l.host)"""
 
 
+_UNESCAPE = lambda c: f"replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
 _P = f"WITH h AS (SELECT page_id, url, html, {_HOST('url')} AS host FROM pages),\n{_registrable('h', 'p')}"
 _CLEAN = lambda c: f"regexp_replace({c}, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g')"
 _LINKS = f"""{_P},
-raw AS (SELECT page_id, site, url AS base, unnest(regexp_extract_all({_CLEAN('html')}, {_q(X.HREF)}, 1)) AS href, generate_subscripts(regexp_extract_all({_CLEAN('html')}, {_q(X.HREF)}, 1), 1) - 1 AS pos FROM p),
+tag AS (SELECT page_id, site, url AS base, list_filter(regexp_extract_all({_CLEAN('html')}, {_LINK}), lambda x: regexp_matches(x, {_TARGET})) AS tags FROM p),
+raw AS (SELECT page_id, site, base, {_UNESCAPE(f"regexp_extract(tag, {_TARGET}, 1) || regexp_extract(tag, {_TARGET}, 2) || regexp_extract(tag, {_TARGET}, 3)")} AS href, pos FROM (
+SELECT page_id, site, base, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS pos FROM tag)),
 cut AS (SELECT page_id, site, base, pos, href, regexp_replace(trim(href), '#.*$', '') AS r FROM raw WHERE trim(href) <> '' AND NOT starts_with(trim(href), '#')),
 links AS (SELECT page_id, site, base, pos, CASE WHEN regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN r WHEN starts_with(r, '/') THEN {_ORIGIN('base')} || r ELSE regexp_replace(regexp_replace(base, '[?#].*$', ''), '[^/]*$', '') || r END AS url FROM cut)"""
 _DOC_EMAILS = f"SELECT doc_id, unnest({_EMAILS('text')}) AS email FROM documents"
@@ -69,26 +80,45 @@ AND NOT regexp_matches({_FOLD('last')}, '(s|ing)$') AND {_FOLD('first')} NOT IN
 _SCORES = f"""{_PAIRS},
 scores AS (SELECT source AS site, {_FOLD('first')} || ' ' || {_FOLD('last')} AS name_key, sum(5) AS weight, 'Director' AS title, arg_min(first, doc_id * 1000000 + hit_ord) AS first, arg_min(last, doc_id * 1000000 + hit_ord) AS last FROM named WHERE {_HUMAN} GROUP BY 1, 2),
 owners AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY weight DESC, last, first) AS k FROM scores WHERE weight >= 4) WHERE k = 1)"""
-_UNESCAPE = lambda c: f"replace(replace(replace(replace(replace(replace({c}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
-_COMPANY = f"""named AS (SELECT site, page_id, trim(regexp_extract({_UNESCAPE(f"trim(regexp_replace(regexp_extract(html, {_q(X.TITLE)}, 1), '\\s+', ' ', 'g'))")}, '^([^|—-]*)', 1)) AS company FROM p WHERE html IS NOT NULL),
+_COMPANY = f"""named AS (SELECT site, page_id, trim(regexp_extract({_UNESCAPE(f"trim(regexp_replace(regexp_extract(html, {_TITLE}, 1), '\\s+', ' ', 'g'))")}, '^([^|—-]*)', 1)) AS company FROM p WHERE html IS NOT NULL),
 page_named AS (SELECT * FROM named WHERE company <> ''),
 company AS (SELECT s.site, s.root, coalesce(c.company, upper(left(s.root, 1)) || substr(s.root, 2)) AS company FROM (SELECT DISTINCT site, root FROM p) s LEFT JOIN (SELECT site, arg_min(company, page_id) AS company FROM page_named GROUP BY site) c ON s.site = c.site)"""
 _PAGE_EMAILS = f"found AS (SELECT DISTINCT site, unnest({_EMAILS('html')}) AS email FROM p)"
 _DECODED = "text"
-for _pattern, _plain in E.DECODINGS:
+for _pattern, _plain in _DECODE:
     _DECODED = f"regexp_replace({_DECODED}, {_q(_pattern)}, '{_plain}', 'g')"
 _BODY_OF = lambda c: f"list_distinct(regexp_extract_all({_DECODED.replace('(text,', f'({c},', 1)}, {_BODY}, 0))"
 _MX = f"mx_hosts AS (SELECT DISTINCT {_MAIL('email')} AS host FROM ({_DOC_EMAILS})),\n{_registrable('mx_hosts', 'mx')}"
 _SEEDS = lambda paths: f"SELECT site, 'https://' || site || paths[i + 1] AS url, i AS ord FROM (SELECT DISTINCT site FROM p), (SELECT [{_list(paths)}] AS paths), range(0, {len(paths)}) t(i)"
 _RULES = [("/fr/%", 4, 0), ("/fr/8%", 5, 1), ("/%?page=%", 8, 0)]
 
+_NAME = r"([A-Z][\p{L}'’-]+)"
+_PAIR = rf"\b{_NAME}\s{_NAME}\b"
+_ROLES = "Owner|Owner Manager|Founder|Co-Founder|CEO|President|Managing Director|Director|Partner|Principal|Proprietor|Titolare|Fondatore|Co-Fondatore|Amministratore Delegato|Direttore Generale|Proprietario|Amministratore Unico|Legale Rappresentante|Geschäftsführer|Inhaber|Président|Directeur Général|Dirigente|Managing Partner|Chairman|Chairwoman|Executive Director"
+_ROLE_NAME = _q(rf"(?i)\b({_ROLES})\b[^.\n:]{{0,200}}?\b{_NAME}\s{_NAME}\b")
+_SQUEEZE = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+_BODY_TEXT = _SQUEEZE(_UNESCAPE("regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>|<title[^>]*>.*?</title>', '', 'g'), '<[^>]*>', '', 'g')"))
+_SEEN = _UNESCAPE(_UNESCAPE(f"regexp_replace({_CLEAN('html')}, '<[^>]*>', ' ', 'g')"))
+_BOTH = f"SELECT page_id, x FROM (SELECT page_id, unnest([{_SEEN}, {_UNESCAPE('html')}]) AS x FROM pages WHERE html IS NOT NULL)"
+_HEADINGS = f"""{_P}, heads AS (SELECT site, page_id, unnest(regexp_extract_all({_CLEAN('html')}, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1)) AS raw, generate_subscripts(regexp_extract_all({_CLEAN('html')}, '(?is)<h[1-4][^>]*>(.*?)</h[1-4]>', 1), 1) - 1 AS pos FROM p),
+blocks AS (SELECT site, page_id, pos, {_SQUEEZE(_UNESCAPE("regexp_replace(raw, '<[^>]*>', '', 'g')"))} AS block FROM heads),
+cut AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS hit FROM (SELECT *, regexp_extract(block, {_q(_PAIR)}, 1) AS first, regexp_extract(block, {_q(_PAIR)}, 2) AS last FROM blocks) WHERE first <> ''),
+people AS (SELECT * FROM cut WHERE regexp_matches(first, '^[A-Z][a-zÀ-ÖØ-öø-ÿ''’-]+$') AND regexp_matches(last, '^[A-Z][a-zÀ-ÖØ-öø-ÿ''’-]+$') AND {_HUMAN})"""
+
 SQL: dict[str, str] = {
+    "title_people": f"""{_P} SELECT site, page_id, hit_ord, regexp_extract(m, {_ROLE_NAME}, 1) AS title, regexp_extract(m, {_ROLE_NAME}, 2) AS first, regexp_extract(m, {_ROLE_NAME}, 3) AS last, 4 AS weight FROM (
+SELECT site, page_id, unnest(found) AS m, generate_subscripts(found, 1) - 1 AS hit_ord FROM (SELECT site, page_id, regexp_extract_all({_BODY_TEXT}, {_ROLE_NAME}, 0) AS found FROM p))""",
+    "heading_people": f"{_HEADINGS} SELECT site, page_id, pos AS hit_ord, left(block, 160) AS title, first, last, 2 AS weight FROM people",
+    "dom_people": f"{_HEADINGS} SELECT site, page_id, 3 AS channel_ord, hit AS hit_ord, left(block, 160) AS title, first, last, 2 AS weight FROM people",
+    "card_links": f"{_LINKS} SELECT site, page_id, url, rank FROM (SELECT site, page_id, url, row_number() OVER (PARTITION BY site ORDER BY page_id, pos) AS rank FROM links WHERE (ends_with(url, '.vcf') OR contains(url, 'vcard')) AND {_SCOPE(_HOST('url'), 'site')}) WHERE rank <= 3",
+    "all_addresses": f"""SELECT DISTINCT page_id, email FROM (SELECT page_id, unnest({_EMAILS('x')}) AS email FROM ({_BOTH}) UNION ALL
+SELECT page_id, lower(a || '@' || b || '.' || c) FROM (SELECT page_id, unnest(regexp_extract_all(x, {_WRITTEN}, 1)) AS a, unnest(regexp_extract_all(x, {_WRITTEN}, 2)) AS b, unnest(regexp_extract_all(x, {_WRITTEN}, 3)) AS c FROM ({_BOTH})))""",
     "site_emails": f"{_P}, {_PAGE_EMAILS} SELECT s.site AS domain, coalesce(f.email, '') AS email FROM (SELECT DISTINCT site FROM p) s LEFT JOIN found f ON s.site = f.site",
     "page_emails": f"SELECT page_id, unnest({_EMAILS('html')}) AS email FROM pages",
     "document_emails": _DOC_EMAILS,
     "conversation_emails": f"SELECT conv_id, turn, unnest({_EMAILS('text')}) AS email FROM conversations",
     "obfuscated_emails": f"""SELECT DISTINCT doc_id, lower(a || '@' || b || '.' || c) AS email FROM (
-SELECT doc_id, unnest(regexp_extract_all(text, {_q(E.OBFUSCATED)}, 1)) AS a, unnest(regexp_extract_all(text, {_q(E.OBFUSCATED)}, 2)) AS b, unnest(regexp_extract_all(text, {_q(E.OBFUSCATED)}, 3)) AS c FROM documents)""",
+SELECT doc_id, unnest(regexp_extract_all(text, {_WRITTEN}, 1)) AS a, unnest(regexp_extract_all(text, {_WRITTEN}, 2)) AS b, unnest(regexp_extract_all(text, {_WRITTEN}, 3)) AS c FROM documents)""",
     "decoded_emails": f"SELECT doc_id, unnest({_BODY_OF('text')}) AS email FROM documents",
     "email_scope": f"{_P} SELECT page_id, email, {_SCOPE(_MAIL('email'), 'site')} AS in_scope FROM (SELECT page_id, site, unnest({_BODY_OF('html')}) AS email FROM p)",
     "hosts": f"SELECT page_id, {_HOST('url')} AS host, regexp_replace(lower(regexp_extract(trim(url), '^(?:[^:/]+://)?([^/?#]+)', 1)), '^www\\.', '') AS net_location FROM pages",
@@ -98,19 +128,22 @@ SELECT page_id, {_HOST("trim(regexp_replace(line, '#.*$', ''))")} AS h, lower(re
 FROM (SELECT page_id, url || ' # note' AS line FROM pages))""",
     "page_links": f"{_LINKS} SELECT page_id, pos, url FROM links",
     "scored_links": f"{_LINKS} SELECT DISTINCT site, url, {_HINT('url')} AS score FROM links",
-    "inner_links": f"{_LINKS} SELECT DISTINCT site, {_ORIGIN('url')} || ({_PATH('url')}) AS url FROM links WHERE {_SCOPE(_HOST('url'), 'site')} AND regexp_matches({_PATH('url')}, {_q(U.PATH_GATE)})",
+    "inner_links": f"{_LINKS} SELECT DISTINCT site, {_ORIGIN('url')} || ({_PATH('url')}) AS url FROM links WHERE {_SCOPE(_HOST('url'), 'site')} AND regexp_matches({_PATH('url')}, {_COMPANY_PATH})",
     "seed_frontier": f"{_P} {_SEEDS(PATHS)}",
     "short_seed_frontier": f"{_P} {_SEEDS(SHORT_PATHS)}",
     "frontier_budget": f"""{_P}, u AS (SELECT site, url, 0 AS r, ord FROM ({_SEEDS(PATHS)}) UNION ALL SELECT site, url, 1, min(page_id) FROM p GROUP BY site, url),
 one AS (SELECT site, url, min(r * 10000000000 + ord) AS o FROM u GROUP BY site, url)
 SELECT site, url, CAST(o // 10000000000 AS INT) AS src_rank, place FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY o, url) AS place FROM one) WHERE place <= 40""",
-    "bfs_depth2": f"""{_LINKS}, edges AS (SELECT DISTINCT l.site, l.base AS src, l.url FROM links l), zero AS (SELECT DISTINCT site, url FROM p),
-one AS (SELECT DISTINCT e.site, e.url FROM zero z JOIN edges e ON z.site = e.site AND z.url = e.src WHERE (e.site, e.url) NOT IN (SELECT (site, url) FROM zero)),
-two AS (SELECT DISTINCT e.site, e.url FROM one z JOIN edges e ON z.site = e.site AND z.url = e.src WHERE (e.site, e.url) NOT IN (SELECT (site, url) FROM zero) AND (e.site, e.url) NOT IN (SELECT (site, url) FROM one)),
-seen AS (SELECT *, 0 AS depth FROM zero UNION ALL SELECT *, 1 FROM one UNION ALL SELECT *, 2 FROM two)
-SELECT site, url, depth, place FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, {_HINT('url')} DESC, url) AS place FROM seen) WHERE place <= {Config().bfs_pages}""",
+    "bfs_depth2": f"""{_LINKS}, edges AS (SELECT DISTINCT l.site, l.base AS src, l.url FROM links l),
+zero AS (SELECT * FROM (SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY min(page_id), url) AS place FROM p GROUP BY site, url) WHERE place <= 3),
+one AS (SELECT site, url, 3 + row_number() OVER (PARTITION BY site ORDER BY o, {_HINT('url')} DESC, url) AS place FROM (
+SELECT e.site, e.url, min(z.place) AS o FROM zero z JOIN edges e ON z.site = e.site AND z.url = e.src WHERE (e.site, e.url) NOT IN (SELECT (site, url) FROM zero) GROUP BY 1, 2)),
+one_in AS (SELECT * FROM one WHERE place <= {Config().bfs_pages}),
+two AS (SELECT x.site, url, (SELECT max(place) FROM (SELECT * FROM zero UNION ALL SELECT * FROM one_in) s WHERE s.site = x.site) + row_number() OVER (PARTITION BY x.site ORDER BY o, {_HINT('url')} DESC, url) AS place FROM (
+SELECT e.site, e.url, min(z.place) AS o FROM one_in z JOIN edges e ON z.site = e.site AND z.url = e.src WHERE (e.site, e.url) NOT IN (SELECT (site, url) FROM zero) AND (e.site, e.url) NOT IN (SELECT (site, url) FROM one_in) GROUP BY 1, 2) x)
+SELECT * FROM (SELECT site, url, 0 AS depth, place FROM zero UNION ALL SELECT site, url, 1, place FROM one_in UNION ALL SELECT site, url, 2, place FROM two) WHERE place <= {Config().bfs_pages}""",
     "sitemap_topk": f"""{_P} SELECT site, url, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, url) AS rank FROM (
-SELECT DISTINCT site, url, CAST(regexp_matches(url, {_q(U.SITEMAP_HINT)}) AS INT) AS score FROM p WHERE regexp_matches({_PATH('url')}, {_q(U.SITEMAP_GATE)}))) WHERE rank <= {Config().sitemap_budget()}""",
+SELECT DISTINCT site, url, CAST(regexp_matches(url, {_SITEMAP_WORDS}) AS INT) AS score FROM p WHERE regexp_matches({_PATH('url')}, {_SITEMAP_PATH}))) WHERE rank <= {Config().sitemap_budget()}""",
     "hinted_sitemap_topk": f"{_P} SELECT site, url, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, url) AS rank FROM (SELECT DISTINCT site, url, {_HINT('url')} AS score FROM p)) WHERE rank <= {Config().bfs_pages}",
     "dedupe_domains": f"SELECT arg_min(domain, page_id) AS domain, min(page_id) AS line_no FROM (SELECT page_id, CASE WHEN starts_with(url, 'https') THEN upper({_HOST('url')}) ELSE {_HOST('url')} END AS domain FROM pages) GROUP BY lower(domain)",
     "pending_domains": f"{_P}, {_PAGE_EMAILS} SELECT DISTINCT site AS domain FROM p WHERE site NOT IN (SELECT site FROM found)",
@@ -127,7 +160,7 @@ SELECT DISTINCT site, url, CAST(regexp_matches(url, {_q(U.SITEMAP_HINT)}) AS INT
 (lower(first) IN ({_list(STOPWORDS)}) OR lower(last) IN ({_list(STOPWORDS)}) OR contains(lower(first || ' ' || last), 'zzyzx')) AS other_name FROM owners""",
     "mx_gate": f"{_P}, {_MX} SELECT DISTINCT site, site IN (SELECT site FROM mx) AS has_mx FROM p",
     "resolved_sites": f"""{_P}, {_COMPANY}, {_MX},
-found AS (SELECT DISTINCT site, email FROM (SELECT site, trim(unnest(list_concat(regexp_extract_all(html, {_q(X.MAILTO)}, 1), {_BODY_OF('html')}))) AS email FROM p) WHERE email <> '' AND {_SCOPE(_MAIL('email'), 'site')}),
+found AS (SELECT DISTINCT site, email FROM (SELECT site, trim(unnest(list_concat(regexp_extract_all(html, {_MAIL_LINK}, 1), {_BODY_OF('html')}))) AS email FROM p) WHERE email <> '' AND {_SCOPE(_MAIL('email'), 'site')}),
 best AS ({_BEST('found')})
 SELECT c.site, c.company, '' AS owner, CASE WHEN c.site IN (SELECT site FROM mx) THEN coalesce(b.email, '') ELSE '' END AS email,
 CASE WHEN c.site IN (SELECT site FROM mx) AND b.email IS NOT NULL THEN 'observed' ELSE 'none' END AS email_origin FROM company c LEFT JOIN best b ON c.site = b.site""",

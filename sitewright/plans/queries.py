@@ -121,10 +121,13 @@ def frontier_budget(spark, sf_dir):
 
 
 def bfs_depth2(spark, sf_dir):
+    """A walk from each site's first three pages."""
     pages = S.pages(spark, sf_dir)
     found = frontier.links(pages).join(pages.select("page_id", F.col("url").alias("src")), "page_id")
     edges = found.select("site", "src", "url").distinct()
-    return frontier.breadth_first(_captured_urls(pages), edges, Config().max_depth, Config().bfs_pages)
+    w = Window.partitionBy("site").orderBy("ord", "url")
+    roots = pages.groupBy("site", "url").agg(F.min("page_id").alias("ord")).withColumn("_k", F.row_number().over(w)).filter("_k <= 3")
+    return frontier.breadth_first(roots, edges, Config().max_depth, Config().bfs_pages)
 
 
 def sitemap_topk(spark, sf_dir):
@@ -221,7 +224,7 @@ def robots_gate(spark, sf_dir):
 
 
 def pacing_schedule(spark, sf_dir):
-    return frontier.pacing(S.table(spark, sf_dir, "pages").select("url"), Config().rate_ms)
+    return frontier.pacing(S.table(spark, sf_dir, "pages").select("url"), Config().rate_ms).drop("headers")
 
 
 def backoff_waits(spark, sf_dir):
@@ -283,15 +286,11 @@ def dom_people(spark, sf_dir):
     return dom.dom_people(S.pages(spark, sf_dir), strict=False, linked_data=False)
 
 
-def jsonld_people(spark, sf_dir):
-    return dom.dom_people(S.pages(spark, sf_dir), cards=False, blocks=False)
-
-
 _ALL = [
     site_emails, page_emails, document_emails, conversation_emails, obfuscated_emails, decoded_emails, email_scope, hosts, registrable_domains, domain_lines,
     page_links, scored_links, inner_links, seed_frontier, short_seed_frontier, frontier_budget, bfs_depth2, sitemap_topk, hinted_sitemap_topk,
     dedupe_domains, pending_domains, queue_total, page_company, site_company, quoted_titles, title_people, heading_people, human_names, person_scores, owner_pick,
     pattern_scores, ranked_emails, company_like, mx_gate, resolved_sites, robots_gate, pacing_schedule, backoff_waits, evidence_hashes, csv_rows,
-    content_gate, cache_merge, format_by_path, first_fetches, card_links, all_addresses, dom_people, jsonld_people,
+    content_gate, cache_merge, format_by_path, first_fetches, card_links, all_addresses, dom_people,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.config import PATHS, Config
+from sitewright.config import PATHS, SHORT_PATHS, Config
 from sitewright.functions.urls import clean_host, in_scope
 from sitewright.operators import contacts as C
 from sitewright.operators import dom, frontier, sinks
@@ -40,7 +40,7 @@ def chosen_pages(captured: Captured, sites: DataFrame, config: Config) -> DataFr
     wanted = frontier.budget(sources, config.page_budget()).select("site", bare(F.col("url")).alias("_bare")).distinct()
     kept = known.withColumn("_bare", bare(F.col("url"))).join(wanted, ["site", "_bare"], "left_semi").drop("_bare")
     if captured.robots is not None:
-        kept = frontier.allowed(kept, S.robot_rules(captured.robots)).filter("allowed").drop("allowed")
+        kept = frontier.allowed(kept, S.robot_rules(captured.robots, config.agent)).filter("allowed").drop("allowed")
     return kept
 
 
@@ -53,23 +53,29 @@ def people_of(pages: DataFrame, config: Config) -> DataFrame:
 
 def resolve_sites(captured: Captured, sites: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(records, evidence) of sites (site, root)."""
-    pages = chosen_pages(captured, sites, config)
+    pages = chosen_pages(captured, sites, config).persist()
     found = C.page_emails(pages, config.mode).select("site", "email")
     if captured.cards is not None:
         found = C.card_emails(C.card_links(pages), captured.cards).select("site", "email").unionByName(found)
     named = C.site_company(pages)
     companies = sites.select("site", "root").distinct().join(named.select("site", "company"), "site", "left").withColumn("company", F.coalesce("company", F.concat(F.upper(F.substring("root", 1, 1)), F.expr("substring(root, 2)"))))
     owners = C.pick_owner(C.score_people(people_of(pages, config)), "UNICODE")
+    found = found.distinct().persist()
     records = C.resolve(companies, owners, found, captured.mx)
     return records, C.evidence(pages, found, records, config.hash_evidence)
 
 
 def run_batch(spark: SparkSession, captured: Captured, domains: DataFrame, out: str, kind: str = "csv", evidence_out: str = "", config: Config = Config()) -> DataFrame:
-    """Resolves the domains (domain, line_no) that `out` does not have yet, appends them there, and returns their records."""
+    """Resolves the domains (domain, line_no) that `out` does not have yet, appends them there, and returns their records.
+
+    The pages chosen, addresses and records are kept while the run goes on, so results, evidence and the records that are
+    returned come from one computation; what a lost executor held is made again.
+    """
     suffixes = captured.suffixes if captured.suffixes is not None else S.suffix_table(spark)
     todo = sinks.to_do(spark, C.first_of_each(domains).select(F.lower("domain").alias("domain")), out, kind) if out else C.first_of_each(domains)
     sites = S.registrable(todo.select(F.lower("domain").alias("host")), suffixes).select("site", "root").distinct()
     records, log = resolve_sites(captured, sites, config)
+    records = records.persist()
     sinks.write_results(records, out, kind)
     if evidence_out:
         sinks.write_evidence(log, evidence_out)
@@ -80,11 +86,11 @@ def crawl_addresses(captured: Captured, domains: DataFrame, config: Config = Con
     """domain, email of every domain (domain): all addresses on captured pages within reach of its seeds, or an empty one."""
     pages = captured.pages.withColumn("host", clean_host(F.col("url"))).join(domains.select(F.col("domain").alias("host")), "host", "left_semi").withColumn("site", F.col("host"))
     edges = frontier.links(pages).join(pages.select("page_id", F.col("url").alias("src")), "page_id").filter(clean_host(F.col("url")) == F.col("site")).select("site", "src", "url").distinct()
-    roots = frontier.short_seeds(domains.select(F.col("domain").alias("site"))).select("site", "url")
+    roots = frontier.short_seeds(domains.select(F.col("domain").alias("site"))).select("site", "url", "ord")
     if config.sitemap and captured.sitemaps is not None:
-        roots = roots.union(frontier.hinted_sitemap(S.sitemap_urls(captured.sitemaps), config.bfs_pages).select("site", "url"))
+        roots = roots.union(frontier.hinted_sitemap(S.sitemap_urls(captured.sitemaps, whole_host=True), config.bfs_pages).select("site", "url", F.col("rank") + len(SHORT_PATHS)))
     # Seeds without a captured page lead nowhere and take no place in the budget.
-    roots = roots.join(pages.select("url").distinct(), "url", "left_semi").select("site", "url")
+    roots = roots.join(pages.select("url").distinct(), "url", "left_semi").select("site", "url", "ord")
     reached = frontier.breadth_first(roots, edges.join(pages.select("url").distinct(), "url", "left_semi").select("site", "src", "url"), config.max_depth, config.bfs_pages)
     read = pages.join(reached.select("site", "url"), ["site", "url"], "left_semi")
     found = C.all_addresses(read).join(read.select("page_id", F.col("site").alias("domain")), "page_id").select("domain", "email").distinct()

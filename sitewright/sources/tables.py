@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.config import SUFFIXES
+from sitewright.config import ANY_NAME, EXCEPTIONS, SECOND_LEVEL
 from sitewright.functions.urls import clean_host, domain_line, host_suffixes, in_scope, shell_line
 
 ROBOT_LINE = r"(?i)^[ \t]*(user-agent|allow|disallow)[ \t]*:[ \t]*([^#]*)"
@@ -43,20 +46,37 @@ def earlier_results(spark: SparkSession, path: str, kind: str) -> DataFrame:
 
 
 def suffix_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SUFFIXES], "suffix string")
+    """suffix: the rules of config, as the public suffix list writes them: names, *.names and !exceptions."""
+    rules = [f"{name}.{country}" for country, names in SECOND_LEVEL.items() for name in names.split()]
+    return spark.createDataFrame([(s,) for s in [*rules, *ANY_NAME, *EXCEPTIONS]], "suffix string")
+
+
+def suffix_file(spark: SparkSession, path: str) -> DataFrame:
+    """suffix: the rules of a file in the form of the public suffix list; comments and blank lines are left out."""
+    rule = F.regexp_extract("value", r"^(\S+)", 1)
+    return spark.read.text(path).select(F.lower(rule).alias("suffix")).filter((F.col("suffix") != "") & ~F.startswith("suffix", F.lit("//")))
 
 
 def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Adds site (a label and the longest suffix that fits, else the host) and root (that label) to rows with host."""
-    names = hosts.select("host").distinct()
-    tails = names.select("host", F.explode(host_suffixes(F.col("host"))).alias("suffix")).join(suffixes.select("suffix"), "suffix")
-    longest = tails.groupBy("host").agg(F.max_by("suffix", F.length("suffix")).alias("suffix"))
-    head = F.regexp_extract(F.expr("left(host, length(host) - length(suffix))"), r"([^.]+)\.$", 1)
-    site = longest.select("host", head.alias("label"), "suffix").filter("label <> ''")
-    out = hosts.join(site, "host", "left")
-    root = F.coalesce(F.col("label"), F.split_part(F.col("host"), F.lit("."), F.lit(1)))
-    site = F.when(F.col("label").isNotNull(), F.concat_ws(".", "label", "suffix")).otherwise(F.col("host"))
-    return out.withColumn("site", site).withColumn("root", root).drop("label", "suffix")
+    """Adds site (a label and the public suffix, else the host) and root (that label, else the first) to rows with host.
+
+    The suffix is that of the longest rule that fits, an exception before all: *.x takes any name under x, !y.x takes y.x
+    out of that again. A host that no rule fits has its last label as suffix. Only distinct hosts meet the rules.
+    """
+    named = F.regexp_extract("suffix", r"^(?:!|\*\.)?(.*)$", 1)
+    rules = suffixes.select(named.alias("key"), F.startswith("suffix", F.lit("*.")).alias("any"), F.startswith("suffix", F.lit("!")).alias("except")).distinct()
+    rest = lambda x: F.regexp_replace(x, r"^[^.]*\.?", "")
+    tails = hosts.select("host").distinct().select("host", F.explode(host_suffixes(F.col("host"))).alias("tail"))
+    keys = tails.select("host", "tail", F.explode(F.array(F.struct(F.col("tail").alias("key"), F.lit(False).alias("any")), F.struct(rest(F.col("tail")).alias("key"), F.lit(True).alias("any")))).alias("k")).select("host", "tail", "k.*")
+    fits = keys.join(rules, ["key", "any"]).select("host", "except", F.when(F.col("except"), rest(F.col("tail"))).otherwise(F.col("tail")).alias("suffix"))
+    found = fits.groupBy("host").agg(F.max_by("suffix", F.struct("except", F.length("suffix"))).alias("suffix"))
+    out = hosts.join(found, "host", "left")
+    suffix = F.coalesce("suffix", F.element_at(host_suffixes(F.col("host")), -1))
+    label = F.regexp_extract(F.expr("left(host, length(host) - length(_suffix))"), r"([^.]+)\.$", 1)
+    out = out.withColumn("_suffix", suffix).withColumn("_label", label)
+    whole = F.col("_label") != ""
+    out = out.withColumn("site", F.when(whole, F.concat_ws(".", "_label", "_suffix")).otherwise(F.col("host")))
+    return out.withColumn("root", F.when(whole, F.col("_label")).otherwise(F.split_part(F.col("host"), F.lit("."), F.lit(1)))).drop("suffix", "_suffix", "_label")
 
 
 def pages(spark: SparkSession, sf_dir: str, suffixes: DataFrame | None = None) -> DataFrame:
@@ -88,29 +108,37 @@ def with_cache(answers: DataFrame, cache: DataFrame) -> DataFrame:
     return both.select("url", "url_sha", "status", F.when(fresh, F.col("body")).otherwise(F.col("_body")).alias("body"), F.when(fresh, F.col("etag")).otherwise(F.coalesce("etag", "_etag")).alias("etag"))
 
 
-def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
-    """site, url of every loc of captured sitemaps (site, xml) that lies in the site; duplicates fall out."""
+def sitemap_urls(sitemaps: DataFrame, whole_host: bool = False) -> DataFrame:
+    """site, url of every loc of captured sitemaps (site, xml) that lies in the site (whole_host: on its own host); duplicates fall out."""
     locs = sitemaps.select("site", F.explode(F.regexp_extract_all("xml", F.lit(r"(?i)<loc>[ \t\r\n]*([^<\s]+)[ \t\r\n]*</loc>"), F.lit(1))).alias("url"))
-    return locs.filter(in_scope(clean_host(F.col("url")), F.col("site"))).distinct()
+    host = clean_host(F.col("url"))
+    return locs.filter(host == F.col("site") if whole_host else in_scope(host, F.col("site"))).distinct()
 
 
 def robot_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """origin, rule, allow of captured robots.txt (origin, txt), for the groups that name the agent or all agents."""
+    """origin, rule, allow of captured robots.txt (origin, txt): the rules of the groups that name the agent, or, where none does, those for all agents.
+
+    Names count in any case and without what follows a slash. A group without a rule line names nobody; a rule line without
+    a path makes the group count, but rules nothing out.
+    """
     lines = robots.select("origin", F.posexplode(F.split("txt", r"\r?\n", -1)).alias("k", "line"))
     told = lines.select("origin", "k", F.lower(F.regexp_extract("line", ROBOT_LINE, 1)).alias("field"), F.trim(F.regexp_extract("line", ROBOT_LINE, 2)).alias("value")).filter("field <> ''")
     lists = told.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("k", "field", "value"))).alias("lines"))
     # A group's agents come before its rules; an agent line after a rule begins a new group.
-    start = F.struct(F.lit(False).alias("mine"), F.lit(True).alias("open"), F.expr("cast(array() as array<struct<rule:string,allow:boolean>>)").alias("rules"))
+    start = F.struct(F.expr("cast(array() as array<string>)").alias("names"), F.lit(True).alias("open"), F.expr("cast(array() as array<struct<agent:string,rule:string,allow:boolean>>)").alias("rules"))
 
     def read(s: Column, x: Column) -> Column:
         names = x["field"] == "user-agent"
-        hit = F.lower(x["value"]).isin("*", agent.lower())
-        mine = F.when(names, F.when(s["open"], s["mine"] | hit).otherwise(hit)).otherwise(s["mine"])
-        rule = F.array(F.struct(x["value"].alias("rule"), (x["field"] == "allow").alias("allow")))
-        rules = F.when(~names & s["mine"] & (x["value"] != ""), F.concat(s["rules"], rule)).otherwise(s["rules"])
-        return F.struct(mine.alias("mine"), names.alias("open"), rules.alias("rules"))
+        who = F.array(F.lower(F.trim(F.regexp_replace(x["value"], "/.*$", ""))))
+        group = F.when(names, F.when(s["open"], F.concat(s["names"], who)).otherwise(who)).otherwise(s["names"])
+        said = F.transform(s["names"], lambda a: F.struct(a.alias("agent"), x["value"].alias("rule"), (x["field"] == "allow").alias("allow")))
+        return F.struct(group.alias("names"), names.alias("open"), F.when(names, s["rules"]).otherwise(F.concat(s["rules"], said)).alias("rules"))
 
-    return lists.select("origin", F.explode(F.aggregate("lines", start, read, lambda s: s["rules"])).alias("r")).select("origin", "r.rule", "r.allow")
+    mine = F.lower(F.trim(F.regexp_replace(F.lit(agent), "/.*$", "")))
+    all_ = lists.select("origin", F.aggregate("lines", start, read, lambda s: s["rules"]).alias("rules"))
+    who = F.when(F.exists("rules", lambda r: r["agent"] == mine), mine).otherwise(F.lit("*"))
+    chosen = all_.withColumn("_who", who).select("origin", F.explode(F.filter("rules", lambda r: (r["agent"] == F.col("_who")) & (r["rule"] != ""))).alias("r"))
+    return chosen.select("origin", "r.rule", "r.allow")
 
 
 def decoded_body(body: Column, content_type: Column, limit: int) -> Column:
@@ -121,6 +149,37 @@ def decoded_body(body: Column, content_type: Column, limit: int) -> Column:
     return F.coalesce(text, F.make_valid_utf8(cut.cast("string")))
 
 
+def answer_pages(answers: DataFrame, limit: int, cache: DataFrame | None = None) -> DataFrame:
+    """page_id, url, html of captured answers (page_id, url, status, content_type, body binary, etag) that are pages.
+
+    Bodies are cut to `limit` bytes and decoded by their type's charset. With a cache (url_sha, body, etag), an answer of
+    status 304 has the cached body and counts as a page of its type, HTML where it has none.
+    """
+    rows = answers
+    if cache is not None:
+        bodies = with_cache(answers, cache).select("url", F.col("body").alias("_old"))
+        again = F.col("status") == 304
+        rows = rows.join(bodies.distinct(), "url", "left").withColumn("body", F.when(again, F.col("_old")).otherwise(F.col("body")))
+        rows = rows.withColumn("content_type", F.when(again, F.coalesce("content_type", F.lit("text/html"))).otherwise(F.col("content_type")))
+        rows = rows.withColumn("status", F.when(again & F.col("body").isNotNull(), 200).otherwise(F.col("status")))
+    return rows.filter(is_page(F.col("status"), F.col("content_type"))).select("page_id", "url", decoded_body(F.col("body"), F.col("content_type"), limit).alias("html"))
+
+
+def card_bodies(answers: DataFrame, limit: int) -> DataFrame:
+    """url, body of captured answers that are contact cards."""
+    return answers.filter(is_card(F.col("status"), F.col("content_type"))).select("url", decoded_body(F.col("body"), F.col("content_type"), limit).alias("body"))
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for files of a run, where spark.checkpoint.dir says; on a local master one of its own."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="sitewright-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def header_options(x: Column) -> Column:
     """A JSON text of headers as a map; empty where it can't be read."""
     return F.coalesce(F.from_json(x, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))

@@ -27,3 +27,9 @@ def append_addresses(pages: DataFrame, out: str, checkpoint: str, once: bool = F
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def drain(query: StreamingQuery) -> None:
+    """Ends a stream without losing what has arrived: pages that are there are taken in, the batch that runs is finished."""
+    query.processAllAvailable()
+    query.stop()

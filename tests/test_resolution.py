@@ -5,7 +5,7 @@ import dataclasses
 from pyspark.sql import functions as F
 
 from sitewright.config import Config
-from sitewright.functions import exact
+from sitewright.functions import text as X
 from sitewright.plans.resolution import Captured, chosen_pages, crawl_addresses, run_batch
 from sitewright.sources import tables as S
 
@@ -54,10 +54,45 @@ def test_crawl(spark):
     assert ("none.it", "") in got and not any("never" in e for _, e in got)
 
 
-def test_exact_functions(spark):
-    df = spark.createDataFrame([("https://h/a/b", "../c?x=1#f", "a&eacute;&#233;&amp;", "Łódź ﬁ"), ("https://h/", None, None, None)], "base string, href string, h string, n string")
-    r = df.select(exact.join_url(F.col("base"), F.col("href")).alias("u"), exact.unescape_html(F.col("h")).alias("h"), exact.fold_unicode(F.col("n")).alias("n")).collect()
-    assert (r[0].u, r[0].h, r[0].n) == ("https://h/c?x=1", "aéé&", "odzfi") and (r[1].u, r[1].h, r[1].n) == (None, None, None)
+def test_references_are_those_of_the_library(spark):
+    import html
+    import random
+
+    rng = random.Random(3)
+    bits = "&amp; &lt; &notit; &not &eacute; &Eacute &#64; &#x40; &#0064; &#150; &#0; &#13; &#1114112; &#xD800; &#x1F600; &#99999999999; &unknown; & &copyx &nbsp; &ThickSpace; &NotEqualTilde; &#; &#x; x é &#11; &#65534; &#x80 &amp;lt; &ampx; &#12a".split()
+    texts = ["".join(rng.choice([*bits, " ", "\n"]) for _ in range(rng.randrange(1, 8))) for _ in range(600)]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", None]], "x string")
+    for r in df.select("x", X.unescape(F.col("x")).alias("y")).collect():
+        assert r.y == (None if r.x is None else html.unescape(r.x))
+
+
+def test_attributes_in_any_form(spark):
+    page = """<a class=x href=/one>1</a><A title="a > b" HREF = '/two?a=1&amp;b=2'>2</A><a name=q>3</a><abbr href=no><!-- <a href=c> --><script>"<a href=s>"</script><a data-href="n" href="">e</a>
+    <a href="mailto:info&#64;x.it?subject=x"><meta content=Foo property="og:site_name"><meta itemprop=name content='B"r'>"""
+    r = spark.createDataFrame([(page,)], "h string").select(X.hrefs(F.col("h")).alias("a"), X.mail_links(F.col("h")).alias("m"), X.meta_content(F.col("h"), "property", "og:site_name").alias("s"), X.meta_content(F.col("h"), "itemprop", "name").alias("n"), X.meta_content(F.col("h"), "itemprop", "none").alias("z")).first()
+    assert r.a == ["/one", "/two?a=1&b=2", "", "mailto:info@x.it?subject=x"] and r.m == ["info@x.it"] and (r.s, r.n, r.z) == ("Foo", 'B"r', None)
+
+
+def test_written_out_addresses_equal_a_plain_search(spark):
+    import random
+    import re
+
+    from sitewright.functions import emails as E
+
+    rng = random.Random(5)
+    bits = ["at", "@", "dot", ".", "(", "]", " ", "\n", "data", "table", "it", "a", "x-y", "[at]", "(dot)", "é", "%", "com", "@b.co", "+"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    for strict, pattern in ((False, E.OBFUSCATED), (True, E.STRICT_OBFUSCATED)):
+        for r in df.select("x", E.obfuscated(F.col("x"), strict).alias("y")).collect():
+            assert r.y == list(dict.fromkeys(f"{a}@{b}.{c}".lower() for a, b, c in re.findall(pattern, r.x, re.ASCII)))
+
+
+def test_suffix_file(spark, tmp_path):
+    (tmp_path / "list.dat").write_text("// names\n\ncom\n*.ck  // any\n!www.ck\nco.uk\n")
+    rules = S.suffix_file(spark, str(tmp_path / "list.dat"))
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.y.ck",), ("z.www.ck",), ("a.b.zz",)], "host string")
+    assert {r.host: r.site for r in S.registrable(hosts, rules).collect()} == {"a.b.co.uk": "b.co.uk", "x.y.ck": "x.y.ck", "z.www.ck": "www.ck", "a.b.zz": "b.zz"}
 
 
 def test_captured_answers(spark):
