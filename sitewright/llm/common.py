@@ -25,14 +25,15 @@ def split_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     """rows joined with groups, which has one row for each value of key with its number of rows in the column size.
 
     A group of more than n_rows / HOT_PART rows is dealt to several tasks by the hash of spread: its row of groups stands
-    in each of them. As n_rows is the sum of all sizes, such groups are HOT_PART at most, and those are broadcast.
+    in each of them. As n_rows is the sum of all sizes, such groups are HOT_PART at most, and those are broadcast; the rest
+    is a merge join whatever the size of groups, so that plans do not change with it.
     """
     most = max(256, n_rows // HOT_PART)
     pieces = F.ceil(F.col(size) / most).cast("int")
     hot = F.broadcast(groups.filter(F.col(size) > most).select(F.col(key).alias("_hot"), pieces.alias("_pieces")))
     dealt = rows.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_piece", F.pmod(F.xxhash64(spread, F.lit(3)), F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_hot", "_pieces")
     every = groups.withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return dealt.join(every, [key, "_piece"]).drop("_piece")
+    return dealt.join(every.hint("merge"), [key, "_piece"]).drop("_piece")
 
 
 def tokenizer_file(name: str) -> str:
