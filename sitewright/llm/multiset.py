@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Counters of likeness (two 30-bit counters in each long) and 32-bit lanes for equality.
-LIKENESS_LANES, EQUAL_LANES = 128, 8
+LIKENESS_LANES, EQUAL_LANES = 256, 8
+_HASHES = LIKENESS_LANES // 64
+#: Bytes of text in a bucket of successive doc_ids, on average, and buckets at most (their bounds are a constant of the plan).
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 20
 #: Paragraphs are lines. For likeness a line is cut in runs of at most eight words, a word longer than 16 in several. A run
 #: ends at its line's end and before a word of 5 or 9 characters, so what comes before in the line moves few of its ends.
 LINE = "\n"
@@ -32,26 +35,27 @@ def _sums() -> list[Column]:
 
 
 def _pieces(text: Column) -> Column:
-    """array<struct<h0, h1, e0..e3>>: a piece is a run of words (e: 0) or a whole line (h: 0, not counted)."""
+    """array<struct<run, h0.., e0..e3>>: a piece is a run of words (e: 0) or a whole line (h: 0, not counted)."""
     zero = F.lit(0).cast("long")
-    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda p: F.struct(F.lit(1).alias("run"), F.xxhash64(p).alias("h0"), F.xxhash64(p, F.lit(1)).alias("h1"), *[zero.alias(f"e{j}") for j in range(EQUAL_LANES // 2)]))
-    lines = F.transform(F.split(text, LINE, -1), lambda p: F.struct(F.lit(0).alias("run"), zero.alias("h0"), zero.alias("h1"), *[F.xxhash64(p, F.lit(j + 2)).alias(f"e{j}") for j in range(EQUAL_LANES // 2)]))
+    marks = lambda p: [F.xxhash64(p, F.lit(j)).alias(f"h{j}") for j in range(_HASHES)]
+    runs = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda p: F.struct(F.lit(1).alias("run"), *marks(p), *[zero.alias(f"e{j}") for j in range(EQUAL_LANES // 2)]))
+    lines = F.transform(F.split(text, LINE, -1), lambda p: F.struct(F.lit(0).alias("run"), *[zero.alias(f"h{j}") for j in range(_HASHES)], *[F.xxhash64(p, F.lit(_HASHES + j)).alias(f"e{j}") for j in range(EQUAL_LANES // 2)]))
     return F.concat(runs, lines)
 
 
-def fingerprints(texts: DataFrame, *keys: str) -> DataFrame:
-    """keys, text -> keys, n_runs, counters array<long>, lanes array<long>; keys must be unique.
+def fingerprints(texts: DataFrame, *keys: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keys, text -> keys, keep (columns that keys decide), n_runs, counters array<long>, lanes array<long>; keys must be unique.
 
     All of it is a sum over the text's paragraphs (lines): of wide vectors that the hashes of each paragraph and of its
-    runs give, modulo powers of two; no run crosses lines. So the order of paragraphs does not matter, and a paragraph that is put in or taken out adds
-    or takes its own vector: see combine(). Null text counts as empty.
+    runs give, modulo powers of two; no run crosses lines. So the order of paragraphs does not matter, and a paragraph
+    that is put in or taken out adds or takes its own vector: see combine(). Null text counts as empty.
     """
-    pieces = texts.select(*keys, F.explode(_pieces(F.coalesce("text", F.lit("")))).alias("p")).select(*keys, "p.*")
-    sums = pieces.groupBy(*keys).agg(F.sum("run").alias("n_runs"), *_sums())
+    pieces = texts.select(*keys, *keep, F.explode(_pieces(F.coalesce("text", F.lit("")))).alias("p")).select(*keys, *keep, "p.*")
+    sums = pieces.groupBy(*keys).agg(*[F.first(k).alias(k) for k in keep], F.sum("run").alias("n_runs"), *_sums())
     # The upper counters stand 32 bits up in the same long.
     counters = F.array(*[x for j in range(LIKENESS_LANES // 2) for x in (F.col(f"s{j}").bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(f"s{j}", 32).bitwiseAND(F.lit(_LOW)))])
     lanes = F.array(*[F.col(f"q{j}").bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(EQUAL_LANES)])
-    return sums.select(*keys, "n_runs", counters.alias("counters"), lanes.alias("lanes"))
+    return sums.select(*keys, *keep, "n_runs", counters.alias("counters"), lanes.alias("lanes"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -72,8 +76,8 @@ def as_text(lanes: Column, counters: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: cosine of the counters about their means, an estimate of the share of runs that both texts have.
 
-    Each run of words is a vector of 128 signs; the sums' inner product estimates the size of the multisets'
-    intersection with a standard error of about 0.09 of the texts' size.
+    Each run of words is a vector of 256 signs; the sums' inner product estimates the size of the multisets'
+    intersection with a standard error of about 1 / sqrt(256) = 0.06 of the texts' size.
     """
     centred = lambda x: F.transform(x["counters"], lambda c: (2 * c - x["n_runs"]).cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
@@ -84,44 +88,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(same, F.lit(1.0)).when(empty, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(raw, F.lit(0.0)))), 6))
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, text -> bucket, place, doc_id, text, next_text: the text of the next row by descending doc_id (null last).
+def bucket_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are not above doc_id, by halving; -1 for null."""
+    bounds = F.from_json(F.lit(str(cuts)), "array<bigint>")  # parsed once, with the plan's constants
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]) if cuts else F.expr("cast(array() as array<int>)")
+    held = lambda lo, step: (lo + step <= len(cuts)) & (F.get(bounds, lo + step - 1) <= doc_id)
+    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.aggregate(steps, F.lit(0), lambda lo, step: F.when(held(lo, step), lo + step).otherwise(lo)))
 
-    After the last row comes the first. Rows of one doc_id are ordered by text. Rows are dealt to buckets of doc_id
-    with about as many rows each, so no sort takes all rows to one task: a bucket's last row takes the first row of the
-    next bucket that has rows, from a table of one row a bucket.
+
+def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """doc_id, text -> bucket, place, copy, doc_id, text, next_text: the text of the next row by descending doc_id (null last).
+
+    After the last row comes the first. Rows of one doc_id are ordered by text. Rows are dealt to buckets of successive
+    doc_ids, as many as the bytes of text ask for, so no sort takes all rows to one task and tasks do not grow with the
+    table. Each bucket ends with a copy of the next bucket's first row (copy is true there), which has no next_text.
     """
-    cuts = sorted(set(docs.filter(F.col("doc_id").isNotNull()).stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    bounds = F.lit([int(c) for c in cuts]).cast("array<bigint>") if cuts else F.expr("cast(array() as array<bigint>)")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", bucket)
-    w = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc(), "text")
-    rows = rows.repartition("bucket").select("*", F.lead("text").over(w).alias("after"), F.row_number().over(w).alias("place"), F.lead(F.lit(True)).over(w).alias("more"))
-    firsts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", bucket).groupBy("bucket").agg(F.min_by("text", F.struct(-F.coalesce(F.col("doc_id"), F.lit(0)), F.col("text"))).alias("first"))
-    # One row a bucket, as many as buckets is.
-    over = Window.orderBy(F.col("bucket").desc())
-    firsts = firsts.select("bucket", F.coalesce(F.lead("first").over(over), F.first("first").over(over)).alias("from_next"))
-    joined = rows.join(firsts, "bucket")  # rows stay where they are; firsts are one row a bucket
-    return joined.select("bucket", "place", "doc_id", "text", F.when(F.col("more"), F.col("after")).otherwise(F.col("from_next")).alias("next_text"))
-
-
-def edited_fingerprints(docs: DataFrame, buckets: int = 64) -> DataFrame:
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(MOST_BUCKETS, 1 + size // BUCKET_BYTES)
+    cuts = sorted({int(c) for c in docs.filter(F.col("doc_id").isNotNull()).stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
+    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
+    # One row a bucket: its greatest doc_id, and the bucket that comes before it, whose last row it follows.
+    order = Window.orderBy(F.col("bucket").desc())
+    last = F.last("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).select(F.col("bucket").alias("_bucket"), "top", F.coalesce(F.lag("bucket").over(order), last).alias("before"))
+    firsts = rows.join(F.broadcast(tops), (F.col("bucket") == F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("top")))  # at most MOST_BUCKETS + 1 rows of three numbers
+    copies = firsts.groupBy("before").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("bucket"), F.lit(True).alias("copy"))
+    every = rows.withColumn("copy", F.lit(False)).unionByName(copies).repartition(buckets, "bucket")
+    w = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc(), "text")
+    return every.select("bucket", F.row_number().over(w).alias("place"), "copy", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
+
+
+def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and its likeness to that and to the next document.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
-    document by descending doc_id. docs: doc_id, text; other columns are not used. Null text is empty; a null doc_id
-    comes last in the order; repeated rows each give a row; an empty table gives an empty table.
+    document by descending doc_id. docs: doc_id, text; other columns are not used. Null text is empty; rows of one doc_id
+    follow one another by text; rows with null doc_id come last in the order, in one bucket; repeated rows each give a
+    row; an empty table gives an empty table. Texts are shuffled once and each is fingerprinted once, beside its edited form.
     """
     rows = with_next(docs, buckets)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited", "next_text"))])
-    texts = rows.select("bucket", "place", F.col("doc_id"), n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(kinds).alias("k"))
-    keys = ("bucket", "place", "doc_id", "n_chars", "edited_sha256", "kind")
-    marks = fingerprints(texts.select(*keys[:-1], "k.kind", "k.text"), *keys)
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
+    rows = rows.withColumn("edited", edited)
+    own, other = (F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited")))
+    keep = ("doc_id", "n_chars", "edited_sha256")
+    texts = rows.select("bucket", "place", "copy", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.when(F.col("copy"), F.array(own)).otherwise(F.array(own, other))).alias("k"))
+    marks = fingerprints(texts.select("bucket", "place", "copy", *keep, "k.kind", "k.text"), "bucket", "place", "kind", keep=("copy", *keep))
     mark = F.struct("n_runs", "counters", "lanes")
-    by = marks.groupBy("bucket", "place", "doc_id", "n_chars", "edited_sha256").agg(*[F.max(F.when(F.col("kind") == k, mark)).alias(f"m{k}") for k in range(3)])
+    # After each text's own mark come that of its edited form and the next text's.
+    w = Window.partitionBy("bucket").orderBy("place", "kind")
+    by = marks.select("kind", "copy", *keep, mark.alias("m0"), F.lead(mark, 1).over(w).alias("m1"), F.lead(mark, 2).over(w).alias("m2")).filter((F.col("kind") == 0) & ~F.col("copy"))
     return by.select(
         "doc_id",
         "n_chars",

@@ -58,7 +58,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multiset.edited_fingerprints(table(spark, sf_dir, "documents"), buckets=256)
+    return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
