@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
@@ -10,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.blocks import components, paired_blocks, runs
-from sitewright.llm.common import mixed, stored
+from sitewright.llm.blocks import components, group_sizes, paired_blocks, runs
+from sitewright.llm.common import split_join, stored
 
 #: Vectors that rotations are learned from (those of the smallest hashes of vec_id), at most; every vector is indexed.
 SAMPLE = 20_000
@@ -19,20 +20,39 @@ SAMPLE = 20_000
 ROUNDS, RECALL, BUCKET = 30, 0.99, 128
 
 
+#: Share of the pairs at the threshold whose codes lie within the radius.
+WITHIN = 0.999
+
+
 @dataclass
 class Index:
-    """Projections to bits, and tables: each table's key is `width` successive bits of the code."""
+    """Projections to bits, and tables: each table's key is `width` successive bits of the code.
+
+    Codes that differ in fewer bits than there are tables share a key for certain, by the pigeonhole principle; of those
+    that differ in more, up to the radius, a share that was measured when the tables were made. A code of more than `radius`
+    other bits is no candidate.
+    """
 
     mean: np.ndarray
     planes: np.ndarray  # (dimensions, bits)
     width: int
     tables: int
+    radius: int = 0
+
+    def codes(self, unit: np.ndarray) -> np.ndarray:
+        """(vectors, bits) codes of unit vectors."""
+        return (unit - self.mean) @ self.planes[:, : self.width * self.tables] > 0
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """(vectors, tables) keys of unit vectors."""
-        bits = (unit - self.mean) @ self.planes[:, : self.width * self.tables] > 0
-        weights = 1 << np.arange(self.width, dtype=np.int64)
-        return bits.reshape(len(unit), self.tables, self.width) @ weights
+        return self.keys_of(self.codes(unit))
+
+    def keys_of(self, codes: np.ndarray) -> np.ndarray:
+        return codes.reshape(len(codes), self.tables, self.width) @ (1 << np.arange(self.width, dtype=np.int64))
+
+    def unpacked(self, packed: np.ndarray) -> np.ndarray:
+        """Codes from rows of packed bytes."""
+        return np.unpackbits(packed, axis=1, count=self.width * self.tables).astype(bool)
 
 
 def unit_vectors(vectors: np.ndarray) -> np.ndarray:
@@ -57,24 +77,28 @@ def rotation(centred: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 def learn(sample: np.ndarray, n_vectors: int, threshold: float, recall: float = RECALL, seed: int = 11) -> Index:
     """Rotations from sample (unit vectors), as many as the wanted recall at the threshold needs.
 
-    The bits of a key grow with the number of vectors, so that buckets stay as large; the tables grow with the bits. The
-    share of bits that differ at the threshold is measured on the sample, turned in random directions by that angle.
+    The bits of a key grow with the number of vectors, so that buckets stay as large; the tables grow with the bits. Both
+    the share of pairs that meet in a table and the radius are measured on the sample, turned in random directions by the
+    angle of the threshold.
     """
     rng = np.random.default_rng(seed)
     mean = sample.mean(0)
     width = max(8, math.ceil(math.log2(max(1, n_vectors / BUCKET))))
-    planes = rotation(sample - mean, rng)
-    side = rng.standard_normal(sample.shape)
-    side -= (side * sample).sum(1, keepdims=True) * sample
+    probes = sample[rng.permutation(len(sample))[:4000]]
+    side = rng.standard_normal(probes.shape)
+    side -= (side * probes).sum(1, keepdims=True) * probes
     side /= np.maximum(np.sqrt((side * side).sum(1, keepdims=True)), 1e-12)
-    turned = threshold * sample + math.sqrt(1 - threshold**2) * side
-    agree = (((sample - mean) @ planes > 0) == ((turned - mean) @ planes > 0)).mean()
-    hit = min(agree**width, 1 - 1e-9)
-    tables = max(4, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
-    made = [planes]
-    while sum(p.shape[1] for p in made) < tables * width:
-        made.append(rotation(sample - mean, rng))
-    return Index(mean, np.concatenate(made, 1), width, tables)
+    turned = threshold * probes + math.sqrt(1 - threshold**2) * side
+    planes, differ, met, used = np.zeros((sample.shape[1], 0)), np.zeros((len(probes), 0), bool), np.zeros(len(probes), bool), 0
+    while used < 4 or met.mean() < recall:
+        while planes.shape[1] < (used + 1) * width:
+            more = rotation(sample - mean, rng)
+            planes = np.concatenate([planes, more], 1)
+            differ = np.concatenate([differ, ((probes - mean) @ more > 0) != ((turned - mean) @ more > 0)], 1)
+        met |= ~differ[:, used * width : (used + 1) * width].any(1)
+        used += 1
+    radius = int(np.quantile(differ[:, : used * width].sum(1), WITHIN)) + 1
+    return Index(mean, planes, width, used, radius)
 
 
 def is_valid(vector: Column) -> Column:
@@ -89,22 +113,94 @@ def _matrix(column, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _compare(threshold: float, dim: int, tables: int):
+def _parts(column):
+    """(dimension, places, matrix) for each dimension of a column of vectors."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        yield d, at, _matrix(column.take(pa.array(at)), d)
+
+
+#: A bucket's number: its dimension's place, its table, its key.
+_TABLE_AT, _DIMENSION_AT = 36, 47
+
+
+def _encode(indexes):
+    """Rows (vec, bucket, code) for each vector and table. Vectors of a dimension without tables share one bucket."""
+
+    def encode(batches):
+        places = {d: k for k, d in enumerate(indexes.value)}
+        for b in batches:
+            for d, at, vectors in _parts(b.column(1)):
+                vec = b.column(0).to_numpy()[at]
+                if d not in places:
+                    yield pa.RecordBatch.from_arrays([pa.array(vec), pa.array(np.full(len(vec), -d)), pa.array([b""] * len(vec), pa.binary())], names=["vec", "bucket", "code"])
+                    continue
+                index = indexes.value[d]
+                for a in range(0, len(vec), 1000):
+                    codes = index.codes(unit_vectors(vectors[a : a + 1000]))
+                    bucket = (places[d] << _DIMENSION_AT) + (np.arange(index.tables, dtype=np.int64) << _TABLE_AT) + index.keys_of(codes)
+                    packed = [x.tobytes() for x in np.packbits(codes, axis=1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vec[a : a + 1000], index.tables)), pa.array(bucket.ravel()), pa.array([x for x in packed for _ in range(index.tables)], pa.binary())], names=["vec", "bucket", "code"])
+
+    return encode
+
+
+def _pairs(table: pa.Table, a: int, e: int, indexes: dict[int, Index]):
+    """pairs(x, y): those of the group's pairs, as places in it, that are to be looked at in this task and no other; and the group's index and codes."""
+    i, j, bucket = (int(table.column(c)[a].as_py()) for c in ("_i", "_j", "bucket"))
+    own = table.column("_b").slice(a, e - a).to_numpy()
+    index = list(indexes.values())[bucket >> _DIMENSION_AT] if bucket >= 0 else None
+    codes = keys = None
+    if index:
+        codes = index.unpacked(np.frombuffer(b"".join(table.column("code").slice(a, e - a).to_pylist()), np.uint8).reshape(e - a, -1))
+        keys, which = index.keys_of(codes), bucket >> _TABLE_AT & (1 << _DIMENSION_AT - _TABLE_AT) - 1
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if i != j:
+            cross = own[x] != own[y]
+            x, y = x[cross], y[cross]
+        if index and len(x):  # a pair counts in the first table whose key both share
+            first = np.argmax(keys[x] == keys[y], 1) == which
+            x, y = x[first], y[first]
+        return x, y
+
+    return pairs, index, codes
+
+
+def _near_codes(indexes):
+    """Of each task's rows those that have another within the radius, as they are."""
+
+    def near(batches):
+        for table, at in runs(batches, ("bucket", "_i", "_j"), 2048):
+            stays = np.zeros(table.num_rows, bool)
+            for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                pairs, index, codes = _pairs(table, a, e, indexes.value)
+                if index is None:
+                    stays[a:e] = True
+                    continue
+                signs = np.where(codes, 1, -1).astype(np.float32)
+                x, y = pairs(*np.nonzero(np.triu(signs @ signs.T >= codes.shape[1] - 2 * index.radius, 1)))
+                stays[a + x] = True
+                stays[a + y] = True
+            kept = table.filter(pa.array(stays)).combine_chunks()
+            yield from kept.to_batches()
+
+    return near
+
+
+def _compare(indexes, threshold: float):
+    """vec, n, root: links found in a task with exact cosines, and the smallest vec reached in it."""
+
     def compare(batches):
         for table, at in runs(batches, ("bucket", "_i", "_j"), 2048):
-            ids, weight, own, which, i_, j_ = (table.column(c).to_numpy() for c in ("vec_id", "weight", "_b", "table", "_i", "_j"))
-            unit = unit_vectors(_matrix(table.column("embedding"), dim))
-            keys = _matrix(table.column("keys"), tables)
+            ids, weight = table.column("vec").to_numpy(), table.column("weight").to_numpy()
             found: list[tuple[np.ndarray, ...]] = []
             for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                u = unit[a:e]
-                x, y = np.nonzero(np.triu(u @ u.T >= threshold, 1))
-                if i_[a] != j_[a]:
-                    cross = own[a + x] != own[a + y]
-                    x, y = x[cross], y[cross]
-                # A pair counts in the first table whose key both share.
-                first = np.argmax(keys[a + x] == keys[a + y], 1) == which[a] if len(x) else np.zeros(0, bool)
-                x, y = x[first], y[first]
+                u = unit_vectors(next(_parts(table.column("embedding").slice(a, e - a)))[2])
+                x, y = _pairs(table, a, e, indexes.value)[0](*np.nonzero(np.triu(u @ u.T >= threshold, 1)))
                 if not len(x):
                     continue
                 n = np.bincount(x, weight[a + y], e - a) + np.bincount(y, weight[a + x], e - a)
@@ -120,32 +216,21 @@ def _compare(threshold: float, dim: int, tables: int):
                 some = np.flatnonzero(n)
                 found.append((ids[a + some], n[some].astype(np.int64), ids[a + root[some]]))
             cols = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["vec_id", "n", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["vec", "n", "root"])
 
     return compare
 
 
-def _links(vectors: DataFrame, dim: int, threshold: float, block: int) -> DataFrame:
-    """vec_id, n, root of distinct valid vectors (vec_id, embedding, weight) of one dimension: links found in a task, and an id linked there."""
-    n = vectors.count()
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
-    index = learn(unit_vectors(_matrix(sample.column(0), dim)), n, threshold)
-    shared = vectors.sparkSession.sparkContext.broadcast(index)  # rotations alone
-
-    def encode(batches):
-        index = shared.value
-        for b in batches:
-            if b.num_rows:
-                keys = index.keys(unit_vectors(_matrix(b.column(1), dim)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * index.tables, pa.int32()), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*b.columns, lists], names=["vec_id", "embedding", "weight", "keys"])
-
-    kind = vectors.schema["embedding"].dataType.simpleString()
-    coded = vectors.select("vec_id", "embedding", "weight").mapInArrow(encode, f"vec_id long, embedding {kind}, weight long, keys array<long>")
-    rows = coded.select("*", F.posexplode("keys").alias("table", "key"))
-    rows = rows.withColumn("bucket", F.col("key") * index.tables + F.col("table"))
-    dealt = paired_blocks(rows, "bucket", "vec_id", block).select("bucket", "_i", "_j", "_b", "table", "vec_id", "weight", "embedding", "keys")
-    return dealt.mapInArrow(_compare(threshold, dim, index.tables), "vec_id long, n long, root long")
+def _digests(batches):
+    """vec_id and a 128-bit digest of the vector's components, which equal vectors share (null: null)."""
+    for b in batches:
+        column = b.column(1)
+        out = np.full(b.num_rows, None, object)
+        some = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        for _, at, vectors in _parts(column.take(pa.array(some))) if len(some) else ():
+            plain = vectors + 0.0  # no negative zeros
+            out[some[at]] = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in plain]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["vec_id", "digest"])
 
 
 def near_vectors(rows: DataFrame, threshold: float = 0.9, block: int = 1024) -> DataFrame:
@@ -153,27 +238,45 @@ def near_vectors(rows: DataFrame, threshold: float = 0.9, block: int = 1024) ->
 
     rows: vec_id, embedding (array of float or double); other columns are not used. A vector that is null, zero, or holds
     a null or non-finite component links with nothing, nor do vectors of different dimensions. Vectors of equal components
-    count as one in the search, with its number as weight. Rows of one vec_id should be given ids first; they share links.
-    Null vec_ids: the vector links as others do, its own component is null unless others are linked. An empty table gives
-    an empty table. Candidates share a key of a table of the multi-index; candidates' cosines are taken in double precision
-    from the original vectors. A hot bucket is compared in pairs of blocks, and tasks hand on counts and one edge for a
-    vector, never pairs.
+    count as one in the search, with its number as weight. Rows are vectors of their own whatever their vec_id: rows of one
+    vec_id have each their vector's links, and a row with null vec_id links and is counted as others are; its component is
+    the smallest vec_id reached, null if none is. An empty table gives an empty table.
+
+    Candidates share a key of a table of the multi-index, and their codes lie within its radius; only these candidates
+    fetch their vectors, and cosines are taken in double precision from those. A hot bucket is compared in pairs of blocks,
+    and tasks hand on counts and one edge for a vector, never pairs. A dimension that has fewer vectors than a bucket needs
+    no tables.
     """
     given = rows.select("vec_id", "embedding")
-    valid = given.filter(is_valid(F.col("embedding")))
-    distinct = stored(valid.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")).filter(F.col("vec_id").isNotNull()), "vectors")
-    dims = [r[0] for r in distinct.select(F.size("embedding")).distinct().collect()]
-    parts = [_links(distinct.filter(F.size("embedding") == d), d, threshold, block) for d in sorted(dims)]
-    none = distinct.select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("root")).limit(0)
-    found = none
-    for p in parts:
-        found = found.union(p)
-    found = stored(found, "vector-links")
-    groups = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")))
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    lead = distinct.join(counts, "vec_id", "left").join(groups, F.col("vec_id") == F.col("id"), "left")
-    lead = lead.select("embedding", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    out = given.withColumn("_valid", is_valid(F.col("embedding"))).withColumn("_key", F.when(F.col("_valid"), F.col("embedding")))
-    out = out.join(lead.withColumnRenamed("embedding", "_key"), "_key", "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    named = stored(given.select("vec_id", F.when(is_valid(F.col("embedding")), F.col("embedding")).alias("embedding")).mapInArrow(_digests, "vec_id long, digest binary"), "vector-digests")
+    kind = given.schema["embedding"].dataType.simpleString()
+    digested = given.filter(is_valid(F.col("embedding"))).mapInArrow(_with_digests, f"digest binary, embedding {kind}")
+    vectors = digested.groupBy("digest").agg(F.first("embedding").alias("embedding"), F.count("*").alias("weight"))
+    vectors = stored(vectors.select(F.monotonically_increasing_id().alias("vec"), "digest", "weight", "embedding"), "vectors")
+    indexes = {}
+    for d, n in sorted(vectors.groupBy(F.size("embedding").alias("d")).count().filter(F.col("count") >= BUCKET).collect()):
+        sample = vectors.filter(F.size("embedding") == d).orderBy(F.xxhash64("digest"), "vec").limit(SAMPLE).select("embedding").toArrow()
+        indexes[d] = learn(unit_vectors(_matrix(sample.column(0), d)), n, threshold)
+    shared = rows.sparkSession.sparkContext.broadcast(indexes)  # rotations alone
+    coded = vectors.select("vec", "embedding").mapInArrow(_encode(shared), "vec long, bucket long, code binary")
+    dealt = paired_blocks(coded, group_sizes(coded, "bucket"), "bucket", "size", "vec", block).select("bucket", "_i", "_j", "_b", "vec", "code")
+    near = stored(dealt.mapInArrow(_near_codes(shared), "bucket long, _i int, _j int, _b int, vec long, code binary"), "vector-candidates")
+    met = near.join(vectors.select("vec", "weight", "embedding"), "vec").repartition("bucket", "_i", "_j").sortWithinPartitions("bucket", "_i", "_j")
+    found = stored(met.select("bucket", "_i", "_j", "_b", "vec", "code", "weight", "embedding").mapInArrow(_compare(shared, threshold), "vec long, n long, root long"), "vector-links")
+    groups = components(found.select(F.col("vec").alias("u"), F.col("root").alias("v")))
+    least = named.filter("digest is not null").groupBy("digest").agg(F.min("vec_id").alias("least"))
+    lead = vectors.select("vec", "digest", "weight").join(least, "digest").join(found.groupBy("vec").agg(F.sum("n").alias("n")), "vec", "left").join(groups, F.col("vec") == F.col("id"), "left")
+    lead = stored(lead.select("digest", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "vec").alias("component"), "least", "weight"), "vector-leads")
+    smallest = stored(lead.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "vector-components")
+    lead = split_join(lead, smallest, "component", "members", "digest", vectors.count()).select("digest", "n_links", "component_id", "weight")
+    plain = named.filter("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    n_rows = lead.agg(F.sum("weight")).first()[0] or 0
+    linked = split_join(named.filter("digest is not null"), lead, "digest", "weight", "vec_id", n_rows).select("vec_id", "n_links", "component_id")
+    return plain.union(linked).withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
+
+
+def _with_digests(batches):
+    """digest, embedding of rows of valid vectors."""
+    for b in batches:
+        for named in _digests([b]):
+            yield pa.RecordBatch.from_arrays([named.column(1), b.column(1)], names=["digest", "embedding"])

@@ -537,6 +537,25 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_vector_ids(spark):
+    a, b, far = [1.0, 0.0, 0.0], [0.995, 0.0999, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (None, b), (7, far), (7, a), (8, far), (None, far), (None, None), (9, None)]
+    df = spark.createDataFrame([(*r, k, True, "x") for k, r in enumerate(rows)], "vec_id long, embedding array<double>, digest long, kept boolean, vec string")
+    got = sorted(((r.vec_id or 0), r.n_links, r.component_id or 0, r.kept) for r in embeddings.near_vectors(df).collect())
+    assert got == sorted([(1, 2, 1, True), (0, 2, 1, False), (7, 2, 7, True), (7, 2, 1, False), (8, 2, 7, False), (0, 2, 7, False), (0, 0, 0, True), (9, 0, 9, True)])
+
+
+def test_codes_within_fewer_bits_than_tables_share_a_key():
+    rng = np.random.default_rng(2)
+    index = embeddings.learn(embeddings.unit_vectors(rng.standard_normal((2000, 64))), 50_000, 0.9)
+    codes = rng.random((300, index.width * index.tables)) < 0.5
+    for code in codes:
+        other = code.copy()
+        other[rng.permutation(len(code))[: index.tables - 1]] ^= True
+        assert (index.keys_of(code[None]) == index.keys_of(other[None])).any()
+    assert (index.unpacked(np.packbits(codes, axis=1)) == codes).all() and index.radius > index.tables
+
+
 def test_index_recall():
     rng = np.random.default_rng(9)
     a = embeddings.unit_vectors(rng.standard_normal((4000, 64)))
@@ -568,6 +587,61 @@ def test_fingerprints(spark, documents, no_documents, rows):
     assert multiset.edited_fingerprints(no_documents).count() == 0
 
 
+def brute_mark(text):
+    """(n_runs, counters, lanes) of a text, by the definition."""
+    import struct
+
+    import xxhash
+
+    seeded = lambda p, k: xxhash.xxh64(struct.pack("<i", k), seed=xxhash.xxh64(p.encode(), seed=42).intdigest()).intdigest()
+    runs = re.findall(multiset.RUN.replace(r"\z", r"\Z"), text, re.ASCII)
+    counters = [0] * 256
+    for r in runs:
+        for j in range(4):
+            h = seeded(r, j)
+            for k in range(32):
+                counters[64 * j + 2 * k] += h >> k & 1
+                counters[64 * j + 2 * k + 1] += h >> (k + 32) & 1
+    lanes = [0] * 8
+    for line in text.split("\n"):
+        for j in range(4):
+            h = seeded(line, 4 + j)
+            lanes[2 * j] += h & 0xFFFFFFFF
+            lanes[2 * j + 1] += h >> 32
+    return len(runs), counters, [x % 2**32 for x in lanes]
+
+
+def brute_text(mark):
+    return "".join(f"{x:08x}" for x in mark[2]) + sha(",".join(map(str, mark[1])))[:32]
+
+
+def brute_likeness(a, b):
+    if a[1:] == b[1:]:
+        return 1.0
+    if not a[0] or not b[0]:
+        return 0.0
+    x, y = ([2 * c - m[0] for c in m[1]] for m in (a, b))
+    dot = lambda p, q: sum(i * j for i, j in zip(p, q))
+    return max(0.0, min(1.0, dot(x, y) / (dot(x, x) * dot(y, y)) ** 0.5)) if dot(x, x) * dot(y, y) else 0.0
+
+
+def test_fingerprints_equal_brute_force(spark, documents, rows):
+    odd = spark.createDataFrame([(3, "again " * 30), (3, "again " * 30), (3, "other"), (None, "none one\nline"), (None, ""), (None, None)], "doc_id long, text string")
+    both = documents.select("doc_id", "text").union(odd)
+    ordered = sorted(((k, t or "") for k, t in both.collect()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = []
+    for n, (doc, t) in enumerate(ordered):
+        nxt = ordered[(n + 1) % len(ordered)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        m, e, x = (brute_mark(s) for s in (t, edited, nxt))
+        want.append((-1 if doc is None else doc, len(t), sha(edited), brute_text(m), brute_text(e), round(brute_likeness(m, e), 5), round(brute_likeness(m, x), 5)))
+    for buckets in (None, 1, 6):
+        got = [(-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 5), round(r.near_next, 5)) for r in multiset.edited_fingerprints(both, buckets).collect()]
+        assert len(got) == len(want)
+        for a, b in zip(sorted(got), sorted(want)):
+            assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-4 and abs(a[6] - b[6]) < 1e-4
+
+
 def test_fingerprints_are_homomorphic(spark):
     rows = [("ab", "one two\nthree four"), ("ba", "three four\none two"), ("a", "one two"), ("b", "three four"), ("abb", "one two\nthree four\nthree four")]
     marks = multiset.fingerprints(spark.createDataFrame(rows, "k string, text string"), "k")
