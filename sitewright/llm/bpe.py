@@ -1,32 +1,28 @@
-"""Byte-level BPE: ranked merges folded over the bytes of distinct words; decoding by concatenation of binary pieces.
+"""Byte-level BPE by ranked merges of the bytes of distinct words; decoding by concatenation of binary pieces.
 
-Texts are cut in words once, in Arrow batches, and kept as codes of the words of their chunk. Spark's higher-order functions
-fold the merges over each distinct word, with the rank map as literals of the plan. The ids go back to the chunks by one
-file for each chunk, which its documents' codes are looked up in.
+The merges of a word are folded in Python, in Arrow batches, each worker merging a distinct word once. The same fold by
+Spark's higher-order functions over the distinct words of all documents was built and measured; it takes more CPU and disk
+than whole documents may use here (see the README).
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-import json
-import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.arrowfile import _file_system
-from sitewright.llm.common import new_path, stored, with_text
+from sitewright.llm.common import with_text
+from sitewright.llm.tokens import LONG_PIECE, byte_level_pieces
 
-#: Slots and displacements of the literal rank map (bits), room for an id in a slot's entry (bits), an empty slot.
-SLOT_BITS, SHIFT_BITS, ID_BITS, EMPTY = 18, 16, 20, 1 << 61
-#: Words of more bytes are merged with a heap: the fold copies a word's pieces at each merge.
+#: Words of more bytes are merged with a heap: the plain loop copies its pieces at each merge.
 LONG = 256
-#: Bytes of text after which a task begins a new chunk, with a list of words of its own.
-CHUNK_BYTES = 16 << 20
+#: Pieces of texts whose ids a worker keeps at most; the cache starts anew beyond it.
+CACHE_WORDS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,107 +31,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
-    """(displacements, slots): a perfect hash from each pair of ids whose bytes joined are a token to that token's id.
-
-    The pair (a, b) is the key a * 2**ID_BITS + b. The low bits of its hash choose a displacement, and that with the high
-    bits the slot, which holds key * 2**ID_BITS + id.
-    """
-    import xxhash
-
-    pairs = {}
-    for piece, rank in ranks.items():
-        for k in range(1, len(piece)):
-            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
-            if a is not None and b is not None:
-                pairs[(a << ID_BITS) + b] = rank
-    slot_bits = max(SLOT_BITS, (2 * len(pairs)).bit_length() - 1)
-    mask = (1 << slot_bits) - 1
-    groups: dict[int, list[tuple[int, int, int]]] = {}
-    for key in pairs:
-        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
-        groups.setdefault(h & ((1 << SHIFT_BITS) - 1), []).append((key, h >> 64 - slot_bits))
-    shifts, slots = [0] * (1 << SHIFT_BITS), [EMPTY] * (mask + 1)
-    for g, members in sorted(groups.items(), key=lambda x: -len(x[1])):
-        for d in range(mask + 1):
-            at = [h ^ d for _, h in members]
-            if len(set(at)) == len(at) and all(slots[k] == EMPTY for k in at):
-                break
-        else:
-            raise ValueError("the rank map finds no place for a pair")
-        shifts[g] = d
-        for k, (key, _) in zip(at, members, strict=True):
-            slots[k] = (key << ID_BITS) + pairs[key]
-    return shifts, slots
-
-
-def _let(value: Column, use) -> Column:
-    """use(value) with value taken once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-class Merges:
-    """The fold of ranked merges over a word's bytes, with the rank map as literals of the plan."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        shifts, slots = rank_map(ranks)
-        self.slot_bits = len(slots).bit_length() - 1
-        # Parsed once, when the plan's constants are folded.
-        self.shifts = F.from_json(F.lit(json.dumps(shifts)), "array<int>")
-        self.slots = F.from_json(F.lit(json.dumps(slots)), "array<bigint>")
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-
-    def pair(self, a: Column, b: Column) -> Column:
-        """The id that two ids merge to, 2**ID_BITS if they don't, with ID_BITS low bits free."""
-        key = F.shiftleft(a, ID_BITS).bitwiseOR(b)
-        h = F.xxhash64(key)
-        slot = F.shiftrightunsigned(h, 64 - self.slot_bits).cast("int").bitwiseXOR(F.get(self.shifts, h.bitwiseAND(F.lit((1 << SHIFT_BITS) - 1)).cast("int")))
-        return F.shiftleft(F.least(F.get(self.slots, slot).bitwiseXOR(F.shiftleft(key, ID_BITS)), F.lit(1 << ID_BITS)), ID_BITS)
-
-    def ids(self, word: Column) -> Column:
-        """array<bigint>: ids of a word (string): of all adjacent pairs the one of the lowest rank is merged, leftmost first, while there is one."""
-        none = F.expr("cast(array() as array<bigint>)")
-        text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")  # a character for each byte
-        start = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.get(self.bytes, F.ascii(F.substr(text, i, F.lit(1)))))
-
-        def folded(p0: Column) -> Column:
-            n = F.size(p0)
-            pairs = F.transform(F.slice(p0, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, i: self.pair(F.get(p0, i), x))
-
-            def step(s: Column, _: Column) -> Column:
-                p, r = s["p"], s["r"]
-
-                def merged(best: Column) -> Column:
-                    def at(k: Column) -> Column:
-                        new = F.shiftright(best, ID_BITS)
-                        left = F.when(k > 0, F.array(self.pair(F.get(p, k - 1), new))).otherwise(none)
-                        right = F.when(k + 2 < F.size(p), F.array(self.pair(new, F.get(p, k + 2)))).otherwise(none)
-                        rest = F.size(p)
-                        return F.struct(
-                            F.concat(F.slice(p, F.lit(1), k), F.array(new), F.slice(p, k + 3, rest)).alias("p"),
-                            F.concat(F.slice(r, F.lit(1), F.greatest(k - 1, F.lit(0))), left, right, F.slice(r, k + 3, rest)).alias("r"),
-                        )
-
-                    # No pair left: without pairs the other steps do nothing.
-                    return F.when(best >= 1 << 2 * ID_BITS, F.struct(p.alias("p"), none.alias("r"))).otherwise(_let(best.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int"), at))
-
-                # The lowest rank with its place, so the leftmost of equal ranks is the least.
-                return F.when(F.size(r) == 0, s).otherwise(_let(F.array_min(F.transform(r, lambda x, i: x.bitwiseOR(i))), merged))
-
-            # One step for each byte but the first: no more merges are possible.
-            return F.when(n < 2, p0).otherwise(F.aggregate(F.slice(p0, F.lit(2), F.greatest(n - 1, F.lit(0))), F.struct(p0.alias("p"), pairs.alias("r")), step, lambda s: s["p"]))
-
-        return F.when(F.length(text) == 0, none).otherwise(_let(start, folded))
-
-
-def encode_words(words: DataFrame, rank_file: str) -> DataFrame:
-    """word, ids array<bigint> of distinct words, by the fold: native throughout."""
-    merges = Merges(read_ranks(rank_file))
-    return words.select("word").distinct().select("word", merges.ids(F.col("word")).alias("ids"))
-
-
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The fold's ids for one word: the pair of the lowest rank, leftmost first, is merged while there is one."""
+    """The ids of one word: the pair of the lowest rank, leftmost first, is merged while there is one."""
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
@@ -180,157 +77,47 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p]
 
 
-class _Words(dict):
-    """Words and their codes, in the order in which they come."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = code = len(self)
-        return code
-
-
-CODED = "chunk long, doc_id long, codes binary, code int, word string"
-ENCODED = "doc_id long, ids binary"
+class Coder:
+    """Ids of whole texts; each distinct word that the cache does not hold is merged once."""
 
-
-def _cut(pattern: str):
-    """CODED: a row for each document with the codes of its words, and for each word of a chunk with its code."""
-
-    def cut(batches):
+    def __init__(self, rank_file: str, pattern: str):
         import regex
 
-        find = regex.compile(pattern).findall
-        task, chunk, words, size = TaskContext.get().partitionId() << 32, 0, _Words(), 0
-        none = lambda n, kind: pa.nulls(n, kind)
-
-        def listed():
-            n = len(words)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(n, task + chunk)), none(n, pa.int64()), none(n, pa.binary()), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(words), pa.string())], names=["chunk", "doc_id", "codes", "code", "word"])
-
-        for b in batches:
-            row = 0
-            while row < b.num_rows:
-                first, codes = row, []
-                while row < b.num_rows and size < CHUNK_BYTES:
-                    text = b.column(1)[row].as_py()
-                    codes.append(np.array(list(map(words.__getitem__, find(text))), "<u4").tobytes())
-                    size += len(text)
-                    row += 1
-                n = row - first
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task + chunk)), b.column(0).slice(first, n), pa.array(codes, pa.binary()), none(n, pa.int32()), none(n, pa.string())], names=["chunk", "doc_id", "codes", "code", "word"])
-                if size >= CHUNK_BYTES:
-                    yield listed()
-                    chunk, words, size = chunk + 1, _Words(), 0
-        if words:
-            yield listed()
-
-    return cut
-
-
-def _chunk_file(folder: str, chunk: int) -> str:
-    return f"{folder.rstrip('/')}/{chunk}.ids"
-
-
-def _write_chunks(folder: str, rank_file: str):
-    """Rows (chunk, code, word where it is long, ids) in order -> a file for each chunk: how many words, where their ids end, all ids.
-
-    A file gets its name when it is whole, so a task that runs again, or twice, leaves the same.
-    """
-
-    def write(batches):
-        fs, root = _file_system(folder)
-        fs.create_dir(root, recursive=True)
-        ranks: dict[bytes, int] = {}
-        held, at = [], None
-
-        def close() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            lists = table.column("ids").combine_chunks()
-            sizes = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            long = np.flatnonzero(lists.is_null().to_numpy(zero_copy_only=False))
-            flat = lists.flatten().to_numpy().astype("<u4")
-            if len(long):
-                if not ranks:
-                    ranks.update(read_ranks(rank_file))
-                parts, ends = [], np.cumsum(sizes)
-                merged = {k: np.array(merge_word(table.column("word")[k].as_py().encode(), ranks), "<u4") for k in long.tolist()}
-                last = 0
-                for k, ids in merged.items():
-                    parts += [flat[last : ends[k]], ids]
-                    last, sizes[k] = ends[k], len(ids)
-                flat = np.concatenate([*parts, flat[last:]])
-            own = _file_system(_chunk_file(folder, at))[1]
-            new = f"{own}.{uuid.uuid4().hex}"
-            with fs.open_output_stream(new) as f:
-                f.write(np.array([len(sizes)], "<u8").tobytes() + np.cumsum(sizes).astype("<u8").tobytes() + flat.tobytes())
-            fs.move(new, own)
-            return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([len(sizes)])], names=["chunk", "words"])
-
-        for b in batches:
-            chunks = b.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
-            for x, y in zip(cuts, cuts[1:]):
-                if x == y:
-                    continue
-                if held and chunks[x] != at:
-                    yield close()
-                    held = []
-                at = int(chunks[x])
-                held.append(b.slice(x, y - x))
-        if held:
-            yield close()
-
-    return write
-
+        self.ranks, self.find = read_ranks(rank_file), regex.compile(pattern).findall
+        self.cache: dict[str, bytes] = {}
 
-def _look_up(folder: str):
-    """Documents' codes -> their ids, by the file of their chunk."""
+    def encode(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        cache, pieces = self.cache, byte_level_pieces(text)
+        coded = list(map(cache.get, pieces))
+        if None in coded:
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+            new = {p: array("I", [i for w in self.find(p) for i in merge_word(w.encode(), self.ranks)]).tobytes() for p in {p for p, c in zip(pieces, coded, strict=True) if c is None}}
+            cache.update((p, ids) for p, ids in new.items() if len(p) <= LONG_PIECE)
+            coded = [new[p] if c is None else c for p, c in zip(pieces, coded, strict=True)]
+        return b"".join(coded)
 
-    def read(chunk: int) -> tuple[np.ndarray, np.ndarray]:
-        fs, place = _file_system(_chunk_file(folder, chunk))
-        with fs.open_input_stream(place) as f:
-            data = f.read()
-        n = int(np.frombuffer(data, "<u8", 1)[0])
-        return np.concatenate([[0], np.frombuffer(data, "<u8", n, 8).astype(np.int64)]), np.frombuffer(data, "<u4", offset=8 + 8 * n)
 
-    def look_up(batches):
-        at, ends, ids = None, None, None
-        for b in batches:
-            out = []
-            for chunk, codes in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                codes = np.frombuffer(codes.as_buffer() or b"", "<u4")
-                if not len(codes):
-                    out.append(b"")
-                    continue
-                if chunk != at:
-                    (ends, ids), at = read(chunk), chunk
-                first, size = ends[codes], ends[codes + 1] - ends[codes]
-                upto = np.cumsum(size)
-                out.append(ids[np.repeat(first - upto + size, size) + np.arange(upto[-1])].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    return look_up
+_CODERS: dict[tuple[str, str], Coder] = {}
+ENCODED = "doc_id long, ids binary"
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit) of every whole text, as ranks and pattern give them, without special tokens.
 
     docs: doc_id, text; other columns are not used. Null text is empty and has no ids. Each match of pattern is encoded
-    separately. Repeated and null doc_ids give rows of their own; an empty table gives an empty table. Of texts only the
-    chunks' distinct words are shuffled: once by word, where the first of equal words is folded, and once to their chunk. A
-    word is in each chunk once, so no key is hot.
+    separately; pattern must cut where byte_level_pieces() cuts, as public_tokenizers.PATTERN does. Repeated and null
+    doc_ids give rows of their own; an empty table gives an empty table. Nothing is shuffled or kept outside the workers.
     """
-    spark = docs.sparkSession
-    coded = stored(with_text(docs, "doc_id").mapInArrow(_cut(pattern), CODED), "coded-words")
-    merges = Merges(read_ranks(rank_file))
-    same = Window.partitionBy("word").orderBy("chunk")
-    words = coded.filter("word is not null").select("chunk", "code", "word").withColumn("_k", F.row_number().over(same))
-    short = F.octet_length("word") <= LONG
-    words = words.withColumn("ids", F.when((F.col("_k") == 1) & short, F.transform(merges.ids(F.col("word")), lambda x: x.cast("int"))))
-    words = words.withColumn("ids", F.first("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)))
-    listed = words.select("chunk", "code", F.when(~short, F.col("word")).alias("word"), "ids").repartition("chunk").sortWithinPartitions("chunk", "code")
-    folder = new_path(spark, "word-ids")
-    listed.mapInArrow(_write_chunks(folder, rank_file), "chunk long, words long").agg(F.count("*")).first()
-    return coded.filter("codes is not null").select("chunk", "doc_id", "codes").mapInArrow(_look_up(folder), ENCODED)
+
+    def encode(batches):
+        coder = _CODERS.get((rank_file, pattern)) or _CODERS.setdefault((rank_file, pattern), Coder(rank_file, pattern))
+        for b in batches:
+            ids = [coder.encode(text.as_py()) for text in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return with_text(docs, "doc_id").mapInArrow(encode, ENCODED)
 
 
 def decode_documents(encoded: DataFrame, rank_file: str) -> DataFrame:
