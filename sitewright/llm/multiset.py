@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Counters of likeness (two 30-bit counters in each long) and 32-bit lanes for equality.
 LIKENESS_LANES, EQUAL_LANES = 256, 8
 _HASHES = LIKENESS_LANES // 64
+#: Pieces that are counted in bytes before they are in full: a byte of a signed long holds no more.
+PART = 127
 #: Bytes of text in a bucket of successive doc_ids, on average, and buckets at most (their bounds are a constant of the plan).
 BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 20
 #: Paragraphs are lines. For likeness a line is cut in runs of at most eight words, a word longer than 16 in several. A run
@@ -18,20 +20,27 @@ RUN = f"(?:{_WORD}(?!{_END})){{0,7}}+{_WORD}"
 _LOW = (1 << 30) - 1
 
 
+def _part_sums() -> list[Column]:
+    """Sums over at most PART pieces: each eighth bit of the hashes counts in a byte of its own, hashes of lines in the lanes for equality."""
+    every_eighth = F.lit(0x0101010101010101)
+    out = [F.sum(F.shiftright(f"h{j}", k).bitwiseAND(every_eighth)).alias(f"c{j}_{k}") for j in range(_HASHES) for k in range(8)]
+    for j in range(EQUAL_LANES):
+        h = F.col(f"e{j // 2}")
+        out.append(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)) if j % 2 == 0 else F.shiftrightunsigned(h, 32)).alias(f"q{j}"))
+    return out
+
+
 def _sums() -> list[Column]:
-    """Sums over pieces: bits of hashes count up the likeness counters, hashes of lines the lanes for equality.
+    """Sums over parts: two counters, of the bits k and k + 32 of a hash, in each long.
 
-    No sum can overflow: a text has fewer than 2**31 pieces, a counter grows by one and a lane by less than 2**32.
+    No sum can overflow: a text has fewer than 2**31 pieces, a counter grows by one and a lane by less than 2**32 for each.
     """
     out = []
     for j in range(LIKENESS_LANES // 2):
-        h = F.col(f"h{j // 32}")
         k = j % 32
-        out.append(F.sum(F.shiftright(h, k).bitwiseAND(F.lit(1)) + F.shiftleft(F.shiftright(h, k + 32).bitwiseAND(F.lit(1)), 32)).alias(f"s{j}"))
-    for j in range(EQUAL_LANES):
-        h = F.col(f"e{j // 2}")
-        out.append(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF)) if j % 2 == 0 else F.shiftrightunsigned(h, 32)).alias(f"q{j}"))
-    return out
+        count = lambda byte: F.shiftright(f"c{j // 32}_{k % 8}", 8 * byte).bitwiseAND(F.lit(255))  # noqa: B023, E731
+        out.append(F.sum(count(k // 8) + F.shiftleft(count(k // 8 + 4), 32)).alias(f"s{j}"))
+    return [*out, *[F.sum(f"q{j}").alias(f"q{j}") for j in range(EQUAL_LANES)]]
 
 
 def _pieces(text: Column) -> Column:
@@ -46,12 +55,15 @@ def _pieces(text: Column) -> Column:
 def fingerprints(texts: DataFrame, *keys: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """keys, text -> keys, keep (columns that keys decide), n_runs, counters array<long>, lanes array<long>; keys must be unique.
 
+    Numbers alone in keys and keep let the sums be made by hash; with strings all pieces are sorted first.
     All of it is a sum over the text's paragraphs (lines): of wide vectors that the hashes of each paragraph and of its
     runs give, modulo powers of two; no run crosses lines. So the order of paragraphs does not matter, and a paragraph
     that is put in or taken out adds or takes its own vector: see combine(). Null text counts as empty.
     """
-    pieces = texts.select(*keys, *keep, F.explode(_pieces(F.coalesce("text", F.lit("")))).alias("p")).select(*keys, *keep, "p.*")
-    sums = pieces.groupBy(*keys).agg(*[F.first(k).alias(k) for k in keep], F.sum("run").alias("n_runs"), *_sums())
+    pieces = texts.select(*keys, *keep, F.posexplode(_pieces(F.coalesce("text", F.lit("")))).alias("_at", "p")).select(*keys, *keep, F.floor(F.col("_at") / PART).cast("int").alias("_part"), "p.*")
+    same = [F.first(k).alias(k) for k in keep]
+    parts = pieces.groupBy(*keys, "_part").agg(*same, F.sum("run").alias("n_runs"), *_part_sums())
+    sums = parts.groupBy(*keys).agg(*same, F.sum("n_runs").alias("n_runs"), *_sums())
     # The upper counters stand 32 bits up in the same long.
     counters = F.array(*[x for j in range(LIKENESS_LANES // 2) for x in (F.col(f"s{j}").bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(f"s{j}", 32).bitwiseAND(F.lit(_LOW)))])
     lanes = F.array(*[F.col(f"q{j}").bitwiseAND(F.lit(0xFFFFFFFF)) for j in range(EQUAL_LANES)])
@@ -68,24 +80,37 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def as_text(lanes: Column, counters: Column) -> Column:
-    """Hex of a digest of all the sums, after the lanes for equality themselves."""
-    hexes = F.array_join(F.transform(lanes, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
-    return F.concat(hexes, F.substring(F.sha2(F.array_join(counters.cast("array<string>"), ",").cast("binary"), 256), 1, 32))
+    """The lanes for equality in hex, then a 128-bit hash of the counters."""
+    words = [F.lower(F.lpad(F.hex(F.get(lanes, F.lit(j))), 8, "0")) for j in range(EQUAL_LANES)]
+    return F.concat(*words, *[F.lower(F.lpad(F.hex(F.xxhash64(counters, F.lit(k))), 16, "0")) for k in range(2)])
+
+
+def _total(x: Column, use) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda s, v: s + use(v))
+
+
+def moments(mark: Column) -> Column:
+    """struct(total, norm): the sum of a fingerprint's counters, and that of their squares about n_runs / 2, times four."""
+    n = mark["n_runs"].cast("double")
+    total, squares = _total(mark["counters"], lambda c: c.cast("double")), _total(mark["counters"], lambda c: c.cast("double") * c)
+    return F.struct(total.alias("total"), (4 * squares - 4 * n * total + LIKENESS_LANES * n * n).alias("norm"))
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, of_a: Column | None = None, of_b: Column | None = None) -> Column:
     """0 to 1: cosine of the counters about their means, an estimate of the share of runs that both texts have.
 
     Each run of words is a vector of 256 signs; the sums' inner product estimates the size of the multisets'
-    intersection with a standard error of about 1 / sqrt(256) = 0.06 of the texts' size.
+    intersection with a standard error of about 1 / sqrt(256) = 0.06 of the texts' size. of_a, of_b: moments() of both,
+    where they are there already.
     """
-    centred = lambda x: F.transform(x["counters"], lambda c: (2 * c - x["n_runs"]).cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    ca, cb = centred(a), centred(b)
-    raw = dot(ca, cb) / F.sqrt(dot(ca, ca) * dot(cb, cb))
+    of_a, of_b = (moments(x) if m is None else m for x, m in ((a, of_a), (b, of_b)))
+    n, m = a["n_runs"].cast("double"), b["n_runs"].cast("double")
+    product = _total(F.zip_with(a["counters"], b["counters"], lambda p, q: p.cast("double") * q), lambda v: v)
+    dot = 4 * product - 2 * m * of_a["total"] - 2 * n * of_b["total"] + LIKENESS_LANES * n * m
+    size = F.sqrt(of_a["norm"] * of_b["norm"])
     same = (a["lanes"] == b["lanes"]) & (a["counters"] == b["counters"])
     empty = (a["n_runs"] == 0) | (b["n_runs"] == 0)
-    return F.when(same, F.lit(1.0)).when(empty, F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(raw, F.lit(0.0)))), 6))
+    return F.when(same, F.lit(1.0)).when(empty | (size == 0), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / size)), 6))
 
 
 def bucket_of(doc_id: Column, cuts: list[int]) -> Column:
@@ -106,7 +131,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if buckets is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = min(MOST_BUCKETS, 1 + size // BUCKET_BYTES)
+        buckets = min(MOST_BUCKETS, max(2 * rows.sparkSession.sparkContext.defaultParallelism, 1 + size // BUCKET_BYTES)) if size else 1
     cuts = sorted({int(c) for c in docs.filter(F.col("doc_id").isNotNull()).stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
     rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
     # One row a bucket: its greatest doc_id, and the bucket that comes before it, whose last row it follows.
@@ -134,19 +159,23 @@ def edited_fingerprints(docs: DataFrame, buckets: int | None = None) -> DataFram
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("edited", edited)
     own, other = (F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited")))
-    keep = ("doc_id", "n_chars", "edited_sha256")
-    texts = rows.select("bucket", "place", "copy", "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.explode(F.when(F.col("copy"), F.array(own)).otherwise(F.array(own, other))).alias("k"))
+    digest = F.sha2(F.col("edited").cast("binary"), 256)
+    # The digest goes along as four numbers.
+    quarters = [F.conv(F.substring("_digest", 16 * k + 1, 16), 16, -10).cast("long").alias(f"d{k}") for k in range(4)]
+    keep = ("doc_id", "n_chars", "d0", "d1", "d2", "d3")
+    texts = rows.withColumn("_digest", digest).select("bucket", "place", "copy", "doc_id", n.cast("long").alias("n_chars"), *quarters, F.explode(F.when(F.col("copy"), F.array(own)).otherwise(F.array(own, other))).alias("k"))
     marks = fingerprints(texts.select("bucket", "place", "copy", *keep, "k.kind", "k.text"), "bucket", "place", "kind", keep=("copy", *keep))
-    mark = F.struct("n_runs", "counters", "lanes")
+    marks = marks.withColumn("of", moments(F.struct("n_runs", "counters")))
+    mark = F.struct("n_runs", "counters", "lanes", "of")
     # After each text's own mark come that of its edited form and the next text's.
     w = Window.partitionBy("bucket").orderBy("place", "kind")
     by = marks.select("kind", "copy", *keep, mark.alias("m0"), F.lead(mark, 1).over(w).alias("m1"), F.lead(mark, 2).over(w).alias("m2")).filter((F.col("kind") == 0) & ~F.col("copy"))
     return by.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.concat(*[F.lower(F.lpad(F.hex(f"d{k}"), 16, "0")) for k in range(4)]).alias("edited_sha256"),
         as_text(F.col("m0.lanes"), F.col("m0.counters")).alias("fingerprint"),
         as_text(F.col("m1.lanes"), F.col("m1.counters")).alias("edited_fingerprint"),
-        likeness(F.col("m0"), F.col("m1")).alias("near_edited"),
-        likeness(F.col("m0"), F.col("m2")).alias("near_next"),
+        likeness(F.col("m0"), F.col("m1"), F.col("m0.of"), F.col("m1.of")).alias("near_edited"),
+        likeness(F.col("m0"), F.col("m2"), F.col("m0.of"), F.col("m2.of")).alias("near_next"),
     )
