@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -9,8 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.config import ANY_NAME, EXCEPTIONS, SECOND_LEVEL
+from sitewright.functions.text import let
 from sitewright.functions.urls import clean_host, domain_line, host_suffixes, in_scope, shell_line
 
+#: Rules of a public suffix list; the whole list has some ten thousand.
+MOST_RULES = 100_000
 ROBOT_LINE = r"(?i)^[ \t]*(user-agent|allow|disallow)[ \t]*:[ \t]*([^#]*)"
 
 
@@ -61,26 +65,34 @@ def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Adds site (a label and the public suffix, else the host) and root (that label, else the first) to rows with host.
 
     The suffix is that of the longest rule that fits, an exception before all: *.x takes any name under x, !y.x takes y.x
-    out of that again. A host that no rule fits has its last label as suffix. Only distinct hosts meet the rules.
+    out of that again. A host that no rule fits has its last label as suffix. The rules, a list of at most MOST_RULES, are
+    a constant of the plan, by top domain, so rows with their page bodies stay where they are.
     """
-    named = F.regexp_extract("suffix", r"^(?:!|\*\.)?(.*)$", 1)
-    rules = suffixes.select(named.alias("key"), F.startswith("suffix", F.lit("*.")).alias("any"), F.startswith("suffix", F.lit("!")).alias("except")).distinct()
+    rules: dict[str, list[str]] = {}
+    for r in suffixes.select("suffix").distinct().limit(MOST_RULES + 1).collect():
+        rules.setdefault(r["suffix"].rpartition(".")[2].lstrip("!"), []).append(r["suffix"])
+    if sum(map(len, rules.values())) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} suffix rules")
+    by_top = F.from_json(F.lit(json.dumps({k: sorted(v) for k, v in sorted(rules.items())})), "map<string,array<string>>")
     rest = lambda x: F.regexp_replace(x, r"^[^.]*\.?", "")
-    tails = hosts.select("host").distinct().select("host", F.explode(host_suffixes(F.col("host"))).alias("tail"))
-    keys = tails.select("host", "tail", F.explode(F.array(F.struct(F.col("tail").alias("key"), F.lit(False).alias("any")), F.struct(rest(F.col("tail")).alias("key"), F.lit(True).alias("any")))).alias("k")).select("host", "tail", "k.*")
-    fits = keys.join(rules, ["key", "any"]).select("host", "except", F.when(F.col("except"), rest(F.col("tail"))).otherwise(F.col("tail")).alias("suffix"))
-    found = fits.groupBy("host").agg(F.max_by("suffix", F.struct("except", F.length("suffix"))).alias("suffix"))
-    out = hosts.join(found, "host", "left")
-    suffix = F.coalesce("suffix", F.element_at(host_suffixes(F.col("host")), -1))
-    label = F.regexp_extract(F.expr("left(host, length(host) - length(_suffix))"), r"([^.]+)\.$", 1)
-    out = out.withColumn("_suffix", suffix).withColumn("_label", label)
+    tails = host_suffixes(F.col("host"))
+
+    def suffix(fit: Column) -> Column:
+        excepted = F.get(F.filter("_tails", lambda t: F.array_contains(fit, F.concat(F.lit("!"), t))), F.lit(0))
+        longest = F.get(F.filter("_tails", lambda t: F.array_contains(fit, t) | F.array_contains(fit, F.concat(F.lit("*."), rest(t)))), F.lit(0))
+        return F.coalesce(rest(excepted), longest, F.element_at("_tails", -1))
+
+    out = hosts.withColumn("_tails", tails)
+    fit = F.coalesce(F.try_element_at(by_top, F.element_at("_tails", -1)), F.expr("cast(array() as array<string>)"))
+    out = out.withColumn("_suffix", let(fit, suffix))
+    out = out.withColumn("_label", F.regexp_extract(F.expr("left(host, length(host) - length(_suffix))"), r"([^.]+)\.$", 1))
     whole = F.col("_label") != ""
     out = out.withColumn("site", F.when(whole, F.concat_ws(".", "_label", "_suffix")).otherwise(F.col("host")))
-    return out.withColumn("root", F.when(whole, F.col("_label")).otherwise(F.split_part(F.col("host"), F.lit("."), F.lit(1)))).drop("suffix", "_suffix", "_label")
+    return out.withColumn("root", F.when(whole, F.col("_label")).otherwise(F.split_part(F.col("host"), F.lit("."), F.lit(1)))).drop("_tails", "_suffix", "_label")
 
 
 def pages(spark: SparkSession, sf_dir: str, suffixes: DataFrame | None = None) -> DataFrame:
-    """page_id, url, html, host, site, root. The table of distinct hosts and their sites is joined by host; Spark broadcasts it while it is small."""
+    """page_id, url, html, host, site, root; no page is moved for it."""
     rows = table(spark, sf_dir, "pages").withColumn("host", clean_host(F.col("url")))
     return registrable(rows, suffixes if suffixes is not None else suffix_table(spark))
 
