@@ -26,10 +26,9 @@ _ENTRY = np.dtype([("key", "<u4"), ("bits", "<f4")])
 
 
 @dataclass
-class Table:
-    """Frozen code lengths of one language, as entries sorted by kind and key: a file mapped to memory where it is local, or an array."""
+class Part:
+    """Entries of the contexts that end in one byte, sorted by kind and key: a file mapped to memory where it is local, or an array."""
 
-    zero: np.ndarray  # bits of each byte without context
     ends: list[int]  # entries up to each kind's end
     path: str = ""
     entries: np.ndarray | None = None
@@ -38,11 +37,11 @@ class Table:
         return self.__dict__ | ({"entries": None} if self.path else {})
 
     def _found(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys the table has, and the bits of those."""
+        """Which keys the part has, and the bits of those."""
         if self.entries is None:
             fs, at = _file_system(self.path)
             if fs.type_name == "local":
-                self.entries = np.memmap(at, _ENTRY, "r") if self.ends[-1] else np.zeros(0, _ENTRY)
+                self.entries = np.memmap(at, _ENTRY, "r")
             else:
                 with fs.open_input_stream(at) as f:
                     self.entries = np.frombuffer(f.read(), _ENTRY)
@@ -53,7 +52,7 @@ class Table:
         hit = part["key"][at] == keys
         return hit, part["bits"][at[hit]].astype(np.float64)
 
-    def bits_of(self, gram: np.ndarray) -> np.ndarray:
+    def bits_of(self, gram: np.ndarray, zero: np.ndarray) -> np.ndarray:
         """Bits of the last byte of each gram after the three before it: the longest context that has seen it, after the escapes to that."""
         out = np.zeros(len(gram))
         left = np.arange(len(gram))
@@ -62,9 +61,31 @@ class Table:
             hit, bits = self._found(2 * (ORDER - order), keys)
             out[left[hit]] += bits
             left, keys = left[~hit], keys[~hit]
+            if not len(left):
+                return out
             known, bits = self._found(2 * (ORDER - order) + 1, keys >> np.uint32(8))
             out[left[known]] += bits
-        out[left] += self.zero[gram[left] & np.uint32(255)]
+        out[left] += zero[gram[left] & np.uint32(255)]
+        return out
+
+
+@dataclass
+class Table:
+    """Frozen code lengths of one language, in parts by the last byte of the context."""
+
+    zero: np.ndarray  # bits of each byte without context
+    parts: dict[int, Part] = field(default_factory=dict)
+
+    def bits_of(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each gram after the three before it."""
+        out = self.zero[gram & np.uint32(255)]
+        after = (gram >> np.uint32(8) & np.uint32(255)).astype(np.uint8)
+        order = np.argsort(after, kind="stable")
+        ends = np.cumsum(np.bincount(after, minlength=256))
+        for b, part in self.parts.items():
+            at = order[ends[b - 1] if b else 0 : ends[b]]
+            if len(at):
+                out[at] = part.bits_of(gram[at], self.zero)
         return out
 
 
@@ -80,7 +101,7 @@ class Model:
         """By language, rows of SYMBOLS code lengths for each context of three bytes (START is never coded); to look at small models."""
         out = []
         for t in self.tables:
-            contexts = t.entries["key"][t.ends[0] : t.ends[1]]
+            contexts = np.sort(np.concatenate([p.entries["key"][p.ends[0] : p.ends[1]] for p in t.parts.values()]))
             rows = np.full((len(contexts), SYMBOLS), np.inf)
             rows[:, :-1] = t.bits_of(((contexts[:, None] << np.uint32(8)) | _CODED.astype(np.uint32)).ravel()).reshape(-1, BYTES)
             out.append(rows.ravel())
@@ -139,7 +160,7 @@ def train(docs: DataFrame) -> Model:
     """Learns a context tree for each language from text and lang of all the rows (null lang or text: not used).
 
     All counts of all languages are kept. They are made into code lengths by language and last byte of the context, on
-    executors, and go to one file a language in the shared folder; of them the driver gets the counts of single bytes.
+    executors, which write a file for each of these; of counts the driver gets those of single bytes.
     """
     small_batches(docs)
     counts = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -154,50 +175,26 @@ def train(docs: DataFrame) -> Model:
     def code(key, table):
         lang = key[0].as_py()
         kind, entries = _coded(*(table.column(c).to_numpy().astype(np.int64) for c in ("gram", "n")), held.value[lang])
-        return pa.table({"lang": pa.array([lang] * len(kind), pa.string()), "kind": kind, "key": entries["key"].astype(np.int64), "bits": entries["bits"]})
+        part = _part(kind, entries)
+        # Under a name that no other attempt of the task uses.
+        fs, root = _file_system(folder)
+        fs.create_dir(root, recursive=True)
+        path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}.bits"
+        with fs.open_output_stream(_file_system(path)[1]) as f:
+            f.write(part.entries.tobytes())
+        return pa.table({"lang": pa.array([lang], pa.string()), "after": pa.array([key[1].as_py()], pa.int64()), "path": [path], "ends": pa.array([part.ends], pa.list_(pa.int64()))})
 
     after = F.shiftright("gram", 8).bitwiseAND(F.lit(255)).alias("after")
-    coded = counts.select("lang", after, "gram", "n").groupBy("lang", "after").applyInArrow(code, "lang string, kind int, key long, bits float")
-    files = coded.repartition("lang").sortWithinPartitions("lang", "kind", "key").mapInArrow(_files(folder), "lang string, path string, ends array<long>").collect()
-    tables = {r["lang"]: Table(-np.log2(np.maximum(shares[r["lang"]], 1e-300)), list(r["ends"]), r["path"]) for r in files}
+    files = counts.select("lang", after, "gram", "n").groupBy("lang", "after").applyInArrow(code, "lang string, after long, path string, ends array<long>")
+    tables: dict[str, Table] = {}
+    for r in files.collect():  # a row for each byte and language
+        table = tables.setdefault(r["lang"], Table(-np.log2(np.maximum(shares[r["lang"]], 1e-300))))
+        table.parts[r["after"]] = Part(list(r["ends"]), r["path"])
     return Model(sorted(tables), [tables[lang] for lang in sorted(tables)])
 
 
-def _files(folder: str):
-    """Writes sorted entries to a file a language, under names that no other attempt of the task uses; a row for each file."""
-
-    def write(batches):
-        fs, root = _file_system(folder)
-        fs.create_dir(root, recursive=True)
-        lang = sink = path = None
-        counts = np.zeros(KINDS, np.int64)
-
-        def row():
-            sink.close()
-            ends = pa.array([np.cumsum(counts).tolist()], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([path]), ends], names=["lang", "path", "ends"])
-
-        for b in batches:
-            names = b.column(0).to_pylist()
-            kind, entries = b.column(1).to_numpy(), np.zeros(b.num_rows, _ENTRY)
-            entries["key"], entries["bits"] = b.column(2).to_numpy(), b.column(3).to_numpy()
-            at = 0
-            while at < len(names):
-                if names[at] != lang or sink is None:
-                    if sink is not None:
-                        yield row()
-                    lang, path, counts = names[at], f"{folder.rstrip('/')}/{uuid.uuid4().hex}.bits", np.zeros(KINDS, np.int64)
-                    sink = fs.open_output_stream(_file_system(path)[1])
-                end = at
-                while end < len(names) and names[end] == lang:
-                    end += 1
-                sink.write(entries[at:end].tobytes())
-                counts += np.bincount(kind[at:end], minlength=KINDS)
-                at = end
-        if sink is not None:
-            yield row()
-
-    return write
+def _part(kind: np.ndarray, entries: np.ndarray) -> Part:
+    return Part(np.cumsum(np.bincount(kind, minlength=KINDS)).tolist(), entries=entries[np.lexsort((entries["key"], kind))])
 
 
 def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
@@ -206,10 +203,8 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     for name in languages:
         g, c = gram[lang == name].astype(np.int64), n[lang == name]
         share = _single(np.bincount(g & 255, c, minlength=256))
-        parts = [_coded(g[(g >> 8 & 255) == b], c[(g >> 8 & 255) == b], share) for b in np.unique(g >> 8 & 255)]
-        kind, entries = (np.concatenate(x) for x in zip(*parts, strict=True))
-        entries = entries[np.lexsort((entries["key"], kind))]
-        tables.append(Table(-np.log2(np.maximum(share, 1e-300)), np.cumsum(np.bincount(kind, minlength=KINDS)).tolist(), entries=entries))
+        parts = {int(b): _part(*_coded(g[(g >> 8 & 255) == b], c[(g >> 8 & 255) == b], share)) for b in np.unique(g >> 8 & 255)}
+        tables.append(Table(-np.log2(np.maximum(share, 1e-300)), parts))
     return Model(languages, tables)
 
 
