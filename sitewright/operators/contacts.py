@@ -157,7 +157,10 @@ def resolve(companies: DataFrame, owners: DataFrame, addresses: DataFrame, mx: D
 
 
 def evidence(pages: DataFrame, addresses: DataFrame, results: DataFrame, hashed: bool = True) -> DataFrame:
-    """domain, pages array<struct<u>>, emailsFound, patternHint, result: what a record rests on; addresses hashed by default."""
+    """domain, pages array<struct<u>>, emailsFound, patternHint, result: what a record rests on; addresses hashed by default.
+
+    pages are those of a run, whose page budget bounds a site's list.
+    """
     h = (lambda c: F.sha2(c, 256)) if hashed else (lambda c: c)
     looked = pages.groupBy("site").agg(F.array_sort(F.collect_set(F.sha2("url", 256))).alias("u"))
     found = addresses.groupBy("site").agg(F.array_sort(F.collect_set(h(F.col("email")))).alias("emailsFound"))
