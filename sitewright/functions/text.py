@@ -109,9 +109,11 @@ def unescape(x: Column) -> Column:
     def decode(text: Column, known: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
         pairs = F.zip_with(F.split(text, REFERENCE, -1), found, lambda p, m: F.concat(p, F.when(m.isNull(), "").otherwise(_decoded(m, known))))
-        return F.when(F.contains(text, F.lit("&")), F.array_join(pairs, "")).otherwise(text)
+        return F.array_join(pairs, "")
 
-    return let(x, lambda text: let(F.from_json(F.lit(json.dumps(_KNOWN)), "map<string,string>"), lambda known: decode(text, known)))
+    known = F.from_json(F.lit(json.dumps(_KNOWN)), "map<string,string>")
+    # The names are looked at only where a text has a sign of a reference.
+    return let(x, lambda text: F.when(F.contains(text, F.lit("&")), let(known, lambda k: decode(text, k))).otherwise(text))
 
 
 def fold(x: Column) -> Column:

@@ -53,7 +53,8 @@ def people_of(pages: DataFrame, config: Config) -> DataFrame:
 
 def resolve_sites(captured: Captured, sites: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
     """(records, evidence) of sites (site, root)."""
-    pages = chosen_pages(captured, sites, config)
+    # Kept, so the five things that are read from them do not choose them, and move their bodies, five times.
+    pages = chosen_pages(captured, sites, config).persist()
     found = C.page_emails(pages, config.mode).select("site", "email")
     if captured.cards is not None:
         found = C.card_emails(C.card_links(pages), captured.cards).select("site", "email").unionByName(found)
@@ -68,7 +69,7 @@ def resolve_sites(captured: Captured, sites: DataFrame, config: Config) -> tuple
 def run_batch(spark: SparkSession, captured: Captured, domains: DataFrame, out: str, kind: str = "csv", evidence_out: str = "", config: Config = Config()) -> DataFrame:
     """Resolves the domains (domain, line_no) that `out` does not have yet, appends them there, and returns their records.
 
-    Addresses and records (no page bodies) are kept while the run goes on, so results, evidence and the records that are
+    The pages chosen, addresses and records are kept while the run goes on, so results, evidence and the records that are
     returned come from one computation; what a lost executor held is made again.
     """
     suffixes = captured.suffixes if captured.suffixes is not None else S.suffix_table(spark)
