@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import arrowfile, automata, bpe, chat, embeddings, langid, minhash, multiset, oracle, packing, suffixes
+from sitewright.llm import arrowfile, automata, bpe, chat, copies, embeddings, langid, minhash, multiset, oracle, packing, phrases, suffixes, trie
 from sitewright.llm.common import new_path, table, tokenizer_file
 
 _EXTRA_CHAT = r"\### Assistant: </turn> ok"
@@ -61,6 +61,18 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_byte_bpe": op2_byte_bpe,
@@ -72,6 +84,9 @@ QUERIES = {
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op9_document_fingerprints": op9_document_fingerprints,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
