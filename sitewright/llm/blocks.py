@@ -21,11 +21,11 @@ def group_sizes(rows: DataFrame, key: str, weight: Column | None = None) -> Data
     return stored(sizes.filter("_n > 1").drop("_n"), "group-sizes", narrow=True)
 
 
-def paired_blocks(rows: DataFrame, sizes: DataFrame, key: str, size: str, spread: str, block: int = BLOCK) -> DataFrame:
+def paired_blocks(rows: DataFrame, sizes: DataFrame, key: str, size: str, spread: str, block: int | Column = BLOCK) -> DataFrame:
     """Rows of groups of two and more, dealt so that each two rows of a group meet in a task and no task gets a whole hot group.
 
     sizes: a stored table of the groups' keys and sizes. A group of n rows is split by the hash of `spread` in n / block
-    blocks (n: its size); each pair of blocks is a task of its own. Adds _i and _j, the task's pair, and _b, the row's own block; rows
+    blocks (n: its size; block: a number, or an expression of the key); each pair of blocks is a task of its own. Adds _i and _j, the task's pair, and _b, the row's own block; rows
     come sorted by key, _i, _j. Smaller groups are one task (0, 0). Where _i and _j differ, two rows of one block also meet
     in that block's own task.
     """
