@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import json
+import html as _html
 import unicodedata
-from html import unescape as _unescape
-from html.entities import html5
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 HEADING = r"(?is)<h[1-4][^>]*>(.*?)</h[1-4]>"
 JSON_LD = r"(?is)<script[^>]*\stype\s*=\s*[\"']?application/ld\+json[\"']?[^>]*>(.*?)</script>"
 #: One attribute of a tag, or the tag's name.
 ATTRIBUTE = r"[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?"
-#: Character references: numbers, and names with or without their semicolon.
-REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)"
-_NAMED = dict(html5)
-#: Names that count without a semicolon, longest first, as the beginning of a longer word too.
-_BARE = "|".join(sorted((k for k in _NAMED if not k.endswith(";")), key=lambda k: (-len(k), k)))
-#: What names stand for, and numbers that stand for another character, or for none.
-_KNOWN = _NAMED | {f"#{n}": _unescape(f"&#{n};") for n in (0, 13, *range(128, 160))}
 #: Letters of Latin-1 and Latin Extended-A and what is left of them by compatibility decomposition in a to z.
 _FOLD = {chr(c).lower(): d for c in range(0xC0, 0x180) if len(d := "".join(x for x in unicodedata.normalize("NFKD", chr(c).lower()) if "a" <= x <= "z")) == 1}
 
@@ -47,22 +40,22 @@ def body_text(html: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(body, "<[^>]*>", "")))
 
 
-def tags(html: Column, name: str) -> Column:
-    """array<string>: the start tags of a name, comments and scripts left out. Quoted values may hold any character."""
+def tags(markup: Column, name: str) -> Column:
+    """array<string>: the start tags of a name in markup without scripts. Quoted values may hold any character."""
     pattern = rf"(?i)<{name}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){{0,400}}+>"
-    return F.regexp_extract_all(without_scripts(html), F.lit(pattern), F.lit(0))
+    return F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """The decoded value of a tag's first attribute of a name, in any place, quoted or not; null where there is none."""
+    """The value, as it is written, of a tag's first attribute of a name, in any place, quoted or not; null where there is none."""
     found = F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), lambda a: a.rlike(rf"(?i)^{name}\s*="))
     value = F.regexp_replace(F.get(found, F.lit(0)), r"^[^=]*=\s*", "")
-    return unescape(F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2"))
+    return F.regexp_replace(value, r"(?s)^([\"'])(.*)\1$", "$2")
 
 
 def hrefs(html: Column) -> Column:
-    """array<string>: what the links of a page lead to, as written there; links without a target are left out."""
-    return F.filter(F.transform(tags(html, "a"), lambda t: attribute(t, "href")), lambda h: h.isNotNull())
+    """array<string>: what the links of a page lead to, references decoded; links without a target are left out."""
+    return unescape_each(F.filter(F.transform(tags(without_scripts(html), "a"), lambda t: attribute(t, "href")), lambda h: h.isNotNull()))
 
 
 def mail_links(html: Column) -> Column:
@@ -70,50 +63,45 @@ def mail_links(html: Column) -> Column:
     return F.transform(F.filter(hrefs(html), lambda h: F.startswith(h, F.lit("mailto:"))), lambda h: F.trim(F.regexp_extract(h, r"^mailto:([^?]*)", 1)))
 
 
-def meta_content(html: Column, key: str, value: str) -> Column:
-    """The content of the page's first meta tag whose attribute key is value; null where there is none."""
-    named = F.filter(tags(html, "meta"), lambda t: attribute(t, key) == value)
-    return F.trim(attribute(F.get(named, F.lit(0)), "content"))
+def meta_content(metas: Column, key: str, value: str) -> Column:
+    """The content of the first of a page's meta tags whose attribute key is value; null where there is none."""
+    keys = unescape_each(F.transform(metas, lambda t: attribute(t, key)))
+    at = F.array_position(keys, F.lit(value)).cast("int")
+    return F.trim(unescape(F.when(at > 0, attribute(F.get(metas, at - 1), "content"))))
 
 
 def all_matches(x: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
 
 
-def _code_point(number: Column) -> Column:
-    """The character of a number in decimal digits; none beyond the last code point or for half a pair."""
-    n = F.try_to_number(F.concat(F.lit("0"), F.substring(number, -7, 7)), F.lit("99999999")).cast("int")
-    fine = (F.length(number) <= 7) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    void = n.between(1, 8) | n.between(14, 31) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n == 11) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
-    return F.when(~fine, "\ufffd").when(void, "").otherwise(F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32"))
+def let(value: Column, use) -> Column:
+    """use(value) with value taken once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _decoded(reference: Column, known: Column) -> Column:
-    """What a match of REFERENCE stands for: itself, where it is no reference. known: _KNOWN as a map."""
-    bare = F.regexp_extract(reference, rf"^&({_BARE})", 1)
-    digits = F.regexp_replace(F.regexp_extract(reference, r"^&#([0-9]+)", 1), "^0+(?=.)", "")
-    hexes = F.regexp_replace(F.regexp_extract(reference, r"^&#[xX]([0-9a-fA-F]+)", 1), "^0+(?=.)", "")
-    number = F.when(digits != "", digits).when(F.length(hexes) <= 6, F.conv(hexes, 16, 10)).otherwise("99999999")
-    by_name = F.coalesce(F.try_element_at(known, F.substring(reference, 2, 40)), F.when(bare != "", F.concat(F.try_element_at(known, bare), F.substr(reference, F.length(bare) + 2, F.lit(40)))), reference)
-    return F.when(F.startswith(reference, F.lit("&#")), F.coalesce(F.try_element_at(known, F.concat(F.lit("#"), number)), _code_point(number))).otherwise(by_name)
+@F.arrow_udf(StringType())
+def _plain(x: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _html.unescape(t) for t in x.to_pylist()], pa.string())
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value taken once, however often use names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+@F.arrow_udf(ArrayType(StringType()))
+def _plain_each(x: pa.Array) -> pa.Array:
+    return pa.array([None if ts is None else [None if t is None else _html.unescape(t) for t in ts] for ts in x.to_pylist()], pa.list_(pa.string()))
 
 
 def unescape(x: Column) -> Column:
-    """All numeric and named character references decoded once, by the rules of HTML."""
+    """All numeric and named character references decoded once, by the rules of HTML.
+
+    The 2231 names are a hashed table of each Python worker; only texts that have the sign of a reference are handed to it.
+    """
+    some = F.contains(x, F.lit("&"))
+    return F.when(some, _plain(F.when(some, x))).otherwise(x)
 
-    def decode(text: Column, known: Column) -> Column:
-        found = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0))
-        pairs = F.zip_with(F.split(text, REFERENCE, -1), found, lambda p, m: F.concat(p, F.when(m.isNull(), "").otherwise(_decoded(m, known))))
-        return F.array_join(pairs, "")
 
-    known = F.from_json(F.lit(json.dumps(_KNOWN)), "map<string,string>")
-    # The names are looked at only where a text has a sign of a reference.
-    return let(x, lambda text: F.when(F.contains(text, F.lit("&")), let(known, lambda k: decode(text, k))).otherwise(text))
+def unescape_each(x: Column) -> Column:
+    """unescape() of an array's texts; not to be used inside another function's lambda, as no function in Python is."""
+    some = F.exists(x, lambda t: F.coalesce(F.contains(t, F.lit("&")), F.lit(False)))
+    return F.when(some, _plain_each(F.when(some, x))).otherwise(x)
 
 
 def fold(x: Column) -> Column:

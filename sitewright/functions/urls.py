@@ -85,6 +85,42 @@ def without_dots(url: Column) -> Column:
     return F.when(p.rlike(r"/\.\.?(/|$)"), F.concat(origin(url), joined, tail)).otherwise(url)
 
 
+#: Percent codes, runs of characters that a URL's path and query hold as they are, and single others.
+_URL_PIECE = r"(?s)%[0-9A-Fa-f]{2}|[!#$&-;=?-\[\]_a-z~]+|."
+#: Codes of letters, digits and -._~, which mean the same as the characters.
+_PLAIN_CODE = "(?i)^%(2[DE]|3[0-9]|4[1-9A-F]|5[0-9AF]|6[1-9A-F]|7[0-9AE])$"
+
+
+def normal_path(x: Column) -> Column:
+    """A path with query in normal form: percent codes in capitals, none where a character means the same, and for all
+    characters that a URL does not hold."""
+
+    def piece(p: Column) -> Column:
+        plain = F.char(F.conv(F.substring(p, 2, 2), 16, 10).cast("int"))
+        coded = F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "%$1")
+        return F.when(p.rlike(_PLAIN_CODE), plain).when(p.rlike("^%..$"), F.upper(p)).when(p.rlike(r"^[!#$&-;=?-\[\]_a-z~]"), p).otherwise(coded)
+
+    odd = x.rlike(r"[^!#$&-;=?-\[\]_a-z~]")
+    return F.when(odd, F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_URL_PIECE), F.lit(0)), piece), "")).otherwise(x)
+
+
+def normal_url(x: Column) -> Column:
+    """An absolute http(s) URL in normal form without its fragment; null for anything else.
+
+    Scheme and host in lower case, credentials and default ports off, backslashes as slashes, line ends and tabs out, / for
+    an empty path, path and query as normal_path() has them, dot segments resolved.
+    """
+    start = r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*"
+    flat = F.regexp_replace(F.trim(x), r"[\t\r\n]", "")
+    scheme = F.lower(F.regexp_extract(flat, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+    host = F.lower(F.regexp_replace(normal_path(F.regexp_extract(flat, start + r"([^/\\?#]*)", 1)), "^.*@", ""))
+    host = F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", "")).otherwise(F.regexp_replace(host, ":(443)?$", ""))
+    p = F.translate(F.regexp_extract(flat, start + r"[^/\\?#]*([^?#]*)", 1), "\\", "/")
+    query = F.regexp_extract(flat, r"^[^?#]*([?][^#]*)", 1)
+    url = F.concat(scheme, F.lit("://"), host, F.when(p == "", "/").otherwise(normal_path(p)), normal_path(query))
+    return F.when(scheme.isin("http", "https") & (host != ""), without_dots(url))
+
+
 def in_scope(host: Column, site: Column) -> Column:
     """Host of the site or under it, at a dot."""
     return (host == site) | F.endswith(host, F.concat(F.lit("."), site))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions import emails as E
 from sitewright.functions.names import PAIR, ROLE_AND_NAME, has_role, is_human_name, looks_like_company
-from sitewright.functions.text import HEADING, JSON_LD, TITLE, all_matches, body_text, capitalised, company_name, csv_field, fold, hrefs, mail_links, meta_content, squeeze, unescape, visible_text, without_scripts
+from sitewright.functions.text import HEADING, JSON_LD, TITLE, all_matches, body_text, capitalised, company_name, csv_field, fold, hrefs, mail_links, meta_content, squeeze, tags, unescape, unescape_each, visible_text, without_scripts
 from sitewright.functions.urls import clean_host, in_scope, resolve_link
 
 #: At least this much for a person to count.
@@ -65,7 +65,7 @@ def title_people(pages: DataFrame) -> DataFrame:
 
 def heading_people(pages: DataFrame, strict: bool = True) -> DataFrame:
     """site, page_id, hit_ord, title, first, last, weight: the first name in a heading; in strict mode one with a role."""
-    blocks = F.transform(all_matches(without_scripts(F.col("html")), HEADING), lambda x: squeeze(unescape(F.regexp_replace(x, "<[^>]*>", ""))))
+    blocks = F.transform(unescape_each(F.transform(all_matches(without_scripts(F.col("html")), HEADING), lambda x: F.regexp_replace(x, "<[^>]*>", ""))), squeeze)
     rows = pages.select("site", "page_id", F.posexplode(blocks).alias("hit_ord", "block"))
     first, last = F.regexp_extract("block", PAIR, 1), F.regexp_extract("block", PAIR, 2)
     named = rows.select("site", "page_id", "hit_ord", F.substring("block", 1, 160).alias("title"), first.alias("first"), last.alias("last"), has_role(F.col("block")).alias("_role"))
@@ -123,10 +123,11 @@ def _json_name(html: Column) -> Column:
 
 def page_company(pages: DataFrame) -> DataFrame:
     """site, page_id, company: linked data, site name, item name, or title, cut at a bar, long dash or hyphen."""
-    html = F.col("html")
+    html, metas = F.col("html"), F.col("_metas")
     some = lambda x: F.nullif(squeeze(x), F.lit(""))
-    pick = F.coalesce(_json_name(html), some(meta_content(html, "property", "og:site_name")), some(meta_content(html, "itemprop", "name")), some(unescape(F.regexp_extract(html, TITLE, 1))))
-    return pages.filter(html.isNotNull()).select("site", "page_id", company_name(pick).alias("company")).filter(F.coalesce(F.col("company"), F.lit("")) != "")
+    pick = F.coalesce(_json_name(html), some(meta_content(metas, "property", "og:site_name")), some(meta_content(metas, "itemprop", "name")), some(unescape(F.regexp_extract(html, TITLE, 1))))
+    rows = pages.filter(html.isNotNull()).select("site", "page_id", "html", tags(without_scripts(html), "meta").alias("_metas"))
+    return rows.select("site", "page_id", company_name(pick).alias("company")).filter(F.coalesce(F.col("company"), F.lit("")) != "")
 
 
 def site_company(pages: DataFrame) -> DataFrame:

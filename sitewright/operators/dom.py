@@ -144,5 +144,6 @@ def dom_people(pages: DataFrame, strict: bool = True, linked_data: bool = True,
                 rows += [dict(zip(names.names, (site, page, c, k, *hit), strict=True)) for c, hits in found for k, hit in enumerate(hits)]
             yield pa.RecordBatch.from_pylist(rows, schema=names)
 
-    found = pages.filter(F.coalesce("html", F.lit("")) != "").select("site", F.col("page_id").cast("long"), "html").mapInArrow(find, SCHEMA)
+    # Pages without a class, a heading or linked data have none of these people and are not handed to Python.
+    found = pages.filter(F.coalesce("html", F.lit("")).rlike(r"(?i)class\s*=|<h[1-4]|ld\+json")).select("site", F.col("page_id").cast("long"), "html").mapInArrow(find, SCHEMA)
     return found.filter((F.col("channel_ord") != 3) | is_human_name(F.col("first"), F.col("last")))

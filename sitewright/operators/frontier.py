@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sitewright.config import PATHS, SHORT_PATHS
 from sitewright.functions.text import hrefs
 from sitewright.functions.urls import PATH_GATE, SITEMAP_GATE, SITEMAP_HINT, clean_host, hint_score, in_scope, origin, path, resolve_link
+from sitewright.operators.robots import allowed  # noqa: F401 - beside the other gates
 from sitewright.sources.tables import header_options
 
 
@@ -86,21 +87,6 @@ def breadth_first(roots: DataFrame, edges: DataFrame, depth: int, max_pages: int
     return seen
 
 
-def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds allowed to rows with url: the longest rule (origin, rule, allow) that begins the path decides, allow on ties, else true.
-
-    Rules may hold * for any characters and end in $.
-    """
-    named = urls.withColumn("origin", origin(F.col("url"))).withColumn("_path", F.regexp_extract("url", r"^[^/]*//[^/?#]*([^#]*)", 1))
-    targets = named.select("origin", "_path").distinct()
-    escaped = F.regexp_replace("rule", r"([\\.\[\]{}()+?^|])", r"\\$1")
-    ends = F.endswith(F.col("rule"), F.lit("$"))
-    pattern = F.concat(F.lit("^"), F.replace(F.regexp_replace(escaped, r"\$$", ""), F.lit("*"), F.lit(".*")), F.when(ends, F.lit("$")).otherwise(F.lit("")))
-    hits = targets.join(rules.withColumn("_pattern", pattern), "origin").filter(F.expr("regexp_like(_path, _pattern)"))
-    decided = hits.groupBy("origin", "_path").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("_allow"))
-    return named.join(decided, ["origin", "_path"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_path", "_allow", "origin")
-
-
 def pacing(urls: DataFrame, rate_ms: int, clock: DataFrame | None = None, headers: str = "") -> DataFrame:
     """host, url, seq, earliest_ms, headers: when each request of a host may start, the first at 0 or when its clock allows.
 

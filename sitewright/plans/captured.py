@@ -172,7 +172,8 @@ def owner_run_rows(spark, sf_dir):
 
 
 def owner_run_evidence(spark, sf_dir):
-    log = R.resolve_sites(_captured(spark), _sites(spark), Config(hash_evidence=False))[1]
+    records, looked, found = R.resolve_sites(_captured(spark), _sites(spark), Config())
+    log = C.evidence(looked, found, records, hashed=False)
     return log.select("domain", F.size("pages").alias("pages"), F.array_join("emailsFound", " ").alias("emails"), "result")
 
 

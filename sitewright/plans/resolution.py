@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sitewright.config import PATHS, SHORT_PATHS, Config
 from sitewright.functions.urls import clean_host, in_scope
 from sitewright.operators import contacts as C
-from sitewright.operators import dom, frontier, sinks
+from sitewright.operators import dom, frontier, sinks, state
 from sitewright.sources import tables as S
 
 
@@ -51,35 +51,71 @@ def people_of(pages: DataFrame, config: Config) -> DataFrame:
     return by_text.unionByName(dom.dom_people(pages, config.strict).select(*columns))
 
 
-def resolve_sites(captured: Captured, sites: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
-    """(records, evidence) of sites (site, root)."""
-    # Kept, so the five things that are read from them do not choose them, and move their bodies, five times.
-    pages = chosen_pages(captured, sites, config).persist()
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the folder that driver and executors share, so that what is made from them is made from the same."""
+    path = S.work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def resolve_sites(captured: Captured, sites: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, pages, addresses) of sites (site, root): the pages looked at (page_id, site, url) and addresses found (site,
+    email) are what evidence is made from.
+
+    The numbers of the pages chosen and the addresses are kept as tables; page bodies are read where they are.
+    """
+    chosen = _kept(chosen_pages(captured, sites, config).select("page_id", "site", "root", "url"), "chosen-pages")
+    pages = captured.pages.select("page_id", "html").join(chosen, "page_id")
     found = C.page_emails(pages, config.mode).select("site", "email")
     if captured.cards is not None:
         found = C.card_emails(C.card_links(pages), captured.cards).select("site", "email").unionByName(found)
     named = C.site_company(pages)
     companies = sites.select("site", "root").distinct().join(named.select("site", "company"), "site", "left").withColumn("company", F.coalesce("company", F.concat(F.upper(F.substring("root", 1, 1)), F.expr("substring(root, 2)"))))
     owners = C.pick_owner(C.score_people(people_of(pages, config)), "UNICODE")
-    found = found.distinct().persist()
-    records = C.resolve(companies, owners, found, captured.mx)
-    return records, C.evidence(pages, found, records, config.hash_evidence)
+    found = _kept(found.distinct(), "addresses")
+    return C.resolve(companies, owners, found, captured.mx), chosen, found
+
+
+def _sites_of(captured: Captured, domains: DataFrame) -> DataFrame:
+    suffixes = captured.suffixes if captured.suffixes is not None else S.suffix_table(domains.sparkSession)
+    return S.registrable(domains.select(F.lower("domain").alias("host")), suffixes).select("site", "root").distinct()
 
 
 def run_batch(spark: SparkSession, captured: Captured, domains: DataFrame, out: str, kind: str = "csv", evidence_out: str = "", config: Config = Config()) -> DataFrame:
     """Resolves the domains (domain, line_no) that `out` does not have yet, appends them there, and returns their records.
 
-    The pages chosen, addresses and records are kept while the run goes on, so results, evidence and the records that are
-    returned come from one computation; what a lost executor held is made again.
+    Results, evidence and the records that are returned come from one computation. The two folders are appended to one
+    after the other; run_committed() commits them as one.
     """
-    suffixes = captured.suffixes if captured.suffixes is not None else S.suffix_table(spark)
     todo = sinks.to_do(spark, C.first_of_each(domains).select(F.lower("domain").alias("domain")), out, kind) if out else C.first_of_each(domains)
-    sites = S.registrable(todo.select(F.lower("domain").alias("host")), suffixes).select("site", "root").distinct()
-    records, log = resolve_sites(captured, sites, config)
-    records = records.persist()
+    records, looked, found = resolve_sites(captured, _sites_of(captured, todo), config)
+    records = _kept(records, "records")
     sinks.write_results(records, out, kind)
     if evidence_out:
-        sinks.write_evidence(log, evidence_out)
+        sinks.write_evidence(C.evidence(looked, found, records, config.hash_evidence), evidence_out)
+    return records
+
+
+RESULTS = "site string, company string, owner string, email string, email_origin string"
+MARKS = "domain string"
+
+
+def run_committed(spark: SparkSession, captured: Captured, domains: DataFrame, root: str, config: Config = Config(), answers: DataFrame | None = None) -> DataFrame:
+    """Resolves the domains (domain, line_no) that the state at root has no mark of, and returns their records.
+
+    Results, evidence, marks and, with answers, the cache are committed together: a run that ends before its commit has
+    left none of them, and its domains are done by the next.
+    """
+    run = state.Run(spark, root)
+    listed = C.first_of_each(domains).select(F.lower("domain").alias("domain"))
+    todo = C.pending(listed, state.read(spark, root, "marks", MARKS))
+    records, looked, found = resolve_sites(captured, _sites_of(captured, todo), config)
+    records = run.write("results", records)
+    run.write("evidence", C.evidence(looked, found, records, config.hash_evidence).withColumn("ts", F.current_timestamp()))
+    run.write("marks", todo)
+    if answers is not None:
+        state.merge_cache(run, answers)
+    run.commit()
     return records
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.config import ANY_NAME, EXCEPTIONS, SECOND_LEVEL
+from sitewright.functions.charsets import decode_bytes
 from sitewright.functions.text import let
 from sitewright.functions.urls import clean_host, domain_line, host_suffixes, in_scope, shell_line
 
@@ -155,10 +156,7 @@ def robot_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
 
 def decoded_body(body: Column, content_type: Column, limit: int) -> Column:
     """At most `limit` bytes of a captured body as text, by the type's charset if it is a known one, else UTF-8."""
-    cut = F.substring(body, 1, limit)
-    kind = F.upper(charset(content_type))
-    text = F.when(kind.isin("ISO-8859-1", "LATIN1", "WINDOWS-1252"), F.decode(cut, "ISO-8859-1")).when(kind == "UTF-16", F.decode(cut, "UTF-16"))
-    return F.coalesce(text, F.make_valid_utf8(cut.cast("string")))
+    return decode_bytes(F.substring(body, 1, limit), charset(content_type))
 
 
 def answer_pages(answers: DataFrame, limit: int, cache: DataFrame | None = None) -> DataFrame:

@@ -69,7 +69,8 @@ def test_references_are_those_of_the_library(spark):
 def test_attributes_in_any_form(spark):
     page = """<a class=x href=/one>1</a><A title="a > b" HREF = '/two?a=1&amp;b=2'>2</A><a name=q>3</a><abbr href=no><!-- <a href=c> --><script>"<a href=s>"</script><a data-href="n" href="">e</a>
     <a href="mailto:info&#64;x.it?subject=x"><meta content=Foo property="og:site_name"><meta itemprop=name content='B"r'>"""
-    r = spark.createDataFrame([(page,)], "h string").select(X.hrefs(F.col("h")).alias("a"), X.mail_links(F.col("h")).alias("m"), X.meta_content(F.col("h"), "property", "og:site_name").alias("s"), X.meta_content(F.col("h"), "itemprop", "name").alias("n"), X.meta_content(F.col("h"), "itemprop", "none").alias("z")).first()
+    metas = X.tags(X.without_scripts(F.col("h")), "meta")
+    r = spark.createDataFrame([(page,)], "h string").select(X.hrefs(F.col("h")).alias("a"), X.mail_links(F.col("h")).alias("m"), X.meta_content(metas, "property", "og:site_name").alias("s"), X.meta_content(metas, "itemprop", "name").alias("n"), X.meta_content(metas, "itemprop", "none").alias("z")).first()
     assert r.a == ["/one", "/two?a=1&b=2", "", "mailto:info@x.it?subject=x"] and r.m == ["info@x.it"] and (r.s, r.n, r.z) == ("Foo", 'B"r', None)
 
 
