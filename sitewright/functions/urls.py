@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitewright.config import HINTS, LINK_WORDS, SITEMAP_WORDS
+from sitewright.functions.text import let
 
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?([^/?#:]+)"
 LINE = r"^[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
@@ -54,35 +55,38 @@ def resolve_link(base: Column, href: Column) -> Column:
     Absolute, scheme-relative, root-relative, query and plain relative links; segments . and .. of relative paths are
     taken out one by one from the left.
     """
-    h = F.regexp_replace(F.trim(href), "#.*$", "")
-    clean_base = F.regexp_replace(base, "[?#].*$", "")
-    folder = F.when(path(clean_base) == "/", F.concat(origin(base), F.lit("/"))).otherwise(F.regexp_replace(clean_base, "[^/]*$", ""))
-    relative = F.concat(folder, h)
-    url = (
-        F.when(F.trim(href).rlike("^#") | (F.trim(href) == ""), F.lit(None))
-        .when(h.rlike("^(mailto:|tel:|javascript:)"), F.lit(None))
-        .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.rlike("^//"), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
-        .when(h.rlike("^/"), F.concat(origin(base), h))
-        .when(h.rlike(r"^\?"), F.concat(clean_base, h))
-        .otherwise(relative)
-    )
-    return F.when(url.rlike("^https?://"), without_dots(url))
+    link = F.struct(F.trim(href).alias("whole"), F.regexp_replace(F.trim(href), "#.*$", "").alias("h"), F.regexp_replace(base, "[?#].*$", "").alias("base"), base.alias("page"))
+
+    def resolved(x: Column) -> Column:
+        h, clean = x["h"], x["base"]
+        folder = F.when(clean.rlike("^[^/]*//[^/]*/?$"), F.concat(origin(clean), F.lit("/"))).otherwise(F.regexp_replace(clean, "[^/]*$", ""))
+        return (
+            F.when(x["whole"].rlike("^(#|$)") | h.rlike("^(mailto:|tel:|javascript:)"), F.lit(None))
+            .when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.rlike("^//"), F.concat(F.regexp_extract(x["page"], "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
+            .when(h.rlike("^/"), F.concat(origin(x["page"]), h))
+            .when(h.rlike(r"^\?"), F.concat(clean, h))
+            .otherwise(F.concat(folder, h))
+        )
+
+    return let(let(link, resolved), lambda url: F.when(url.rlike("^https?://"), without_dots(url)))
 
 
 def without_dots(url: Column) -> Column:
     """The URL with the dot segments of its path resolved, by one pass over the segments."""
-    p = path(url)
-    tail = F.regexp_extract(url, r"([?].*)$", 1)
-    segments = F.slice(F.split(p, "/", -1), 2, 1 << 20)
-    last_is_dot = F.element_at(segments, -1).isin(".", "..")
-    kept = F.aggregate(
-        segments,
-        F.expr("cast(array() as array<string>)"),
-        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
-    )
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last_is_dot & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
-    return F.when(p.rlike(r"/\.\.?(/|$)"), F.concat(origin(url), joined, tail)).otherwise(url)
+
+    def resolved(u: Column) -> Column:
+        segments = F.slice(F.split(path(u), "/", -1), 2, 1 << 20)
+        kept = F.aggregate(
+            segments,
+            F.expr("cast(array() as array<string>)"),
+            lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+        )
+        slash = F.when(u.rlike(r"^[^?#]*/\.\.?([?#]|$)"), F.lit("/")).otherwise(F.lit(""))
+        joined = let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(F.size(k) > 0, slash).otherwise(F.lit(""))))
+        return F.concat(origin(u), joined, F.regexp_extract(u, r"([?].*)$", 1))
+
+    return let(url, lambda u: F.when(u.rlike(r"^[^?#]*//[^?#]*/\.\.?([/?#]|$)"), resolved(u)).otherwise(u))
 
 
 #: Percent codes, runs of characters that a URL's path and query hold as they are, and single others.
@@ -100,8 +104,11 @@ def normal_path(x: Column) -> Column:
         coded = F.regexp_replace(F.hex(F.encode(p, "UTF-8")), "(..)", "%$1")
         return F.when(p.rlike(_PLAIN_CODE), plain).when(p.rlike("^%..$"), F.upper(p)).when(p.rlike(r"^[!#$&-;=?-\[\]_a-z~]"), p).otherwise(coded)
 
-    odd = x.rlike(r"[^!#$&-;=?-\[\]_a-z~]")
-    return F.when(odd, F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_URL_PIECE), F.lit(0)), piece), "")).otherwise(x)
+    def normal(v: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(v, F.lit(_URL_PIECE), F.lit(0)), piece)
+        return F.when(v.rlike(r"[^!#$&-;=?-\[\]_a-z~]"), F.array_join(pieces, "")).otherwise(v)
+
+    return let(x, normal)
 
 
 def normal_url(x: Column) -> Column:
@@ -111,14 +118,18 @@ def normal_url(x: Column) -> Column:
     an empty path, path and query as normal_path() has them, dot segments resolved.
     """
     start = r"^[A-Za-z][A-Za-z0-9+.-]*:[/\\]*"
-    flat = F.regexp_replace(F.trim(x), r"[\t\r\n]", "")
-    scheme = F.lower(F.regexp_extract(flat, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    host = F.lower(F.regexp_replace(normal_path(F.regexp_extract(flat, start + r"([^/\\?#]*)", 1)), "^.*@", ""))
-    host = F.when(scheme == "http", F.regexp_replace(host, ":(80)?$", "")).otherwise(F.regexp_replace(host, ":(443)?$", ""))
-    p = F.translate(F.regexp_extract(flat, start + r"[^/\\?#]*([^?#]*)", 1), "\\", "/")
-    query = F.regexp_extract(flat, r"^[^?#]*([?][^#]*)", 1)
-    url = F.concat(scheme, F.lit("://"), host, F.when(p == "", "/").otherwise(normal_path(p)), normal_path(query))
-    return F.when(scheme.isin("http", "https") & (host != ""), without_dots(url))
+
+    def parts(flat: Column) -> Column:
+        host = F.lower(F.regexp_replace(normal_path(F.regexp_extract(flat, start + r"([^/\\?#]*)", 1)), "^.*@", ""))
+        p = F.translate(F.regexp_extract(flat, start + r"[^/\\?#]*([^?#]*)", 1), "\\", "/")
+        return F.struct(F.lower(F.regexp_extract(flat, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)).alias("scheme"), host.alias("host"), p.alias("path"), F.regexp_extract(flat, r"^[^?#]*([?][^#]*)", 1).alias("query"))
+
+    def whole(u: Column) -> Column:
+        port = F.when(u["scheme"] == "http", ":(80)?$").otherwise(":(443)?$")
+        url = F.concat(u["scheme"], F.lit("://"), F.regexp_replace(u["host"], port, F.lit("")), F.when(u["path"] == "", "/").otherwise(normal_path(u["path"])), normal_path(u["query"]))
+        return F.when(u["scheme"].isin("http", "https") & (u["host"] != ""), without_dots(url))
+
+    return let(let(F.regexp_replace(F.trim(x), r"[\t\r\n]", ""), parts), whole)
 
 
 def in_scope(host: Column, site: Column) -> Column:

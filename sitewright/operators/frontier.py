@@ -11,7 +11,7 @@ from sitewright.config import PATHS, SHORT_PATHS
 from sitewright.functions.text import hrefs
 from sitewright.functions.urls import PATH_GATE, SITEMAP_GATE, SITEMAP_HINT, clean_host, hint_score, in_scope, origin, path, resolve_link
 from sitewright.operators.robots import allowed  # noqa: F401 - beside the other gates
-from sitewright.sources.tables import header_options
+from sitewright.sources.tables import header_options, kept
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -67,24 +67,28 @@ def breadth_first(roots: DataFrame, edges: DataFrame, depth: int, max_pages: int
     """site, url, depth, place of what is reached from roots (site, url, ord) over edges (site, src, url), max_pages a site at most.
 
     A queue: roots in their order, then each page's links in the order in which the pages themselves came, those with more
-    hint words first, then by name; a page counts where it comes first. Pages beyond the budget lead nowhere. The number of
-    levels is a parameter, so the plan is of fixed size; a level's rows are max_pages a site at most.
+    hint words first, then by name; a page counts where it comes first. Pages beyond the budget lead nowhere.
+
+    Edges and each level are kept as tables, so links are found once, and a level's plan holds the level before it alone;
+    its rows are max_pages a site at most. The number of levels is a parameter.
     """
-    first = roots.groupBy("site", "url").agg(F.struct(F.min("ord").alias("ord"), F.lit(0).alias("hint")).alias("o"))
-    seen, level, taken = None, first, None
+    edges = kept(edges.select("site", "src", "url"), "edges")
+    level = roots.groupBy("site", "url").agg(F.struct(F.min("ord").alias("ord"), F.lit(0).alias("hint")).alias("o"))
+    levels: list[DataFrame] = []
     for d in range(depth + 1):
         w = Window.partitionBy("site").orderBy("o.ord", "o.hint", "url")
-        placed = level.withColumn("place", F.row_number().over(w))
-        if taken is not None:
+        placed = level.withColumn("place", F.row_number().over(w).cast("long"))
+        if levels:
+            seen = reduce(DataFrame.unionByName, levels)
+            taken = seen.groupBy("site").agg(F.max("place").alias("taken"))
             placed = placed.join(taken, "site").withColumn("place", F.col("place") + F.col("taken")).drop("taken")
-        placed = placed.filter(F.col("place") <= max_pages).select("site", "url", F.lit(d).alias("depth"), "place")
-        seen = placed if seen is None else seen.unionByName(placed)
+        placed = kept(placed.filter(F.col("place") <= max_pages).select("site", "url", F.lit(d).alias("depth"), "place"), f"level-{d}")
+        levels.append(placed)
         if d < depth:
-            taken = seen.groupBy("site").agg(F.max("place").alias("taken"))
             reached = placed.select("site", F.col("url").alias("src"), F.col("place").alias("ord")).join(edges, ["site", "src"])
             found = reached.groupBy("site", "url").agg(F.min(F.struct("ord", (-hint_score(F.col("url"))).alias("hint"))).alias("o"))
-            level = found.join(seen.select("site", "url"), ["site", "url"], "left_anti")
-    return seen
+            level = found.join(reduce(DataFrame.unionByName, levels).select("site", "url"), ["site", "url"], "left_anti")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def pacing(urls: DataFrame, rate_ms: int, clock: DataFrame | None = None, headers: str = "") -> DataFrame:

@@ -51,20 +51,13 @@ def people_of(pages: DataFrame, config: Config) -> DataFrame:
     return by_text.unionByName(dom.dom_people(pages, config.strict).select(*columns))
 
 
-def _kept(rows: DataFrame, name: str) -> DataFrame:
-    """rows as a table in the folder that driver and executors share, so that what is made from them is made from the same."""
-    path = S.work_folder(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def resolve_sites(captured: Captured, sites: DataFrame, config: Config) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records, pages, addresses) of sites (site, root): the pages looked at (page_id, site, url) and addresses found (site,
     email) are what evidence is made from.
 
     The numbers of the pages chosen and the addresses are kept as tables; page bodies are read where they are.
     """
-    chosen = _kept(chosen_pages(captured, sites, config).select("page_id", "site", "root", "url"), "chosen-pages")
+    chosen = S.kept(chosen_pages(captured, sites, config).select("page_id", "site", "root", "url"), "chosen-pages")
     pages = captured.pages.select("page_id", "html").join(chosen, "page_id")
     found = C.page_emails(pages, config.mode).select("site", "email")
     if captured.cards is not None:
@@ -72,7 +65,7 @@ def resolve_sites(captured: Captured, sites: DataFrame, config: Config) -> tuple
     named = C.site_company(pages)
     companies = sites.select("site", "root").distinct().join(named.select("site", "company"), "site", "left").withColumn("company", F.coalesce("company", F.concat(F.upper(F.substring("root", 1, 1)), F.expr("substring(root, 2)"))))
     owners = C.pick_owner(C.score_people(people_of(pages, config)), "UNICODE")
-    found = _kept(found.distinct(), "addresses")
+    found = S.kept(found.distinct(), "addresses")
     return C.resolve(companies, owners, found, captured.mx), chosen, found
 
 
@@ -89,7 +82,7 @@ def run_batch(spark: SparkSession, captured: Captured, domains: DataFrame, out:
     """
     todo = sinks.to_do(spark, C.first_of_each(domains).select(F.lower("domain").alias("domain")), out, kind) if out else C.first_of_each(domains)
     records, looked, found = resolve_sites(captured, _sites_of(captured, todo), config)
-    records = _kept(records, "records")
+    records = S.kept(records, "records")
     sinks.write_results(records, out, kind)
     if evidence_out:
         sinks.write_evidence(C.evidence(looked, found, records, config.hash_evidence), evidence_out)

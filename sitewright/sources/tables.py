@@ -190,6 +190,13 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the folder that driver and executors share, so that what is made from them is made from the same, once."""
+    path = work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def header_options(x: Column) -> Column:
     """A JSON text of headers as a map; empty where it can't be read."""
     return F.coalesce(F.from_json(x, "map<string,string>"), F.expr("cast(map() as map<string,string>)"))
