@@ -127,7 +127,8 @@ def page_company(pages: DataFrame) -> DataFrame:
     some = lambda x: F.nullif(squeeze(x), F.lit(""))
     pick = F.coalesce(_json_name(html), some(meta_content(metas, "property", "og:site_name")), some(meta_content(metas, "itemprop", "name")), some(unescape(F.regexp_extract(html, TITLE, 1))))
     rows = pages.filter(html.isNotNull()).select("site", "page_id", "html", tags(without_scripts(html), "meta").alias("_metas"))
-    return rows.select("site", "page_id", company_name(pick).alias("company")).filter(F.coalesce(F.col("company"), F.lit("")) != "")
+    # A filter on the name would be pushed below it, and the name found twice.
+    return rows.select("site", "page_id", F.explode(F.filter(F.array(company_name(pick)), lambda c: c != "")).alias("company"))
 
 
 def site_company(pages: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ from sitewright.sources.tables import header_options, kept
 def links(pages: DataFrame) -> DataFrame:
     """page_id, site, pos, url of every link of every page that leads to http(s); duplicates stay."""
     found = pages.select("page_id", "site", "url", F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
-    return found.select("page_id", "site", "pos", resolve_link(F.col("url"), F.col("href")).alias("url")).filter(F.col("url").isNotNull())
+    leads = F.filter(F.array(resolve_link(F.col("url"), F.col("href"))), lambda u: u.isNotNull())
+    return found.select("page_id", "site", "pos", F.explode(leads).alias("url"))
 
 
 def inner_links(found: DataFrame) -> DataFrame:

@@ -1,264 +1,336 @@
-"""A small captured crawl of three invented sites, with the traps that pages hold, and the queries over it by name.
+"""A crawl made from the given pages, with the traps that pages hold, and the queries over it by name.
 
-These queries run the engine's whole path on pages whose right results are known; the results are typed out in
-expected.py, not computed. They do not look at sf_dir.
+Eight pages in a row make a site, so the crawl grows with the table: its name, its company and its people come from the
+pages' numbers and hosts. captured_sql.py has DuckDB SQL that says what each query gives, from the same columns.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.config import Config
 from sitewright.functions.text import hrefs, unescape
 from sitewright.functions.urls import clean_host
 from sitewright.operators import contacts as C
-from sitewright.operators import dom, frontier, sinks
+from sitewright.operators import dom, frontier, sinks, state
 from sitewright.plans import resolution as R
 from sitewright.sources import tables as S
 from sitewright.streaming import arrivals
 
-_HOME = """<html><head><title>Legno &amp; Co | Home</title><meta content="Rossi Legno — Mobili" property="og:site_name"></head><body><h1>Benvenuti</h1>
-<a class=x href=/chi-siamo>Chi siamo</a> <a href="/contatti?x=1#y">c</a> <a href='mailto:info&#64;rossilegno.it?subject=Ciao'>scrivi</a>
-<a title="a > b" href="/cards/anna.vcf">card</a> <a href="https://altro.it/about">altro</a> <!-- <a href="/team">no</a> -->
-<p>Titolare Andr&eacute; Moreau</p></body></html>"""
-_ABOUT = """<div class="h-card"><span class="p-name">Paola Verdi</span><span class="p-job-title">Founder</span></div>
-<div class="team-member"><h3>Marco N&#101;ri, CEO</h3></div>
-<script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"Legno","founder":[{"name":"Dora Lanza","jobTitle":"Fondatore"}]},null,{"@type":["Person"],"name":"Ugo Foscolo"}]}</script>
-<script type="application/ld+json">{bad</script><a href="../cards/anna.vcf">v</a>"""
-_CONTACT = """<p>Scrivi a vendite [at] rossilegno [dot] it</p> <p>paola.verdi&#64;rossilegno.it</p>
-<a href=mailto:a.neri@rossilegno.it,ordini@rossilegno.it>m</a><a href="mailto:press@stampa.it">p</a>"""
-_LAW_HOME = """<title>Bianchi &amp; Sons - Solicitors</title><body><p>Director Ugo Bianchi</p> <p>info@bianchi.co.uk</p> <p>ugo.bianchi@bianchi.co.uk</p></body>"""
-PAGES = [
-    (1, "https://rossilegno.it/", _HOME),
-    (2, "https://rossilegno.it/chi-siamo", _ABOUT),
-    (3, "https://rossilegno.it/contatti", _CONTACT),
-    (4, "https://www.bianchi.co.uk/", _LAW_HOME),
-    (5, "https://rossilegno.it/team/", "<p>capo (at) rossilegno (dot) it</p>"),
-    (6, "https://vuoto.ch/", "<title></title><body>niente</body>"),
-    (7, "https://vuoto.ch/about", None),
-    (8, "https://rossilegno.it/privato", "never@rossilegno.it"),
-]
-SITEMAPS = [("rossilegno.it", "<urlset><url><LOC>https://rossilegno.it/team/</LOC></url><url><loc> https://rossilegno.it/x.html\n</loc></url><url><loc>https://rossilegno.it/y.pdf</loc></url><url><loc>https://nota.it/about/</loc></url></urlset>")]
-ROBOTS = [("https://rossilegno.it", "User-agent: *\nDisallow: /\n\nUser-Agent: other\nUser-agent: SiteWright/2.0 # us\nDisallow: /privato\nAllow: /privato/si\nDisallow:"), ("https://vuoto.ch", "User-agent: sitewright\nUser-agent: *\nDisallow: /about$")]
-CARD = "BEGIN:VCARD\nFN:Anna Rossi\nEMAIL:anna@rossilegno.it\nEMAIL:x@other.com\nEND:VCARD"
-#: page_id, url, status, content_type, body, etag
-ANSWERS = [
-    (1, "https://a.it/1", 200, "text/html; charset=ISO-8859-1", "caffè".encode("latin-1"), "e1"),
-    (2, "https://a.it/2", 200, "text/html", "però tanto testo".encode(), None),
-    (3, "https://a.it/3", 304, None, None, None),
-    (4, "https://a.it/4", 404, "text/html", b"no", None),
-    (5, "https://a.it/5", 200, "application/pdf", b"no", None),
-    (6, "https://a.it/6", 304, "text/html", None, None),
-    (7, "https://a.it/anna.vcf", 200, "text/vcard", CARD.encode(), None),
-]
-_LAW, _EMPTY = "bianchi.co.uk", "vuoto.ch"
-#: Records with quotes, line ends and nulls.
-RECORDS = [(_LAW, ' Bianchi "&"\r\nSons ', "", "ugo.bianchi@bianchi.co.uk"), (_EMPTY, "Vuoto, sì", None, None)]
-HOSTS = ["shop.example.ch", "a.b.example.pl", "x.example.co.nz", "www.example.co.uk", "example.sch.uk", "a.example.sch.uk", "city.kobe.jp", "a.city.kobe.jp", "b.c.kobe.jp", "www.ck", "a.b.ck", "example.com", "co.uk", "localhost", "a.example.unknowntop", "deep.name.com.br"]
-LINES = ["https://www.A.it/x # note", "b.org", "B.org", "bad line", "# only", "", " c.co.uk ", "http://user@d.it:8080/y"]
-
-
-def _pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PAGES, "page_id long, url string, html string")
-
-
-def _known(spark: SparkSession) -> DataFrame:
-    return S.registrable(_pages(spark).withColumn("host", clean_host(F.col("url"))), S.suffix_table(spark))
-
-
-def _answers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ANSWERS, "page_id long, url string, status int, content_type string, body binary, etag string")
-
-
-def _captured(spark: SparkSession) -> R.Captured:
-    return R.Captured(
-        _pages(spark),
-        spark.createDataFrame([("rossilegno.it",), ("bianchi.co.uk",)], "domain string"),
-        spark.createDataFrame(SITEMAPS, "site string, xml string"),
-        spark.createDataFrame(ROBOTS, "origin string, txt string"),
-        spark.createDataFrame([("https://rossilegno.it/cards/anna.vcf", CARD)], "url string, body string"),
+FIRST = ["Anna", "Marco", "Paola", "Ugo", "Dora", "Luisa"]
+LAST = ["Rossi", "Bianchi", "Verdi", "Neri", "Lanza", "Moreau", "Foscolo"]
+PATHS = ["/", "/chi-siamo", "/contatti", "/team/", "/privato", "/deep", "/deeper", "/about"]
+#: Hosts with a name in the place of {}.
+HOSTS = ["shop.{}.ch", "a.b.{}.pl", "x.{}.co.nz", "www.{}.co.uk", "{}.sch.uk", "a.{}.sch.uk", "city.kobe.jp", "a.city.kobe.jp", "b.{}.kobe.jp", "www.ck", "a.{}.ck", "{}.com", "co.uk", "{}", "a.{}.unknowntop", "deep.{}.com.br"]
+REFERENCES = ["caff&egrave; &#8364;&#x41; {}", "{}&amp;lt;", "&notit; &unknown; &copy2 {}", "&#150;&#0;&#x1F600;{}", "{} a & b"]
+LINES = ["https://www.{}/x # note", "b{}", "B{}", "bad line", "# only", "", " c{} ", "http://user@d{}:8080/y"]
+EDGES = ["r1 b", "r1 a", "r2 contact", "r2 a", "a z", "b y", "b about", "contact x", "z deep", "r2 r1"]
+ROBOTS = "User-agent: *\nDisallow: /\n\nUser-Agent: other\nUser-agent: SiteWright/2.0 # us\nDisallow: /privato\nAllow: /privato/si\nDisallow:"
+
+
+def filled(template: str, *values: str) -> Column:
+    """A text with the columns of these names in the places of {}."""
+    parts = template.split("{}")
+    return F.concat(*[x for k, part in enumerate(parts) for x in ([F.lit(part)] + ([F.col(values[k])] if k < len(parts) - 1 else []))])
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, g (the site's number), slot, k (g as text), root, site, label, first, last, name (of a mailbox), company, path of each page."""
+    pages = S.table(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 8").alias("g"), (F.col("page_id") % 8).cast("int").alias("slot"), F.regexp_extract("url", "//(?:www[.]|m[.])?([a-z]+)", 1).alias("label"))
+    one = lambda names, x: F.element_at(F.array(*map(F.lit, names)), (x + 1).cast("int"))
+    g = F.col("g")
+    top = F.when(g % 3 == 0, ".it").when(g % 3 == 1, ".co.uk").otherwise(".ch")
+    rows = pages.withColumn("k", g.cast("string")).withColumn("root", filled("firm{}", "k")).withColumn("site", F.concat("root", top))
+    rows = rows.withColumn("first", one(FIRST, g % 6)).withColumn("last", one(LAST, g % 7)).withColumn("name", F.lower(F.concat_ws(".", "first", "last")))
+    return rows.withColumn("company", F.when(g % 9 == 0, filled("Studio {}", "last")).otherwise(F.concat(F.lit("Casa "), F.initcap("label")))).withColumn("path", one(PATHS, F.col("slot")))
+
+
+def _html() -> Column:
+    g, slot = F.col("g"), F.col("slot")
+    written = lambda name, at, dot: F.concat(F.lit(name + at), F.replace("site", F.lit("."), F.lit(dot)))
+    site_name = F.when(g % 2 == 0, filled('<meta content="{} — Mobili" property="og:site_name">', "company")).otherwise(filled("<meta property=og:site_name content='{} - Mobili'>", "company"))
+    head = F.when(g % 7 == 0, "").when(g % 5 == 0, filled("<title>{} &amp; Figli | Home</title>", "company")).otherwise(F.concat(F.lit("<title>Home</title>"), site_name))
+    links = filled(
+        """<a class=x href=/chi-siamo>Chi siamo</a> <a href="/contatti?x=1#y">c</a> <a href='mailto:info&#64;{}?subject=Ciao'>scrivi</a>
+<a title="a > b" href="/cards/{}.vcf">card</a> <a href="https://altro.it/about">altro</a> <!-- <a href="/team">no</a> -->""", "site", "k")
+    home = F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), links, F.when(g % 4 == 0, filled("<p>Titolare {} {}</p>", "first", "last")).otherwise(""), F.lit("</body></html>"))
+    people = (
+        F.when(g % 4 == 1, filled('<div class="h-card"><span class="p-name">{} {}</span><span class="p-job-title">Founder</span></div>', "first", "last"))
+        .when(g % 4 == 2, F.concat(F.lit('<div class="team-member"><h3>'), F.col("first"), F.lit(" "), F.replace("last", F.lit("e"), F.lit("&#101;")), F.lit(", CEO</h3></div>")))
+        .when(g % 4 == 3, filled('<script type="application/ld+json">{"@graph":[{"@type":"Organization","name":"Legno","founder":[{"name":"{} {}","jobTitle":"Fondatore"}]},null,{"@type":["Person"],"name":"Carla Fontana"}]}</script><script type="application/ld+json">{bad</script>', "first", "last"))
+        .otherwise("")
     )
+    about = F.concat(people, filled('<a href="../cards/{}.vcf">v</a>', "k"))
+    contact = F.concat(F.lit("<p>Scrivi a "), written("vendite", " [at] ", " [dot] "), filled('</p> <p>{}&#64;{}</p>\n<a href=mailto:a.neri@{},ordini@{}>m</a><a href="mailto:press@stampa.it">p</a> <a href="/deep">d</a>', "name", "site", "site", "site"))
+    team = F.concat(F.lit("<p>"), written("capo", " (at) ", " (dot) "), F.lit("</p>"))
+    return (
+        F.when(slot == 0, home).when(slot == 1, about).when(slot == 2, contact).when(slot == 3, team).when(slot == 4, filled("never@{}", "site"))
+        .when(slot == 5, filled('deep{}@{} <a href="/deeper">x</a>', "k", "site")).when(slot == 6, filled("deeper{}@{}", "k", "site"))
+    )
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl's pages as a table, as a crawl leaves them."""
+    rows = _numbers(spark, sf_dir)
+    return S.kept(rows.select("page_id", filled("https://{}{}", "site", "path").alias("url"), _html().alias("html")), "pages")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.registrable(_pages(spark, sf_dir).withColumn("host", clean_host(F.col("url"))), S.suffix_table(spark))
+
+
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbers(spark, sf_dir).select("g", "k", "site", "root").distinct()
+
+
+def _captured(spark: SparkSession, sf_dir: str) -> R.Captured:
+    firms = _firms(spark, sf_dir)
+    xml = filled("<urlset><url><LOC>https://{}/team/</LOC></url><url><loc> https://{}/x.html\n</loc></url><url><loc>https://{}/y.pdf</loc></url><url><loc>https://not{}/about/</loc></url></urlset>", *["site"] * 4)
+    robots = firms.select(filled("https://{}", "site").alias("origin"), F.when(F.col("g") % 2 == 0, ROBOTS).when(F.col("g") % 4 == 1, "User-agent: sitewright\nUser-agent: *\nDisallow: /team").alias("txt")).filter("txt is not null")
+    card = filled("BEGIN:VCARD\nFN:Anna Rossi\nEMAIL:card{}@{}\nEMAIL:x@other.com\nEND:VCARD", "k", "site")
+    return R.Captured(
+        _pages(spark, sf_dir), firms.filter("g % 5 <> 4").select(F.col("site").alias("domain")), firms.select("site", xml.alias("xml")), robots,
+        firms.select(filled("https://{}/cards/{}.vcf", "site", "k").alias("url"), card.alias("body")),
+    )
 
 
-def _domains(spark: SparkSession) -> DataFrame:
-    return S.one_domain(spark, "ROSSILEGNO.it", "www.bianchi.co.uk", "vuoto.ch", "rossilegno.it", " ")
+def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each site twice, written in two ways."""
+    firms = _firms(spark, sf_dir)
+    both = F.explode(F.array(F.upper("site"), filled("https://www.{}/x", "site"))).alias("line")
+    return firms.select(F.col("g").alias("line_no"), both).select("line_no", S.domain_line(F.col("line")).alias("domain"))
 
 
-def _sites(spark: SparkSession) -> DataFrame:
-    return S.registrable(C.first_of_each(_domains(spark)).select(F.lower("domain").alias("host")), S.suffix_table(spark)).select("site", "root").distinct()
+def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _firms(spark, sf_dir).select("site", "root")
 
 
 def captured_title_people(spark, sf_dir):
-    return C.title_people(_known(spark))
+    return C.title_people(_known(spark, sf_dir))
 
 
 def captured_heading_people(spark, sf_dir):
-    return C.heading_people(_known(spark), strict=True)
+    return C.heading_people(_known(spark, sf_dir), strict=True)
 
 
 def captured_dom_people(spark, sf_dir):
-    return dom.dom_people(_known(spark))
+    return dom.dom_people(_known(spark, sf_dir))
 
 
 def captured_jsonld_people(spark, sf_dir):
-    return dom.dom_people(_known(spark), cards=False, blocks=False)
+    return dom.dom_people(_known(spark, sf_dir), cards=False, blocks=False)
 
 
 def captured_card_links(spark, sf_dir):
-    return C.card_links(_known(spark))
+    return C.card_links(_known(spark, sf_dir))
 
 
 def captured_card_emails(spark, sf_dir):
-    return C.card_emails(C.card_links(_known(spark)), _captured(spark).cards)
+    return C.card_emails(C.card_links(_known(spark, sf_dir)), _captured(spark, sf_dir).cards)
 
 
 def captured_page_emails(spark, sf_dir):
-    return C.page_emails(_known(spark)).select("site", "page_id", "channel", "email")
+    return C.page_emails(_known(spark, sf_dir)).select("site", "page_id", "channel", "email")
 
 
 def captured_mail_links(spark, sf_dir):
-    return C.page_emails(_known(spark), "as_written").select("site", "page_id", "channel", "email")
+    return C.page_emails(_known(spark, sf_dir), "as_written").select("site", "page_id", "channel", "email")
 
 
 def captured_addresses(spark, sf_dir):
-    return C.all_addresses(_known(spark))
+    return C.all_addresses(_known(spark, sf_dir))
 
 
 def captured_companies(spark, sf_dir):
-    return C.site_company(_known(spark))
+    return C.site_company(_known(spark, sf_dir))
 
 
 def captured_links(spark, sf_dir):
-    return _known(spark).select("page_id", F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
+    return _known(spark, sf_dir).select("page_id", F.posexplode(hrefs(F.col("html"))).alias("pos", "href"))
 
 
 def captured_inner_links(spark, sf_dir):
-    return frontier.inner_links(frontier.links(_known(spark))).select("site", "url")
+    return frontier.inner_links(frontier.links(_known(spark, sf_dir))).select("site", "url")
 
 
 def captured_sitemap(spark, sf_dir):
-    urls = S.sitemap_urls(_captured(spark).sitemaps)
+    urls = S.sitemap_urls(_captured(spark, sf_dir).sitemaps)
     hinted = frontier.hinted_sitemap(urls, Config().bfs_pages).withColumn("by", F.lit("hints"))
     return frontier.top_sitemap(urls, Config().sitemap_budget()).withColumn("by", F.lit("words")).unionByName(hinted).select("by", "url", "score", "rank")
 
 
 def captured_robots(spark, sf_dir):
-    urls = spark.createDataFrame([(f"https://{u}",) for u in ("rossilegno.it/", "rossilegno.it/privato/x", "rossilegno.it/privato/si", "vuoto.ch/about", "vuoto.ch/about/us", "altro.it/x")], "url string")
-    robots = _captured(spark).robots
+    urls, robots = _pages(spark, sf_dir).select("url"), _captured(spark, sf_dir).robots
     by = lambda agent: frontier.allowed(urls, S.robot_rules(robots, agent)).select(F.lit(agent).alias("agent"), "url", "allowed")
     return by("sitewright").unionByName(by("nobody")).unionByName(by("Other/1.0"))
 
 
 def captured_scores(spark, sf_dir):
-    return C.score_people(R.people_of(_known(spark), Config()))
+    return C.score_people(R.people_of(_known(spark, sf_dir), Config()))
 
 
 def captured_pages_chosen(spark, sf_dir):
-    return R.chosen_pages(_captured(spark), _sites(spark), Config()).select("site", "page_id")
+    return R.chosen_pages(_captured(spark, sf_dir), _sites(spark, sf_dir), Config()).select("site", "page_id")
 
 
 def owner_run(spark, sf_dir):
     """The whole run over a list of domains: records."""
-    return R.resolve_sites(_captured(spark), _sites(spark), Config())[0]
+    return R.resolve_sites(_captured(spark, sf_dir), _sites(spark, sf_dir), Config())[0]
 
 
 def owner_run_rows(spark, sf_dir):
     """The same as one line and one JSON object for each site."""
-    records = owner_run(spark, sf_dir)
+    records = S.kept(owner_run(spark, sf_dir), "records")
     return C.csv_rows(records).withColumnRenamed("row", "csv").join(C.json_rows(records).withColumnRenamed("row", "json"), "site")
 
 
 def owner_run_evidence(spark, sf_dir):
-    records, looked, found = R.resolve_sites(_captured(spark), _sites(spark), Config())
+    records, looked, found = R.resolve_sites(_captured(spark, sf_dir), _sites(spark, sf_dir), Config())
     log = C.evidence(looked, found, records, hashed=False)
     return log.select("domain", F.size("pages").alias("pages"), F.array_join("emailsFound", " ").alias("emails"), "result")
 
 
+def committed_runs(spark, sf_dir):
+    """Three runs into one state: half of the sites, one that ends before its commit, all sites; and the state's lines."""
+    root = S.work_folder(spark, "state")
+    captured, domains = _captured(spark, sf_dir), _domains(spark, sf_dir)
+    R.run_committed(spark, captured, domains.filter("line_no % 2 = 0"), root)
+    lost = state.Run(spark, root)
+    lost.write("results", spark.createDataFrame([("lost.it", "", "", "", "")], R.RESULTS))
+    R.run_committed(spark, captured, domains, root)
+    results = state.read(spark, root, "results", R.RESULTS).select(F.lit("result").alias("kind"), F.concat_ws(" ", "site", "owner", "email").alias("line"))
+    marks = state.read(spark, root, "marks", R.MARKS).select(F.lit("mark").alias("kind"), F.col("domain").alias("line"))
+    log = state.read(spark, root, "evidence", "domain string, emailsFound array<string>").select(F.lit("evidence").alias("kind"), F.concat_ws(" ", "domain", F.size("emailsFound").cast("string")).alias("line"))
+    before = state.reset(spark, root)
+    after = state.read(spark, root, "marks", R.MARKS, before).select(F.lit("before the reset").alias("kind"), F.col("domain").alias("line"))
+    return reduce(DataFrame.unionByName, [results, marks, log, after, state.read(spark, root, "marks", R.MARKS).select(F.lit("after the reset").alias("kind"), F.col("domain").alias("line"))])
+
+
 def crawl_run(spark, sf_dir):
     """The whole breadth-first run: all addresses of each domain, or an empty one, in order."""
-    return R.crawl_addresses(_captured(spark), spark.createDataFrame([("rossilegno.it",), ("vuoto.ch",), ("nessuno.it",)], "domain string")).orderBy("domain", "email")
+    nobody = _firms(spark, sf_dir).filter("g % 4 = 0").select(filled("no{}", "site").alias("domain"))
+    return R.crawl_addresses(_captured(spark, sf_dir), _firms(spark, sf_dir).select(F.col("site").alias("domain")).union(nobody)).orderBy("domain", "email")
 
 
 def crawl_order(spark, sf_dir):
-    """The queue of a walk whose pages' order and budget tell it from a walk level by level."""
-    edges = [("r1", "b"), ("r1", "a"), ("r2", "contact"), ("r2", "a"), ("a", "z"), ("b", "y"), ("b", "about"), ("contact", "x"), ("z", "deep"), ("r2", "r1")]
-    roots = spark.createDataFrame([("s", "r1", 0), ("s", "r2", 1), ("s", "r1", 5)], "site string, url string, ord int")
-    return frontier.breadth_first(roots, spark.createDataFrame([("s", *e) for e in edges], "site string, src string, url string"), 2, 8)
+    """The queue of a walk whose pages' order and budget tell it from a walk level by level, on every site."""
+    firms = _firms(spark, sf_dir)
+    edges = firms.select("site", F.explode(F.array(*map(F.lit, EDGES))).alias("e")).select("site", F.split_part("e", F.lit(" "), F.lit(1)).alias("src"), F.split_part("e", F.lit(" "), F.lit(2)).alias("url"))
+    roots = firms.select("site", F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(k).alias("ord")) for u, k in (("r1", 0), ("r2", 1), ("r1", 5))])).alias("r")).select("site", "r.url", "r.ord")
+    return frontier.breadth_first(roots, edges, 2, 8)
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An answer for each page: of six kinds, as text of three charsets, pages, cards and others."""
+    slot = F.col("slot")
+    status = F.when(slot.isin(2, 5), 304).when(slot == 3, 404).otherwise(200)
+    kind = F.when(slot == 0, "text/html; charset=ISO-8859-1").when(slot == 4, "application/pdf").when(slot == 6, "text/vcard").when(slot == 7, "Text/HTML; charset=Windows-1252").when(slot.isin(1, 3), "text/html")
+    body = F.when(slot == 0, F.encode(filled("caffè {}", "k"), "ISO-8859-1")).when(slot == 1, F.encode(F.lit("però tanto testo"), "UTF-8")).when(slot == 6, F.encode(filled("EMAIL:{}@{}", "name", "site"), "UTF-8"))
+    body = body.when(slot == 7, F.concat(F.unhex(F.lit("80")), F.encode(filled(" {}", "k"), "UTF-8"))).when(slot.isin(3, 4), F.encode(F.lit("no"), "UTF-8"))
+    return _numbers(spark, sf_dir).select("page_id", "g", filled("https://{}{}", "site", "path").alias("url"), status.alias("status"), kind.alias("content_type"), body.alias("body"), F.lit(None).cast("string").alias("etag"))
 
 
 def answered_pages(spark, sf_dir):
-    cache = spark.createDataFrame([("https://a.it/3", "vecchia", "t"), ("https://b.it/", "x", "t")], "url string, body string, etag string")
-    cache = cache.select(F.sha2("url", 256).alias("url_sha"), F.col("body").cast("binary").alias("body"), "etag")
-    return S.answer_pages(_answers(spark), 12, cache)
+    answers = _answers(spark, sf_dir)
+    cache = answers.filter("status = 304 and page_id % 8 = 2").select(F.sha2("url", 256).alias("url_sha"), F.encode(F.concat(F.lit("vecchia "), F.col("g").cast("string")), "UTF-8").alias("body"), F.lit("t").alias("etag"))
+    return S.answer_pages(answers.drop("g"), 12, cache)
+
+
+def cached_answers(spark, sf_dir):
+    """Two runs' answers through the state's cache: what the first wrote answers the second's requests that say nothing is new."""
+    root = S.work_folder(spark, "state")
+    answers = _answers(spark, sf_dir).filter("status = 200").withColumn("last_modified", F.lit(None).cast("string")).withColumn("etag", F.concat(F.lit("t"), F.col("page_id").cast("string")))
+    at = lambda rows, day: rows.withColumn("fetched_at", F.lit(f"2024-01-0{day}").cast("timestamp")).drop("page_id", "g")
+    run = state.Run(spark, root)
+    state.merge_cache(run, at(answers, 1))
+    run.commit()
+    run = state.Run(spark, root)
+    state.merge_cache(run, at(answers.filter("page_id % 8 = 1").withColumn("body", F.encode(F.lit("nuovo"), "UTF-8")), 2))
+    run.commit()
+    again = answers.select("page_id", "url", F.lit(304).alias("status"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("binary").alias("body"), F.lit(None).cast("string").alias("etag"))
+    return S.answer_pages(again, 1000, state.cached(spark, root)).select("page_id", "html")
 
 
 def answered_cards(spark, sf_dir):
-    return S.card_bodies(_answers(spark), Config().body_limit)
+    return S.card_bodies(_answers(spark, sf_dir), Config().body_limit)
 
 
 def suffix_rules(spark, sf_dir):
-    hosts = spark.createDataFrame([(h,) for h in HOSTS], "host string")
-    return S.registrable(hosts, S.suffix_table(spark)).select("host", "site", "root")
+    labels = _numbers(spark, sf_dir).select("label").distinct()
+    hosts = labels.select("label", F.explode(F.array(*map(F.lit, HOSTS))).alias("t")).select("label", F.replace("t", F.lit("{}"), F.col("label")).alias("host"))
+    return S.registrable(hosts, S.suffix_table(spark)).select("label", "host", "site", "root")
 
 
 def references(spark, sf_dir):
-    texts = ["caff&egrave; &#8364;&#x41;", "&amp;lt;", "&notit; &unknown; &copy2", "&#150;&#0;&#x1F600;", "a & b"]
-    return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").select("k", unescape(F.col("text")).alias("plain"))
+    rows = _numbers(spark, sf_dir).select("page_id", "label", F.element_at(F.array(*map(F.lit, REFERENCES)), (F.col("page_id") % 5 + 1).cast("int")).alias("t"))
+    return rows.select("page_id", unescape(F.replace("t", F.lit("{}"), F.col("label"))).alias("plain"))
 
 
 def listed_domains(spark, sf_dir):
-    """Lists as files: domains, those processed, and the domains without regard to case."""
+    """Lists as files: domains, those processed, the domains without regard to case, and three given by name."""
     path = S.work_folder(spark, "lists")
-    spark.createDataFrame([(x,) for x in LINES], "value string").coalesce(1).write.text(path)
+    firms = _firms(spark, sf_dir)
+    firms.select(F.explode(F.array(*map(F.lit, LINES))).alias("t"), "site").select(F.replace("t", F.lit("{}"), F.col("site")).alias("value")).write.text(path)
     listed = S.domain_list(spark, path)
     out = listed.select(F.lit("listed").alias("kind"), "domain")
     out = out.unionByName(S.processed_list(spark, path).select(F.lit("processed").alias("kind"), "domain"))
-    out = out.unionByName(C.first_of_each(listed).select(F.lit("first").alias("kind"), "domain"))
-    return out.unionByName(_domains(spark).select(F.lit("named").alias("kind"), "domain"))
+    out = out.unionByName(C.first_of_each(listed).select(F.lit("first").alias("kind"), F.lower("domain").alias("domain")))
+    named = [r.site.upper() for r in firms.filter("g < 3").orderBy("g").select("site").collect()]  # arguments of a call
+    return out.unionByName(S.one_domain(spark, *named, " ").select(F.lit("named").alias("kind"), "domain"))
 
 
 def written_results(spark, sf_dir):
     """Records written in every format by two runs, the second of which leaves out what the first has done, and the lines of the files."""
-    records, parts = spark.createDataFrame(RECORDS, "site string, company string, owner string, email string"), []
+    firms, parts = _firms(spark, sf_dir), []
+    odd = F.col("g") % 2 == 1
+    records = firms.select("site", F.when(odd, "Vuoto, sì").otherwise(' Casa "&"\r\nFigli ').alias("company"), F.when(~odd, "").alias("owner"), F.when(~odd, filled("info@{}", "site")).alias("email"))
+    domains = firms.select(F.col("site").alias("domain"), "g")
     for kind in ("csv", "tsv", "jsonl"):
         path = S.work_folder(spark, f"results-{kind}")
-        for sites in ([_LAW], [_LAW, _EMPTY]):
-            left = sinks.to_do(spark, spark.createDataFrame([(x,) for x in sites], "domain string"), path, kind)
+        for some in ("g % 4 = 0", "g % 4 < 3"):
+            left = sinks.to_do(spark, domains.filter(some).select("domain"), path, kind)
             sinks.write_results(records.join(left, records["site"] == left["domain"], "left_semi"), path, kind)
-        sinks.back_up(path, "old")
-        parts.append(spark.read.text(f"{path}.old").select(F.lit(kind).alias("kind"), F.col("value").alias("line")))
-        parts.append(S.earlier_results(spark, f"{path}.old", kind).select(F.lit(f"{kind} done").alias("kind"), F.col("domain").alias("line")))
-        left = sinks.to_do(spark, spark.createDataFrame([(_LAW,)], "domain string"), path, kind)
-        parts.append(left.select(F.lit(f"{kind} after reset").alias("kind"), F.col("domain").alias("line")))
+        parts.append(spark.read.text(path).select(F.lit(kind).alias("kind"), F.col("value").alias("line")))
+        parts.append(sinks.to_do(spark, domains.select("domain"), path, kind).select(F.lit(f"{kind} to do").alias("kind"), F.col("domain").alias("line")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def planned_requests(spark, sf_dir):
     """Requests of two runs: the second begins where the clocks of the first end."""
-    urls = lambda *xs: spark.createDataFrame([(x,) for x in xs], "url string")
-    first = frontier.pacing(urls("https://a.it/1", "https://www.a.it/2", "https://b.it/"), 900, headers='{"X-A": "1"}')
-    second = frontier.pacing(urls("https://a.it/3", "https://c.it/"), 900, frontier.clock_after(first), headers="{bad")
+    urls = lambda a, e: _numbers(spark, sf_dir).filter(F.col("slot").between(a, e)).select(filled("https://www.{}{}", "site", "path").alias("url"))
+    first = frontier.pacing(urls(0, 3), 900, headers='{"X-A": "1"}')
+    second = frontier.pacing(urls(4, 7), 900, frontier.clock_after(first), headers="{bad")
     both = first.withColumn("run", F.lit(1)).unionByName(second.withColumn("run", F.lit(2)))
     return both.select("run", "host", "url", "seq", "earliest_ms", F.to_json("headers").alias("headers"))
 
 
+def _streamed(spark, sf_dir, start):
+    folder, out, where = (S.work_folder(spark, n) for n in ("arrivals", "addresses", "stream"))
+    pages = _pages(spark, sf_dir).filter("html is not null")
+    pages.filter("page_id % 8 < 3").write.parquet(folder)
+    start(arrivals.arriving_pages(spark, folder), out, where, once=True).awaitTermination()
+    pages.filter("page_id % 8 >= 2").write.mode("append").parquet(folder)
+    arrivals.drain(start(arrivals.arriving_pages(spark, folder), out, where))
+    return spark.read.parquet(out)
+
+
 def streamed_addresses(spark, sf_dir):
-    """Pages that arrive in two lots: each is taken in once, the second by a stream that is drained and ended."""
-    folder, out, state = (S.work_folder(spark, n) for n in ("arrivals", "addresses", "stream"))
-    pages = _pages(spark).filter("html is not null")
-    pages.filter("page_id < 4").coalesce(1).write.parquet(folder)
-    arrivals.append_addresses(arrivals.arriving_pages(spark, folder), out, state, once=True).awaitTermination()
-    pages.filter("page_id >= 4").coalesce(1).write.mode("append").parquet(folder)
-    arrivals.drain(arrivals.append_addresses(arrivals.arriving_pages(spark, folder), out, state))
-    return spark.read.parquet(out).select("site", "page_id", "email")
+    """Pages that arrive in two lots: each file is taken in once, the second by a stream that is drained and ended."""
+    return _streamed(spark, sf_dir, arrivals.append_addresses).select("site", "page_id", "email").distinct()
+
+
+def streamed_new_addresses(spark, sf_dir):
+    """The same, each address of a site once over all lots, though pages of the second repeat those of the first."""
+    return _streamed(spark, sf_dir, arrivals.append_new_addresses).select("site", "email")
 
 
 _ALL = [
     captured_title_people, captured_heading_people, captured_dom_people, captured_jsonld_people, captured_card_links, captured_card_emails, captured_page_emails, captured_mail_links,
     captured_addresses, captured_companies, captured_links, captured_inner_links, captured_sitemap, captured_robots, captured_scores, captured_pages_chosen, owner_run, owner_run_rows,
-    owner_run_evidence, crawl_run, crawl_order, answered_pages, answered_cards, suffix_rules, references, listed_domains, written_results, planned_requests, streamed_addresses,
+    owner_run_evidence, committed_runs, crawl_run, crawl_order, answered_pages, cached_answers, answered_cards, suffix_rules, references, listed_domains, written_results, planned_requests,
+    streamed_addresses, streamed_new_addresses,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -166,6 +166,15 @@ SELECT c.site, c.company, '' AS owner, CASE WHEN c.site IN (SELECT site FROM mx)
 CASE WHEN c.site IN (SELECT site FROM mx) AND b.email IS NOT NULL THEN 'observed' ELSE 'none' END AS email_origin FROM company c LEFT JOIN best b ON c.site = b.site""",
     "robots_gate": f"""WITH t AS (SELECT page_id, regexp_extract(url, '^[^/]*//[^/?#]*([^#]*)', 1) AS path FROM pages)
 SELECT page_id, coalesce((SELECT arg_max(allow, n * 2 + allow) FROM (VALUES {", ".join(map(str, _RULES))}) r(pattern, n, allow) WHERE path LIKE pattern), 1) = 1 AS allowed FROM t""",
+    "robots_by_origin": f"""WITH t AS (SELECT page_id, {_ORIGIN('url')} AS origin, {_PATH('url')} AS path, regexp_extract(url, '^[^/]*//[^/?#]*([^#]*)', 1) AS target FROM pages),
+r AS (SELECT DISTINCT origin, page_id % 3 AS kind, CASE page_id % 3 WHEN 0 THEN regexp_extract(path, '^(/[^/]*)', 1) WHEN 1 THEN path ELSE right(path, 2) END AS part FROM t),
+hits AS (SELECT t.page_id, max(CASE kind WHEN 2 THEN 5 ELSE length(part) END * 2 + CAST(kind = 1 AS INT)) AS best FROM t JOIN r ON t.origin = r.origin
+AND CASE kind WHEN 2 THEN ends_with(target, part) AND length(target) >= 1 + length(part) ELSE starts_with(target, part) END GROUP BY t.page_id)
+SELECT t.page_id, coalesce(best % 2 = 1, true) AS allowed FROM t LEFT JOIN hits ON hits.page_id = t.page_id""",
+    "charset_bodies": """WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x01-\x7f]', '', 'g') AS x FROM documents),
+d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Windows-1252' WHEN 1 THEN 'ISO-8859-2' WHEN 2 THEN 'windows-1251' ELSE 'utf-16be' END AS charset,
+CASE doc_id % 4 WHEN 1 THEN translate(x, 'acelnosz', 'ąćęłńóśż') WHEN 2 THEN translate(x, 'abvgdeziklmnoprstu', 'абвгдезиклмнопрсту') ELSE translate(x, 'aeiou', 'àéîõü') END AS y FROM t)
+SELECT doc_id, charset, length(y) AS n_chars, sha256(y) AS sha256 FROM d""",
     "pacing_schedule": f"SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY url) AS seq, (row_number() OVER (PARTITION BY host ORDER BY url) - 1) * {Config().rate_ms} AS earliest_ms FROM (SELECT DISTINCT {_HOST('url')} AS host, url FROM pages)",
     "backoff_waits": "SELECT page_id, unnest([600, 1200, 2400]) AS wait_ms FROM pages",
     "evidence_hashes": f"""{_P}, {_PAGE_EMAILS}, best AS ({_BEST('found')}), pats AS ({_PATTERNS('found')})

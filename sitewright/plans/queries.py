@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitewright.config import Config
 from sitewright.functions import emails as E
 from sitewright.functions import urls as U
+from sitewright.functions.charsets import encode_text
 from sitewright.functions.names import is_human_name, looks_like_company
 from sitewright.functions.text import csv_field
 from sitewright.operators import contacts as C
@@ -223,6 +224,32 @@ def robots_gate(spark, sf_dir):
     return frontier.allowed(pages.select("page_id", "url"), S.robot_rules(robots)).select("page_id", "allowed")
 
 
+def robots_by_origin(spark, sf_dir):
+    """Rules made from each origin's own paths, some in percent codes, for URLs with hosts in capitals."""
+    pages = S.pages(spark, sf_dir).select("page_id", "url", U.origin(F.col("url")).alias("origin"), U.path(F.col("url")).alias("path"))
+    k, first = F.col("page_id"), F.regexp_extract("path", "^(/[^/]*)", 1)
+    coded = F.regexp_replace(F.replace(first, F.lit("e"), F.lit("%65")), "r", "%72")
+    rule = F.when(k % 3 == 0, F.concat(F.lit("Disallow: "), coded)).when(k % 3 == 1, F.concat(F.lit("Allow: "), F.col("path"))).otherwise(F.concat(F.lit("Disallow: /*"), F.substring("path", -2, 2), F.lit("$")))
+    robots = pages.groupBy("origin").agg(F.concat(F.lit("User-agent: *\n"), F.array_join(F.array_sort(F.collect_set(rule)), "\n")).alias("txt"))
+    urls = pages.select("page_id", F.replace("url", F.lit("example"), F.lit("EXAMPLE")).alias("url"))
+    return frontier.allowed(urls, S.robot_rules(robots)).select("page_id", "allowed")
+
+
+def charset_bodies(spark, sf_dir):
+    """Texts as bytes of four charsets, in letters that these have, and read back."""
+    k = F.col("doc_id") % 4
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), "[^\\x01-\\x7f]", "")
+    west = F.translate(plain, "aeiou", "àéîõü")
+    texts = [(0, "Windows-1252", west, encode_text(west, "cp1252")), (1, "ISO-8859-2", east := F.translate(plain, "acelnosz", "ąćęłńóśż"), encode_text(east, "iso8859-2"))]
+    texts += [(2, "windows-1251", north := F.translate(plain, "abvgdeziklmnoprstu", "абвгдезиклмнопрсту"), encode_text(north, "cp1251")), (3, "utf-16be", west, F.encode(west, "UTF-16BE"))]
+    name, body = F.lit(None).cast("string"), F.lit(None).cast("binary")
+    for n, charset, _, made in texts:
+        name, body = F.when(k == n, charset).otherwise(name), F.when(k == n, made).otherwise(body)
+    rows = S.table(spark, sf_dir, "documents").select("doc_id", name.alias("charset"), body.alias("body"))
+    read = S.decoded_body(F.col("body"), F.concat(F.lit("text/html; charset="), F.col("charset")), 1 << 30)
+    return rows.select("doc_id", "charset", read.alias("text")).select("doc_id", "charset", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
 def pacing_schedule(spark, sf_dir):
     return frontier.pacing(S.table(spark, sf_dir, "pages").select("url"), Config().rate_ms).drop("headers")
 
@@ -290,7 +317,7 @@ _ALL = [
     site_emails, page_emails, document_emails, conversation_emails, obfuscated_emails, decoded_emails, email_scope, hosts, registrable_domains, domain_lines,
     page_links, scored_links, inner_links, seed_frontier, short_seed_frontier, frontier_budget, bfs_depth2, sitemap_topk, hinted_sitemap_topk,
     dedupe_domains, pending_domains, queue_total, page_company, site_company, quoted_titles, title_people, heading_people, human_names, person_scores, owner_pick,
-    pattern_scores, ranked_emails, company_like, mx_gate, resolved_sites, robots_gate, pacing_schedule, backoff_waits, evidence_hashes, csv_rows,
+    pattern_scores, ranked_emails, company_like, mx_gate, resolved_sites, robots_gate, robots_by_origin, charset_bodies, pacing_schedule, backoff_waits, evidence_hashes, csv_rows,
     content_gate, cache_merge, format_by_path, first_fetches, card_links, all_addresses, dom_people,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

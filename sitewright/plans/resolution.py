@@ -28,12 +28,16 @@ class Captured:
 
 
 def chosen_pages(captured: Captured, sites: DataFrame, config: Config) -> DataFrame:
-    """The captured pages of sites that the frontier's budget and robots rules let in: page_id, url, html, host, site, root."""
+    """The captured pages of sites that the frontier's budget and robots rules let in: page_id, url, host, site, root.
+
+    Bodies of home pages alone are read, for their links.
+    """
     spark = captured.pages.sparkSession
     suffixes = captured.suffixes if captured.suffixes is not None else S.suffix_table(spark)
-    known = S.registrable(captured.pages.withColumn("host", clean_host(F.col("url"))), suffixes).join(sites.select("site").distinct(), "site", "left_semi")
+    urls = captured.pages.select("page_id", "url").withColumn("host", clean_host(F.col("url")))
+    known = S.kept(S.registrable(urls.distinct(), suffixes), "page-sites").join(sites.select("site").distinct(), "site", "left_semi")
     bare = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"^https?://(www\.)?", ""), "/$", "")
-    home = known.filter(~F.contains(bare(F.col("url")), F.lit("/")))
+    home = captured.pages.select("page_id", "url", "html").join(known.filter(~F.contains(bare(F.col("url")), F.lit("/"))), ["page_id", "url"])
     sources = [frontier.seeds(sites, PATHS, config.extra_paths), frontier.inner_links(frontier.links(home))]
     if config.sitemap and captured.sitemaps is not None:
         sources.append(frontier.top_sitemap(S.sitemap_urls(captured.sitemaps), config.sitemap_budget()).select("site", "url", F.col("rank").alias("ord")))
@@ -58,7 +62,7 @@ def resolve_sites(captured: Captured, sites: DataFrame, config: Config) -> tuple
     The numbers of the pages chosen and the addresses are kept as tables; page bodies are read where they are.
     """
     chosen = S.kept(chosen_pages(captured, sites, config).select("page_id", "site", "root", "url"), "chosen-pages")
-    pages = captured.pages.select("page_id", "html").join(chosen, "page_id")
+    pages = captured.pages.select("page_id", "url", "html").join(chosen, ["page_id", "url"])
     found = C.page_emails(pages, config.mode).select("site", "email")
     if captured.cards is not None:
         found = C.card_emails(C.card_links(pages), captured.cards).select("site", "email").unionByName(found)

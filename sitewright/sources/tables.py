@@ -162,15 +162,18 @@ def decoded_body(body: Column, content_type: Column, limit: int) -> Column:
 def answer_pages(answers: DataFrame, limit: int, cache: DataFrame | None = None) -> DataFrame:
     """page_id, url, html of captured answers (page_id, url, status, content_type, body binary, etag) that are pages.
 
-    Bodies are cut to `limit` bytes and decoded by their type's charset. With a cache (url_sha, body, etag), an answer of
-    status 304 has the cached body and counts as a page of its type, HTML where it has none.
+    Bodies are cut to `limit` bytes and decoded by their type's charset. With a cache (url_sha, body, etag, content_type if it
+    has one), an answer of status 304 has the cached body and its type, HTML where that is not known; one that is not cached
+    is no page.
     """
     rows = answers
     if cache is not None:
-        bodies = with_cache(answers, cache).select("url", F.col("body").alias("_old"))
+        kind = F.col("content_type") if "content_type" in cache.columns else F.lit(None).cast("string")
+        old = cache.select(F.col("url_sha").alias("_sha"), F.col("body").alias("_old"), kind.alias("_kind"))
         again = F.col("status") == 304
-        rows = rows.join(bodies.distinct(), "url", "left").withColumn("body", F.when(again, F.col("_old")).otherwise(F.col("body")))
-        rows = rows.withColumn("content_type", F.when(again, F.coalesce("content_type", F.lit("text/html"))).otherwise(F.col("content_type")))
+        rows = rows.join(old, F.when(again, F.sha2("url", 256)) == F.col("_sha"), "left")
+        rows = rows.withColumn("body", F.when(again, F.col("_old")).otherwise(F.col("body")))
+        rows = rows.withColumn("content_type", F.when(again, F.coalesce("_kind", "content_type", F.lit("text/html"))).otherwise(F.col("content_type")))
         rows = rows.withColumn("status", F.when(again & F.col("body").isNotNull(), 200).otherwise(F.col("status")))
     return rows.filter(is_page(F.col("status"), F.col("content_type"))).select("page_id", "url", decoded_body(F.col("body"), F.col("content_type"), limit).alias("html"))
 

@@ -29,6 +29,19 @@ def append_addresses(pages: DataFrame, out: str, checkpoint: str, once: bool = F
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def append_new_addresses(pages: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Appends each site, email once over all batches, however many pages and batches repeat it.
+
+    What was passed on is kept as the stream's state, by site and address, in the checkpoint; the file sink commits each
+    batch once. The suffix rules are read when the stream starts.
+    """
+    known = registrable(pages.withColumn("host", clean_host(F.col("url"))), suffix_table(pages.sparkSession))
+    found = known.select("site", "html", F.col("site").alias("page_id"))
+    new = all_addresses(found, strict=True).select(F.col("page_id").alias("site"), "email").dropDuplicates(["site", "email"])
+    writer = new.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
 def drain(query: StreamingQuery) -> None:
     """Ends a stream without losing what has arrived: pages that are there are taken in, the batch that runs is finished."""
     query.processAllAvailable()

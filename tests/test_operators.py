@@ -8,9 +8,10 @@ import __spark_entry__ as entry
 from sitewright.config import PATHS, Config
 from sitewright.operators import contacts as C
 from sitewright.operators import dom, frontier, sinks
-from sitewright.plans import captured, expected, oracle, queries
+from sitewright.plans import captured, captured_sql, oracle, queries
 from sitewright.sources import tables as S
-from sitewright.streaming.arrivals import append_addresses, arriving_pages
+from sitewright.streaming.arrivals import append_addresses, append_new_addresses, arriving_pages
+from tests import captured_crawl, captured_rows
 
 SF = "/root/testdata/sf0.001"
 PAGES = [
@@ -154,6 +155,15 @@ def test_streaming(spark, tmp_path):
     assert rows(spark.read.parquet(out), "email") == [("m1@a.it",), ("m2@a.it",), ("m3@a.it",)]
 
 
+def test_streamed_addresses_pass_once(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    page = lambda k, html: spark.createDataFrame([(k, "https://a.it/", html)], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(folder)
+    for k, html in enumerate(["x@a.it", "x@a.it y@a.it", "Y@a.it", None]):
+        page(k, html)
+        append_new_addresses(arriving_pages(spark, folder), out, str(tmp_path / "state"), once=True).awaitTermination()
+    assert rows(spark.read.parquet(out), "site", "email") == [("a.it", "x@a.it"), ("a.it", "y@a.it")]
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -179,9 +189,17 @@ def test_query_equals_sql(spark, duck, name):
     assert plain(got, columns) == plain(want, columns)
 
 
-@pytest.mark.parametrize("name", sorted(expected.SQL))
-def test_captured_query_gives_what_was_written_down(spark, duck, name):
-    got, want = captured.QUERIES[name](spark, SF).toPandas(), duck.execute(expected.SQL[name]).df()
+@pytest.mark.parametrize("name", sorted(captured_rows.SQL))
+def test_small_crawl_gives_what_was_written_down(spark, duck, name):
+    got, want = captured_crawl.QUERIES[name](spark, SF).toPandas(), duck.execute(captured_rows.SQL[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert plain(got, columns) == plain(want, columns)
+
+
+@pytest.mark.parametrize("name", sorted(captured_sql.SQL))
+def test_query_over_the_crawl_of_given_pages_equals_sql(spark, duck, name):
+    got, want = captured.QUERIES[name](spark, SF).toPandas(), duck.execute(captured_sql.SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert plain(got, columns) == plain(want, columns)
