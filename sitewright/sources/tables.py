@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 
 from sitewright.config import ANY_NAME, EXCEPTIONS, SECOND_LEVEL
 from sitewright.functions.charsets import decode_bytes
-from sitewright.functions.text import let
 from sitewright.functions.urls import clean_host, domain_line, host_suffixes, in_scope, shell_line
 
 #: Rules of a public suffix list; the whole list has some ten thousand.
@@ -67,25 +65,19 @@ def registrable(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
 
     The suffix is that of the longest rule that fits, an exception before all: *.x takes any name under x, !y.x takes y.x
     out of that again. A host that no rule fits has its last label as suffix. The rules, a list of at most MOST_RULES, are
-    a constant of the plan, by top domain, so rows with their page bodies stay where they are.
+    hashed sets in the plan, which each of a host's tails is looked up in; rows with their page bodies stay where they are.
     """
-    rules: dict[str, list[str]] = {}
-    for r in suffixes.select("suffix").distinct().limit(MOST_RULES + 1).collect():
-        rules.setdefault(r["suffix"].rpartition(".")[2].lstrip("!"), []).append(r["suffix"])
-    if sum(map(len, rules.values())) > MOST_RULES:
+    given = [r["suffix"] for r in suffixes.select("suffix").distinct().limit(MOST_RULES + 1).collect()]
+    if len(given) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} suffix rules")
-    by_top = F.from_json(F.lit(json.dumps({k: sorted(v) for k, v in sorted(rules.items())})), "map<string,array<string>>")
-    rest = lambda x: F.regexp_replace(x, r"^[^.]*\.?", "")
-    tails = host_suffixes(F.col("host"))
-
-    def suffix(fit: Column) -> Column:
-        excepted = F.get(F.filter("_tails", lambda t: F.array_contains(fit, F.concat(F.lit("!"), t))), F.lit(0))
-        longest = F.get(F.filter("_tails", lambda t: F.array_contains(fit, t) | F.array_contains(fit, F.concat(F.lit("*."), rest(t)))), F.lit(0))
-        return F.coalesce(rest(excepted), longest, F.element_at("_tails", -1))
-
-    out = hosts.withColumn("_tails", tails)
-    fit = F.coalesce(F.try_element_at(by_top, F.element_at("_tails", -1)), F.expr("cast(array() as array<string>)"))
-    out = out.withColumn("_suffix", let(fit, suffix))
+    listed = lambda xs: ", ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" for x in sorted(xs)) or "''"
+    names = listed(x for x in given if x[:1] != "!" and x[:2] != "*.")
+    under, excepted = listed(x[2:] for x in given if x[:2] == "*."), listed(x[1:] for x in given if x[:1] == "!")
+    rest = "regexp_replace({}, '^[^.]*\\\\.?', '')"
+    out = hosts.withColumn("_tails", host_suffixes(F.col("host")))
+    first = lambda test: f"get(filter(_tails, t -> {test}), 0)"
+    longest = first(f"t IN ({names}) OR {rest.format('t')} IN ({under})")
+    out = out.withColumn("_suffix", F.expr(f"coalesce({rest.format(first(f't IN ({excepted})'))}, {longest}, element_at(_tails, -1))"))
     out = out.withColumn("_label", F.regexp_extract(F.expr("left(host, length(host) - length(_suffix))"), r"([^.]+)\.$", 1))
     whole = F.col("_label") != ""
     out = out.withColumn("site", F.when(whole, F.concat_ws(".", "_label", "_suffix")).otherwise(F.col("host")))
