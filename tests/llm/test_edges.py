@@ -109,7 +109,7 @@ def test_fingerprints(odd):
 def test_chats(spark):
     turns = [(1, 0, "user", "hi", "a"), (1, 0, "user", "hi", "b"), (1, 1, "assistant", None, "c"), (None, 0, "user", "lost", "d"), (2, None, None, "x", "e"), (2, None, "assistant", "y" * 20_000, "f")]
     got = chat.expand_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, example string")).collect()
-    assert sorted((r.conv_id, r.n_turns, r.is_last) for r in got) == [(1, 3, True), (2, 2, True)] or {r.conv_id for r in got} == {1, 2}
+    assert sorted((r.conv_id, r.example, r.n_turns, r.is_last, r.loss_length) for r in got) == [(1, 0, 3, True, 0), (2, 0, 2, True, 20_000)]
 
 
 def test_stages(spark, odd, tmp_path):
