@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from sitewright.config import Config
 from sitewright.functions.text import csv_field
 from sitewright.operators import contacts as C
-from sitewright.operators import frontier, sinks
-from sitewright.plans.resolution import Captured, crawl_addresses, run_batch
+from sitewright.operators import frontier, sinks, state
+from sitewright.plans.resolution import Captured, crawl_addresses, run_batch, run_committed
 from sitewright.sources import tables as S
 
 
@@ -37,6 +37,7 @@ def main() -> None:
     p.add_argument("--out", default="", help="where results go; without it they are printed")
     p.add_argument("--format", default="")
     p.add_argument("--evidence", default="")
+    p.add_argument("--state", default="", help="with resolve: a folder that results, evidence and marks are committed to as one; with reset: the state that begins anew")
     p.add_argument("--plain-evidence", action="store_true")
     p.add_argument("--max-pages", type=int, default=Config.max_pages)
     p.add_argument("--paths", default="")
@@ -44,6 +45,9 @@ def main() -> None:
     p.add_argument("--not-strict", action="store_true")
     a = p.parse_args()
     spark = SparkSession.builder.appName("sitewright").getOrCreate()
+    if a.what == "reset" and a.state:
+        print(f"the state before is version {state.reset(spark, a.state)}")
+        return
     if a.what == "reset":
         sinks.back_up(a.out, time.strftime("%Y%m%d-%H%M%S"))
         return
@@ -61,7 +65,10 @@ def main() -> None:
         planned = frontier.pacing(frontier.seeds(sites, extra=config.extra_paths).select("url"), config.rate_ms, headers=config.headers)
         _out(planned.withColumn("headers", F.to_json("headers")).orderBy("host", "seq"), a.out)
     elif a.what == "resolve":
-        records = run_batch(spark, captured, domains, a.out, kind, a.evidence, config)
+        if a.state:
+            records = run_committed(spark, captured, domains, a.state, config)
+        else:
+            records = run_batch(spark, captured, domains, a.out, kind, a.evidence, config)
         if not a.out:
             if not a.json and not a.no_headers:
                 print('"company","owner","email"')
