@@ -28,10 +28,14 @@ DECODINGS = [
 ]
 
 
+#: Signs that a match of the decodings begins with, so that one look passes over all other places of a text.
+_FIRST = ["[&%]", r"[\s\[(]", r"[\s\[(]", "[&%]", "&"]
+
+
 def decode_obfuscations(x: Column) -> Column:
     """Entities, percent codes and written-out signs of addresses, in this order."""
-    for pattern, plain in DECODINGS:
-        x = F.regexp_replace(x, pattern, plain)
+    for (pattern, plain), first in zip(DECODINGS, _FIRST, strict=True):
+        x = F.regexp_replace(x, f"(?i)(?={first})(?:{pattern.removeprefix('(?i)')})", plain)
     return x
 
 
@@ -40,9 +44,13 @@ def direct(x: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(DIRECT), F.lit(0)), F.lower))
 
 
+#: BODY, tried where a run of the local part's signs begins, or the last match ended: the same sign @ follows all of a run.
+_BODY_RUN = r"(?:(?<![A-Za-z0-9._%+-])|\G)" + BODY.replace("]+@", "]++@", 1)
+
+
 def in_body(x: Column) -> Column:
     """array<string>: distinct addresses after decoding, as written."""
-    return F.array_distinct(F.regexp_extract_all(decode_obfuscations(x), F.lit(BODY), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(decode_obfuscations(x), F.lit(_BODY_RUN), F.lit(0)))
 
 
 def obfuscated(x: Column, strict: bool = False) -> Column:

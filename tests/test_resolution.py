@@ -103,3 +103,19 @@ def test_captured_answers(spark):
     assert [r.x for r in h.select(S.header_options(F.col("x")).alias("x")).collect()] == [{"a": "b"}, {}, {}]
     t = spark.createDataFrame([(200, "text/vcard"), (404, "text/vcard"), (200, "text/html")], "s int, k string")
     assert [r.x for r in t.select(S.is_card(F.col("s"), F.col("k")).alias("x")).collect()] == [True, False, False]
+
+
+def test_addresses_in_a_body_equal_a_plain_search(spark):
+    import random
+    import re
+
+    from sitewright.functions import emails as E
+
+    rng = random.Random(8)
+    bits = ["a", "@", ".", "b.co", "x-y", "[at]", " [dot] ", "(AT)", " dot ", " at ", "&#64;", "%40", "&amp;", "%2e", "é", " ", "\n", "+", "_", "it", "com", "@@", "..", "-", "%"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(3000)]
+    for r in spark.createDataFrame([(t,) for t in texts], "x string").select("x", E.in_body(F.col("x")).alias("y")).collect():
+        plain = r.x
+        for pattern, sign in E.DECODINGS:
+            plain = re.sub(pattern, sign, plain, flags=re.ASCII)
+        assert r.y == list(dict.fromkeys(re.findall(E.BODY, plain))), r
