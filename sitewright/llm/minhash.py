@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitewright.llm.blocks import binary_rows, components, group_sizes, paired_blocks, runs, spanning
-from sitewright.llm.common import mixed, span_hashes, stored, text_slices, with_text, words_of
+from sitewright.llm.common import mixed, span_hashes, split_join, stored, text_slices, with_text, words_of
 
-#: Words of a shingle; minima; bits kept of each; minima of a band (the bands take all of them).
-WORDS, MINIMA, BITS, ROWS = 5, 132, 2, 6
+#: Words of a shingle; minima; bits kept of each; minima of a band (the bands take all of them). Texts of similarity 0.8
+#: share no band with probability (1 - 0.8**5)**26, 0.00003.
+WORDS, MINIMA, BITS, ROWS = 5, 130, 2, 5
 BANDS = MINIMA // ROWS
-#: Candidates go to the exact test from this much under the threshold on: over four standard errors of the estimate.
-MARGIN = 0.16
+#: Candidates go to the exact test from so many standard errors of the estimate under the threshold on.
+ERRORS = 4.5
 _SIGNATURE_WORDS = -(-MINIMA * BITS // 64)
 _PAIR_MASK = np.uint64(0x5555555555555555)
 _RNG = np.random.default_rng(20240607)
@@ -29,8 +30,9 @@ _ROW_MULTIPLIERS = mixed(np.arange(101, 101 + ROWS, dtype=np.uint64)) | np.uint6
 SETS, SET_BYTES = 512, 8192
 
 
-def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """64-bit hashes of each text's shingles, with repeats, the offsets of the texts' shingles, and each text's words joined by a space."""
+def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """64-bit hashes of each text's shingles, with repeats, (start, end) of each in its text's words joined by a space, the
+    offsets of the texts' shingles, and those words."""
     joined, start, end, at = words_of(data, offs, fold=True)
     n_words = np.diff(at)
     n = np.where(n_words >= WORDS, n_words - WORDS + 1, np.minimum(n_words, 1))
@@ -40,7 +42,21 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = np.minimum(first + WORDS, np.repeat(at[1:], n)) - 1
     view = memoryview(np.ascontiguousarray(joined))
     words = [bytes(view[start[a] : end[b - 1]]) if b > a else b"" for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    return span_hashes(joined, start[first], end[last]), out_at, words
+    # A text's words begin where its first shingle does.
+    spans = np.stack([start[first], end[last]])
+    here = spans - np.repeat(spans[0][np.minimum(out_at[:-1], max(0, out_at[-1] - 1))], n) if len(first) else spans
+    return span_hashes(joined, *spans), here, out_at, words
+
+
+def set_size(hashes: np.ndarray, spans: np.ndarray, words: bytes) -> int:
+    """How many different shingles a text has. Those of one hash are compared by their words, so hashes decide nothing."""
+    order = np.argsort(hashes, kind="stable")
+    again = np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    starts, ends = spans[:, order]
+    for a, b, c, d in zip(starts[again].tolist(), ends[again].tolist(), starts[again + 1].tolist(), ends[again + 1].tolist(), strict=True):
+        if b - a != d - c or words[a:b] != words[c:d]:
+            return len({words[a:b] for a, b in spans.T.tolist()})
+    return len(hashes) - len(again)
 
 
 def signatures(sh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,6 +78,13 @@ def signatures(sh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bands, packed
 
 
+def margin(threshold: float) -> float:
+    """How far the estimate of a similarity of threshold falls below it by chance, with a probability of some 0.000004."""
+    chance = 0.5**BITS
+    agree = threshold + (1 - threshold) * chance
+    return ERRORS * (agree * (1 - agree) / MINIMA) ** 0.5 / (1 - chance)
+
+
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from packed signatures, corrected for minima whose low bits agree by chance."""
     x = a ^ b
@@ -73,12 +96,12 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _prepare(batches):
     for b in batches:
         for first, n, data, offs in text_slices(b):
-            sh, at, words = shingles(data, offs)
+            sh, spans, at, words = shingles(data, offs)
             ids = b.column(0).slice(first, n)
             sizes, digests = np.zeros(n, np.int64), [None] * n
             for k in range(n):
                 if at[k + 1] > at[k]:
-                    sizes[k] = len(np.unique(sh[at[k] : at[k + 1]]))
+                    sizes[k] = set_size(sh[at[k] : at[k + 1]], spans[:, at[k] : at[k + 1]], words[k])
                     digests[k] = hashlib.blake2b(words[k], digest_size=16).digest()
             bands, packed = [None] * n, [None] * n
             full = np.flatnonzero(sizes)
@@ -113,7 +136,7 @@ def _near_in_bands(threshold: float):
 def _words(batches):
     for b in batches:
         for first, n, data, offs in text_slices(b):
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(shingles(data, offs)[2], pa.binary())], names=["doc_id", "cluster", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(shingles(data, offs)[-1], pa.binary())], names=["doc_id", "cluster", "words"])
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -182,18 +205,21 @@ def near_groups(docs: DataFrame, percent: int = 80, block: int = 1024) -> DataFr
     """
     docs = with_text(docs, "doc_id")
     prepared = stored(docs.mapInArrow(_prepare, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary"), "signatures")
-    named = prepared.filter("n_shingles > 0 and doc_id is not null")  # null would be the smallest in min
-    firsts = named.groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "bands")).alias("f")).select("digest", "f.*")
-    firsts = stored(firsts, "representatives")
+    worded = prepared.filter("digest is not null")
+    first = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "signature", "bands"))  # null would be the smallest in min
+    every = stored(worded.groupBy("digest").agg(F.min(first).alias("f"), F.count("*").alias("copies")).select("digest", "copies", "f.*"), "representatives")
+    firsts = every.filter("doc_id is not null")
     banded = firsts.select("doc_id", "signature", F.explode("bands").alias("band"))
-    coarse = paired_blocks(banded, group_sizes(banded, "band"), "band", "size", "doc_id", block).select("band", "_i", "_j", "doc_id", "signature").mapInArrow(_near_in_bands(percent / 100 - MARGIN), "u long, v long")
+    coarse = paired_blocks(banded, group_sizes(banded, "band"), "band", "size", "doc_id", block).select("band", "_i", "_j", "doc_id", "signature").mapInArrow(_near_in_bands(percent / 100 - margin(percent / 100)), "u long, v long")
     clusters = components(coarse.distinct())
     clusters = stored(clusters.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")), "clusters", narrow=True)
     texts = stored(docs.join(clusters, "doc_id").select("doc_id", "cluster", "text").mapInArrow(_words, "doc_id long, cluster long, words binary"), "cluster-words")
     sizes = group_sizes(texts, "cluster", 1 + F.floor(F.length("words") / SET_BYTES))
     links = paired_blocks(texts, sizes, "cluster", "size", "doc_id", min(block, SETS)).select("cluster", "_i", "_j", "doc_id", "words").mapInArrow(_confirm(percent), "u long, v long")
     groups = components(links)
-    by_set = firsts.select("digest", F.col("doc_id").alias("first")).join(groups, F.col("first") == F.col("id"), "left").select("digest", F.coalesce("component", "first").alias("component_id"))
-    out = prepared.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
+    by_set = every.select("digest", "copies", F.col("doc_id").alias("first")).join(groups, F.col("first") == F.col("id"), "left").select("digest", "copies", F.coalesce("component", "first").alias("component_id"))
+    n_rows = every.agg(F.sum("copies")).first()[0] or 0
+    out = split_join(worded.select("doc_id", "n_shingles", "digest"), by_set, "digest", "copies", "doc_id", n_rows).select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(prepared.filter("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))

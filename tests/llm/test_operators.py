@@ -495,7 +495,29 @@ def test_minhash_estimate():
     both, one, other = (rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64) for n in (850, 75, 75))
     sh = np.concatenate([both, one, both, other])
     _, sig = minhash.signatures(sh, np.array([0, 925, 1850]))
-    assert abs(minhash.estimate(sig[0], sig[1]) - 0.85) < minhash.MARGIN
+    assert abs(minhash.estimate(sig[0], sig[1]) - 0.85) < minhash.margin(0.85) < 0.2
+
+
+def test_set_sizes_do_not_rest_on_hashes(rng):
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(1, 60))) for _ in range(50)] + ["", "x y", "é " * 30]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    _, spans, at, words = minhash.shingles(data, np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])]))
+    for k, t in enumerate(texts):
+        w = t.split()
+        want = len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0
+        own = spans[:, at[k] : at[k + 1]]
+        exact = [hash(words[k][a:b]) for a, b in own.T.tolist()]
+        for most in (1, 3, 1 << 62):  # different shingles of one hash, in the first two
+            assert not w or minhash.set_size(np.array([h % most for h in exact], np.int64), own, words[k]) == want
+
+
+def test_copies_beside_null_ids_keep_their_group(spark, prose):
+    text = prose(30)
+    rows = [(k, text) for k in range(400)] + [(None, text), (None, "one two"), (None, None), (500, "")]
+    got = minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert {(r.component_id, r.kept) for r in got if r.doc_id is not None and r.doc_id < 400} == {(0, True), (0, False)}
+    assert sorted((r.component_id is None, r.n_shingles, r.kept) for r in got if r.doc_id is None) == [(False, 26, False), (True, 0, True), (True, 1, True)]
 
 
 def test_components(spark):
