@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitewright.llm.common import stored, with_text
+from sitewright.llm.common import Ranges, stored, unique_ids, with_text
 
-#: Tokens of a sequence; sequences of a record batch.
-LENGTH, BATCH = 2048, 128
+#: Tokens of a sequence; sequences of a record batch; documents of a batch of the index.
+LENGTH, BATCH, INDEX_ROWS = 2048, 128, 1 << 16
+#: Bytes of text in a shard, on average; what a document counts beside its text.
+SHARD_BYTES, ROW_BYTES = 256 << 20, 32
 MANIFEST = "shard long, path string, index_path string, n_docs long, n_tokens long"
 
 
@@ -25,35 +27,48 @@ def _file_system(uri: str):
 
 
 def schema(kind: np.dtype, length: int) -> pa.Schema:
-    ids = pa.list_(pa.from_numpy_dtype(kind), length)
-    return pa.schema([pa.field("ids", ids), pa.field("mask", pa.list_(pa.bool_(), length))])
+    """Masks are bytes, 0 or 1, so both columns are read without a copy."""
+    return pa.schema([pa.field("ids", pa.list_(pa.from_numpy_dtype(kind), length)), pa.field("mask", pa.list_(pa.uint8(), length))])
+
+
+INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class ShardWriter:
     """One stream file and its index file; under names that no other attempt of the task uses."""
 
     def __init__(self, folder: str, shard: int, kind: np.dtype, length: int, batch: int):
-        stem = f"{folder.rstrip('/')}/shard-{shard:06d}-{uuid.uuid4().hex}"
+        stem = f"{folder.rstrip('/')}/shard-{shard}-{uuid.uuid4().hex}"
         self.path, self.index_path = f"{stem}.arrows", f"{stem}.index.arrows"
-        self.fs, at = _file_system(self.path)
-        self.fs.create_dir(at.rpartition("/")[0], recursive=True)
-        self.sink = self.fs.open_output_stream(at)
+        self.sink, self.index_sink = (self._open(p) for p in (self.path, self.index_path))
         self.kind, self.length, self.most = kind, length, length * batch
         self.schema = schema(kind, length)
         self.out = pa.ipc.new_stream(self.sink, self.schema)
+        self.index = pa.ipc.new_stream(self.index_sink, INDEX)
         self.held, self.n_held, self.total = [], 0, 0
-        self.offsets: list[int] = []
-        self.docs: tuple[list, list, list] = ([], [], [])
+        self.docs: list[tuple] = []
+        self.n_docs = 0
+
+    @staticmethod
+    def _open(path: str):
+        fs, at = _file_system(path)
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        return fs.open_output_stream(at)
 
     def add(self, doc_id, ids: bytes) -> None:
         n = len(ids) // self.kind.itemsize
-        for col, x in zip(self.docs, (doc_id, self.total, n), strict=True):
-            col.append(x)
+        self.docs.append((doc_id, self.total, n))
         self.total += n
         self.held.append(ids)
         self.n_held += n
         if self.n_held >= self.most:
             self._flush(False)
+        if len(self.docs) >= INDEX_ROWS:
+            self._flush_index()
+
+    def _flush_index(self) -> None:
+        self.index.write_batch(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*self.docs, strict=True)], schema=INDEX))
+        self.n_docs, self.docs = self.n_docs + len(self.docs), []
 
     def _flush(self, last: bool) -> None:
         flat = np.frombuffer(b"".join(self.held), self.kind)
@@ -61,79 +76,73 @@ class ShardWriter:
         for at in range(0, whole, self.most):
             part = flat[at : min(at + self.most, whole)]
             rows = -(-len(part) // self.length)
-            ids, mask = np.zeros(rows * self.length, self.kind), np.zeros(rows * self.length, bool)
-            ids[: len(part)], mask[: len(part)] = part, True
+            ids, mask = np.zeros(rows * self.length, self.kind), np.zeros(rows * self.length, np.uint8)
+            ids[: len(part)], mask[: len(part)] = part, 1
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-            # The stream's writer puts the schema out with the first batch.
-            self.offsets.append(self.sink.tell() or self.schema.serialize().size)
             self.out.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         rest = flat[whole:].tobytes()
         self.held, self.n_held = [rest], len(rest) // self.kind.itemsize
 
     def close(self) -> dict:
         self._flush(True)
-        self.out.close()
-        self.sink.close()
-        fs, at = _file_system(self.index_path)
-        index = pa.table({"doc_id": pa.array(self.docs[0], pa.int64()), "start": pa.array(self.docs[1], pa.int64()), "n_tokens": pa.array(self.docs[2], pa.int64())})
-        index = index.replace_schema_metadata({"batch_offsets": ",".join(map(str, self.offsets))})
-        with fs.open_output_stream(at) as sink, pa.ipc.new_stream(sink, index.schema) as out:
-            out.write_table(index)
-        return {"path": self.path, "index_path": self.index_path, "n_docs": len(self.docs[0]), "n_tokens": self.total}
+        if self.docs:
+            self._flush_index()
+        for f in (self.out, self.sink, self.index, self.index_sink):
+            f.close()
+        return {"path": self.path, "index_path": self.index_path, "n_docs": self.n_docs, "n_tokens": self.total}
 
 
 class Shard:
-    """Random access to a shard's sequences and documents; zero-copy where the file can be mapped to memory."""
+    """Random access to a shard's sequences and documents; zero-copy where the file can be mapped to memory.
+
+    All batches but the last have the same number of rows, so their messages have the same size, and the place of the k-th
+    is known from that of the first two.
+    """
 
     def __init__(self, path: str, index_path: str):
         fs, at = _file_system(path)
+        self.index_path = index_path
         self.source = pa.memory_map(at) if fs.type_name == "local" else fs.open_input_file(at)
-        with pa.ipc.open_stream(self.source) as reader:
-            self.schema = reader.schema
-        ifs, iat = _file_system(index_path)
-        with ifs.open_input_stream(iat) as f:
-            self.index = pa.ipc.open_stream(f).read_all()
-        offsets = (self.index.schema.metadata or {}).get(b"batch_offsets", b"").decode()
-        self.offsets = [int(x) for x in offsets.split(",") if x]
+        self.schema = pa.ipc.read_schema(self.source)
+        self.first = self.source.tell()
         self.length = self.schema.field("ids").type.list_size
-        self._rows = None
+        self.rows_in_batch = self._read().num_rows
+        self.step = self.source.tell() - self.first
+        # The stream ends with eight bytes.
+        self.n_batches = -(-(self.source.size() - 8 - self.first) // self.step)
 
-    def batch(self, k: int) -> pa.RecordBatch:
-        self.source.seek(self.offsets[k])
+    def _read(self) -> pa.RecordBatch:
         return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
 
-    def rows_in_batch(self) -> int:
-        """Sequences of every batch but the last."""
-        if self._rows is None:
-            self._rows = self.batch(0).num_rows if self.offsets else 1
-        return self._rows
+    def batch(self, k: int) -> pa.RecordBatch:
+        self.source.seek(self.first + k * self.step)
+        return self._read()
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of the k-th sequence."""
-        b = self.batch(k // self.rows_in_batch())
-        row = k % self.rows_in_batch()
-        ids, mask = b.column(0)[row].values, b.column(1)[row].values
-        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
-
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(doc_id, start, ids) in the order written; masked places are left out. One batch is held at a time."""
-        ids = self.index.column("doc_id").to_pylist()
-        starts, sizes = (self.index.column(c).to_numpy() for c in ("start", "n_tokens"))
-        step = self.rows_in_batch() * self.length
-        at, flat = -1, np.zeros(0)
-        for doc_id, start, n in zip(ids, starts.tolist(), sizes.tolist(), strict=True):
-            parts = []
-            while n:
-                if start // step != at:
-                    at = start // step
-                    b = self.batch(at)
-                    flat = b.column(0).values.to_numpy(zero_copy_only=True)
-                    mask = b.column(1).values.to_numpy(zero_copy_only=False)
-                    flat = flat if mask.all() else flat[mask]
-                part = flat[start % step : start % step + n]
-                parts.append(part)
-                start, n = start + len(part), n - len(part)
-            yield doc_id, parts
+        """Ids and mask (booleans) of the k-th sequence."""
+        b = self.batch(k // self.rows_in_batch)
+        at = k % self.rows_in_batch * self.length
+        ids, mask = (c.values.to_numpy(zero_copy_only=True)[at : at + self.length] for c in b.columns)
+        return ids, mask.view(bool)
+
+    def index(self) -> Iterator[pa.RecordBatch]:
+        """doc_id, start, n_tokens of the documents in the order written, in batches."""
+        fs, at = _file_system(self.index_path)
+        with fs.open_input_stream(at) as f, pa.ipc.open_stream(f) as batches:
+            yield from batches
+
+    def ids(self, start: int, n: int) -> Iterator[np.ndarray]:
+        """The n ids from start on, in parts that are not copied; padding comes after all of a shard's documents."""
+        step = self.rows_in_batch * self.length
+        while n:
+            if start // step != self._at:
+                self._at = start // step
+                self._flat = self.batch(self._at).column(0).values.to_numpy(zero_copy_only=True)
+            part = self._flat[start % step : start % step + n]
+            yield part
+            start, n = start + len(part), n - len(part)
+
+    _at, _flat = -1, np.zeros(0)
 
 
 def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, length: int = LENGTH, batch: int = BATCH) -> DataFrame:
@@ -142,27 +151,43 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, end_id: i
     docs: doc_id, text; other columns are not used. Each text is encoded whole (null: empty) and end_id put after it; the
     stream of all ids is cut in equal sequences within a shard, the last of a shard being padded under a false mask.
     Rows of one doc_id keep together, ordered by text; null doc_ids come first. An empty table gives an empty manifest.
-    Shards are ranges of doc_id in order. A shard's files are named anew by every attempt and the manifest is a table
-    in the shared folder that lists those of the attempt that ended well, so a lost executor leaves at most stray files.
+    Shards are ranges of doc_id, by the bytes of text, named by the least doc_id that a range could hold. Texts
+    are encoded where they lie, and their ids move. A shard's files are named anew by every attempt and the manifest is a
+    table in the shared folder that lists those of the attempt that ended well, so a lost executor leaves at most stray files.
     """
-    rows = with_text(docs, "doc_id").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-
-    def write(batches):
-        from pyspark import TaskContext
+    rows, numbered = unique_ids(with_text(docs, "doc_id"))
+    rows = rows.select("doc_id", "text", F.col("given_id" if numbered else "doc_id").alias("given_id"))
+    ranges = Ranges(rows.select("doc_id", F.octet_length("text") + ROW_BYTES), SHARD_BYTES)
 
+    def encode(batches):
         from sitewright.llm.tokens import encoder
 
         code = encoder(tokenizer_path)
         end = np.array([end_id], code.kind).tobytes()
-        shard, out = TaskContext.get().partitionId(), None
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                out = out or ShardWriter(folder, shard, code.kind, length, batch)
-                out.add(doc_id, code.encode(text.as_py()) + end)
+            ids = [code.encode(text.as_py()) + end for text in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], names=["doc_id", "given_id", "ids"])
+
+    def write(batches):
+        from sitewright.llm.tokens import encoder
+
+        kind = encoder(tokenizer_path).kind
+        names = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("index_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+        at, out = None, None
+        for b in batches:
+            for shard, doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if out and shard != at:
+                    yield pa.RecordBatch.from_pylist([{"shard": at, **out.close()}], schema=names)
+                    out = None
+                at, out = shard, out or ShardWriter(folder, shard, kind, length, batch)
+                out.add(doc_id, ids.as_py())
         if out:
-            yield pa.RecordBatch.from_pylist([{"shard": shard, **out.close()}], schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("index_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"shard": at, **out.close()}], schema=names)
 
-    return stored(rows.mapInArrow(write, MANIFEST), "sequence-manifest")
+    encoded = rows.mapInArrow(encode, "doc_id long, given_id long, ids binary")
+    placed = ranges.place(encoded, "doc_id", "shard").repartition(ranges.number, "shard").sortWithinPartitions("shard", "doc_id")
+    placed = placed.select("shard", "given_id", "ids")
+    return stored(placed.mapInArrow(write, MANIFEST), "sequence-manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -176,17 +201,17 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     shards = with_starts(manifest).select("path", "index_path", "start").repartition(max(1, manifest.count()))
 
     def read(batches):
-        names = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
         for b in batches:
             for row in b.to_pylist():
                 shard = Shard(row["path"], row["index_path"])
-                crcs = []
-                for _, parts in shard.documents():
-                    crc = 0
-                    for p in parts:
-                        crc = zlib.crc32(p.astype("<u4"), crc)
-                    crcs.append(crc)
-                starts = pa.array(shard.index.column("start").to_numpy() + row["start"])
-                yield pa.RecordBatch.from_arrays([shard.index.column("doc_id").combine_chunks(), starts, shard.index.column("n_tokens").combine_chunks(), pa.array(crcs, pa.int64())], schema=names)
+                for docs in shard.index():
+                    starts, crcs = docs.column(1).to_numpy(), []
+                    for start, n in zip(starts.tolist(), docs.column(2).to_pylist(), strict=True):
+                        crc = 0
+                        for part in shard.ids(start, n):
+                            crc = zlib.crc32(part.astype("<u4"), crc)
+                        crcs.append(crc)
+                    columns = [docs.column(0), pa.array(starts + row["start"]), docs.column(2), pa.array(crcs, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -36,6 +36,47 @@ def split_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     return dealt.join(every.hint("merge"), [key, "_piece"]).drop("_piece")
 
 
+#: Ranges of ids asked for at most, wherever rows are dealt by ranges. Those that are cut again are broadcast, a quarter at most.
+MOST_RANGES = 1 << 19
+
+
+class Ranges:
+    """Ranges of a long id, each with a bounded part of all bytes: a row's range is named by the least id that it could hold.
+
+    Ids are cut at multiples of a power of two, so a range is an expression of the id. Ranges with more than four times
+    their part are cut again, within the ids that they do hold, until none of them can be. The driver gets three numbers;
+    ranges to be cut again are tables in the shared folder.
+    """
+
+    def __init__(self, sizes: DataFrame, each: int, number: int | None = None):
+        """sizes: id, size (bytes). each: bytes of a range, on average; number: ranges asked for, instead of that."""
+        sizes = stored(sizes.toDF("id", "size").filter("id is not null"), "id-sizes", narrow=True)
+        low, high, total = sizes.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+        if number is None:
+            number = min(MOST_RANGES, max(2 * sizes.sparkSession.sparkContext.defaultParallelism, 1 + (total or 0) // each))
+        self.number = number
+        self.bits = 0 if low is None else ((high - low) // (2 * number)).bit_length()
+        self.again: list[DataFrame] = []
+        part = max(1, (total or 0) // number)
+        while low is not None:
+            held = self.place(sizes, "id", "low").groupBy("low").agg(F.sum("size").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
+            step = F.expr(f"(b - a) div (2 * (size div {part}))")
+            large = held.filter((F.col("size") > 4 * part) & (F.col("a") < F.col("b"))).select("low", F.when(step > 0, F.length(F.bin(step))).otherwise(0).alias("bits"))
+            large = stored(large, "large-ranges", narrow=True)
+            if large.isEmpty():
+                break
+            self.again.append(large)
+
+    def place(self, rows: DataFrame, id_column: str, name: str) -> DataFrame:
+        """rows with their range; null for a null id."""
+        at = lambda bits: F.call_function("shiftleft", F.call_function("shiftright", F.col(id_column), bits), bits)
+        rows = rows.withColumn(name, at(F.lit(self.bits)))
+        for large in self.again:
+            cut = F.broadcast(large.select(F.col("low").alias("_low"), F.col("bits").alias("_bits")))
+            rows = rows.join(cut, F.col(name) == F.col("_low"), "left").withColumn(name, F.when(F.col("_bits").isNull(), F.col(name)).otherwise(at(F.col("_bits")))).drop("_low", "_bits")
+        return rows
+
+
 def tokenizer_file(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewright.llm.common import Ranges
+
 #: Counters of likeness (two 30-bit counters in each long) and 32-bit lanes for equality.
 LIKENESS_LANES, EQUAL_LANES = 256, 8
 _HASHES = LIKENESS_LANES // 64
 #: Pieces that are counted in bytes before they are in full: a byte of a signed long holds no more.
 PART = 127
-#: Bytes of text in a bucket of successive doc_ids, on average, and buckets at most (their bounds are a constant of the plan).
-BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 20
+#: Bytes of text in a bucket of successive doc_ids, on average; what a row counts beside its text.
+BUCKET_BYTES, ROW_BYTES = 8 << 20, 32
 #: Paragraphs are lines. For likeness a line is cut in runs of at most eight words, a word longer than 16 in several. A run
 #: ends at its line's end and before a word of 5 or 9 characters, so what comes before in the line moves few of its ends.
 LINE = "\n"
@@ -113,34 +115,23 @@ def likeness(a: Column, b: Column, of_a: Column | None = None, of_b: Column | No
     return F.when(same, F.lit(1.0)).when(empty | (size == 0), F.lit(0.0)).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / size)), 6))
 
 
-def bucket_of(doc_id: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are not above doc_id, by halving; -1 for null."""
-    bounds = F.from_json(F.lit(str(cuts)), "array<bigint>")  # parsed once, with the plan's constants
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]) if cuts else F.expr("cast(array() as array<int>)")
-    held = lambda lo, step: (lo + step <= len(cuts)) & (F.get(bounds, lo + step - 1) <= doc_id)
-    return F.when(doc_id.isNull(), F.lit(-1)).otherwise(F.aggregate(steps, F.lit(0), lambda lo, step: F.when(held(lo, step), lo + step).otherwise(lo)))
-
-
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """doc_id, text -> bucket, place, copy, doc_id, text, next_text: the text of the next row by descending doc_id (null last).
 
     After the last row comes the first. Rows of one doc_id are ordered by text. Rows are dealt to buckets of successive
-    doc_ids, as many as the bytes of text ask for, so no sort takes all rows to one task and tasks do not grow with the
-    table. Each bucket ends with a copy of the next bucket's first row (copy is true there), which has no next_text.
+    doc_ids, as many as the bytes of text ask for (`buckets`: so many), so no sort takes all rows to one task and tasks do
+    not grow with the table. Each bucket ends with a copy of the next bucket's first row (copy is true there), which has no next_text.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    if buckets is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = min(MOST_BUCKETS, max(2 * rows.sparkSession.sparkContext.defaultParallelism, 1 + size // BUCKET_BYTES)) if size else 1
-    cuts = sorted({int(c) for c in docs.filter(F.col("doc_id").isNotNull()).stat.approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets)}) if buckets > 1 else []
-    rows = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cuts))
+    ranges = Ranges(rows.select("doc_id", F.octet_length("text") + ROW_BYTES), BUCKET_BYTES, buckets)
+    rows = ranges.place(rows, "doc_id", "bucket")
     # One row a bucket: its greatest doc_id, and the bucket that comes before it, whose last row it follows.
     order = Window.orderBy(F.col("bucket").desc())
     last = F.last("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).select(F.col("bucket").alias("_bucket"), "top", F.coalesce(F.lag("bucket").over(order), last).alias("before"))
-    firsts = rows.join(F.broadcast(tops), (F.col("bucket") == F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("top")))  # at most MOST_BUCKETS + 1 rows of three numbers
+    firsts = rows.join(F.broadcast(tops), F.col("bucket").eqNullSafe(F.col("_bucket")) & F.col("doc_id").eqNullSafe(F.col("top")))  # a row of three numbers for each bucket, whose number Ranges bounds
     copies = firsts.groupBy("before").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("before").alias("bucket"), F.lit(True).alias("copy"))
-    every = rows.withColumn("copy", F.lit(False)).unionByName(copies).repartition(buckets, "bucket")
+    every = rows.withColumn("copy", F.lit(False)).unionByName(copies).repartition(ranges.number, "bucket")
     w = Window.partitionBy("bucket").orderBy("copy", F.col("doc_id").desc(), "text")
     return every.select("bucket", F.row_number().over(w).alias("place"), "copy", "doc_id", "text", F.lead("text").over(w).alias("next_text"))
 

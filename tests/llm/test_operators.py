@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitewright.llm import arrowfile, automata, bpe, chat, embeddings, langid, minhash, multiset, packing, suffixes
-from sitewright.llm.common import new_path, tokenizer_file
+from sitewright.llm.common import Ranges, new_path, tokenizer_file
 
 RANKS = tokenizer_file("byte_bpe_50k.tiktoken")
 
@@ -98,7 +98,9 @@ def test_token_files(spark, documents, no_documents, rows):
     total = 0
     for m in manifest.collect():
         shard = arrowfile.Shard(m.path, m.index_path)
-        n = sum(shard.batch(k).num_rows for k in range(len(shard.offsets)))
+        n = sum(shard.batch(k).num_rows for k in range(shard.n_batches))
+        for x in shard.sequence(n - 1):
+            assert not x.flags.owndata and not x.flags.writeable  # the file's own bytes
         stream = np.concatenate([x[keep] for x, keep in (shard.sequence(k) for k in range(n))])
         assert len(stream) == m.n_tokens and all(len(shard.sequence(k)[0]) == 64 for k in range(n))
         total += len(stream)
@@ -588,6 +590,27 @@ def test_index_recall():
 # fingerprints
 
 
+def test_ranges_hold_bounded_parts(spark):
+    """Ids of three scales, one heavy id, the ends of a long, and nulls: order is kept and no range of several ids is large."""
+    ids = [*range(3000), *range(10**9, 10**9 + 10**6, 1000), -(2**63), 2**63 - 1, 10**15, None, None]
+    rows = spark.createDataFrame([(i, 50_000 if i == 77 else 10) for i in ids], "doc_id long, size long")
+    ranges = Ranges(rows, 1000)
+    assert ranges.again
+    placed = ranges.place(rows, "doc_id", "low").collect()
+    held = collections.defaultdict(list)
+    for r in placed:
+        assert (r.low is None) == (r.doc_id is None)
+        if r.doc_id is not None:
+            assert r.low <= r.doc_id
+            held[r.low].append(r)
+    part = sum(r["size"] for r in placed if r.doc_id is not None) // ranges.number
+    in_order = sorted(held)
+    for a, b in zip(in_order, in_order[1:]):
+        assert max(r.doc_id for r in held[a]) < b
+    assert all(sum(r["size"] for r in g) <= 4 * part or len(g) == 1 for g in held.values())
+    assert Ranges(rows.limit(0), 1000).place(rows.limit(0), "doc_id", "low").count() == 0
+
+
 def test_fingerprints(spark, documents, no_documents, rows):
     for buckets in (1, 7):
         got = {r.doc_id: r for r in multiset.edited_fingerprints(documents, buckets).collect()}
