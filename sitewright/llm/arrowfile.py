@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.llm.common import Ranges, stored, unique_ids, with_text
+from sitewright.llm.tokens import encoder
 
 #: Tokens of a sequence; sequences of a record batch; documents of a batch of the index.
 LENGTH, BATCH, INDEX_ROWS = 2048, 128, 1 << 16
@@ -152,41 +153,43 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer_path: str, end_id: i
     stream of all ids is cut in equal sequences within a shard, the last of a shard being padded under a false mask.
     Rows of one doc_id keep together, ordered by text; null doc_ids come first. An empty table gives an empty manifest.
     Shards are ranges of doc_id, by the bytes of text, named by the least doc_id that a range could hold. Texts
-    are encoded where they lie, and their ids move. A shard's files are named anew by every attempt and the manifest is a
+    are encoded where they lie, and their ids move, compressed. A shard's files are named anew by every attempt and the manifest is a
     table in the shared folder that lists those of the attempt that ended well, so a lost executor leaves at most stray files.
     """
     rows, numbered = unique_ids(with_text(docs, "doc_id"))
     rows = rows.select("doc_id", "text", F.col("given_id" if numbered else "doc_id").alias("given_id"))
     ranges = Ranges(rows.select("doc_id", F.octet_length("text") + ROW_BYTES), SHARD_BYTES)
 
-    def encode(batches):
-        from sitewright.llm.tokens import encoder
+    kind = encoder(tokenizer_path).kind
 
-        code = encoder(tokenizer_path)
+    def encode(batches):
+        code, codec = encoder(tokenizer_path), pa.Codec("zstd", 1)
         end = np.array([end_id], code.kind).tobytes()
         for b in batches:
-            ids = [code.encode(text.as_py()) + end for text in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(ids, pa.binary())], names=["doc_id", "given_id", "ids"])
+            sizes, packed = [], []
+            for text in b.column(1):
+                ids = code.encode(text.as_py()) + end
+                sizes.append(len(ids))
+                packed.append(codec.compress(ids, asbytes=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "given_id", "size", "ids"])
 
     def write(batches):
-        from sitewright.llm.tokens import encoder
-
-        kind = encoder(tokenizer_path).kind
+        codec = pa.Codec("zstd")
         names = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("index_path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         at, out = None, None
         for b in batches:
-            for shard, doc_id, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for shard, doc_id, size, ids in zip(*(c.to_pylist() for c in b.columns[:3]), b.column(3), strict=True):
                 if out and shard != at:
                     yield pa.RecordBatch.from_pylist([{"shard": at, **out.close()}], schema=names)
                     out = None
                 at, out = shard, out or ShardWriter(folder, shard, kind, length, batch)
-                out.add(doc_id, ids.as_py())
+                out.add(doc_id, codec.decompress(ids.as_buffer(), size, asbytes=True))
         if out:
             yield pa.RecordBatch.from_pylist([{"shard": at, **out.close()}], schema=names)
 
-    encoded = rows.mapInArrow(encode, "doc_id long, given_id long, ids binary")
+    encoded = rows.mapInArrow(encode, "doc_id long, given_id long, size long, ids binary")
     placed = ranges.place(encoded, "doc_id", "shard").repartition(ranges.number, "shard").sortWithinPartitions("shard", "doc_id")
-    placed = placed.select("shard", "given_id", "ids")
+    placed = placed.select("shard", "given_id", "size", "ids")
     return stored(placed.mapInArrow(write, MANIFEST), "sequence-manifest")
 
 

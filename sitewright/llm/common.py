@@ -36,14 +36,14 @@ def split_join(rows: DataFrame, groups: DataFrame, key: str, size: str, spread:
     return dealt.join(every.hint("merge"), [key, "_piece"]).drop("_piece")
 
 
-#: Ranges of ids asked for at most, wherever rows are dealt by ranges. Those that are cut again are broadcast, a quarter at most.
+#: Ranges of ids asked for at most, wherever rows are dealt by ranges. Those that are cut again are broadcast, a half at most.
 MOST_RANGES = 1 << 19
 
 
 class Ranges:
     """Ranges of a long id, each with a bounded part of all bytes: a row's range is named by the least id that it could hold.
 
-    Ids are cut at multiples of a power of two, so a range is an expression of the id. Ranges with more than four times
+    Ids are cut at multiples of a power of two, so a range is an expression of the id. Ranges with more than twice
     their part are cut again, within the ids that they do hold, until none of them can be. The driver gets three numbers;
     ranges to be cut again are tables in the shared folder.
     """
@@ -61,7 +61,7 @@ class Ranges:
         while low is not None:
             held = self.place(sizes, "id", "low").groupBy("low").agg(F.sum("size").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
             step = F.expr(f"(b - a) div (2 * (size div {part}))")
-            large = held.filter((F.col("size") > 4 * part) & (F.col("a") < F.col("b"))).select("low", F.when(step > 0, F.length(F.bin(step))).otherwise(0).alias("bits"))
+            large = held.filter((F.col("size") > 2 * part) & (F.col("a") < F.col("b"))).select("low", F.when(step > 0, F.length(F.bin(step))).otherwise(0).alias("bits"))
             large = stored(large, "large-ranges", narrow=True)
             if large.isEmpty():
                 break

@@ -607,7 +607,7 @@ def test_ranges_hold_bounded_parts(spark):
     in_order = sorted(held)
     for a, b in zip(in_order, in_order[1:]):
         assert max(r.doc_id for r in held[a]) < b
-    assert all(sum(r["size"] for r in g) <= 4 * part or len(g) == 1 for g in held.values())
+    assert all(sum(r["size"] for r in g) <= 2 * part or len(g) == 1 for g in held.values())
     assert Ranges(rows.limit(0), 1000).place(rows.limit(0), "doc_id", "low").count() == 0
 
 
