@@ -146,15 +146,15 @@ def robot_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
     return chosen.select("origin", "r.rule", "r.allow")
 
 
-def decoded_body(body: Column, content_type: Column, limit: int) -> Column:
+def decoded_body(body: Column, content_type: Column, limit: int | Column) -> Column:
     """At most `limit` bytes of a captured body as text, by the type's charset if it is a known one, else UTF-8."""
     return decode_bytes(F.substring(body, 1, limit), charset(content_type))
 
 
-def answer_pages(answers: DataFrame, limit: int, cache: DataFrame | None = None) -> DataFrame:
+def answer_pages(answers: DataFrame, limit: int | Column, cache: DataFrame | None = None) -> DataFrame:
     """page_id, url, html of captured answers (page_id, url, status, content_type, body binary, etag) that are pages.
 
-    Bodies are cut to `limit` bytes and decoded by their type's charset. With a cache (url_sha, body, etag, content_type if it
+    Bodies are cut to `limit` bytes, one for all or by the answers' columns, and decoded by their type's charset. With a cache (url_sha, body, etag, content_type if it
     has one), an answer of status 304 has the cached body and its type, HTML where that is not known; one that is not cached
     is no page.
     """
