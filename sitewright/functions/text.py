@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html as _html
+import re
 import unicodedata
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -89,13 +91,22 @@ def _plain_each(x: pa.Array) -> pa.Array:
     return pa.array([None if ts is None else [None if t is None else _html.unescape(t) for t in ts] for ts in x.to_pylist()], pa.list_(pa.string()))
 
 
-def unescape(x: Column) -> Column:
-    """All numeric and named character references decoded once, by the rules of HTML.
+_ENDED = re.compile("&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[0-9A-Za-z]+;)")
+
+
+@F.arrow_udf(StringType())
+def _plain_ended(x: pa.Array) -> pa.Array:
+    plain = lambda m: _html.unescape(m[0]) if m[1][0] == "#" or m[1] in html5 else m[0]
+    return pa.array([None if t is None else _ENDED.sub(plain, t) for t in x.to_pylist()], pa.string())
+
+
+def unescape(x: Column, ended: bool = False) -> Column:
+    """All numeric and named character references decoded once, by the rules of HTML; ended: those alone that a semicolon ends.
 
     The 2231 names are a hashed table of each Python worker; only texts that have the sign of a reference are handed to it.
     """
     some = F.contains(x, F.lit("&"))
-    return F.when(some, _plain(F.when(some, x))).otherwise(x)
+    return F.when(some, (_plain_ended if ended else _plain)(F.when(some, x))).otherwise(x)
 
 
 def unescape_each(x: Column) -> Column:

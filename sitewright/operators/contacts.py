@@ -121,19 +121,23 @@ def _json_name(html: Column) -> Column:
     return F.get(named, F.lit(0))
 
 
-def page_company(pages: DataFrame) -> DataFrame:
-    """site, page_id, company: linked data, site name, item name, or title, cut at a bar, long dash or hyphen."""
+def page_company(pages: DataFrame, ended: bool = False) -> DataFrame:
+    """site, page_id, company: linked data, site name, item name, or title, cut at a bar, long dash or hyphen.
+
+    A title's character references are decoded by the rules of HTML; with `ended` those that lack their semicolon, as where a
+    title was cut within one, are left as they are.
+    """
     html, metas = F.col("html"), F.col("_metas")
     some = lambda x: F.nullif(squeeze(x), F.lit(""))
-    pick = F.coalesce(_json_name(html), some(meta_content(metas, "property", "og:site_name")), some(meta_content(metas, "itemprop", "name")), some(unescape(F.regexp_extract(html, TITLE, 1))))
+    pick = F.coalesce(_json_name(html), some(meta_content(metas, "property", "og:site_name")), some(meta_content(metas, "itemprop", "name")), some(unescape(F.regexp_extract(html, TITLE, 1), ended)))
     rows = pages.filter(html.isNotNull()).select("site", "page_id", "html", tags(without_scripts(html), "meta").alias("_metas"))
     # A filter on the name would be pushed below it, and the name found twice.
     return rows.select("site", "page_id", F.explode(F.filter(F.array(company_name(pick)), lambda c: c != "")).alias("company"))
 
 
-def site_company(pages: DataFrame) -> DataFrame:
-    """site, company: of the first page that gives one, else the site's own label with a capital."""
-    named = page_company(pages).groupBy("site").agg(F.min_by("company", "page_id").alias("company"))
+def site_company(pages: DataFrame, ended: bool = False) -> DataFrame:
+    """site, company: of the first page that gives one, else the site's own label with a capital. ended: as in page_company()."""
+    named = page_company(pages, ended).groupBy("site").agg(F.min_by("company", "page_id").alias("company"))
     sites = pages.select("site", "root").distinct()
     return sites.join(named, "site", "left").select("site", "root", F.coalesce("company", capitalised(F.col("root"))).alias("company"))
 
